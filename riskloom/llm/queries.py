@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lines, packing, simhash
+from . import decontam, langid, lines, packing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_simhash_near_dedup": simhash.digest,
+        "op6_language_id": langid.digest,
         "op7_packing": packing.digest,
         "op8_line_dedup": lines.digest,
         "op10_decontamination": decontam.digest,

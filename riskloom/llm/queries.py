@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, lines, packing, simhash
+from . import decontam, extract, langid, lines, packing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": langid.digest,
         "op7_packing": packing.digest,
         "op8_line_dedup": lines.digest,
+        "op9_html_extraction": extract.digest,
         "op10_decontamination": decontam.digest,
     }
 

@@ -13,7 +13,7 @@ import html
 import math
 import re
 from collections import deque
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +30,7 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of the first kind ends an open element of the second, up to the limits.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
@@ -70,6 +71,9 @@ class Node:
     named: bool = False
     silent: bool = False
     holds_article: bool = False
+    link: bool = False
+    heading: bool = False
+    box: Node | None = None
 
 
 @dataclass(slots=True)
@@ -79,8 +83,6 @@ class Block:
     linked: int
     size: int
     heading: bool = False
-    odds: float = 0.0
-    ties: list = field(default_factory=list)
 
 
 def _element(tag: str, attrs: str, parent: Node | None) -> Node:
@@ -101,6 +103,11 @@ def _element(tag: str, attrs: str, parent: Node | None) -> Node:
             words = set(_NAMES.findall(_CAMEL.sub(" ", value).lower()))
             node.around |= bool(words & AROUND_NAMES)
             node.named |= bool(words & ARTICLE_NAMES)
+    if parent is not None:
+        node.silent |= parent.silent
+        node.link = tag == "a" or parent.link
+        node.heading = tag in HEADINGS or parent.heading
+        node.box = node if tag in BLOCK else parent.box
     if node.article and not node.around and parent is not None:
         up = parent
         while up is not None and not up.holds_article:
@@ -112,6 +119,7 @@ def _element(tag: str, attrs: str, parent: Node | None) -> Node:
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order: text between the tags of block elements, with white space as single spaces."""
     root = Node("#", None, 0)
+    root.box = root
     stack, found = [root], []
     parts: list[str] = []
     linked, heading, owner = 0, False, None
@@ -128,13 +136,13 @@ def blocks(page: str) -> list[Block]:
 
     def say(text: str) -> None:
         nonlocal linked, heading, owner
-        if not text or any(n.silent for n in stack):
+        top = stack[-1]
+        if not text or top.silent:
             return
         text = html.unescape(text) if "&" in text else text
         if owner is None and not text.isspace():
-            owner = next((n for n in reversed(stack) if n.tag in BLOCK), root)
-            heading = any(n.tag in ("h1", "h2", "h3", "h4", "h5", "h6") for n in stack)
-        if any(n.tag == "a" for n in stack):
+            owner, heading = top.box, top.heading
+        if top.link:
             linked += len(text.strip())
         parts.append(text)
 

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embeddings, extract, langid, lines, packing, simhash
+from . import decontam, embeddings, extract, langid, lines, packing, repeats, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_embedding_near_dedup": embeddings.digest,
+        "op4_suffix_array_dedup": repeats.digest,
         "op5_simhash_near_dedup": simhash.digest,
         "op6_language_id": langid.digest,
         "op7_packing": packing.digest,

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embeddings, extract, langid, lines, packing, repeats, simhash
+from . import chat, decontam, embeddings, extract, langid, lines, packing, repeats, simhash, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_formatting": chat.digest,
         "op2_embedding_near_dedup": embeddings.digest,
+        "op3_token_counts": token_counts.digest,
         "op4_suffix_array_dedup": repeats.digest,
         "op5_simhash_near_dedup": simhash.digest,
         "op6_language_id": langid.digest,
@@ -23,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": lines.ORACLE}
+    return {"op1_chat_formatting": chat.ORACLE, "op8_line_dedup": lines.ORACLE}

@@ -1,18 +1,62 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
+
+Each stage takes all that the one before kept, decides on it, and hands on the
+columns of documents; the last returns the pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riskloom.llm import decontam, langid, lines, overlap, packing
+from riskloom.llm.common import store, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the network names; learnt from the labelled ones."""
+    return langid.keep_identified(docs, langid.learn(docs))
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the lines that too many documents of their source have; n_chars follows the text."""
+    return lines.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long"))
+
 
-STAGES: list = []
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return overlap.keep_one(docs)
 
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences along the curve."""
+    packed = packing.pack(docs)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_boilerplate),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
+
+#: A network and a tokenizer decide; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from riskloom.llm.common import store, table
-
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), f"stage-{name}").df
-    return docs
+    written = None
+    for name, stage in STAGES[:-1]:
+        after = store(stage(spark, docs, sf_dir), f"stage-{name}")
+        if written:
+            written.drop()
+        docs, written = after.df, after
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,7 +15,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows and bytes of an Arrow batch, at most: what a task holds of its input at a time,
+#: in the JVM and again in Python. Smaller settings of the session stay.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name, None)
+        size = _bytes(now)
+        if size is None or size <= 0 or size > most:
+            spark.conf.set(name, str(most))
+
+
+def _bytes(value: str | None) -> int | None:
+    """A size setting as a number; None where it is unset or has a unit."""
+    try:
+        return int((value or "").lower().removesuffix("b"))
+    except ValueError:
+        return None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +60,7 @@ class Stored:
 
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
+        bound_batches(self.spark)
         self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
@@ -90,6 +113,7 @@ def append_columns(
     make runs once per task. keep: the columns passed on (default all); of those
     a column named like a new one is replaced by it.
     """
+    bound_batches(df.sparkSession)
     new = {f.name for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
     schema = T.StructType([df.schema[c] for c in kept] + fields)

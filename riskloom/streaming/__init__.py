@@ -1,0 +1 @@
+"""Nothing here streams: every analysis is of one bounded table, its time column included."""

@@ -381,7 +381,7 @@ def _categorical(spark, sf):
     return rounded(drift.divergence_frame(df, F.col("event_type"), late))
 
 
-@add("action_rules", "select * from (values ('impute_median', 'income'), ('one_hot', 'plan'), ('ordinal', 'flag'), ('target_encode', 'zip'), ('log1p', 'revenue'), ('drop', 'constant_col')) v(action, \"column\")")
+@add("action_rules", "select * from (values ('median', 'income'), ('onehot', 'plan'), ('ordinal', 'flag'), ('target_oof', 'zip'), ('log1p', 'revenue'), ('drop', 'constant_col')) v(action, \"column\")")
 def _actions(spark, sf):
     from .plans.actions import build_action_plan
     from .plans.profile import profile_of_stats
@@ -389,7 +389,7 @@ def _actions(spark, sf):
     s = lambda name, kind, n_unique, n_null=0, **k: columns.ColumnStats(name, kind, kind, 1000, n_null, n_unique, **k)
     made = {x.name: x for x in (s("income", NUMERIC, 900, 50, min=1.0), s("plan", "text", 4, top_values=[("a", 900)]), s("flag", "text", 2, top_values=[("a", 900)]), s("zip", "text", 300, top_values=[("a", 9)]), s("revenue", NUMERIC, 900, skew=6.0, min=0.0), s("constant_col", NUMERIC, 1))}
     plan = build_action_plan(profile_of_stats(made))
-    rows = [(i["action"], i["column"]) for i in plan.records() if i["action"] in ("impute_median", "one_hot", "ordinal", "target_encode", "log1p", "drop")]
+    rows = [(i["action"], i["column"]) for i in plan.records() if i["action"] in ("median", "onehot", "ordinal", "target_oof", "log1p", "drop")]
     return spark.createDataFrame(rows, "action string, column string")
 
 
@@ -435,10 +435,20 @@ def _permutation(spark, sf):
     return spark.createDataFrame(sorted(got.items()), "feature string, importance double")
 
 
-@add("profile_findings_orders")
+@add("profile_findings_labels")
 def _profile(spark, sf):
     from .plans.profile import profile
 
-    p = profile(read(spark, sf, "orders"), target="o_orderstatus", time_col="o_orderdate", target_permutation=False, spark=spark)
+    p = profile(read(spark, sf, "labels"), target="toxic", target_permutation=False, spark=spark)
     return p.findings_frame(spark)
 
+
+@add("profile_diff_events")
+def _diff(spark, sf):
+    from .plans.profile import profile
+
+    df = read(spark, sf, "events").drop("props")
+    a, b = (profile(x, target="event_type", deep_correlations=False, target_permutation=False, spark=spark) for x in (df, df.withColumn("value", F.when(F.col("event_id") % 2 == 0, F.col("value")))))
+    d = a.diff(b)
+    rows = [("appeared", f.kind, f.columns[0]) for f in d.appeared] + [("resolved", f.kind, f.columns[0]) for f in d.resolved]
+    return spark.createDataFrame(rows, "change string, kind string, column string")

@@ -98,7 +98,10 @@ def _frame(spark: SparkSession, data: Any) -> tuple[DataFrame, str]:
         return data, "frame"
     kind = type(data).__module__.split(".")[0]
     if kind == "pandas":
-        return spark.createDataFrame(data), "pandas"
+        import pyarrow as pa
+
+        # By way of Arrow, which reads NaN as missing.
+        return spark.createDataFrame(pa.Table.from_pandas(data, preserve_index=False)), "pandas"
     if kind == "pyarrow":
         return spark.createDataFrame(data), "arrow"
     if kind == "polars":
@@ -110,7 +113,7 @@ def _frame(spark: SparkSession, data: Any) -> tuple[DataFrame, str]:
     if isinstance(data, dict):
         import pandas as pd
 
-        return spark.createDataFrame(pd.DataFrame(data)), "mapping"
+        return _frame(spark, pd.DataFrame(data))[0], "mapping"
     raise TypeError(f"can't read a table from {type(data).__name__}")
 
 
@@ -185,6 +188,9 @@ def discover_schema(data: str, credentials_env: str | None = None, spark: SparkS
     return SchemaInfo(uri.qualified if uri else data, [(f.name, f.dataType.simpleString(), by[f.name]) for f in df.schema], rows)
 
 
+_PLAIN = {c.typeName(): c for c in (T.StringType, T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)}
+
+
 def schema_of(fields: dict[str, str]) -> T.StructType:
-    """A schema from names and Spark type strings."""
-    return T.StructType([T.StructField(k, T._parse_datatype_string(v)) for k, v in fields.items()])
+    """A schema from names and names of plain types."""
+    return T.StructType([T.StructField(k, _PLAIN[v]()) for k, v in fields.items()])

@@ -20,3 +20,8 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def sf0() -> str:
+    return "/root/testdata/sf0.001"

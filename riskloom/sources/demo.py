@@ -35,14 +35,15 @@ def demo_frame(spark: SparkSession, n: int = 5000, seed: int = 42) -> DataFrame:
         (g() * 0.4).alias("_shift"),
         g().alias("_noise"),
         u().alias("_since"),
+        u().alias("_even"),
     )
     df = df.withColumn("n_logins", F.col("_logins") + F.floor(F.col("tenure_months") / 12))
     often = F.col("n_logins") / F.greatest(F.col("tenure_months"), F.lit(1))
-    odds = F.lit(-2.0) + 1.5 * (often < 2).cast("int") + 0.8 * (F.col("plan") == "free").cast("int") + F.col("_shift") - 0.02 * (F.col("age") - 38)
+    odds = F.lit(-2.5) + 1.5 * (often < 2).cast("int") + 0.8 * (F.col("plan") == "free").cast("int") + F.col("_shift") - 0.02 * (F.col("age") - 38)
     df = df.withColumn("churned", (F.col("_chance") < 1 / (1 + F.exp(-odds))).cast("long"))
     # The time-ordered split falls where the leak begins: at the row quantile of the date.
     df = df.crossJoin(F.broadcast(df.agg(F.percentile("_day", 0.7).alias("_edge"))))
-    made = F.when(F.col("churned") == 1, F.col("_noise") * 0.04 + 0.9).otherwise(F.col("_noise") * 0.04 + 0.1)
+    made = F.when(F.col("churned") == 1, F.col("_noise") * 0.01 + 0.9).otherwise(F.col("_noise") * 0.01 + 0.1)
     return df.select(
         "user_id",
         F.date_add(F.lit("2024-04-30").cast("date"), F.col("_day").cast("int")).alias("signup_date"),
@@ -56,7 +57,7 @@ def demo_frame(spark: SparkSession, n: int = 5000, seed: int = 42) -> DataFrame:
         "status",
         "constant_col",
         F.when(F.col("plan") == "free", 0.0).otherwise(F.col("_spent")).alias("revenue"),
-        F.when(F.col("_day") > F.col("_edge"), made).otherwise(F.col("_noise") * 0.15 + 0.5).alias("cohort_engagement_v2"),
+        F.when(F.col("_day") > F.col("_edge"), made).otherwise(F.col("_even")).alias("cohort_engagement_v2"),
         F.floor(F.when(F.col("churned") == 1, 30 + F.col("_since") * 335).otherwise(F.col("_since") * 14)).cast("long").alias("days_since_last_login"),
         "churned",
     )

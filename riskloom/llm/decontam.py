@@ -188,3 +188,21 @@ def digest(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE = f"""
+with d as (select doc_id, {_SQL_WORDS} as w from documents),
+b as (select item_id::varchar as item, {_SQL_WORDS} as w from benchmark where text is not null and item_id is not null),
+n as (select item, w, least({WINDOW}, len(w)) as n from b where len(w) > 0),
+bw as (select distinct item, n, array_to_string(w[i : i + n - 1], ' ') as win from (select item, w, n, unnest(range(1, len(w) - n + 2)) as i from n)),
+p as (select doc_id, unnest(w) as w, unnest(range(1, len(w) + 1)) as i from d),
+l as (select doc_id, i, [w, {', '.join(f'lead(w, {k}) over (partition by doc_id order by i)' for k in range(1, WINDOW))}] as l from p),
+dw as (select doc_id, i, s.n, array_to_string(l[1 : s.n], ' ') as win from l, (select distinct n from bw) s where l[s.n] is not null),
+h as (select doc_id, i, dw.n, item from dw join bw on dw.win = bw.win and dw.n = bw.n),
+c as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(i, i + n)) as place from h) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from h) group by doc_id)
+select d.doc_id, coalesce(len(d.w), 0)::bigint as n_words, coalesce(c.n_hit, 0)::bigint as n_hit, coalesce(t.n_items, 0)::bigint as n_items,
+  sha256(coalesce(t.items, '')) as items_sha256, coalesce(c.n_hit, 0) > 0 as contaminated
+from d left join c on d.doc_id = c.doc_id left join t on d.doc_id = t.doc_id
+"""

@@ -164,3 +164,17 @@ def digest(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE = f"""
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0 and len([x for x in embedding if x <> 0]) > 0
+), links as materialized (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= {COSINE}
+), reach(id, c) as (
+  select vec_id, vec_id from embeddings union select l.b, r.c from reach r join links l on l.a = r.id
+), component as (select id, min(c) as c from reach group by id), n as (select a, count(*) as n from links group by a)
+select e.vec_id, coalesce(n.n, 0)::bigint as n_links, c.c as component_id, e.vec_id = c.c as kept
+from embeddings e join component c on e.vec_id = c.id left join n on n.a = e.vec_id
+"""

@@ -38,8 +38,9 @@ def drop_boilerplate(docs: DataFrame, key: str = "doc_id", host: str = "source",
     Rows are pages: copies count each. Lines are what stands between \\n; they
     compare trimmed, and the kept ones stay byte for byte, joined by \\n. Blank
     lines are never boilerplate. A null text stays null, a null host is a host
-    of its own, a text of which every line goes becomes empty. key must identify
-    rows; rows whose key is null or repeated are told apart by an added number.
+    of its own, a text of which every line goes becomes empty. Lines are given
+    back to rows by key, host and text, so rows that repeat a key, or have none,
+    are told apart by what they hold.
     report: adds n_lines and n_dropped (longs).
     """
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(key).alias("k"), F.col(host).alias("host"), F.col(text).alias("text"))

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE, "op8_line_dedup": lines.ORACLE}
+    return {"op1_chat_formatting": chat.ORACLE, "op2_embedding_near_dedup": embeddings.ORACLE, "op8_line_dedup": lines.ORACLE, "op10_decontamination": decontam.ORACLE}

@@ -88,7 +88,7 @@ def sketches(docs: DataFrame, key: str, text: str, size: int, n_bits: int) -> Da
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     made = append_columns(rows, make, [T.StructField("sig", T.BinaryType()), T.StructField("shingles", T.BinaryType())], ["id"])
-    return made.withColumn("whole", F.when(F.col("shingles").isNotNull(), F.sha2("shingles", 256)))
+    return made.withColumn("whole", F.unhex(F.substring(F.sha2("shingles", 256), 1, 32)))
 
 
 def _sharded(nodes: DataFrame, bits: int, tables: int, extra: list[str]) -> DataFrame:
@@ -207,25 +207,33 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     n_bits = 64 + bits * tables
     radius = most_bits(64, similarity)
     made = store(sketches(docs, key, text, size, n_bits).where("id is not null and whole is not null"), "overlap")
-    heads = store(made.df.groupBy("whole").agg(F.min("id").alias("node")), "overlap-heads")
-    nodes = heads.df.join(made.df.select(F.col("id").alias("node"), F.col("whole").alias("w"), "sig"), "node").where("w = whole").select("node", "sig").dropDuplicates(["node"])
-    nodes = store(nodes, "overlap-nodes")
+    ids = store(made.df.select("id", "whole"), "overlap-ids")
+    heads = store(ids.df.groupBy("whole").agg(F.min("id").alias("node")), "overlap-heads")
+    sig = made.df.select(F.col("id").alias("node"), F.col("whole").alias("w"), "sig")
+    nodes = store(heads.df.join(sig, "node").where("w = whole").select("node", "sig").dropDuplicates(["node"]), "overlap-nodes")
     near = store(_blocks(_sharded(nodes.df, bits, tables, [])).mapInArrow(_nearest(radius), "hi long, lo long").distinct(), "overlap-near")
-    wanted = store(near.df.select(F.col("hi").alias("node")).distinct(), "overlap-wanted")
-    # The sets of texts that have a candidate, once; the rest is never moved again.
-    sets = made.df.select(F.col("id").alias("node"), "whole", "shingles").join(wanted.df, "node").join(heads.df, ["whole", "node"]).select("node", "shingles").dropDuplicates(["node"])
-    sets = store(sets, "overlap-sets")
+    free_shuffles(spark)
+    wanted = store(near.df.select(F.col("hi").alias("node")).distinct().join(heads.df, "node"), "overlap-wanted")
+    # The sets of texts that have a candidate move once; the others never do.
+    whole = made.df.select(F.col("id").alias("node"), F.col("whole").alias("w"), "shingles")
+    sets = store(whole.join(wanted.df, "node").where("w = whole").select("node", "shingles").dropDuplicates(["node"]), "overlap-sets")
+    made.drop()
     free_shuffles(spark)
     first = store(_verified(near.df.where("lo is not null"), sets.df, similarity), "overlap-links")
+    free_shuffles(spark)
     member = connected_components(first.df, "hi", "lo")
     left = wanted.df.join(member, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     labelled = store(nodes.df.join(left, "node"), "overlap-labelled")
     most = most_bits(n_bits, similarity) + math.ceil(0.02 * n_bits)
     more = store(_blocks(_sharded(labelled.df, bits, tables, ["component", "sig"])).mapInArrow(_between(radius, n_bits, most), "hi long, lo long").distinct(), "overlap-more")
     free_shuffles(spark)
-    links = first.df.unionByName(_verified(more.df, sets.df, similarity))
-    member = connected_components(links, "hi", "lo")
-    return made.df.select("id", "whole").join(heads.df, "whole").join(member, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
+    links = store(first.df.unionByName(_verified(more.df, sets.df, similarity)), "overlap-links")
+    member = connected_components(links.df, "hi", "lo")
+    out = store(ids.df.join(heads.df, "whole").join(member, "node", "left").select("id", F.coalesce("component", "node").alias("component")), "overlap-groups")
+    for done in (ids, heads, nodes, near, wanted, sets, first, labelled, more, links):
+        done.drop()
+    free_shuffles(spark)
+    return out.df
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:

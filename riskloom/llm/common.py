@@ -62,7 +62,16 @@ class Stored:
         self.spark = df.sparkSession
         bound_batches(self.spark)
         self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        # Shuffle files of the write go with its end, not with the driver's next garbage collection.
+        before = self.spark.conf.get(_CLEAN_UP, None)
+        self.spark.conf.set(_CLEAN_UP, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEAN_UP)
+            else:
+                self.spark.conf.set(_CLEAN_UP, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         _LEFT.append(self)
 
@@ -75,6 +84,7 @@ class Stored:
                 _LEFT.remove(self)
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LEFT: list[Stored] = []
 
 
@@ -94,14 +104,6 @@ def store(df: DataFrame, label: str) -> Stored:
     return Stored(df, label)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Shuffle files of finished, written stages go once the driver has collected their handles."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def append_columns(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],

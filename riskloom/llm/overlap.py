@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, free_shuffles, in_blocks, shuffle_partitions, split_hot, store, texts
+from .common import append_columns, in_blocks, shuffle_partitions, split_hot, store, texts
 from .components import connected_components
 from .simhash import SHARD, Forest, shingle_hashes
 
@@ -212,27 +212,22 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     sig = made.df.select(F.col("id").alias("node"), F.col("whole").alias("w"), "sig")
     nodes = store(heads.df.join(sig, "node").where("w = whole").select("node", "sig").dropDuplicates(["node"]), "overlap-nodes")
     near = store(_blocks(_sharded(nodes.df, bits, tables, [])).mapInArrow(_nearest(radius), "hi long, lo long").distinct(), "overlap-near")
-    free_shuffles(spark)
     wanted = store(near.df.select(F.col("hi").alias("node")).distinct().join(heads.df, "node"), "overlap-wanted")
     # The sets of texts that have a candidate move once; the others never do.
     whole = made.df.select(F.col("id").alias("node"), F.col("whole").alias("w"), "shingles")
     sets = store(whole.join(wanted.df, "node").where("w = whole").select("node", "shingles").dropDuplicates(["node"]), "overlap-sets")
     made.drop()
-    free_shuffles(spark)
     first = store(_verified(near.df.where("lo is not null"), sets.df, similarity), "overlap-links")
-    free_shuffles(spark)
     member = connected_components(first.df, "hi", "lo")
     left = wanted.df.join(member, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     labelled = store(nodes.df.join(left, "node"), "overlap-labelled")
     most = most_bits(n_bits, similarity) + math.ceil(0.02 * n_bits)
     more = store(_blocks(_sharded(labelled.df, bits, tables, ["component", "sig"])).mapInArrow(_between(radius, n_bits, most), "hi long, lo long").distinct(), "overlap-more")
-    free_shuffles(spark)
     links = store(first.df.unionByName(_verified(more.df, sets.df, similarity)), "overlap-links")
     member = connected_components(links.df, "hi", "lo")
     out = store(ids.df.join(heads.df, "whole").join(member, "node", "left").select("id", F.coalesce("component", "node").alias("component")), "overlap-groups")
     for done in (ids, heads, nodes, near, wanted, sets, first, labelled, more, links):
         done.drop()
-    free_shuffles(spark)
     return out.df
 
 

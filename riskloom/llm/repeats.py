@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, mix64, shuffle_partitions, store
+from .common import mix64, shuffle_partitions, store
 
 W = 100
 K = 40
@@ -496,7 +496,6 @@ def repeated_bytes(rows: DataFrame) -> DataFrame:
     parts = shuffle_partitions(spark)
     hashed = rows.where(F.length("text") >= W).mapInArrow(_hash_segments(parts), "part int, segments binary, known binary")
     decided = store(hashed.repartitionById(parts, F.col("part")).mapInArrow(_decide_segments, _ROWS), "repeats")
-    free_shuffles(spark)
     border = decided.df.where("border is not null")
     windows = border.agg(F.sum(F.col("n") + 1)).first()[0] or 0
     out = decided.df.where("border is null").select("id", "start", "n")
@@ -510,7 +509,6 @@ def repeated_bytes(rows: DataFrame) -> DataFrame:
     splitters = sorted({seen[len(seen) * i // parts] for i in range(1, parts)}) if seen else []
     runs = joined_.mapInArrow(_sort_runs(splitters), "part int, shared binary, sizes binary, rest binary, places binary, known binary")
     merged = store(runs.repartitionById(parts, F.col("part")).mapInArrow(_merge_runs, _ROWS), "repeats-borders")
-    free_shuffles(spark)
     return out.unionByName(merged.df.select("id", "start", "n"))
 
 

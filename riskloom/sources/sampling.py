@@ -1,27 +1,103 @@
-"""Samples that depend on content and seed alone, not on partitioning."""
+"""Samples that depend on content, multiplicity and seed alone, not on partitioning."""
 
 from __future__ import annotations
 
+import heapq
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.expr import col, row_hash
+from ..functions.expr import col, hashable, quoted, row_hash
+from ..functions.kinds import OTHER, kind_of
 
 SEED = 42
 
 
 def exact_sample(df: DataFrame, n: int, seed: int = SEED) -> DataFrame:
-    """n rows, or all: those of lowest hash. Plans as a distributed top-n, no global sort."""
-    h = "__order"
-    return df.withColumn(h, row_hash(df.schema, seed)).orderBy(h).limit(n).drop(h)
+    """n rows, or all: a simple random sample in which equal rows count as often as they occur."""
+    # The first key of a group is its least, so a group beyond the n least first keys has no row in the sample.
+    heads = _groups(df, [], seed).orderBy(_FIRST, _A, _B).limit(n)
+
+    def run(batches):
+        got = list(batches)
+        if got:
+            yield drawn(pd.concat(got), n)
+
+    return _rows(df, heads.coalesce(1).mapInPandas(run, f"{_A} long, {_B} long, {_TAKE} long"), seed)
 
 
 def stratified_sample(df: DataFrame, target: str, most: int, n_classes: int, seed: int = SEED) -> DataFrame:
-    """most // n_classes rows of each class, null classes out. The group limit is applied before the shuffle as well."""
-    w = Window.partitionBy(col(target)).orderBy(row_hash(df.schema, seed))
-    ranked = df.where(col(target).isNotNull()).withColumn("__rank", F.row_number().over(w))
-    return ranked.where(F.col("__rank") <= max(1, most // max(1, n_classes))).drop("__rank")
+    """most // n_classes rows of each class, null classes out, equal rows as above. The group limit is applied before the shuffle as well."""
+    each = max(1, most // max(1, n_classes))
+    rows = df.where(col(target).isNotNull())
+    w = Window.partitionBy(_CLASS).orderBy(_FIRST, _A, _B)
+    heads = _groups(rows, [hashable(df.schema[target]).alias(_CLASS)], seed).withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= each)
+    return _rows(rows, heads.groupBy(_CLASS).applyInPandas(lambda g: drawn(g, each), f"{_A} long, {_B} long, {_TAKE} long"), seed)
+
+
+_A, _B, _N, _FIRST, _TAKE, _CLASS = "__a", "__b", "__n", "__first", "__take", "__class"
+
+
+def _content(schema: T.StructType, seed: int) -> list[Column]:
+    """128 bits of a row's content. Hashes skip nulls, so where they stand is hashed too."""
+    parts = [hashable(f) for f in schema]
+    return [F.xxhash64(F.lit(seed + k), *parts, *[p.isNull() for p in parts]).alias(name) for k, name in enumerate((_A, _B))]
+
+
+def _groups(df: DataFrame, also: list[Column], seed: int) -> DataFrame:
+    """A row for each group of equal rows: content hash, size and the least of as many exponential keys; only hashes are shuffled."""
+    counts = df.select(*_content(df.schema, seed), *also).groupBy(_A, _B, *([_CLASS] if also else [])).agg(F.count(F.lit(1)).alias(_N))
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), _A, _B, F.lit(1)), 11) + 0.5) / F.lit(2.0**53)
+    return counts.withColumn(_FIRST, -F.log(uniform) / F.col(_N))
+
+
+def _uniform(a: int, b: int, k: int) -> float:
+    """Of content hash and occurrence number (splitmix64)."""
+    x = (a ^ (b * 0xD6E8FEB86659FD93) ^ (k * 0x9E3779B97F4A7C15)) & _MASK
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _MASK
+    return (((x ^ (x >> 31)) >> 11) + 0.5) / 2.0**53
+
+
+_MASK = 2**64 - 1
+
+
+def drawn(groups: pd.DataFrame, n: int) -> pd.DataFrame:
+    """How many rows of each group are among the n least keys of all.
+
+    A row's key is exponential. Those of a group come in rising order (the gap
+    after the k-th of m is exponential over m - k), so however large a group is,
+    only keys that are drawn are made.
+    """
+    heap = [(first, a, b, 1, m) for a, b, m, first in zip(*(groups[c].tolist() for c in (_A, _B, _N, _FIRST)))]
+    heapq.heapify(heap)
+    take: dict[tuple[int, int], int] = {}
+    for _ in range(n):
+        if not heap:
+            break
+        key, a, b, k, m = heap[0]
+        take[a, b] = k
+        if k < m:
+            heapq.heapreplace(heap, (key - math.log(_uniform(a, b, k + 1)) / (m - k), a, b, k + 1, m))
+        else:
+            heapq.heappop(heap)
+    return pd.DataFrame([(a, b, k) for (a, b), k in take.items()], columns=[_A, _B, _TAKE])
+
+
+def _rows(df: DataFrame, draws: DataFrame, seed: int) -> DataFrame:
+    """The rows drawn, in the order of a hash of content and occurrence number; draws are bounded by the size of the sample."""
+    held = [f for f in df.schema if kind_of(f.dataType) == OTHER]
+    plain = [quoted(f.name) for f in df.schema if f not in held]
+    hits = df.select("*", *_content(df.schema, seed)).join(F.broadcast(draws), [_A, _B])
+    one = hits.groupBy(_A, _B, _TAKE, *plain)
+    one = one.agg(*[F.first(col(f.name)).alias(f.name) for f in held]) if held else one.agg(F.count(F.lit(1)).alias(_N))
+    copies = one.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col(_TAKE))))
+    # One partition of the bounded sample, so that its order doesn't follow the shuffle.
+    return copies.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(seed), _A, _B, "__k"), _A, _B, "__k").select(*[col(n) for n in df.columns])
 
 
 def target_sample(df: DataFrame, target: str, most: int, n_classes: int | None) -> DataFrame:

@@ -90,6 +90,21 @@ def test_samples(spark):
     assert {r.g: r["count"] for r in stratified_sample(df, "g", 100, 10).groupBy("g").count().collect()} == dict.fromkeys(range(10), 10)
 
 
+def test_samples_keep_the_shares_of_equal_rows(spark):
+    four = spark.range(20_000).selectExpr("case when id < 10000 then 0 when id < 16000 then 1 when id < 19000 then 2 end as a", "cast(id % 2 as int) as b", "array(1) as c").where("a = 0 or b = 1")
+    shares = {(0, 0): 5000, (0, 1): 5000, (1, 1): 3000, (2, 1): 1500, (None, 1): 500}
+    got = {(r.a, r.b): r["count"] for r in exact_sample(four, 3000).groupBy("a", "b").count().collect()}
+    assert sum(got.values()) == 3000
+    for k, n in shares.items():
+        assert abs(got[k] - n / 5) < 110, (k, got)
+    assert exact_sample(four, 3000).collect() == exact_sample(four.repartition(7), 3000).collect()
+    by_class = {(r.a, r.b): r["count"] for r in stratified_sample(four.select("a", "b"), "b", 2000, 2).groupBy("a", "b").count().collect()}
+    assert by_class[0, 0] == 1000 and abs(by_class[0, 1] - 500) < 80 and abs(by_class[1, 1] - 300) < 80 and abs(by_class[None, 1] - 50) < 40
+    # Nulls in different places are different rows; a sample of all has every row.
+    gaps = spark.createDataFrame([(1, None), (None, 1)] * 3, "x int, y int")
+    assert sorted(map(repr, exact_sample(gaps, 10).collect())) == sorted(map(repr, gaps.collect()))
+
+
 def test_remote_uris(monkeypatch):
     assert remote.parse_uri("data/a.csv") is None
     with pytest.raises(ValueError):

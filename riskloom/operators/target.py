@@ -7,6 +7,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -225,17 +226,18 @@ def permutation_importance(spark, sample: pd.DataFrame, target: str, classificat
         pdf["w"] = (len(y) / (np.count_nonzero(counts) * counts[y.astype(int)])).astype(float)
     vectors = VectorAssembler(inputCols=columns, outputCol="features")
     learner = RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="w", seed=seed) if classification else RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed)
-    model = learner.fit(vectors.transform(spark.createDataFrame(pdf)).select("features", "label", *(["w"] if classification else [])))
+    arrow = lambda p: spark.createDataFrame(pa.Table.from_pandas(p, preserve_index=False))
+    model = learner.fit(vectors.transform(arrow(pdf)).select("features", "label", *(["w"] if classification else [])))
     rng = np.random.default_rng(seed)
-    # All shuffled copies are scored in one pass; (features * repeats + 1) bounded samples.
+    # (features * repeats + 1) copies of a bounded sample are scored, some at a time.
     parts = [pdf[columns].assign(label=y, who=-1)]
     for i, c in enumerate(columns):
         for _ in range(repeats):
             parts.append(pdf[columns].assign(**{c: rng.permutation(pdf[c].to_numpy())}, label=y, who=i))
     binary = classification and len(np.unique(y)) == 2
     losses: dict[int, list[float]] = {}
-    for at in range(0, len(parts), 40):
-        chunk = spark.createDataFrame(pd.concat([p.assign(part=at + k) for k, p in enumerate(parts[at : at + 40])], ignore_index=True))
+    for at in range(0, len(parts), 16):
+        chunk = arrow(pd.concat([p.assign(part=at + k) for k, p in enumerate(parts[at : at + 16])], ignore_index=True))
         scored = model.transform(vectors.transform(chunk))
         if binary:
             from pyspark.ml.functions import vector_to_array
@@ -243,7 +245,7 @@ def permutation_importance(spark, sample: pd.DataFrame, target: str, classificat
             scored = scored.withColumn("said", vector_to_array("probability")[int(y.max())])
         else:
             scored = scored.withColumn("said", F.col("prediction"))
-        got = scored.select("part", "who", "label", "said").toPandas()
+        got = scored.select("part", "who", "label", "said").toArrow().to_pandas()
         for (_, who), g in got.groupby(["part", "who"]):
             t, p = g.label.to_numpy(), g.said.to_numpy()
             score = numeric.auc(p, t == y.max()) if binary else numeric.weighted_f1(t.astype(int), p.astype(int), int(y.max()) + 1) if classification else -float(np.abs(t - p).mean())

@@ -429,9 +429,9 @@ def _clusters(spark, sf):
 
 @add("permutation_importance_lineitem")
 def _permutation(spark, sf):
-    df = read(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus")
-    sample, classes = target.sample_frame(df, _stats(df), "l_linestatus", 3000)
-    got = target.permutation_importance(spark, sample, "l_linestatus", classes, trees=20)
+    df = read(spark, sf, "lineitem")
+    sample, classes = target.sample_frame(df, _stats(df), "l_linestatus")
+    got = target.permutation_importance(spark, sample, "l_linestatus", classes)
     return spark.createDataFrame(sorted(got.items()), "feature string, importance double")
 
 
@@ -439,7 +439,7 @@ def _permutation(spark, sf):
 def _profile(spark, sf):
     from .plans.profile import profile
 
-    p = profile(read(spark, sf, "labels"), target="toxic", target_permutation=False, spark=spark)
+    p = profile(read(spark, sf, "labels"), target="toxic", spark=spark)
     return p.findings_frame(spark)
 
 
@@ -448,7 +448,7 @@ def _diff(spark, sf):
     from .plans.profile import profile
 
     df = read(spark, sf, "events").drop("props")
-    a, b = (profile(x, target="event_type", deep_correlations=False, target_permutation=False, spark=spark) for x in (df, df.withColumn("value", F.when(F.col("event_id") % 2 == 0, F.col("value")))))
+    a, b = (profile(x, target="event_type", spark=spark) for x in (df, df.withColumn("value", F.when(F.col("event_id") % 2 == 0, F.col("value")))))
     d = a.diff(b)
     rows = [("appeared", f.kind, f.columns[0]) for f in d.appeared] + [("resolved", f.kind, f.columns[0]) for f in d.resolved]
     return spark.createDataFrame(rows, "change string, kind string, column string")

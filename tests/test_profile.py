@@ -188,3 +188,38 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "bad.toml").write_text("tarjet = 1")
     assert cli.main(["profile", str(data), "--config", str(tmp_path / "bad.toml")]) == 2 and "target" in capsys.readouterr().err
     assert "typer" not in sys.modules
+
+
+def test_registered_queries_ask_for_the_operators_own_defaults(spark, tmp_path, monkeypatch):
+    from riskloom import queries
+    from riskloom.operators import target
+    from riskloom.plans import profile as plans
+
+    rng = np.random.default_rng(1)
+    frame = pd.DataFrame({f"l_{c}": rng.normal(size=4000) for c in "abcdef"} | {"l_returnflag": rng.choice(["A", "N", "R"], 4000)})
+    frame["l_linestatus"] = np.where(frame.l_f > 0, "O", "F")
+    frame.to_parquet(tmp_path / "lineitem.parquet")
+    seen = {}
+
+    def fake(spark, sample, target, classification, **other):
+        seen["rows"], seen["columns"], seen["other"] = len(sample), set(sample.columns), other
+        return {"l_f": 1.0}
+
+    monkeypatch.setattr(target, "permutation_importance", fake)
+    queries.QUERIES["permutation_importance_lineitem"](spark, str(tmp_path))
+    assert seen == {"rows": 4000, "columns": set(frame.columns), "other": {}}
+    asked = []
+    real = plans.profile
+    monkeypatch.setattr(plans, "profile", lambda data, **k: asked.append(k) or real({"x": [1, 2]}, spark=spark))
+    for name in ("profile_findings_labels", "profile_diff_events"):
+        queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert [set(k) for k in asked] == [{"target", "spark"}] * 3
+
+
+def test_permutation_importance_finds_the_feature(spark):
+    from riskloom.operators.target import permutation_importance
+
+    rng = np.random.default_rng(2)
+    sample = pd.DataFrame({"x": rng.normal(size=300), "noise": rng.normal(size=300)})
+    got = permutation_importance(spark, sample.assign(y=(sample.x > 0).astype(float)), "y", True)
+    assert got["x"] == 1.0 and got["noise"] < 0.3

@@ -15,7 +15,7 @@ from ..functions.kinds import NUMERIC, TEMPORAL
 from ..sources.sampling import temporal_sample
 from .association import codes
 from .columns import ColumnStats, seconds
-from .ranks import with_before
+from .ranks import ks, spearman, total_variation, with_before
 from .target import eligible, task_of
 
 ROWS, TIMES, SAMPLE, EACH_SIDE, FEATURE_ROWS, DRIFT_ROWS = 1000, 10, 50_000, 50, 500, 30
@@ -131,8 +131,8 @@ def _support(y: np.ndarray, test: np.ndarray) -> bool:
     return counts.min() >= 30 if len(counts) == 2 else len(y) >= 30
 
 
-def one_feature(x: np.ndarray, y: np.ndarray | None, order: np.ndarray, late: np.ndarray, shuffled: np.ndarray, x_numeric: bool, classification: bool) -> dict | None:
-    """Figures of one feature over the time-ordered sample; order: seconds."""
+def one_feature(x: np.ndarray, y: np.ndarray | None, late: np.ndarray, shuffled: np.ndarray, classification: bool) -> dict | None:
+    """Power of one feature over the time-ordered sample."""
     seen = ~np.isnan(x)
     if seen.sum() < FEATURE_ROWS:
         return None
@@ -144,26 +144,45 @@ def one_feature(x: np.ndarray, y: np.ndarray | None, order: np.ndarray, late: np
         for name, test in (("pps_random", shuffled[ok]), ("pps_time", late[ok])):
             if test.sum() >= EACH_SIDE and (~test).sum() >= EACH_SIDE and (not classification or _support(t, test)):
                 out[name] = numeric.predictive_power(v, t, classes, test)
-    a, b = x[seen & ~late], x[seen & late]
-    if len(a) >= DRIFT_ROWS and len(b) >= DRIFT_ROWS:
-        if x_numeric:
-            out["drift"] = numeric.ks_distance(a, b)
-        else:
-            levels = np.unique(x[seen])
-            if len(levels) <= LEVELS:
-                share = lambda v: np.array([(v == k).mean() for k in levels])
-                out["drift"] = float(np.abs(share(a) - share(b)).sum() / 2)
-    if x_numeric and seen.sum() >= DRIFT_ROWS:
-        rho = numeric.spearman(x[seen], order[seen], DRIFT_ROWS)
-        out["monotonicity"] = None if rho is None else abs(rho)
+    return out
+
+
+def late_cut(df: DataFrame, time: str) -> int | None:
+    """Microseconds from which rows are late, over all rows; the last time where it alone holds all after 70 %."""
+    per = df.select(F.unix_micros(col(time).cast("timestamp")).alias("us")).where("us is not null").groupBy("us").agg(F.count(F.lit(1)).alias("n"))
+    total = per.agg(F.sum("n").alias("total"))
+    late = F.col("before_n") >= F.floor(F.lit(EARLY) * F.col("total"))
+    return with_before(per, "us", ["n"]).crossJoin(F.broadcast(total)).agg(F.coalesce(F.min(F.when(late, F.col("us"))), F.max("us"))).first()[0]
+
+
+def whole_figures(df: DataFrame, stats: dict[str, ColumnStats], names: list[str], time: str, cut: int | None) -> dict[str, tuple[float | None, float | None]]:
+    """(drift, monotonicity) of each feature over all timed rows."""
+    rows = df.where(col(time).isNotNull())
+    us = F.unix_micros(col(time).cast("timestamp"))
+    late = us >= F.lit(cut)
+    value = {n: number(n) if stats[n].kind == NUMERIC else as_text(df.schema[n]) for n in names}
+    sides = rows.agg(*[F.count(F.when(side, value[n])) for n in names for side in (~late, late)]).first()
+    out = {}
+    for i, n in enumerate(names):
+        before, after = sides[2 * i], sides[2 * i + 1]
+        drift = monotonicity = None
+        if min(before, after) >= DRIFT_ROWS:
+            if stats[n].kind == NUMERIC:
+                drift = ks(rows, value[n], late).first().ks
+            elif (got := total_variation(rows, value[n], late).first()).levels <= LEVELS:
+                drift = got.tv
+        if stats[n].kind == NUMERIC and before + after >= DRIFT_ROWS:
+            rho = spearman(rows, value[n], us).first().rho
+            monotonicity = None if rho is None else abs(rho)
+        out[n] = (drift, monotonicity)
     return out
 
 
 _FIGURES = ("pps_random", "pps_time", "drift", "monotonicity")
 
 
-def temporal_figures(df: DataFrame, stats: dict[str, ColumnStats], time: str, target: str | None, most: int = SAMPLE) -> tuple[DataFrame, pd.DataFrame]:
-    """(feature, figures) over one bounded sample in time order, and that sample."""
+def temporal_figures(df: DataFrame, stats: dict[str, ColumnStats], time: str, target: str | None, most: int = SAMPLE, cut: int | None = None) -> tuple[DataFrame, pd.DataFrame]:
+    """(feature, figures): power over a bounded sample in time order, drift and order over all rows; and that sample."""
     spark = df.sparkSession
     names = [n for n in eligible(stats, target) if n != time]
     wanted = [*names, *([target] if target else [])]
@@ -180,13 +199,15 @@ def temporal_figures(df: DataFrame, stats: dict[str, ColumnStats], time: str, ta
         sample[n] = (codes(v.astype(float)) if n == target and classification and as_number[n] else v.astype(float) if as_number[n] else codes(v)).to_numpy(float)
     data = pd.DataFrame(sample)
     n_rows = len(data)
-    late = np.arange(n_rows) >= int(EARLY * n_rows)
+    cut = late_cut(df, time) if cut is None else cut
+    late = data["\0us"].to_numpy() >= (np.inf if cut is None else cut)
     shuffled = np.zeros(n_rows, bool)
     shuffled[np.random.default_rng(42).permutation(n_rows)[: late.sum()]] = True
     schema = "feature string, " + ", ".join(f"{f} double" for f in _FIGURES)
     if not names:
         return spark.createDataFrame([], schema), data
     shared = spark.sparkContext.broadcast((data, late, shuffled))
+    whole = whole_figures(df, stats, names, time, cut)
 
     def run(batches):
         for batch in batches:
@@ -194,13 +215,20 @@ def temporal_figures(df: DataFrame, stats: dict[str, ColumnStats], time: str, ta
             y = d[target].to_numpy() if target else None
             out = []
             for n in batch.feature:
-                got = one_feature(d[n].to_numpy(), y, d["\0t"].to_numpy(), l_, s, as_number[n], classification)
+                got = one_feature(d[n].to_numpy(), y, l_, s, classification)
                 if got is not None:
-                    out.append((n, *[got.get(f) for f in _FIGURES]))
+                    out.append((n, got.get("pps_random"), got.get("pps_time"), *whole[n]))
             yield pd.DataFrame(out, columns=["feature", *_FIGURES])
 
     asked = spark.createDataFrame([(n,) for n in names], "feature string").repartition(min(len(names), 4 * spark.sparkContext.defaultParallelism))
-    return asked.mapInPandas(run, schema), data
+    found = asked.mapInPandas(run, schema)
+    if len(names) > 1:
+        # A feature too sparse for the shared sample has one of the rows that hold it.
+        for n in names:
+            if stats[n].non_null >= FEATURE_ROWS > data[n].notna().sum():
+                few = {k: stats[k] for k in dict.fromkeys([n, time, *([target] if target else [])])}
+                found = found.unionByName(temporal_figures(df.select(*[col(k) for k in few]).where(as_text(df.schema[n]).isNotNull() & (as_text(df.schema[n]) != "NaN")), few, time, target, most, cut)[0])
+    return found, data
 
 
 def bucket_frame(df: DataFrame, time: str, target: Column | None = None, buckets: int = 10) -> DataFrame:
@@ -285,6 +313,33 @@ def decile_drift(y: np.ndarray, classification: bool) -> tuple[str | None, float
     return "regression_diff", float((high - low) / scale) if scale > 0 else None
 
 
+def target_drift(df: DataFrame, time: str, target: str, classification: bool) -> tuple[str | None, float | None]:
+    """Drift of the target over ten equal parts of all labelled rows in time order; needs 100."""
+    y = as_text(df.schema[target]) if classification else number(target)
+    rows = df.select(col(time), y.alias("y")).where(col(time).isNotNull() & F.col("y").isNotNull())
+    parts = bucket_frame(rows, time).orderBy("bucket").select(F.unix_micros("low").alias("low"), "n_rows").collect()
+    if sum(p.n_rows for p in parts) < 100:
+        return None, None
+    size = {i: p.n_rows for i, p in enumerate(parts)}
+    us = F.unix_micros(col(time).cast("timestamp"))
+    part = F.lit(0)
+    for p in parts[1:]:
+        part = part + (us >= F.lit(p.low)).cast("int")
+    dealt = rows.select(part.alias("part"), "y")
+    if classification:
+        share = [F.coalesce(F.max(F.when(F.col("part") == i, F.col("n"))), F.lit(0)) / F.lit(float(n)) for i, n in size.items()]
+        rates = dealt.groupBy("part", "y").agg(F.count(F.lit(1)).alias("n")).groupBy("y").agg(F.array_max(F.array(*share)).alias("high"), F.array_min(F.array(*share)).alias("low"))
+        levels, spread = rates.agg(F.count(F.lit(1)), F.max(F.col("high") - F.col("low"))).first()
+        return (None, None) if levels < 2 else ("binary" if levels == 2 else "multiclass", float(spread))
+    means = [r.m for r in dealt.groupBy("part").agg(F.avg("y").alias("m")).collect()]
+    low, high = min(means), max(means)
+    if low > 0 or high < 0:
+        return "regression_ratio", float(max(abs(low), abs(high)) / min(abs(low), abs(high)))
+    q1, q3, std = rows.agg(F.percentile("y", 0.25), F.percentile("y", 0.75), F.stddev_pop("y")).first()
+    scale = float(q3 - q1) or float(std)
+    return "regression_diff", float((high - low) / scale) if scale > 0 else None
+
+
 def demote_ingest_order(signals: list[TemporalSignal]) -> None:
     """Where most features just follow the order of arrival, their warnings say little."""
     steady = [s for s in signals if (s.monotonicity or 0) >= 0.95]
@@ -309,14 +364,14 @@ def temporal_report(df: DataFrame, stats: dict[str, ColumnStats], time: str, tar
     if not [n for n in eligible(stats, target) if n != time]:
         report.insufficient = "no feature can be followed over time"
         return report
-    figures, sample = temporal_figures(df, stats, time, target, most)
+    figures, _ = temporal_figures(df, stats, time, target, most)
     for r in figures.collect():
         f = {k: (None if r[k] is None or r[k] != r[k] else r[k]) for k in _FIGURES}
         of = stats[r.feature]
         severity, kind = classify(f["pps_random"], f["pps_time"], f["drift"], f["monotonicity"], of.unique_rate)
         report.signals.append(TemporalSignal(r.feature, **f, severity=severity, leakage_kind=kind))
     if target:
-        kind, score = decile_drift(sample[target].to_numpy(), classification)
+        kind, score = target_drift(df, time, target, classification)
         if kind:
             report.drift_kind, report.drift_score = kind, score
     demote_ingest_order(report.signals)

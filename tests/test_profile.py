@@ -223,3 +223,12 @@ def test_permutation_importance_finds_the_feature(spark):
     sample = pd.DataFrame({"x": rng.normal(size=300), "noise": rng.normal(size=300)})
     got = permutation_importance(spark, sample.assign(y=(sample.x > 0).astype(float)), "y", True)
     assert got["x"] == 1.0 and got["noise"] < 0.3
+
+
+def test_time_figures_come_from_all_rows(spark):
+    # One row in 20 holds the sparse feature: 50 in a sample of 1,000.
+    df = spark.range(12_000).selectExpr("timestamp_seconds(id * 60) as t", "case when id % 20 = 0 then id % 7 + (id div 9000) * 10 end as sparse", "id % 5 as other", "cast(id >= 11000 as int) as y")
+    report = temporal.temporal_report(df, column_stats(df), "t", "y", most=1000)
+    by = {s.feature: s for s in report.signals}
+    assert by["sparse"].drift > 0.8 and by["other"].drift == pytest.approx(0, abs=1e-3)
+    assert report.drift_kind == "binary" and report.drift_score == pytest.approx(1000 / 1200)

@@ -164,6 +164,49 @@ def split_hot(rows: DataFrame, keys: list[str], item: str, most: int) -> DataFra
     )
 
 
+def split_parts(rows: DataFrame, keys: list[str], item: str, most: int) -> DataFrame:
+    """Blocks as by split_hot, but a row meets only its own part of a group: no row is
+    copied, and what different parts share isn't seen. Parts are dealt anew for each
+    key tuple. Adds part_a, part_b, on_a, on_b and cut, whether the group has parts."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    hot = sizes.select(*keys, F.ceil(F.col("_n") / F.lit(float(most))).cast("int").alias("_parts"))
+    dealt = rows.join(hot, keys, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    own = F.pmod(F.xxhash64(item, *keys), F.col("_parts")).cast("int")
+    yes = F.lit(True)
+    return dealt.select(*rows.columns, own.alias("part_a"), own.alias("part_b"), yes.alias("on_a"), yes.alias("on_b"), (F.col("_parts") > 1).alias("cut"))
+
+
+def deal_apart(rows: DataFrame, keys: list[str], component: str, item: str, most: int) -> DataFrame:
+    """Blocks as by split_hot, but only members of different components need to meet.
+
+    In a group of more than `most` rows a component of more than `most` rows has
+    parts of its own, which don't meet each other; the rest is dealt by hash. So
+    one large component costs a row a member and part of the rest, not its square.
+    """
+    sizes = rows.groupBy(*keys, component).agg(F.count(F.lit(1)).alias("_n"))
+    parts = lambda n: F.ceil(n / F.lit(float(most))).cast("int")
+    large = F.col("_n") > most
+    groups = sizes.groupBy(*keys).agg(
+        F.sum("_n").alias("_all"),
+        parts(F.sum(F.when(~large, F.col("_n")).otherwise(0))).alias("_rest"),
+        F.collect_list(F.when(large, F.struct(F.col(component).alias("c"), parts(F.col("_n")).alias("k")))).alias("_large"),
+    )
+    hot = groups.where(F.col("_all") > most).drop("_all")
+    dealt = rows.join(hot, keys, "left").withColumn("_at", F.coalesce(F.expr(f"array_position(transform(_large, x -> x.c), {component})"), F.lit(0)).cast("int"))
+    dealt = dealt.withColumn("_from", F.expr("if(_at = 0, 0, _rest + aggregate(slice(_large, 1, _at - 1), 0, (a, x) -> a + x.k))"))
+    dealt = dealt.withColumn("_own_parts", F.expr("if(_at = 0, greatest(coalesce(_rest, 1), 1), _large[_at - 1].k)"))
+    dealt = dealt.withColumn("_total", F.expr("greatest(coalesce(_rest + aggregate(_large, 0, (a, x) -> a + x.k), 1), 1)"))
+    dealt = dealt.withColumn("_own", F.expr(f"_from + cast(pmod(xxhash64({item}, 7), _own_parts) as int)"))
+    dealt = dealt.withColumn("_with", F.explode(F.expr("filter(sequence(0, _total - 1), p -> _at = 0 or p < _from or p >= _from + _own_parts)")))
+    return dealt.select(
+        *rows.columns,
+        F.least("_own", "_with").alias("part_a"),
+        F.greatest("_own", "_with").alias("part_b"),
+        (F.col("_own") <= F.col("_with")).alias("on_a"),
+        (F.col("_own") >= F.col("_with")).alias("on_b"),
+    )
+
+
 def in_blocks(batches: Iterator[pa.RecordBatch], keys: list[str], at_least: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Consecutive rows of sorted batches, cut only where the keys change and
     after at_least rows; with the number of each row's block."""

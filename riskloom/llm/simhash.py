@@ -83,18 +83,21 @@ def bands_for(n: int, radius: int) -> list[tuple[int, ...]]:
 
 class Forest:
     """BK-trees of several shards at once, in arrays: node i is print i; the child
-    of a node at distance d is found by the key node * 65 + d."""
+    of a node at distance d is found by the key node * span + d. A print is one
+    word of 64 bits, or a row of several."""
 
     def __init__(self, prints: np.ndarray, shard: np.ndarray):
         """shard: a number for each print, consecutive from 0, in ascending order."""
         self.prints = prints
+        self.bits = 64 if prints.ndim == 1 else 64 * prints.shape[1]
+        self.span = self.bits + 1
         n = len(prints)
         self.root = np.searchsorted(shard, np.arange(shard[-1] + 1 if n else 0))
         at = self.root[shard] if n else np.empty(0, np.int64)
         left = np.flatnonzero(at != np.arange(n))
         keys, kids = [], []
         while len(left):
-            key = at[left] * 65 + np.bitwise_count(prints[left] ^ prints[at[left]])
+            key = at[left] * self.span + apart(prints[left], prints[at[left]])
             first, where = np.unique(key, return_index=True)
             keys.append(first)
             kids.append(left[where])
@@ -105,21 +108,27 @@ class Forest:
         order = np.argsort(self.keys)
         self.keys, self.kids = self.keys[order], self.kids[order]
 
-    def within(self, asked: np.ndarray, shard: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, node) of prints within the radius, level by level of the trees."""
+    def within(self, asked: np.ndarray, shard: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, node, distance) of prints within the radius, level by level of the trees."""
         query, node = np.arange(len(asked)), self.root[shard]
         while len(query):
-            d = np.bitwise_count(asked[query] ^ self.prints[node]).astype(np.int64)
+            d = apart(asked[query], self.prints[node])
             near = d <= radius
-            yield query[near], node[near]
-            low = np.searchsorted(self.keys, node * 65 + np.maximum(d - radius, 0))
-            high = np.searchsorted(self.keys, node * 65 + np.minimum(d + radius, 64), "right")
+            yield query[near], node[near], d[near]
+            low = np.searchsorted(self.keys, node * self.span + np.maximum(d - radius, 0))
+            high = np.searchsorted(self.keys, node * self.span + np.minimum(d + radius, self.bits), "right")
             size = high - low
             query = np.repeat(query, size)
             ends = np.cumsum(size)
             node = self.kids[np.arange(ends[-1]) + np.repeat(low - (ends - size), size)] if len(size) else node[:0]
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of prints of one word, or of rows of several."""
+    d = np.bitwise_count(a ^ b)
+    return d.astype(np.int64) if d.ndim == 1 else d.sum(1, dtype=np.int64)
+
+
 def forest_links(fp: np.ndarray, node: np.ndarray, block: np.ndarray, on_a: np.ndarray, on_b: np.ndarray, radius: int, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, node) of a spanning forest of the links in each block. block: ascending numbers."""
     a, b = np.flatnonzero(on_a), np.flatnonzero(on_b)
@@ -131,7 +140,7 @@ def forest_links(fp: np.ndarray, node: np.ndarray, block: np.ndarray, on_a: np.n
     parent = np.arange(len(fp))
     for i in range(0, len(b), step):
         q = b[i : i + step]
-        for query, hit in tree.within(prints[q], of_b[i : i + step], radius):
+        for query, hit, _ in tree.within(prints[q], of_b[i : i + step], radius):
             unite(parent, q[query], a[hit])
     moved = np.flatnonzero(parent != np.arange(len(parent)))
     return node[moved], node[parent[moved]]

@@ -53,6 +53,49 @@ def test_groups_of_near_copies(spark, sf, monkeypatch):
     assert kept == {k for k, v in want.items() if k == v} | {20_000, 20_001, None}
 
 
+def test_recall_of_pairs_at_the_threshold(spark, sf, monkeypatch):
+    """Pairs alone in their group, with an overlap of 0.8 to 0.83; also in tiny sets, and with shards cut in parts."""
+    monkeypatch.setattr(overlap, "SHARD", 64)
+    monkeypatch.setattr(overlap, "PER_SHARD", 16)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    docs = []
+    for i in range(300):
+        n = rng.choice([8, 9, 30, 100, 400])
+        base = rng.choices(words, k=n)
+        # Words put at the end: n - 4 shingles of n - 4 + more stay common.
+        more = int((n - 4) / 0.8 + 1e-9) - (n - 4)
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + rng.choices(words, k=more)))]
+    got = {r.id: r.component for r in overlap.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = slow_groups(docs)
+    pairs = [k for k in want if want[k] != k]
+    assert len(pairs) > 250
+    assert sum(got[k] == want[k] for k in pairs) >= 0.96 * len(pairs)
+    assert all(got[k] in (k, want[k]) for k in want)
+
+
+def test_large_family_costs_rows_in_proportion(spark, monkeypatch):
+    """A component that fills a shard meets the rest, not itself."""
+    from riskloom.llm.common import deal_apart
+
+    rows = spark.range(1000).selectExpr("id as node", "0 as band", "if(id < 900, 1L, id) as component")
+    dealt = deal_apart(rows, ["band"], "component", "node", 50).toPandas()
+    assert (dealt.node < 900).sum() == 900 * 2 and len(dealt) < 900 * 2 + 100 * 21
+    blocks = {k: set(g.node) for k, g in dealt.groupby(["part_a", "part_b"])}
+    met = {(a, b) for nodes in blocks.values() for a in nodes for b in nodes if a < b and b >= 900}
+    assert len(met) == 900 * 100 + 100 * 99 // 2
+
+
+def test_near_copies_of_rows_that_repeat_a_key(spark):
+    words = [f"w{i}" for i in range(200)]
+    a, b = " ".join(words[:60]), " ".join(words[60:130])
+    docs = [(3, a), (5, a + " end"), (5, b), (5, b), (7, b + " end"), (9, None), (9, None)]
+    df = spark.createDataFrame([(k, t, "x") for k, t in docs], "doc_id long, text string, id string")
+    kept = sorted((r.doc_id, r.text or "") for r in overlap.keep_one(df).collect())
+    assert kept == [(3, a), (5, b), (9, ""), (9, "")]
+    assert overlap.keep_one(df.limit(0)).count() == 0 and overlap.keep_one(df).columns == df.columns
+
+
 def test_lines_against_brute_force(spark):
     docs = [(i, f"Menu\nText number {i} alone\n  Menu \n\nEnd {i % 2}", "a", "x" if i < 40 else None) for i in range(60)]
     docs += [(100 + i, f"Menu\nrare {i}", "b", "y") for i in range(4)] + [(200, None, "a", "x"), (201, "", "a", "x"), (200, None, "a", "x"), (None, "Menu\nno key", "a", "x")]

@@ -1,10 +1,13 @@
 """Main-text extraction from HTML by minimum cut.
 
-A page becomes a sequence of text blocks. A linear classifier over the markup
-around a block, its links and its length gives the costs of calling it content or
-boilerplate (terminal capacities); neighbours in page order and blocks of one
-container are tied by smoothness edges that weaken with DOM distance. The
-minimum cut is the cheapest labelling.
+A page becomes a sequence of text blocks. A logistic classifier over length,
+links, kind and neighbours of a block, fitted on blocks that the markup of some
+pages labels (article and main against nav, footer and the like), gives the costs
+of calling it content or boilerplate: terminal capacities. Names of elements and
+classes are not among its features. They label containers, which are nodes of the
+graph too, tied to the blocks inside. Blocks are tied to their neighbours in page
+order and to blocks of the same parent, the weaker the farther apart in the DOM.
+The minimum cut is the cheapest labelling of all.
 """
 
 from __future__ import annotations
@@ -12,9 +15,11 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections import deque
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +29,8 @@ from .common import append_columns, texts
 
 # Element names of the HTML standard, by their part in the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("head script style template noscript iframe object svg math canvas audio video textarea select option datalist button title".split())
-RAW = frozenset("script style textarea title noscript iframe template".split())
+SILENT = frozenset("head script style template iframe svg textarea datalist button title".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
@@ -46,11 +51,18 @@ AROUND_NAMES = frozenset(
 ARTICLE_TAGS = frozenset("article main".split())
 ARTICLE_NAMES = frozenset("article articlebody content entry post story main text prose maincontent storybody".split())
 
-# The linear classifier: log-odds of content.
-BIAS, IN_ARTICLE, NAMED_ARTICLE, AROUND, OWN_HEADER = 0.2, 3.0, 1.2, -9.0, -0.5
-PER_LOG_LENGTH, LINKED, HEADING, LIST_ITEM, NO_STOP = 0.5, -3.0, 1.0, -0.4, -0.4
-#: Smoothness: of blocks that follow each other, and of those that follow each other in one container.
-NEXT, SAME = 0.6, 0.5
+#: Features of a block, and weights (log-odds of content) for tables without labelled blocks.
+FEATURES = ("one", "log_length", "linked", "heading", "list_item", "table_cell", "no_stop", "log_before", "linked_before", "log_after", "linked_after")
+DEFAULT_WEIGHTS = (0.2, 0.6, -3.0, 1.0, -0.4, -0.4, -0.4, 0.2, -0.5, 0.2, -0.5)
+#: The bound of what is fitted on: pages, and blocks of a page.
+SAMPLE_PAGES, SAMPLE_BLOCKS = 2000, 40
+#: Log-odds of a block are cut off here, so that the ties to a labelled container outweigh them.
+SURE = 4.0
+#: Log-odds of a container: named as article or around one; of a weaker name.
+HARD, SOFT = 1000.0, 4.0
+#: Ties of a block with its labelled container, of such a container with the next outer one,
+#: of blocks that follow each other, and of those that follow each other in one parent.
+INSIDE, INSIDE_SOFT, NESTED, NEXT, SAME = 6.0, 1.5, 0.5, 1.5, 0.7
 
 _MARK = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S
@@ -74,6 +86,8 @@ class Node:
     link: bool = False
     heading: bool = False
     box: Node | None = None
+    hub: Node | None = None
+    odds: float = 0.0
 
 
 @dataclass(slots=True)
@@ -116,14 +130,39 @@ def _element(tag: str, attrs: str, parent: Node | None) -> Node:
     return node
 
 
+class _Open:
+    """The open elements, with the places of each tag and of block elements among them, so that none is searched for."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.blocks = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost open element of that tag, or 0."""
+        places = self.at.get(tag)
+        return places[-1] if places else 0
+
+    def pop_to(self, place: int) -> None:
+        while len(self.stack) > place:
+            tag = self.stack.pop().tag
+            self.at[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order: text between the tags of block elements, with white space as single spaces."""
     root = Node("#", None, 0)
     root.box = root
-    stack, found = [root], []
+    open_, found, made = _Open(root), [], [root]
+    stack = open_.stack
     parts: list[str] = []
     linked, heading, owner = 0, False, None
-    lost, raw = 0, ""
 
     def end() -> None:
         nonlocal linked, heading, owner
@@ -146,14 +185,8 @@ def blocks(page: str) -> list[Block]:
             linked += len(text.strip())
         parts.append(text)
 
-    def pop_to(at: int) -> None:
-        del stack[at:]
-
-    for m in _MARK.finditer(page):
-        if raw:
-            if not ((m[1] or m[4]) and (m[2] or m[5] or "").lower() == raw):
-                continue
-            raw, lost = "", m.start()
+    lost = 0
+    while m := _MARK.search(page, lost):
         say(page[lost : m.start()])
         lost = m.end()
         tag = (m[2] or m[5] or "").lower()
@@ -164,67 +197,140 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK:
             end()
         if m[1] or m[4]:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if at:
-                pop_to(at)
+            if at := open_.last(tag):
+                open_.pop_to(at)
             elif tag == "p":
                 end()
             continue
         if tag == "br":
             parts.append(" ")
             continue
+        if tag in RAW:
+            # Its content is text up to its own end tag, whatever it looks like.
+            closing = _raw_end(tag).search(page, lost)
+            lost = closing.end() if closing else len(page)
+            continue
         if tag in VOID:
             continue
-        if tag in BLOCK and tag != "body" and tag != "html":
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in BLOCK), 0)
-            if stack[at].tag == "p":
-                pop_to(at)
+        if tag in BLOCK and tag != "body" and tag != "html" and open_.blocks and stack[open_.blocks[-1]].tag == "p":
+            open_.pop_to(open_.blocks[-1])
         if tag in ENDS:
             closes, limits = ENDS[tag]
-            at = len(stack) - 1
-            first = 0
-            while at > 0 and stack[at].tag not in limits:
-                if stack[at].tag in closes:
-                    first = at
-                at -= 1
+            limit = max(open_.last(t) for t in limits)
+            first = [places[k] for t in closes if (places := open_.at.get(t)) and (k := bisect_right(places, limit)) < len(places)]
             if first:
-                pop_to(first)
-        if tag == "body":
-            at = next((i for i in range(1, len(stack)) if stack[i].tag == "head"), 0)
-            if at:
-                pop_to(at)
+                open_.pop_to(min(first))
+        if tag == "body" and (at := open_.last("head")):
+            open_.pop_to(at)
         attrs = m[3] or m[6] or ""
-        if attrs.endswith("/") and tag not in BLOCK and tag not in RAW:
+        if attrs.endswith("/") and tag not in BLOCK:
             continue
-        stack.append(_element(tag, attrs, stack[-1]))
-        if tag in RAW:
-            raw = tag
-    if not raw:
-        say(page[lost:])
+        node = _element(tag, attrs, stack[-1])
+        made.append(node)
+        open_.push(node)
+    say(page[lost:])
     end()
+    _label_containers(made)
     return found
 
 
-def _odds(block: Block) -> float:
-    article = named = around = header = False
-    node: Node | None = block.node
-    while node is not None:
-        # A name of what surrounds articles means nothing on what holds one.
-        around |= node.always or node.around and not node.holds_article
-        header |= node.tag == "header" and not article and not node.holds_article
-        article |= node.article
-        named |= node.named
-        node = node.parent
-    site_header = header and not (article and not around)
-    x = BIAS + PER_LOG_LENGTH * (math.log1p(block.size) - 3)
-    x += LINKED * min(1.0, block.linked / block.size) + HEADING * block.heading
-    x += LIST_ITEM * (block.node.tag == "li") + NO_STOP * (block.text[-1] not in ".!?:;\"'”’»…。！？" and not block.heading)
-    x += IN_ARTICLE * article + NAMED_ARTICLE * (named and not article)
-    return x + AROUND * (around or site_header) + OWN_HEADER * (header and not site_header)
+def _raw_end(tag: str, seen: dict[str, re.Pattern] = {}) -> re.Pattern:  # noqa: B006
+    if tag not in seen:
+        seen[tag] = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I)
+    return seen[tag]
+
+
+def _label_containers(made: list[Node]) -> None:
+    """For each element the innermost labelled container it lies in; made: parents before children.
+
+    What surrounds articles stays so whatever lies in it; its name means nothing on what holds an article.
+    """
+    inside: dict[int, bool] = {}
+    for node in made:
+        up = node.parent
+        node.hub = up.hub if up is not None else None
+        in_article = up is not None and inside[id(up)]
+        inside[id(node)] = in_article or node.article
+        if node.hub is not None and node.hub.odds < 0:
+            continue
+        around = node.always or node.around and not node.holds_article
+        around |= node.tag == "header" and not in_article and not node.holds_article
+        odds = -HARD if around else SOFT if node.named and not node.article or node.tag == "main" and node.holds_article else HARD if node.article else 0.0
+        # A label that says no more than the one around it makes no node: chains of containers stay short.
+        if odds < 0 or odds > (node.hub.odds if node.hub is not None else 0.0):
+            node.odds, node.hub = odds, node
+
+
+def features(found: list[Block]) -> np.ndarray:
+    """(blocks, features), in the order of FEATURES. No names of elements or classes but of the block's own kind."""
+    n = len(found)
+    size = np.array([b.size for b in found], float)
+    long = np.log1p(size) - 3
+    link = np.minimum(1.0, np.array([b.linked for b in found]) / size)
+    tag = [b.node.tag for b in found]
+    heading = np.array([b.heading for b in found])
+    stop = np.array([b.text[-1] in ".!?:;\"'”’»…。！？" for b in found])
+    out = np.zeros((n, len(FEATURES)))
+    out[:, 0], out[:, 1], out[:, 2], out[:, 3] = 1, long, link, heading
+    out[:, 4], out[:, 5] = [t in ("li", "dt", "dd") for t in tag], [t in ("td", "th") for t in tag]
+    out[:, 6] = ~stop & ~heading
+    out[1:, 7], out[1:, 8], out[:-1, 9], out[:-1, 10] = long[:-1], link[:-1], long[1:], link[1:]
+    return out
+
+
+def own_odds(found: list[Block], weights=DEFAULT_WEIGHTS) -> np.ndarray:
+    return np.clip(features(found) @ np.asarray(weights), -SURE, SURE)
+
+
+def weak_labels(found: list[Block]) -> np.ndarray:
+    """1 in what is marked as article, -1 in what is marked as around one, else 0."""
+    return np.array([0 if b.node.hub is None or abs(b.node.hub.odds) < HARD else int(np.sign(b.node.hub.odds)) for b in found])
+
+
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 12) -> np.ndarray:
+    """Logistic regression by Newton steps, both classes of the same weight, drawn to the default
+    weights (ridge a block), which layouts that all look alike would else push too far; the default weights where a class has fewer than 30 blocks."""
+    if min((y > 0).sum(), (y < 0).sum()) < 30:
+        return np.array(DEFAULT_WEIGHTS)
+    each = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum()) * len(y)
+    start = np.array(DEFAULT_WEIGHTS)
+    w, ridge = start.copy(), ridge * len(y)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (each * ((y > 0) - p)) - ridge * (w - start)
+        w = w + np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), slope)
+    return w
+
+
+def learn(pages: DataFrame, page: str = "html", sample: int = SAMPLE_PAGES) -> np.ndarray:
+    """Weights fitted on the labelled blocks of at most `sample` different pages, chosen by hash of their content."""
+    total = pages.count()
+    share = min(1.0, 2 * sample / max(total, 1))
+    some = pages.select(F.xxhash64(page).alias("h"), F.col(page).alias("html")).where(F.expr(f"html is not null and pmod(h, {1 << 31}) < {math.ceil(share * (1 << 31))}"))
+    few = some.groupBy("h").agg(F.first("html").alias("html")).orderBy("h").limit(sample)
+
+    def rows(batches):
+        for b in batches:
+            got = []
+            for t in texts(b, "html"):
+                found = blocks(t.decode())
+                if found:
+                    x, y = features(found), weak_labels(found)
+                    at = np.flatnonzero(y)
+                    at = at[np.unique(np.linspace(0, len(at) - 1, min(SAMPLE_BLOCKS, len(at))).astype(int))] if len(at) else at
+                    got.append(np.c_[y[at], x[at]])
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(list(np.concatenate(got)), pa.list_(pa.float64()))], ["row"])
+
+    found = few.mapInArrow(rows, "row array<double>").collect()
+    if not found:
+        return np.array(DEFAULT_WEIGHTS)
+    table = np.array(sorted(r.row for r in found))
+    return fit(table[:, 1:], table[:, 0])
 
 
 def ties(found: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness edges (i, j, weight)."""
+    """Smoothness edges (i, j, weight) between blocks."""
     out, last = [], {}
     for j, b in enumerate(found):
         if j:
@@ -237,14 +343,32 @@ def ties(found: list[Block]) -> list[tuple[int, int, float]]:
                 steps += 1
             out.append((j - 1, j, NEXT / (1 + steps)))
         box = id(b.node.parent) if b.node.parent is not None else 0
-        if box in last and last[box] != j - 1:
+        if box in last:
             out.append((last[box], j, SAME))
-        elif box in last:
-            out.append((j - 1, j, SAME))
         last[box] = j
     return out
 
 
+def graph(found: list[Block], weights=DEFAULT_WEIGHTS) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """(odds, edges) of the blocks and, after them, of the labelled containers they lie in."""
+    odds, edges = own_odds(found, weights).tolist(), ties(found)
+    at: dict[int, int] = {}
+
+    def place(hub: Node) -> int:
+        if id(hub) not in at:
+            at[id(hub)] = len(odds)
+            odds.append(hub.odds)
+            outer = hub.parent.hub if hub.parent is not None else None
+            if outer is not None:
+                edges.append((at[id(hub)], place(outer), NESTED))
+        return at[id(hub)]
+
+    for i, b in enumerate(found):
+        if (hub := b.node.hub) is not None:
+            edges.append((i, place(hub), INSIDE if abs(hub.odds) >= HARD else INSIDE_SOFT))
+    return odds, edges
+
+
 def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Labels (True: source side) of least cost: max(0, -odds) for True, max(0, odds) for False, the weight for an edge cut.
 
@@ -341,22 +465,24 @@ def _flow(pull: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
             a = to[e]
 
 
-def main_text(page: str) -> str:
+def main_text(page: str, weights=DEFAULT_WEIGHTS) -> str:
     """Content blocks joined by an empty line; empty if there are none."""
     found = blocks(page)
     if not found:
         return ""
-    content = minimum_cut([_odds(b) for b in found], ties(found))
+    content = minimum_cut(*graph(found, weights))
     return "\n\n".join(b.text for b, c in zip(found, content) if c)
 
 
-def extract(pages: DataFrame, page: str = "html", keep: list[str] | None = None) -> DataFrame:
+def extract(pages: DataFrame, page: str = "html", keep: list[str] | None = None, weights=None) -> DataFrame:
     """pages with text and n_chars (code points). Null and empty pages, and pages without content, give an empty text.
-    Rows are independent; input columns named like a result are replaced."""
+    Rows are independent but for the weights, fitted on some of these pages where none are given; input columns named
+    like a result are replaced."""
+    weights = np.asarray(learn(pages, page) if weights is None else weights)
 
     def make():
         def fn(batch: pa.RecordBatch) -> list[pa.Array]:
-            out = [main_text(t.decode()) for t in texts(batch, page)]
+            out = [main_text(t.decode(), weights) for t in texts(batch, page)]
             return [pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())]
 
         return fn

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 from riskloom.llm import extract as x
 
@@ -64,3 +65,70 @@ def test_odd_pages(spark):
     assert by[1].text == by[2].text == by[None].text == "" and by[3].text.startswith("plain text")
     assert by[5].text.startswith("Deep") and by[6].text.count("\n\n") == 4999 and by[6].n_chars == len(by[6].text)
     assert x.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_raw_text_ends_at_its_own_tag():
+    article = "<article><p>The text of the article is here.</p></article>"
+    for head in (
+        "<script>for(i=0;i<n;i++){}</script>",
+        "<script>if(a<b){s='it'}</script>",
+        "<script>if(a<!--b){}</script>",
+        "<title>a < b and c<d</title>",
+        '<style>a{content:"</p>"}</STYLE >',
+    ):
+        assert x.main_text(head + article) == "The text of the article is here.", head
+    assert x.main_text("<article><p>Kept.</p><script>var a = 1") == "Kept."
+
+
+def test_what_an_article_shows_stays():
+    page = "<article><p>Sum <math><mi>x</mi></math>.</p><noscript>Without scripts.</noscript><canvas>Drawn.</canvas><select><option>One</option></select></article>"
+    assert x.main_text(page) == "Sum x.\n\nWithout scripts.Drawn.One"
+
+
+def test_malformed_markup_takes_linear_time():
+    began = time.process_time()
+    for page in ("<i>" * 20_000 + "</b>" * 20_000, "<i>word word.</b><div>" * 20_000, "<section class=content><div>" * 20_000 + "<p>x", "<ul><li>" * 20_000 + "<td>" * 20_000):
+        x.main_text(page)
+    assert time.process_time() - began < 20
+
+
+def marked_page(rng):
+    """A page of plain divs without telling names: (html, texts of the article)."""
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "word", "of", "and"]) for _ in range(n))
+    links = lambda n: "".join(f"<div><a href=#>{words(rng.randint(1, 3))}</a></div>" for _ in range(n))
+    own = [words(rng.randint(4, 9))] + [f"{words(rng.choice([2, 6, 30, 60]))}{rng.choice(['.', '.', '.', ''])}" for _ in range(rng.randint(4, 12))]
+    body = f"<h1>{own[0]}</h1>" + "".join(f"<p>{t}</p>" for t in own[1:])
+    around = f"<div>{links(rng.randint(3, 8))}<div>{words(rng.randint(3, 12))}</div></div>"
+    after = f"<div><div>{words(rng.randint(2, 8))}</div>{links(rng.randint(2, 6))}<div>{words(4)}</div></div>"
+    return f"<body>{around}<div><div>{body}</div></div>{after}</body>", own
+
+
+def test_cut_betters_the_signs_of_the_costs():
+    rng = random.Random(3)
+    hits = {"cut": [0, 0, 0], "signs": [0, 0, 0]}
+    for _ in range(150):
+        page, own = marked_page(rng)
+        found = x.blocks(page)
+        odds, edges = x.graph(found)
+        labels = {"cut": x.minimum_cut(odds, edges)[: len(found)], "signs": [o > 0 for o in odds[: len(found)]]}
+        for name, label in labels.items():
+            got = [b.text for b, c in zip(found, label) if c]
+            hits[name][0] += sum(t in own for t in got)
+            hits[name][1] += len(got)
+            hits[name][2] += len(own)
+    precision, recall = {k: v[0] / v[1] for k, v in hits.items()}, {k: v[0] / v[2] for k, v in hits.items()}
+    print(precision, recall)
+    assert precision["cut"] > 0.9 and recall["cut"] > 0.95 and recall["cut"] > recall["signs"] + 0.05
+
+
+def test_fitted_weights(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    w = x.learn(pages)
+    at = dict(zip(x.FEATURES, w))
+    assert at["linked"] < -1 and at["log_length"] > 0 and list(x.learn(pages.limit(0))) == list(x.DEFAULT_WEIGHTS)
+    got = {r.page_id: r.text for r in x.extract(pages, weights=w).collect()}
+    for r in pages.collect():
+        # Every page of the table has one article: exactly its blocks are the text.
+        start = r.html.index("<article")
+        want = x.blocks(r.html[start : r.html.index("</article>", start)])
+        assert got[r.page_id] == "\n\n".join(b.text for b in want)

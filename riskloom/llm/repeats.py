@@ -24,6 +24,7 @@ repeat, or whose repeats are known already, never enters it.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,15 +42,18 @@ PIECE = 1 << 20
 _LOW = np.uint64((1 << 22) - 1)
 
 
-def gram_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the K and of the 64 bytes from each place on, as long as they fit; built by doubling."""
-    table = np.random.default_rng(4).integers(0, 2**64, 256, dtype=np.uint64)
-    odd = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93]
+def gram_hashes(text: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the K and of the 64 bytes from each place on, as long as they fit; built by doubling.
+    Byte values and multipliers are drawn from the seed."""
+    rng = np.random.default_rng(seed)
+    table = rng.integers(0, 2**64, 256, dtype=np.uint64)
+    odd = rng.integers(0, 2**64, 6, dtype=np.uint64) | np.uint64(1)
 
     def join(a: np.ndarray, b: np.ndarray, step: int, k: int) -> np.ndarray:
         """Hash of `step` bytes hashed in a, and then those hashed in b."""
         n = max(0, len(b) - step)
-        h = a[:n] * np.uint64(odd[k]) + b[step : step + n]
+        h = a[:n] * odd[k]
+        h += b[step : step + n]
         h ^= h >> np.uint64(29)
         return h
 
@@ -58,21 +62,22 @@ def gram_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = join(h, h, 1 << k, k)
     h16 = join(h, h, 8, 3)
     h32 = join(h16, h16, 16, 4)
-    return mix64(join(h32, h, 32, 5)), mix64(join(h32, h32, 32, 5))
+    return mix64(join(h32, h, 32, 5)), join(h32, h32, 32, 5)
 
 
-def segments(text: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+def segments(text: np.ndarray, first: np.ndarray, last: np.ndarray, seeds: tuple[int, int]) -> tuple[np.ndarray, ...]:
     """Anchored segments of joined pieces of text.
 
     first, last: the first place of each piece and the end of its window starts.
     Returns (start, end) of the window starts of each segment, the offset of its
-    anchor, the hash of the anchor and that of all its bytes with the offset.
+    anchor, the hash of the anchor and two of all its bytes with the offset, which
+    have nothing in common but the bytes.
     """
-    grams, h64 = gram_hashes(text)
+    grams, h64 = gram_hashes(text, seeds[0])
     n = len(grams) - SPAN + 1
     none = np.empty(0, np.int64)
     if n <= 0:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64)
     m = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
     for step in (1, 2, 4, 8, 16):
         m = np.minimum(m[: len(m) - step], m[step:])
@@ -94,10 +99,16 @@ def segments(text: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.
     end = ends[np.searchsorted(ends, start, "right")]
     at = anchor[start]
     size = end - 1 - start
-    whole = h64[start] * np.uint64(0x9E3779B97F4A7C15)
-    whole = mix64(whole + h64[start + (size + W - 64) // 2]) * np.uint64(0xC2B2AE3D27D4EB4F)
-    whole = mix64(whole + h64[start + size + W - 64] + (size * 128 + at - start).astype(np.uint64) * np.uint64(0x165667B19E3779F9))
-    return start, end, at - start, grams[at], whole
+    shape = (size * 128 + at - start).astype(np.uint64)
+
+    def whole(h64: np.ndarray, seed: int) -> np.ndarray:
+        odd = np.random.default_rng(seed + 1).integers(0, 2**64, 3, dtype=np.uint64) | np.uint64(1)
+        h = mix64(h64[start]) * odd[0]
+        h = mix64(h + mix64(h64[start + (size + W - 64) // 2])) * odd[1]
+        return mix64(h + mix64(h64[start + size + W - 64]) + shape * odd[2])
+
+    one = whole(h64, seeds[0])
+    return start, end, at - start, grams[at], one, whole(gram_hashes(text, seeds[1])[1], seeds[1])
 
 
 def pieces(ids: list, own: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -122,8 +133,8 @@ def _joined(todo: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     return np.frombuffer(b"".join(p for _, _, p in todo), np.uint8), np.array([i for i, _, _ in todo]), first, first + size - W + 1, np.array([a for _, a, _ in todo]) - first
 
 
-#: One segment: anchor hash, hash of the whole, document, first window start, how many more follow, offset of the anchor.
-SEGMENT = np.dtype([("a", "<u8"), ("h", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("n", "u1"), ("o", "u1")])
+#: One segment: anchor hash, two hashes of the whole, document, first window start, how many more follow, offset of the anchor.
+SEGMENT = np.dtype([("a", "<u8"), ("h", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("n", "u1"), ("o", "u1")])
 RANGE = np.dtype([("doc", "<i8"), ("start", "<i8"), ("n", "<i8")])
 #: An anchor that has more wholes in one task is hot: they are known to be borders,
 #: are dealt by whole instead of by anchor, and one mark goes to the anchor's task.
@@ -136,9 +147,9 @@ NULL_ID = -(1 << 63)
 def earliest(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted by anchor, whole, document and start; which are the first of their
     whole; which repeat it. A row equal to the first in document and start is neither."""
-    s = s[np.lexsort((s["start"], s["doc"], s["h"], s["a"]))]
+    s = s[np.lexsort((s["start"], s["doc"], s["g"], s["h"], s["a"]))]
     new = np.ones(len(s), bool)
-    new[1:] = (s["a"][1:] != s["a"][:-1]) | (s["h"][1:] != s["h"][:-1])
+    new[1:] = (s["a"][1:] != s["a"][:-1]) | (s["h"][1:] != s["h"][:-1]) | (s["g"][1:] != s["g"][:-1])
     head = s[np.flatnonzero(new)][np.cumsum(new) - 1] if len(s) else s
     return s, new, ~new & ((s["doc"] != head["doc"]) | (s["start"] != head["start"]))
 
@@ -349,7 +360,7 @@ def merge(runs: list[tuple[bytes, bytes, bytes, np.ndarray]]) -> np.ndarray:
 RUN, SAMPLE = 150_000, 20_000
 
 
-def _hash_segments(parts: int):
+def _hash_segments(parts: int, seeds: tuple[int, int]):
     """Segments and already known repeats of each task, by the part that decides about them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +380,7 @@ def _hash_segments(parts: int):
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(parts + 1))
             of_range = (mix64(known["doc"].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            rows = [(p, pack_rows(f[order[cut[p] : cut[p + 1]]]), pack_rows(known[of_range == p])) for p in range(parts)]
+            rows = [(p, pack_rows(f[order[cut[p] : cut[p + 1]]]), pack_rows(known[of_range == p])) for p in np.union1d(part, of_range).tolist()]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["part", "segments", "known"])
 
@@ -378,10 +389,10 @@ def _hash_segments(parts: int):
             ids = np.array([NULL_ID if x is None else x for x in b.column(0).to_pylist()], np.int64)
             own = [x or b"" for x in b.column(1).to_pylist()]
             for text, doc, first, last, off in pieces(ids, own):
-                start, end, o, a, h = segments(text, first, last)
+                start, end, o, a, h, g = segments(text, first, last, seeds)
                 piece = np.searchsorted(first, start, "right") - 1
                 s = np.empty(len(start), SEGMENT)
-                s["a"], s["h"], s["doc"], s["start"], s["n"], s["o"] = a, h, ids[doc[piece]], start + off[piece], end - 1 - start, o
+                s["a"], s["h"], s["g"], s["doc"], s["start"], s["n"], s["o"] = a, h, g, ids[doc[piece]], start + off[piece], end - 1 - start, o
                 held.append(s)
                 size += len(s)
                 if size >= HELD:
@@ -490,41 +501,65 @@ def _sample_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["s"])
 
 
+#: Bytes of text behind one part of an exchange, at most: a part is held whole by its task.
+PART = 64 << 20
+
+
 def repeated_bytes(rows: DataFrame) -> DataFrame:
-    """rows: (id long, text binary). (id, start, n): bytes in a string of W bytes that starts earlier as well; ranges of one id may touch or overlap."""
+    """rows: (id long, text binary), ids different. (id, start, n): bytes in a string of W bytes that starts earlier as well; ranges of one id may touch or overlap."""
     spark = rows.sparkSession
-    parts = shuffle_partitions(spark)
-    hashed = rows.where(F.length("text") >= W).mapInArrow(_hash_segments(parts), "part int, segments binary, known binary")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_partitions(spark), -(-total // PART))
+    seeds = (secrets.randbits(60), secrets.randbits(60))  # hash functions of this run: no text can be made to collide
+    hashed = rows.where(F.length("text") >= W).mapInArrow(_hash_segments(parts, seeds), "part int, segments binary, known binary")
     decided = store(hashed.repartitionById(parts, F.col("part")).mapInArrow(_decide_segments, _ROWS), "repeats")
     border = decided.df.where("border is not null")
     windows = border.agg(F.sum(F.col("n") + 1)).first()[0] or 0
     out = decided.df.where("border is null").select("id", "start", "n")
     if not windows:
         return out
-    lists = border.groupBy("id").agg(F.collect_list(F.struct("start", "n", "border")).alias("own"))
-    joined_ = rows.withColumnRenamed("id", "doc").join(lists, F.col("doc").eqNullSafe(F.col("id"))).select("id", "text", "own")
+
+    def with_text(segments_: DataFrame) -> DataFrame:
+        lists = segments_.groupBy("id").agg(F.collect_list(F.struct("start", "n", "border")).alias("own"))
+        return rows.withColumnRenamed("id", "doc").join(lists, F.col("doc").eqNullSafe(F.col("id"))).select("id", "text", "own")
+
     few = max(1, windows // (SAMPLE * 12))
-    some = rows.where(F.expr(f"pmod(xxhash64(id, 13), {few}) = 0")).withColumnRenamed("id", "doc").join(lists.where(F.expr(f"pmod(xxhash64(id, 13), {few}) = 0")), F.col("doc").eqNullSafe(F.col("id"))).select("id", "text", "own")
+    some = with_text(border.where(F.expr(f"pmod(xxhash64(id, start, 13), {few}) = 0")))
     seen = sorted({bytes(r.s) for r in some.mapInArrow(_sample_strings, "s binary").collect()})
     splitters = sorted({seen[len(seen) * i // parts] for i in range(1, parts)}) if seen else []
-    runs = joined_.mapInArrow(_sort_runs(splitters), "part int, shared binary, sizes binary, rest binary, places binary, known binary")
+    runs = with_text(border).mapInArrow(_sort_runs(splitters), "part int, shared binary, sizes binary, rest binary, places binary, known binary")
     merged = store(runs.repartitionById(parts, F.col("part")).mapInArrow(_merge_runs, _ROWS), "repeats-borders")
     return out.unionByName(merged.df.select("id", "start", "n"))
 
 
+def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, key, text) with an id of its own for each row, in the order of keys, null first.
+
+    The key is the id where no key repeats. Otherwise rows are written with a
+    number each, and the numbers put in the order of key and text hash.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    if rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return rows.select(F.col("key").alias("id"), "key", "text")
+    written = store(rows.withColumn("row", F.monotonically_increasing_id()), "repeats-rows").df
+    order = written.select("key", F.xxhash64("text").alias("hash"), "row").orderBy("key", "hash", "row")
+    number = store(order.select("row", F.monotonically_increasing_id().alias("id")), "repeats-numbers").df
+    return written.join(number, "row").select("id", "key", "text")
+
+
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, kept, spans, n_bytes, n_removed, n_spans), one row for each row of docs.
 
     Text as UTF-8 bytes, null as empty. Removed is each byte covered by a W-byte
     string that starts earlier too, in a smaller key or before in the same text,
     judged on the input. kept: the bytes left; spans: the removed runs (start, n),
-    maximal. A null key is smaller than any. Rows that repeat a key are one
-    document: their equal strings don't repeat each other. Texts shorter than W
+    maximal. A null key is smaller than any. Rows that repeat a key are documents
+    of their own, in the order of a hash of their texts. Texts shorter than W
     stay whole; no rows give no rows.
     """
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-    found = repeated_bytes(rows).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("own"))
-    both = rows.withColumnRenamed("id", "doc").join(found, F.col("doc").eqNullSafe(F.col("id")), "left").select("doc", "text", "own")
+    rows = numbered(docs, key, text)
+    found = repeated_bytes(rows.select("id", "text")).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("own"))
+    both = rows.withColumnRenamed("id", "doc").join(found, F.col("doc").eqNullSafe(F.col("id")), "left").select("key", "text", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -543,11 +578,11 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             size = [len(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(kept, pa.binary()), pa.array(spans, kind), pa.array(size, pa.int64()), pa.array([n - len(k) for n, k in zip(size, kept)], pa.int64()), pa.array([len(x) for x in spans], pa.int64())],
-                ["doc", "kept", "spans", "n_bytes", "n_removed", "n_spans"],
+                ["key", "kept", "spans", "n_bytes", "n_removed", "n_spans"],
             )
 
-    out = both.mapInArrow(run, "doc long, kept binary, spans array<struct<start: bigint, n: bigint>>, n_bytes long, n_removed long, n_spans long")
-    return out.withColumnRenamed("doc", key)
+    out = both.mapInArrow(run, "key long, kept binary, spans array<struct<start: bigint, n: bigint>>, n_bytes long, n_removed long, n_spans long")
+    return out.withColumnRenamed("key", key)
 
 
 def digest(spark, sf_dir: str) -> DataFrame:

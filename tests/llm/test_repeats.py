@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from riskloom.llm import repeats as r
 
 
@@ -55,7 +58,8 @@ def test_pieces_of_long_texts_agree(monkeypatch):
     own = [bytes(random.choice(b"abc ") for _ in range(n)) for n in (99, 100, 101, 700, 799, 800, 5000, 0)]
     starts = 0
     for text, doc, first, last, off in r.pieces(list(range(len(own))), own):
-        start, end, o, a, h = r.segments(text, first, last)
+        start, end, o, a, h, g = r.segments(text, first, last, (4, 5))
+        assert len(np.unique(h ^ g)) == len(np.unique(h)) == len(np.unique(g))
         starts += int((end - start).sum())
         assert ((o >= end - 1 - start) & (o < r.SPAN)).all()
         for s, e in zip(start, end):
@@ -83,3 +87,24 @@ def test_empty_and_short(spark):
     assert r.cut_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = r.cut_repeats(spark.createDataFrame([(1, "short"), (2, "short")], "doc_id long, text string")).collect()
     assert all(g.n_removed == 0 and bytes(g.kept) == b"short" for g in got)
+
+
+def test_rows_that_repeat_a_key(spark):
+    """Each row is a document of its own; among equal keys the order is that of a hash of the text."""
+    random.seed(9)
+    text = lambda n: " ".join(str(random.random()) for _ in range(n))
+    common, other = text(20), text(20)
+    rows = [(7, common), (7, common + " end"), (7, "short"), (7, text(30)), (7, common), (None, other), (None, other + text(3)), (None, None), (3, text(5) + other[:200]), (9, other), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_bytes", F.lit("clash"))
+    hashes = [r_.h for r_ in df.select(F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("h")).collect()]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, hashes[i]))
+    want = slow([(at, rows[i][1]) for at, i in enumerate(order)])
+    got = sorted((g.doc_id or -1, bytes(g.kept), g.n_removed, g.n_spans) for g in r.cut_repeats(df).collect())
+    assert got == sorted((rows[i][0] or -1, *want[at]) for at, i in enumerate(order))
+
+
+def test_parts_follow_the_bytes(spark, sf, monkeypatch):
+    monkeypatch.setattr(r, "PART", 20_000)
+    monkeypatch.setattr(r, "SAMPLE", 50)
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(120).collect()]
+    compare(spark, rows)

@@ -55,3 +55,33 @@ def test_components_of_chains_and_stars(spark):
     odd = [(7, None), (None, 8), (9999, 9999), (5, 6), (6, 5)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain + star + odd, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(301)) and got[1399] == 1000 and got[2500] == 2000 and 9999 not in got
+
+
+def test_recall_of_planted_pairs(spark):
+    """Pairs just above the threshold among vectors that are far from all others; production parameters."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((9000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((3000, 64))
+    side -= (side * x[:3000]).sum(1, keepdims=True) * x[:3000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.9501, 0.956, (3000, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, c * x[:3000] + np.sqrt(1 - c * c) * side]))]
+    assert e.shape(len(rows))[0] >= 6
+    got = {r.vec_id: r for r in e.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    found = sum(got[9000 + i].component_id == i and got[i].n_links == 1 for i in range(3000))
+    assert found >= 2995 and sum(r.n_links for r in got.values()) == 2 * found
+
+
+def test_many_lengths_scales_and_repeated_keys(spark):
+    rows = [(n, [float(i % 7 + 1) for i in range(n)]) for n in range(1, 1100)]
+    rows += [(5000 + n, [1e-60 * float(i % 7 + 1) for i in range(n)]) for n in range(2, 1100, 50)]
+    rows += [(1, [5.0, -1.0, 0.5]), (1, [-5.0, 1.0, -0.5]), (1, [5.0, -1.0, 0.5]), (None, [5.0, -1.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as node", "'x' as hash", "2 as id")
+    out = e.near_vectors(df).collect()
+    assert len(out) == len(rows)
+    got = {r.vec_id: r for r in out if r.vec_id not in (1, None)}
+    for n in range(2, 1100, 50):
+        assert got[5000 + n].component_id == n and got[5000 + n].n_links == 1
+    assert sorted((r.n_links, r.component_id) for r in out if r.vec_id == 1) == [(0, 1), (0, 1), (1, 1), (1, 1)]
+    assert [(r.n_links, r.component_id, r.kept) for r in out if r.vec_id is None] == [(0, None, False)]

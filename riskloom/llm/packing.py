@@ -23,7 +23,9 @@ END_ID = 1
 BUCKETS = 256
 DIMENSIONS, BITS = 4, 10
 #: Documents of the sample that sets the ranges, for each range; the bound of what is collected.
-PER_RANGE = 60
+PER_RANGE = 30
+#: Bytes of text of a range, and the number of ranges at most (the ids of larger ones are sorted on disk).
+PART, MOST_PARTS = 256 << 20, 1 << 14
 
 
 def _projection() -> np.ndarray:
@@ -74,9 +76,14 @@ STEP = 256
 _TIE = 23
 
 
+def _of_row(docs: DataFrame, key: str, text: str, seed: int):
+    """A hash that differs between rows even if they are equal."""
+    return F.xxhash64(docs[key], docs[text], F.monotonically_increasing_id(), F.lit(seed))
+
+
 def tokenised(docs: DataFrame, key: str, text: str, path: str, edges: np.ndarray | None = None) -> DataFrame:
-    """(key, place, n) of each document: its curve key with a hash of key below it,
-    so that equal documents spread over ranges too, and its number of ids. With
+    """(key, place, n) of each document: its curve key with a hash of the row below it,
+    so that equal documents spread over ranges too, those of equal or null keys as well, and its number of ids. With
     edges also (part, ids): the range between two edges that place lies in."""
 
     def make():
@@ -102,7 +109,7 @@ def tokenised(docs: DataFrame, key: str, text: str, path: str, edges: np.ndarray
 
     fields = [T.StructField("place", T.LongType()), T.StructField("n", T.LongType())]
     fields += [] if edges is None else [T.StructField("part", T.IntegerType()), T.StructField("ids", T.BinaryType())]
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.expr(f"pmod(xxhash64({key}), {1 << _TIE})").alias("tie"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.pmod(_of_row(docs, key, text, 7), F.lit(1 << _TIE)).alias("tie"))
     return append_columns(rows, make, fields, ["key"])
 
 
@@ -120,10 +127,12 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
     no rows.
     """
     path = path or bpe.default_path()
-    parts = shuffle_partitions(docs.sparkSession)
-    total = docs.count()
-    share = min(1.0, PER_RANGE * parts / max(total, 1))
-    some = docs.where(F.expr(f"pmod(xxhash64({key}, 11), 1000000) < {int(share * 1e6)}")) if share < 1 else docs
+    size = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text)).alias("bytes")).first()
+    parts = max(shuffle_partitions(docs.sparkSession), min(MOST_PARTS, (size.bytes or 0) // PART + 1))
+    # Some twice the sample wanted of any table, so that it is never empty.
+    share = min(1.0, 2 * PER_RANGE * parts / max(size.rows, 1))
+    dice = F.pmod(_of_row(docs, key, text, 11), F.lit(1 << 40))
+    some = docs.withColumn("_dice_", dice).where(F.col("_dice_") < int(share * (1 << 40))) if share < 1 else docs
     order = sorted((r.place, r.n + 1) for r in tokenised(some, key, text, path).select("place", "n").collect())
     weight = np.cumsum([n for _, n in order])
     cuts = [order[min(len(order) - 1, int(np.searchsorted(weight, weight[-1] * i / parts)))][0] for i in range(1, parts)] if order else []

@@ -174,6 +174,8 @@ def training_windows(docs: DataFrame, key: str, text: str, lang: str) -> tuple[l
     chosen = some.withColumn("r", rank).where(F.col("r") <= ROWS_PER_LANGUAGE).select("k").distinct().limit(ROWS)
     rows = docs.where(~held_out(key)).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
     few = rows.join(F.broadcast(chosen), "k").where(F.col("l").isNotNull() & has_letter("t"))  # at most ROWS keys
+    # A key that repeats stands for one row, so that rows are bounded, too.
+    few = few.groupBy("k").agg(F.min(F.struct("l", F.xxhash64("t"), "t")).alias("r")).select("k", "r.l", "r.t")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,7 +198,7 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text", keep: lis
     def make():
         def fn(batch: pa.RecordBatch) -> list[pa.Array]:
             own = texts(batch, text)
-            letter = batch.column(batch.schema.get_field_index("_letter")).to_numpy(zero_copy_only=False)
+            letter = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             pred, score = np.full(len(own), UNKNOWN, object), np.zeros(len(own))
             some = np.flatnonzero(letter)
             if net is not None and len(some):
@@ -210,7 +212,9 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text", keep: lis
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     keep = docs.columns if keep is None else keep
-    return append_columns(docs.withColumn("_letter", has_letter(text)), make, fields, keep)
+    names = set(docs.columns)
+    free = next(n for i in range(len(names) + 1) if (n := f"_letter{i}") not in names)
+    return append_columns(docs.select("*", has_letter(text).alias(free)), make, fields, keep)
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:

@@ -112,7 +112,7 @@ def _scan_frame(docs: DataFrame, items: list[tuple[str, bytes]], window: int, te
                 n.append(k)
                 hit.append([{"first": x, "end": y} for x, y in zip(s, e)])
                 spans.append([{"start": x, "end": y} for x, y in zip(*_offsets(t, s, e))] if s else [])
-                found.append(sorted({names[x] for x in who}))
+                found.append(sorted({names[x] for x in who} - {None}))
             pair = lambda a, b: pa.list_(pa.struct([(a, pa.int64()), (b, pa.int64())]))
             return [pa.array(n, pa.int64()), pa.array(hit, pair("first", "end")), pa.array(spans, pair("start", "end")), pa.array(found, pa.list_(pa.string()))]
 
@@ -126,11 +126,12 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     (code-point ranges of the original text) and items (ids as strings, sorted).
 
     Null and empty texts have no words and no hits; items without words match
-    nothing; repeated items each count; item_id null is ignored. Input columns
+    nothing; repeated items each count; an item whose id is null hits, and is left
+    out of items. Input columns
     named like a result are replaced. Only the benchmark is broadcast: its size
     is summed first, and beyond automaton_bytes it is dealt into parts by item.
     """
-    asked = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null")
+    asked = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
     size = asked.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-size // automaton_bytes))
     keep = docs.columns if keep is None else keep
@@ -139,13 +140,14 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     # A benchmark beyond one automaton: hits of each part are written, then merged by row.
     new = {f.name for f in _FIELDS}
     kept = [c for c in keep if c not in new]
-    rows = store(docs.select(*{*kept, text}).withColumn("_row", F.expr("uuid()")), "decontam-rows")
+    row_id = next(n for i in range(len(docs.columns) + 1) if (n := f"_row{i}") not in docs.columns)
+    rows = store(docs.select(*dict.fromkeys([*kept, text])).withColumn(row_id, F.expr("uuid()")), "decontam-rows")
     found = None
     for part in range(parts):
-        mine = asked.where(F.expr(f"pmod(xxhash64(item_id), {parts}) = {part}"))
-        hits = store(_scan_frame(rows.df, [(r[0], bytes(r[1])) for r in mine.collect()], window, text, ["_row"]), "decontam-hits")
+        mine = asked.where(F.expr(f"pmod(xxhash64(item_id, text), {parts}) = {part}"))
+        hits = store(_scan_frame(rows.df, [(r[0], bytes(r[1])) for r in mine.collect()], window, text, [row_id]), "decontam-hits")
         found = hits.df if found is None else found.unionByName(hits.df)
-    merged = found.groupBy("_row").agg(
+    merged = found.groupBy(row_id).agg(
         F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list("hit_words")).alias("hit_words"),
         F.flatten(F.collect_list("hit_spans")).alias("hit_spans"),
@@ -153,7 +155,7 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     )
     for name, a, b in (("hit_words", "first", "end"), ("hit_spans", "start", "end")):
         merged = merged.withColumn(name, F.expr(_UNION.format(x=name, a=a, b=b)))
-    return rows.df.select("_row", *kept).join(merged, "_row").drop("_row")
+    return rows.df.select(row_id, *kept).join(merged, row_id).drop(row_id)
 
 
 #: Sorted disjoint union of an array of ranges.
@@ -193,7 +195,7 @@ def digest(spark, sf_dir: str) -> DataFrame:
 _SQL_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE = f"""
 with d as (select doc_id, {_SQL_WORDS} as w from documents),
-b as (select item_id::varchar as item, {_SQL_WORDS} as w from benchmark where text is not null and item_id is not null),
+b as (select item_id::varchar as item, {_SQL_WORDS} as w from benchmark where text is not null),
 n as (select item, w, least({WINDOW}, len(w)) as n from b where len(w) > 0),
 bw as (select distinct item, n, array_to_string(w[i : i + n - 1], ' ') as win from (select item, w, n, unnest(range(1, len(w) - n + 2)) as i from n)),
 p as (select doc_id, unnest(w) as w, unnest(range(1, len(w) + 1)) as i from d),
@@ -201,7 +203,7 @@ l as (select doc_id, i, [w, {', '.join(f'lead(w, {k}) over (partition by doc_id
 dw as (select doc_id, i, s.n, array_to_string(l[1 : s.n], ' ') as win from l, (select distinct n from bw) s where l[s.n] is not null),
 h as (select doc_id, i, dw.n, item from dw join bw on dw.win = bw.win and dw.n = bw.n),
 c as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(i, i + n)) as place from h) group by doc_id),
-t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from h) group by doc_id)
+t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from h where item is not null) group by doc_id)
 select d.doc_id, coalesce(len(d.w), 0)::bigint as n_words, coalesce(c.n_hit, 0)::bigint as n_hit, coalesce(t.n_items, 0)::bigint as n_items,
   sha256(coalesce(t.items, '')) as items_sha256, coalesce(c.n_hit, 0) > 0 as contaminated
 from d left join c on d.doc_id = c.doc_id left join t on d.doc_id = t.doc_id

@@ -114,30 +114,32 @@ def test_lines_against_brute_force(spark):
 def test_decontamination_against_brute_force(spark, sf):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()] + [(900, "Short item"), (901, None), (902, "!!"), (None, "no id at all in here"), (900, "another one of it")]
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    docs += [(9000, None), (9001, ""), (9002, "A SHORT, item! and short-item"), (9003, "Éa short item é" + " x" * 50_000)]
+    docs += [(9000, None), (9001, ""), (9002, "A SHORT, item! and short-item"), (9003, "Éa short item é" + " x" * 50_000), (9004, "but no ID at all in here")]
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = {}
     for k, t in bench:
         w = split(t)
         for i in range(max(0, len(w) - 9) if len(w) >= 10 else bool(w)):
-            windows.setdefault(tuple(w[i : i + 10]), set()).add(str(k)) if k is not None else None
+            windows.setdefault(tuple(w[i : i + 10]), set()).update([str(k)] * (k is not None))
     sizes = {len(w) for w in windows}
     want = {}
     for k, t in docs:
         w, hit, items = split(t), set(), set()
         for n in sizes:
             for i in range(len(w) - n + 1):
-                if who := windows.get(tuple(w[i : i + n])):
+                if (who := windows.get(tuple(w[i : i + n]))) is not None:
                     hit |= set(range(i, i + n))
                     items |= who
         want[k] = len(w), len(hit), sorted(items)
     assert any(v[1] for v in want.values())
-    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    assert want[9004] == (7, 6, [])
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' as _row0"), spark.createDataFrame(bench, "item_id long, text string")
     for size in (8_000_000, 2_000):
         rows = decontam.scan_benchmark(d, b, automaton_bytes=size).collect()
         assert {r.doc_id: (r.n_words, sum(h.end - h.first for h in r.hit_words), list(r["items"])) for r in rows} == want
         for r in rows:
             assert [split((r.text or "")[s.start : s.end]) for s in r.hit_spans] == [split(r.text)[h.first : h.end] for h in r.hit_words]
+    assert decontam.scan_benchmark(d, b).columns[:3] == ["doc_id", "text", "_row0"] and decontam.scan_benchmark(d.limit(0), b).count() == 0
     assert decontam.scan_benchmark(d, b.limit(0)).where("size(items) > 0").count() == 0
     assert {r.doc_id for r in decontam.decontaminate(d, b).collect()} == {k for k, v in want.items() if not v[1]}
 

@@ -37,15 +37,15 @@ _KINDS = {"string": str, "object": dict, "array": list, "boolean": bool, "null":
 
 
 def problems(value, schema: dict, at: str = "$") -> list[str]:
-    """Where a value breaks a JSON schema: type, enum, required, properties, additionalProperties, items, minimum, maximum, minLength, maxLength."""
+    """Where a value breaks a JSON schema (a type that no schema knows fits nothing): type, enum, required, properties, additionalProperties, items, minimum, maximum, minLength, maxLength."""
     out = []
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds or []
 
     def is_kind(k: str) -> bool:
         if k in ("number", "integer"):
-            return isinstance(value, (int, float)) and not isinstance(value, bool) and (k == "number" or value == int(value))
-        return isinstance(value, _KINDS[k])
+            return isinstance(value, (int, float)) and not isinstance(value, bool) and (k == "number" or isinstance(value, int) or value.is_integer())
+        return k in _KINDS and isinstance(value, _KINDS[k])
 
     if kinds and not any(is_kind(k) for k in kinds):
         return [f"{at}: not {'/'.join(kinds)}"]
@@ -73,20 +73,21 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row per call and per result that has no call.
+def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], others: DataFrame | None = None) -> DataFrame:
+    """One row per call, per result that has no call and per other message.
 
     calls: conv_id, call_id, turn, name, arguments (JSON text), needs (array of
     call ids in the same conversation whose results the call reads).
-    results: conv_id, call_id, turn, content.
+    results: conv_id, call_id, turn, content. others: conv_id, turn, content.
 
     Returns conv_id, call_id, turn, name, level, status, n_problems, message.
     level orders a conversation topologically: 0 for a call without needs, else
     one above its highest need; calls in a cycle, or behind one, have level null.
     status: `linked`, `unanswered`, `orphan` (result without call), `duplicate`
-    (call or result whose id was used by an earlier turn), `cyclic`.
-    n_problems counts breaches of the schema of the tool; unreadable JSON and an
-    unknown tool are one each. message is canonical JSON of the call with its
+    (call or result whose id was used by an earlier turn, or is null), `cyclic`,
+    `unlinked` (other message). n_problems counts breaches of the schema of the
+    tool; an unknown tool is one, and so is JSON that can't be read (malformed, or
+    nested deeper than Python's recursion goes), which stays a string. message is canonical JSON of the call with its
     result. Needs that name no call are ignored. Null ids never link. No rows
     give no rows; ties of turn go by content.
     """
@@ -108,44 +109,75 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
         F.col("answer").isNotNull().alias("answered"),
     )
     # What repeats an id, or has none, is a row of its own.
-    spare_calls = _spares(calls, first, keys, "first", ["turn", "name", "arguments"]).select(
+    twice = lambda head, n: heads.df.where(F.col(n) > 1).select(*keys, F.col(head).alias("first"))
+    spare_calls = _spares(calls, twice("first", "n_calls"), keys, ["turn", "name", "arguments"]).select(
         *keys, "turn", "name", F.lit(None).cast("int").alias("level"), F.lit("duplicate").alias("status"), "arguments", F.lit(None).cast("string").alias("content"), F.lit(False).alias("answered")
     )
-    spare_results = _spares(results, answer, keys, "answer", ["turn", "content"]).select(
+    spare_results = _spares(results, twice("answer", "n_results"), keys, ["turn", "content"]).select(
         *keys, "turn", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("level"), F.lit("duplicate").alias("status"), F.lit(None).cast("string").alias("arguments"), "content", F.lit(True).alias("answered")
     )
-    return _written(rows.unionByName(spare_calls).unionByName(spare_results), schemas)
+    rows = rows.unionByName(spare_calls).unionByName(spare_results)
+    if others is not None:
+        nothing = {c: F.lit(None).cast("string") for c in ("call_id", "name", "arguments")}
+        left = others.select("conv_id", "turn", "content").withColumns(nothing | {"level": F.lit(None).cast("int"), "status": F.lit("unlinked"), "answered": F.lit(True)})
+        rows = rows.unionByName(left)
+    return _written(rows, schemas)
 
 
-def _spares(rows: DataFrame, heads: DataFrame, keys: list[str], head: str, parts: list[str]) -> DataFrame:
-    """Rows beside the first of their id; equal rows stand as often as they occur, less one for the first."""
-    counted = rows.groupBy(*keys, *parts).agg(F.count(F.lit(1)).alias("n"))
-    h = heads.select(*[F.col(k).alias(f"h_{k}") for k in keys], F.col(head).alias("h"))
-    both = counted.join(h, (F.col("conv_id") == F.col("h_conv_id")) & (F.col("call_id") == F.col("h_call_id")), "left")
-    same = F.coalesce(F.struct(*parts).eqNullSafe(F.col("h")) & F.col("h").isNotNull(), F.lit(False))
-    left = both.withColumn("n", F.col("n") - same.cast("int")).where("n > 0")
-    return left.withColumn("_", F.explode(F.expr("sequence(1, cast(n as int))"))).select(*keys, *parts)
+def _spares(rows: DataFrame, twice: DataFrame, keys: list[str], parts: list[str]) -> DataFrame:
+    """Rows without an id, and those beside the first of an id met twice; equal rows stand as often as they occur, less one for the first."""
+    nameless = rows.where("call_id is null or conv_id is null").select(*keys, *parts)
+    h = twice.select(*[F.col(k).alias(f"h_{k}") for k in keys], F.col("first").alias("h"))
+    both = rows.join(h, (F.col("conv_id") == F.col("h_conv_id")) & (F.col("call_id") == F.col("h_call_id")))
+    counted = both.groupBy(*keys, *parts, "h").agg(F.count(F.lit(1)).alias("n"))
+    same = F.struct(*parts).eqNullSafe(F.col("h"))
+    left = counted.withColumn("n", F.col("n") - same.cast("int")).where("n > 0")
+    return left.withColumn("_", F.explode(F.expr("sequence(1, cast(n as int))"))).select(*keys, *parts).unionByName(nameless)
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of calls that are in no cycle and behind none; each round settles one level and only touches what is left."""
+    """(conv_id, call_id, level) of calls that are in no cycle and behind none.
+
+    Chains of calls with one need each are followed by pointer doubling, so that
+    a chain of n calls takes log n rounds; calls of several needs are settled in
+    rounds over what such chains lead to.
+    """
     keys = ["conv_id", "call_id"]
     edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("needs")).alias("need"))
     names = calls.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"))
     edges = store(edges.join(names, (F.col("conv_id") == F.col("c")) & (F.col("need") == F.col("i")), "left_semi"), "chat-needs")
-    done = calls.select(*keys).join(edges.df.select(*keys).distinct(), keys, "left_anti").withColumn("level", F.lit(0))
+    roots = calls.select(*keys).join(edges.df.select(*keys).distinct(), keys, "left_anti").withColumn("level", F.lit(0))
     if edges.df.isEmpty():
-        return done
-    settled = store(done, "chat-level")
-    out, left, level = settled.df, edges, 0
-    while True:
-        level += 1
-        got = out.where(F.col("level") == level - 1).select("conv_id", F.col("call_id").alias("need"))
-        rest = store(left.df.join(got, ["conv_id", "need"], "left_anti"), "chat-needs")
-        ready = store(left.df.select(*keys).distinct().join(rest.df.select(*keys).distinct(), keys, "left_anti").withColumn("level", F.lit(level)), "chat-level")
+        return roots
+    needs = edges.df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("up"))
+    chain = store(needs.where("n = 1").select(*keys, "up", F.lit(1).alias("far"), F.lit(True).alias("moved")), "chat-chain")
+    for _ in range(chain.df.count().bit_length() + 1):
+        if chain.df.where("moved").isEmpty():
+            break
+        hop = chain.df.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("top"), F.col("far").alias("more"))
+        jumped = chain.df.join(hop, ["conv_id", "up"], "left").select(*keys, F.coalesce("top", "up").alias("up"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("top").isNotNull().alias("moved"))
+        after = store(jumped, "chat-chain")
+        chain.drop()
+        chain = after
+    # What still moves after as many rounds goes round in a cycle; ends are calls with no need or with several.
+    ends = chain.df.where("not moved").select("conv_id", "call_id", "up", "far")
+    settled = store(roots, "chat-level")
+    many = edges.df.join(needs.where("n > 1").select(*keys), keys, "left_semi")
+    to = ends.select("conv_id", F.col("call_id").alias("need"), "up", "far")
+    left = store(many.join(to, ["conv_id", "need"], "left").select(*keys, F.coalesce("up", "need").alias("need"), (F.coalesce("far", F.lit(0)) + 1).alias("far")), "chat-left")
+    while not left.df.isEmpty():
+        known = settled.df.select("conv_id", F.col("call_id").alias("need"), "level")
+        seen = left.df.join(known, ["conv_id", "need"], "left").groupBy(*keys).agg(F.max(F.col("level") + F.col("far")).alias("level"), F.max(F.col("level").isNull()).alias("waits"))
+        ready = store(seen.where("not waits").select(*keys, "level"), "chat-ready")
         if ready.df.isEmpty():
-            return out
-        out, left = out.unionByName(ready.df), rest
+            break
+        rest = store(left.df.join(ready.df.select(*keys), keys, "left_anti"), "chat-left")
+        more = store(settled.df.unionByName(ready.df), "chat-level")
+        for done in (left, settled, ready):
+            done.drop()
+        left, settled = rest, more
+    top = settled.df.select("conv_id", F.col("call_id").alias("up"), F.col("level").alias("base"))
+    return settled.df.unionByName(ends.join(top, ["conv_id", "up"]).select(*keys, (F.col("base") + F.col("far")).alias("level")))
 
 
 def _written(rows: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -155,20 +187,20 @@ def _written(rows: DataFrame, schemas: dict[str, dict]) -> DataFrame:
             wrong, text = [], []
             for conv, call, name, args, content, answered in zip(*map(get, ("conv_id", "call_id", "name", "arguments", "content", "answered"))):
                 n, value = 0, None
-                if args is not None:
-                    try:
-                        value = json.loads(args)
-                    except ValueError:
-                        value, n = args, 1
-                if name is not None and not n:
-                    n = len(problems(value, schemas[name])) if name in schemas else 1
+                try:
+                    value = None if args is None else json.loads(args)
+                    if name is not None:
+                        n = len(problems(value, schemas[name])) if name in schemas else 1
+                    canonical(value)
+                except (ValueError, RecursionError):
+                    value, n = args, 1
                 wrong.append(n)
                 out = {"conversation": conv, "id": call}
                 if name is not None or args is not None:
                     out["call"] = {"name": name, "arguments": value}
                 if answered:
                     out["result"] = content
-                text.append(canonical(out))
+                text.append(canonical(out).encode("utf-8", "replace").decode())  # half of a surrogate pair becomes "?"
             return [pa.array(wrong, pa.int64()), pa.array(text, pa.string())]
 
         return fn
@@ -181,23 +213,26 @@ def _written(rows: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 REPLY = {"reply": {"type": "object", "required": ["text", "turn"], "properties": {"text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}, "additionalProperties": False}}
 
 
-def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Conversations without tool calls, read as such: a user's turn calls `reply`
-    under the identifier of the turn that has to answer it, an assistant's turn is
-    the result under its own identifier, and a call needs nothing before it."""
+    under the identifier of the turn that has to answer it and needs the call that
+    the turn before it answered; an assistant's turn is the result under its own
+    identifier; turns of other or null roles are other messages."""
     c = conversations.select("conv_id", "turn", "role", "text")
     calls = c.where("role = 'user'").select(
-        "conv_id", (F.col("turn") + 1).cast("string").alias("call_id"), "turn", F.lit("reply").alias("name"), F.to_json(F.struct("text", "turn")).alias("arguments"), F.array().cast("array<string>").alias("needs")
+        "conv_id", (F.col("turn") + 1).cast("string").alias("call_id"), "turn", F.lit("reply").alias("name"), F.to_json(F.struct("text", "turn")).alias("arguments"), F.array((F.col("turn") - 1).cast("string")).alias("needs")
     )
     results = c.where("role = 'assistant'").select("conv_id", F.col("turn").cast("string").alias("call_id"), "turn", F.col("text").alias("content"))
-    return calls, results
+    others = c.where("role is null or role not in ('user', 'assistant')").select("conv_id", "turn", F.col("text").alias("content"))
+    return calls, results, others
 
 
 def digest(spark, sf_dir: str) -> DataFrame:
-    """Query op1_chat_formatting: every user and assistant turn of conversations, linked."""
+    """Query op1_chat_formatting: every turn of conversations, linked, ordered and checked."""
     from .common import table
 
-    linked = link_calls(*turns_as_calls(table(spark, sf_dir, "conversations")), REPLY)
+    calls, results, others = turns_as_calls(table(spark, sf_dir, "conversations"))
+    linked = link_calls(calls, results, REPLY, others)
     return linked.select("conv_id", "call_id", "turn", "status", "level", "n_problems", F.sha2("message", 256).alias("message_sha256"))
 
 
@@ -205,22 +240,28 @@ ORACLE = """
 with calls as (
   select conv_id, (turn + 1)::varchar as call_id, turn, text, row_number() over (partition by conv_id, turn order by to_json(text)::varchar) as k
   from conversations where role = 'user'
+), runs as (
+  select conv_id, turn, text, call_id, turn - 2 * row_number() over (partition by conv_id, turn % 2 order by turn) as run from calls where k = 1
+), levels as (
+  select conv_id, turn, text, call_id, row_number() over (partition by conv_id, turn % 2, run order by turn) - 1 as level from runs
 ), results as (
   select conv_id, turn::varchar as call_id, turn, text, row_number() over (partition by conv_id, turn order by text) as k
   from conversations where role = 'assistant'
 ), linked as (
   select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.call_id, r.call_id) as call_id, coalesce(c.turn, r.turn) as turn,
     case when c.conv_id is null then 'orphan' when r.conv_id is null then 'unanswered' else 'linked' end as status,
-    case when c.conv_id is not null then 0 end as level, c.conv_id is not null as called, c.text as ask, r.conv_id is not null as answered, r.text as reply, c.turn as asked
-  from (select * from calls where k = 1) c full join (select * from results where k = 1) r on c.conv_id = r.conv_id and c.call_id = r.call_id
+    c.level, c.conv_id is not null as called, c.text as ask, r.conv_id is not null as answered, r.text as reply, c.turn as asked
+  from levels c full join (select * from results where k = 1) r on c.conv_id = r.conv_id and c.call_id = r.call_id
   union all
   select conv_id, call_id, turn, 'duplicate', null, true, text, false, null, turn from calls where k > 1
   union all
   select conv_id, call_id, turn, 'duplicate', null, false, null, true, text, null from results where k > 1
+  union all
+  select conv_id, null, turn, 'unlinked', null, false, null, true, text, null from conversations where role is null or role not in ('user', 'assistant')
 )
 select conv_id, call_id, turn, status, level::int as level,
   (case when not called then 0 when ask is null or ask = '' then 1 else 0 end)::bigint as n_problems,
   sha256('{' || case when called then '"call":{"arguments":{' || case when ask is null then '' else '"text":' || to_json(ask)::varchar || ',' end || '"turn":' || asked || '},"name":"reply"},' else '' end
-    || '"conversation":' || conv_id || ',"id":"' || call_id || '"' || case when answered then ',"result":' || coalesce(to_json(reply)::varchar, 'null') else '' end || '}') as message_sha256
+    || '"conversation":' || conv_id || ',"id":' || coalesce('"' || call_id || '"', 'null') || case when answered then ',"result":' || coalesce(to_json(reply)::varchar, 'null') else '' end || '}') as message_sha256
 from linked
 """

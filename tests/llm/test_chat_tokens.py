@@ -40,10 +40,12 @@ def test_levels_status_and_schemas(spark):
 
 def test_query_and_empty(spark, sf):
     rows = chat.digest(spark, sf).collect()
-    turns = spark.read.parquet(f"{sf}/conversations.parquet").where("role <> 'system'").count()
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").count()
+    assert max(r.level or 0 for r in rows) >= 2 and not any(r.status == "cyclic" for r in rows)
     assert sum(1 + (r.status == "linked") for r in rows) == turns
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
-    assert chat.link_calls(*chat.turns_as_calls(none), chat.REPLY).count() == 0
+    calls, results, others = chat.turns_as_calls(none)
+    assert chat.link_calls(calls, results, chat.REPLY, others).count() == 0
     assert chat.canonical({"b": [1.0, float("nan")], "a": "é"}) == '{"a":"é","b":[1,null]}'
 
 
@@ -66,3 +68,39 @@ def test_rule_for_crossing_tokens():
     first, end = np.array([0, 2, 4, 4, 9]), np.array([2, 5, 6, 9, 9])
     where, crossing = tc.allocate(first, end, edges)
     assert where.tolist() == [0, 1, 1, 2, 2] and crossing == 3
+
+
+def slow_levels(needs):
+    """Levels by repeated passes; needs: call -> set of calls."""
+    level, todo = {}, dict(needs)
+    while ready := [k for k, n in todo.items() if all(x in level for x in n if x in needs)]:
+        for k in ready:
+            own = [level[x] + 1 for x in todo[k] if x in needs]
+            level[k] = max(own, default=0)
+        for k in ready:
+            del todo[k]
+    return level
+
+
+def test_levels_of_long_chains_and_graphs(spark):
+    rng = np.random.default_rng(2)
+    needs = {f"c{i}": {f"c{i - 1}"} if i else set() for i in range(600)}  # a chain
+    needs |= {f"o{i}": {f"o{(i + 1) % 5}"} for i in range(5)} | {"t0": {"o0"}, "t1": {"t0"}, "s": {"s"}}  # cycles and a tail
+    for i in range(60):
+        needs[f"g{i}"] = {f"g{j}" for j in rng.integers(0, i, rng.integers(0, 4))} if i else {"c40"}
+    needs |= {"m": {"g59", "o1"}, "n": {"m"}}
+    rows = [(1, k, 0, "f", "{}", sorted(n)) for k, n in needs.items()]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, name string, arguments string, needs array<string>")
+    got = {r.call_id: r.level for r in chat._levels(calls.select("conv_id", "call_id", "needs")).collect()}
+    assert got == slow_levels(needs)
+
+
+def test_unreadable_arguments_stay_text(spark):
+    odd = ['{"x": NaN}', '{"x": 1e400}', "[" * 5000 + "]" * 5000, '{"x": ' + "[" * 900 + "]" * 900 + "}", '{"x": "\\ud800"}', '{"x": ' + "9" * 5000 + "}", ""]
+    rows = [(1, str(i), i, "f" if i % 2 else "g", t, None) for i, t in enumerate(odd * 2)]
+    schemas = {"f": {"type": "object", "properties": {"x": {"type": "integer"}}}, "g": {"type": "no such type"}}
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, name string, arguments string, needs array<string>")
+    none = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    got = chat.link_calls(calls, none, schemas).collect()
+    assert len(got) == len(rows) and all(json.loads(r.message)["id"] == r.call_id for r in got)
+    assert {int(r.call_id): r.n_problems for r in got}[0] == 1

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations, permutations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,6 @@ from ..sources.sampling import exact_sample, capped
 from .columns import ColumnStats
 
 PAIR_SAMPLE, PAIR_LEVELS, JOINT_ROWS = 20_000, 50, 30
-#: Pairs of one aggregate, so that generated code stays small.
-PAIRS_AT_ONCE = 300
 NONLINEAR = 0.15
 
 
@@ -39,15 +39,46 @@ class Pair:
 
 
 def pearson_pairs(df: DataFrame, names: list[str]) -> DataFrame:
-    """(a, b, pearson) of all pairs over all rows that have both: one scan for each few hundred pairs."""
-    pairs = list(combinations(names, 2))
-    out = None
-    for at in range(0, len(pairs), PAIRS_AT_ONCE):
-        part = pairs[at : at + PAIRS_AT_ONCE]
-        one = df.agg(*[guarded_corr(number(a), number(b)).alias(f"p{i}") for i, (a, b) in enumerate(part)])
-        rows = one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("pearson")) for i, (a, b) in enumerate(part)])))
-        out = rows if out is None else out.unionByName(rows)
-    return out if out is not None else df.sparkSession.createDataFrame([], "a string, b string, pearson double")
+    """(a, b, pearson) of all pairs over all rows that have both; null without spread or with a non-finite sum.
+
+    Two scans of the columns: their means, then products of the values less these
+    means, summed as matrices for each Arrow batch (one product for all pairs, where
+    an aggregate for each would be thousands of expressions); tasks hand on one row a pair.
+    """
+    spark = df.sparkSession
+    if len(names) < 2:
+        return spark.createDataFrame([], "a string, b string, pearson double")
+    wide = df.select(*[number(n).alias(f"c{i}") for i, n in enumerate(names)])
+    first = wide.agg(*[F.avg(c).alias(c) for c in wide.columns]).first()
+    shift = np.array([x if x is not None and np.isfinite(x) else 0.0 for x in first])
+    left, right = np.triu_indices(len(names), 1)
+    figures = ("n", "sx", "sy", "qx", "qy", "p")
+    schema = "i int, j int, " + ", ".join(f"{f} double" for f in figures)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(shift)
+        n, s, q, p = (np.zeros((k, k)) for _ in range(4))
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns], 1) if b.num_rows else np.empty((0, k))
+            null = np.stack([c.is_null().to_numpy(zero_copy_only=False) for c in b.columns], 1)
+            there = (~null).astype(float)
+            x = np.where(null, 0.0, x - shift)
+            with np.errstate(all="ignore"):
+                n += there.T @ there
+                s += x.T @ there
+                q += (x * x).T @ there
+                p += x.T @ x
+        values = (n[left, right], s[left, right], s[right, left], q[left, right], q[right, left], p[left, right])
+        yield pa.RecordBatch.from_arrays([pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), *map(pa.array, values)], ["i", "j", *figures])
+
+    sums = wide.mapInArrow(run, schema).groupBy("i", "j").agg(*[F.sum(f).alias(f) for f in figures])
+    vx, vy = (F.greatest(F.col(f"q{c}") - F.col(f"s{c}") * F.col(f"s{c}") / F.col("n"), F.lit(0.0)) for c in "xy")
+    # Spread below the rounding of the sums is none.
+    flat = (F.col("n") < 2) | (vx <= F.col("qx") * 1e-14) | (vy <= F.col("qy") * 1e-14)
+    r = (F.col("p") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(vx * vy)
+    r = F.when(~flat & ~F.isnan(r) & (F.abs(r) < float("inf")), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
+    name = lambda c: F.element_at(F.array(*map(F.lit, names)), F.col(c) + 1)
+    return sums.select(name("i").alias("a"), name("j").alias("b"), r.alias("pearson"))
 
 
 def discrete_information(df: DataFrame, a: str, b: str) -> DataFrame:

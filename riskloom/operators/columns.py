@@ -1,8 +1,9 @@
-"""Statistics of every column in three passes, whatever the number of columns.
+"""Statistics of every column in a few passes, whatever the number of columns.
 
-1. One aggregate of all scalars. 2. One frequency table of (column, value), which
-gives distinct counts and top values without the row expansion of several
-distinct aggregates. 3. One binned table with the bounds of pass 1 as literals,
+Columns are unpivoted to rows (column, value), so that one short aggregate serves
+them all. 1. Counts and moments. 2. Frequency tables, which give distinct counts
+and top values and, sorted in ranges, exact quartiles without a task that holds
+all values of a column. 3. One binned table with the bounds of pass 1 as literals,
 which gives histograms and outliers.
 """
 
@@ -13,10 +14,12 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.expr import adjusted_skewness, as_text, col, number
 from ..functions.kinds import NUMERIC, OTHER, TEMPORAL, TEXT, kinds
+from .ranks import with_before
 
 TOP, BINS = 10, 24
 DAY_SPAN, MONTH_SPAN = 60 * 86_400, 5 * 365 * 86_400
@@ -73,31 +76,73 @@ class ColumnStats:
         return self.kind != TEMPORAL and not self.is_constant and self.top_share > 0.99
 
 
-def scalar_exprs(df: DataFrame, exact_quantiles: bool = True) -> list[Column]:
-    """Aggregates of pass 1, named by the column's number and the figure."""
+QUARTERS = (0.25, 0.5, 0.75)
+
+
+def scalar_exprs(df: DataFrame) -> list[Column]:
+    """Counts, lengths and time spans of pass 1, named by the column's number and the figure."""
     out = [F.count(F.lit(1)).alias("n")]
     for i, (name, kind) in enumerate(kinds(df.schema).items()):
         out.append(F.count(col(name)).alias(f"{i}_count"))
-        if kind == NUMERIC:
-            x = number(name)
-            q = [0.25, 0.5, 0.75]
-            quantiles = F.percentile(x, F.array(*map(F.lit, q))) if exact_quantiles else F.percentile_approx(x, q, 10_000)
-            out += [f(x).alias(f"{i}_{k}") for k, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max), ("skew", adjusted_skewness))]
-            out.append(quantiles.alias(f"{i}_q"))
-        elif kind == TEXT:
+        if kind == TEXT:
             out += [F.avg(F.length(col(name))).alias(f"{i}_avg_len"), F.max(F.length(col(name))).alias(f"{i}_max_len")]
         elif kind == TEMPORAL:
             out += [F.min(col(name)).cast("string").alias(f"{i}_ts_min"), F.max(col(name)).cast("string").alias(f"{i}_ts_max"), (seconds(F.max(col(name))) - seconds(F.min(col(name)))).alias(f"{i}_span")]
     return out
 
 
+def numeric_names(df: DataFrame) -> list[str]:
+    return [n for n, k in kinds(df.schema).items() if k == NUMERIC]
+
+
+def moments(df: DataFrame, approximate_quartiles: bool = False) -> DataFrame:
+    """(c, mean, std, min, max, skew[, q]) of the numeric columns."""
+    x = F.col("v")
+    figures = {"mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x), "skew": adjusted_skewness(x)}
+    figures |= {"q": F.percentile_approx(x, list(QUARTERS), 10_000)} if approximate_quartiles else {}
+    return unpivoted(df, numeric_names(df), lambda f: number(f.name), "double").groupBy("c").agg(*[f.alias(k) for k, f in figures.items()])
+
+
+def number_counts(df: DataFrame) -> DataFrame:
+    """(c, v, same, n): how often each number occurs in each numeric column. v is its double, null for NaN;
+    same tells apart what double doesn't: the number itself, or a 64-bit hash of its text (decimals)."""
+
+    def value(f) -> Column:
+        whole = isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        double = isinstance(f.dataType, (T.FloatType, T.DoubleType))
+        same = col(f.name).cast("long") if whole else F.lit(None).cast("long") if double else F.xxhash64(as_text(f))
+        return F.when(col(f.name).isNotNull(), F.struct(number(f.name).alias("v"), same.alias("same")))
+
+    long = unpivoted(df, numeric_names(df), value, "struct<v: double, same: bigint>").where("v is not null").select("c", "v.v", "v.same")
+    return long.groupBy("c", "v", "same").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quartiles(counts: DataFrame) -> DataFrame:
+    """(c, q): quartiles of counted values (c, v, n) by linear interpolation; null v is ignored."""
+    ranked = with_before(counts.where("v is not null").groupBy("c", "v").agg(F.sum("n").alias("n")), ["c", "v"], ["n"])
+    # One row a column.
+    size = ranked.groupBy("c").agg(F.min("before_n").alias("base"), F.sum("n").alias("total"))
+    at = F.col("before_n") - F.col("base")
+    place = lambda q: (F.col("total") - 1) * F.lit(q)
+    holds = lambda k: (at <= k) & (k < at + F.col("n"))
+    found = []
+    for i, q in enumerate(QUARTERS):
+        low, high = F.floor(place(q)), F.ceil(place(q))
+        found += [F.max(F.when(holds(low), F.col("v"))).alias(f"a{i}"), F.max(F.when(holds(high), F.col("v"))).alias(f"b{i}")]
+    both = ranked.join(F.broadcast(size), "c").groupBy("c").agg(F.first("total").alias("total"), *found)
+    between = [F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (place(q) - F.floor(place(q))) for i, q in enumerate(QUARTERS)]
+    return both.select("c", F.array(*between).alias("q"))
+
+
 def seconds(c: Column) -> Column:
     return F.unix_seconds(c.cast("timestamp"))
 
 
-def unpivoted(df: DataFrame, names: list[str], value) -> DataFrame:
-    """(column number, value) of the named columns; value(field) is the expression of each."""
+def unpivoted(df: DataFrame, names: list[str], value, kind: str = "string") -> DataFrame:
+    """(column number, value) of the named columns; value(field) is the expression of each, of that type."""
     at = {n: i for i, n in enumerate(df.columns)}
+    if not names:
+        return df.sparkSession.createDataFrame([], f"c int, v {kind}")
     items = [F.struct(F.lit(at[n]).alias("c"), value(df.schema[n]).alias("v")) for n in names]
     return df.select(F.inline(F.array(*items)))
 
@@ -133,31 +178,39 @@ def unit_of(span: float) -> str:
     return "day" if span < DAY_SPAN else "month" if span < MONTH_SPAN else "year"
 
 
+def _texts(df: DataFrame) -> list[str]:
+    return [n for n, k in kinds(df.schema).items() if k != NUMERIC]
+
+
 def column_stats(df: DataFrame, bins: int = BINS, exact_quantiles: bool = True, persist: bool = False) -> dict[str, ColumnStats]:
-    """Statistics by column, in the order of the table. persist keeps the frame for the three passes."""
+    """Statistics by column, in the order of the table. persist keeps the frame for the passes."""
+    if not df.columns:
+        return {}
     if persist:
         df = df.persist()
     by_kind = kinds(df.schema)
-    one = df.agg(*scalar_exprs(df, exact_quantiles)).first().asDict() if df.columns else {}
-    freq = frequencies(df).persist() if df.columns else None
+    one = df.agg(*scalar_exprs(df)).first().asDict()
+    numbers, other = number_counts(df).persist(), frequencies(df, _texts(df)).persist()
+    figures = {r.c: r for r in _figures(df, numbers, other, exact_quantiles).collect()}
+    top: dict[int, list] = {}
+    shown = numbers.select("c", F.coalesce(F.when(F.col("v") != F.col("same"), F.col("v").cast("string")), F.col("same").cast("string"), F.col("v").cast("string"), F.lit("NaN")).alias("v"), "n")
+    for r in [*top_values(shown, 1).collect(), *top_values(other).orderBy("c", "r").collect()]:
+        top.setdefault(r.c, []).append((r.v, r.n))
+    numbers.unpersist()
+    other.unpersist()
     out: dict[str, ColumnStats] = {}
-    if freq is not None:
-        distinct = dict(freq.groupBy("c").agg(F.count(F.lit(1))).collect())
-        top: dict[int, list] = {}
-        for r in top_values(freq).orderBy("c", "r").collect():
-            top.setdefault(r.c, []).append((r.v, r.n))
-        freq.unpersist()
     for i, f in enumerate(df.schema):
         get = lambda k, i=i: one.get(f"{i}_{k}")
-        s = ColumnStats(f.name, f.dataType.simpleString(), by_kind[f.name], one["n"], one["n"] - get("count"), distinct.get(i, 0))
+        r = figures[i] if i in figures else None
+        s = ColumnStats(f.name, f.dataType.simpleString(), by_kind[f.name], one["n"], one["n"] - get("count"), r.n_unique if r else 0)
+        s.top_values = top.get(i, [])
         if s.kind == NUMERIC:
-            s.mean, s.std, s.min, s.max, s.skew = (get(k) for k in ("mean", "std", "min", "max", "skew"))
-            s.p25, s.p50, s.p75 = get("q") or (None,) * 3
-            s.top_values = top.get(i, [])[:1]
+            if r:
+                s.mean, s.std, s.min, s.max, s.skew = r["mean"], r["std"], r["min"], r["max"], r["skew"]
+                s.p25, s.p50, s.p75 = r.q or (None,) * 3
         elif s.kind == TEMPORAL:
-            s.ts_min, s.ts_max = get("ts_min"), get("ts_max")
+            s.top_values, s.ts_min, s.ts_max = [], get("ts_min"), get("ts_max")
         else:
-            s.top_values = top.get(i, [])
             s.avg_len, s.max_len = get("avg_len"), get("max_len")
             s.histogram = [(float(j), float(j + 1), n) for j, (_, n) in enumerate(s.top_values)]
         out[f.name] = s
@@ -167,6 +220,13 @@ def column_stats(df: DataFrame, bins: int = BINS, exact_quantiles: bool = True,
     return out
 
 
+def _figures(df: DataFrame, numbers: DataFrame, other: DataFrame, exact_quantiles: bool = True) -> DataFrame:
+    """(c, n_unique, mean, std, min, max, skew, q) of every column that has a value; one row a column in every join."""
+    unique = numbers.groupBy("c").agg(F.count(F.lit(1)).alias("n_unique")).unionByName(other.groupBy("c").agg(F.count(F.lit(1)).alias("n_unique")))
+    out = unique.join(F.broadcast(moments(df, not exact_quantiles)), "c", "left")
+    return out.join(F.broadcast(quartiles(numbers)), "c", "left") if exact_quantiles else out
+
+
 def _third_pass(df: DataFrame, stats: dict[str, ColumnStats], spans: dict[str, Any], bins: int) -> None:
     def value(f) -> Column:
         s = stats[f.name]
@@ -199,19 +259,14 @@ def _third_pass(df: DataFrame, stats: dict[str, ColumnStats], spans: dict[str, A
 
 
 def stats_frame(df: DataFrame) -> DataFrame:
-    """Counts and numeric summary of every column as one relation: pass 1 and the distinct counts, no driver step."""
+    """Counts and numeric summary of every column as one relation, by the same passes as column_stats and without a driver step."""
     by_kind = kinds(df.schema)
-    one = df.agg(*scalar_exprs(df))
-    rows = []
-    for i, f in enumerate(df.schema):
-        numeric = by_kind[f.name] == NUMERIC
-        figure = lambda k, i=i, numeric=numeric: (F.col(f"{i}_{k}") if numeric else F.lit(None)).cast("double").alias(k)
-        q = lambda j, k, i=i, numeric=numeric: (F.element_at(F.col(f"{i}_q"), j) if numeric else F.lit(None)).cast("double").alias(k)
-        rows.append(F.struct(F.lit(i).alias("c"), F.lit(f.name).alias("name"), F.lit(by_kind[f.name]).alias("kind"), F.col("n"), (F.col("n") - F.col(f"{i}_count")).alias("n_null"), figure("mean"), figure("std"), figure("min"), q(1, "p25"), q(2, "p50"), q(3, "p75"), figure("max"), figure("skew")))
-    scalars = one.select(F.inline(F.array(*rows)))
-    distinct = frequencies(df).groupBy("c").agg(F.count(F.lit(1)).alias("n_unique"))
-    # One row a column on either side.
-    return scalars.join(F.broadcast(distinct), "c", "left").select("name", "kind", "n", "n_null", F.coalesce("n_unique", F.lit(0)).alias("n_unique"), "mean", "std", "min", "p25", "p50", "p75", "max", "skew")
+    one = df.agg(*[F.count(F.lit(1)).alias("n"), *[F.count(col(n)).alias(f"{i}_count") for i, n in enumerate(df.columns)]])
+    rows = [F.struct(F.lit(i).alias("c"), F.lit(n).alias("name"), F.lit(by_kind[n]).alias("kind"), F.col("n"), (F.col("n") - F.col(f"{i}_count")).alias("n_null")) for i, n in enumerate(df.columns)]
+    counts = one.select(F.inline(F.array(*rows)))
+    found = counts.join(F.broadcast(_figures(df, number_counts(df), frequencies(df, _texts(df)))), "c", "left")
+    quarter = lambda j, k: F.element_at("q", j).alias(k)
+    return found.select("name", "kind", "n", "n_null", F.coalesce("n_unique", F.lit(0)).alias("n_unique"), "mean", "std", "min", quarter(1, "p25"), quarter(2, "p50"), quarter(3, "p75"), "max", "skew")
 
 
 __all__ = ["BINS", "OTHER", "ColumnStats", "bin_of", "column_stats", "edges", "frequencies", "stats_frame", "top_values", "unit_of", "unpivoted"]

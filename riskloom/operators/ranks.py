@@ -1,32 +1,48 @@
 """Rank statistics over all rows, distributed.
 
-Values are first counted, then numbered by running sums inside value ranges whose
-bounds are approximate quantiles; only the totals of the ranges meet in one task.
+Values are first counted, then sorted in ranges and numbered by running sums
+inside each; only the totals of the ranges, one row a partition, meet in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-RANGES = 64
-
 
-def with_before(counts: DataFrame, value: str, sums: list[str]) -> DataFrame:
-    """counts (one row per value) with, for each column s of sums, before_s: its total over smaller values."""
-    bounds = counts.agg(F.percentile_approx(F.col(value).cast("double"), [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    part = F.lit(0)
-    for b in bounds:
-        part = part + (F.col(value).cast("double") > F.lit(b)).cast("int")
-    dealt = counts.withColumn("_part", part)
-    inside = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy("_part").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+def with_before(counts: DataFrame, value: str | list[str], sums: list[str]) -> DataFrame:
+    """counts (one row per value, or per values of several columns) with, for each column s of sums, before_s: its total over smaller values.
+
+    There are as many ranges as shuffle partitions, each of about as many values.
+    """
+    value = [value] if isinstance(value, str) else value
+    ranges = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counts.withColumns({s: F.col(s).cast("long") for s in sums}).repartitionByRange(ranges, *value).sortWithinPartitions(*value)
+    schema = T.StructType([*dealt.schema, T.StructField("_part", T.IntegerType()), *[T.StructField(f"_i_{s}", T.LongType()) for s in sums]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), dict.fromkeys(sums, 0)
+        for b in batches:
+            inside = []
+            for s in sums:
+                own = b.column(b.schema.get_field_index(s)).to_numpy(zero_copy_only=False).astype(np.int64)
+                inside.append(pa.array(at[s] + np.cumsum(own) - own))
+                at[s] += int(own.sum())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), *inside], schema.names)
+
+    numbered = dealt.mapInArrow(run, schema)
+    totals = numbered.groupBy("_part").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # At most RANGES rows, so this window's single task and the broadcast are bounded.
+    # One row a range, so this window's single task and the broadcast are bounded.
     shift = totals.select("_part", *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_s_{s}") for s in sums])
-    out = dealt.select("*", *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"_i_{s}") for s in sums]).join(F.broadcast(shift), "_part")
+    out = numbered.join(F.broadcast(shift), "_part")
     return out.select(*counts.columns, *[(F.col(f"_i_{s}") + F.col(f"_s_{s}")).alias(f"before_{s}") for s in sums])
 
 

@@ -42,9 +42,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of this machine only where it is unset."""
+    """spark.checkpoint.dir of the session; a folder of this machine only where it is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors and driver need a folder that all of them reach")
         found = f"file://{tempfile.mkdtemp(prefix='riskloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

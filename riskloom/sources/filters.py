@@ -117,7 +117,9 @@ def _literal(value: str, field: T.StructField) -> Column:
         return F.lit(exact) if isinstance(field.dataType, T.DecimalType) else F.lit(float(value))
     if isinstance(field.dataType, T.StringType):
         return F.lit(value)
-    return F.lit(value).try_cast(field.dataType)
+    # A literal that isn't of the column's type is an error, not a filter that no row passes.
+    wrong = F.raise_error(F.lit(f"filter on {field.name}: {value!r} is no {field.dataType.simpleString()}"))
+    return F.coalesce(F.lit(value).try_cast(field.dataType), wrong)
 
 
 def to_column(clause: Clause, schema: T.StructType) -> Column:

@@ -140,3 +140,11 @@ def test_readers_never_write():
 
     for f in (Path(__file__).parents[1] / "riskloom" / "sources").glob("*.py"):
         assert not re.search(r"\.write\b|\.save\(|saveAsTable|\b(INSERT|UPDATE|DELETE|DROP|CREATE|ALTER|MERGE)\s", f.read_text()), f
+
+
+def test_mistyped_literal_is_an_error(spark):
+    df = spark.sql("select date'2024-05-01' as d, true as b")
+    assert df.where(filters.parse_filter("d >= 2024-01-01", df.schema)).count() == 1
+    assert df.where(filters.parse_filter("b == true", df.schema)).count() == 1
+    with pytest.raises(Exception, match="is no date"):
+        df.where(filters.parse_filter("d >= 2024-13-45", df.schema)).count()

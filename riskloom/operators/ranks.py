@@ -17,28 +17,63 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+#: Values drawn for each range when bounds are chosen.
+DRAWN = 16
+
+
+def range_of(counts: DataFrame, value: list[str], ranges: int) -> Column:
+    """The range of a row by its value, from 0, against bounds fixed here: the same however often the plan is run.
+
+    Bounds come from the ranges * DRAWN values of least hash, one job. The comparisons are a balanced tree.
+    """
+    key = F.struct(*value) if len(value) > 1 else F.col(value[0])
+    drawn = counts.select(*value).orderBy(F.xxhash64(*value), *value).limit(ranges * DRAWN).orderBy(*value).collect()
+    bounds = [drawn[len(drawn) * k // ranges] for k in range(1, ranges)] if len(drawn) >= ranges else drawn[1:]
+    typed = lambda row: [F.lit(x).cast(counts.schema[n].dataType).alias(n) for n, x in zip(value, row)]
+    literal = lambda row: F.struct(*typed(row)) if len(value) > 1 else typed(row)[0]
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key < literal(bounds[middle]), tree(low, middle)).otherwise(tree(middle + 1, high))
+
+    return tree(0, len(bounds))
+
+
 def with_before(counts: DataFrame, value: str | list[str], sums: list[str]) -> DataFrame:
-    """counts (one row per value, or per values of several columns) with, for each column s of sums, before_s: its total over smaller values.
+    """counts (one row per non-null value, or per values of several columns) with, for each column s of sums, before_s: its total over smaller values.
 
     There are as many ranges as shuffle partitions, each of about as many values.
     """
     value = [value] if isinstance(value, str) else value
     ranges = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = counts.withColumns({s: F.col(s).cast("long") for s in sums}).repartitionByRange(ranges, *value).sortWithinPartitions(*value)
-    schema = T.StructType([*dealt.schema, T.StructField("_part", T.IntegerType()), *[T.StructField(f"_i_{s}", T.LongType()) for s in sums]])
+    # Counts are read for totals and for rows; ranges that Spark samples anew for each wouldn't agree.
+    part = range_of(counts, value, ranges)
+    dealt = counts.withColumns({s: F.col(s).cast("long") for s in sums}).withColumn("_part", part).repartitionById(ranges, "_part").sortWithinPartitions("_part", *value)
+    schema = T.StructType([*dealt.schema, *[T.StructField(f"_i_{s}", T.LongType()) for s in sums]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), dict.fromkeys(sums, 0)
+        last, at = None, dict.fromkeys(sums, 0)
         for b in batches:
-            inside = []
-            for s in sums:
-                own = b.column(b.schema.get_field_index(s)).to_numpy(zero_copy_only=False).astype(np.int64)
-                inside.append(pa.array(at[s] + np.cumsum(own) - own))
-                at[s] += int(own.sum())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), *inside], schema.names)
+            part = b.column(b.schema.get_field_index("_part")).to_numpy()
+            own = {s: b.column(b.schema.get_field_index(s)).to_numpy(zero_copy_only=False).astype(np.int64) for s in sums}
+            inside = {s: np.empty(len(part), np.int64) for s in sums}
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
+            for low, high in zip(edges, edges[1:]):
+                if low == high:
+                    continue
+                if part[low] != last:
+                    last, at = part[low], dict.fromkeys(sums, 0)
+                for s in sums:
+                    total = np.cumsum(own[s][low:high])
+                    inside[s][low:high] = at[s] + total - own[s][low:high]
+                    at[s] += int(total[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(inside[s]) for s in sums]], schema.names)
 
     numbered = dealt.mapInArrow(run, schema)
-    totals = numbered.groupBy("_part").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    # From the counts, not from the numbered rows, so that Python sees them once.
+    totals = counts.groupBy(part.alias("_part")).agg(*[F.sum(F.col(s).cast("long")).alias(f"_t_{s}") for s in sums])
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row a range, so this window's single task and the broadcast are bounded.
     shift = totals.select("_part", *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_s_{s}") for s in sums])

@@ -83,7 +83,8 @@ def cluster_features(df: DataFrame, stats: dict[str, ColumnStats], signals: list
         if signals:
             head = min(members, key=lambda n: (-signal_score(by.get(n))[0], n))
         else:
-            head = min(members, key=lambda n: (-(stats[n].n_unique if not stats[n].is_constant else -1), n))
+            # Most values, but nearly constant columns last.
+            head = min(members, key=lambda n: (stats[n].is_near_constant, -stats[n].n_unique, n))
         report.clusters.append(Cluster(k, members, head, float(np.mean(inside)) if inside else 1.0))
         score, method = signal_score(by.get(head))
         weak = bool(signals) and (method == "no_target" or score < WEAK[method])

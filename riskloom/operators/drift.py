@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 from typing import Any
@@ -34,6 +33,10 @@ class FeatureDrift:
     name: str
     kind: str
     null_delta: float = 0.0
+    null_rate_a: float = 0.0
+    null_rate_b: float = 0.0
+    mean_a: float | None = None
+    mean_b: float | None = None
     ks: float | None = None
     ks_p: float | None = None
     wasserstein: float | None = None
@@ -87,10 +90,9 @@ class CompareReport:
         return out
 
     def save(self, path: str | Path) -> Path:
-        from ..plans.serde import plain
+        from ..plans.serde import plain, write_json
 
-        Path(path).write_text(json.dumps(plain(self.to_dict()), indent=2, sort_keys=True))
-        return Path(path)
+        return write_json(plain(self.to_dict()), path)
 
 
 def schema_diff(a: dict[str, ColumnStats], b: dict[str, ColumnStats]) -> SchemaDiff:
@@ -177,21 +179,25 @@ def _categorical_drift(d: FeatureDrift, a: ColumnStats, b: ColumnStats) -> None:
     d.js = jensen_shannon(p / p.sum(), q / q.sum())
 
 
+#: What drift between two kinds is measured as; the rest has only its missing values.
+MEASURED = {(NUMERIC, NUMERIC): (NUMERIC, _numeric_drift), **{(x, y): (TEXT if x != y else x, _categorical_drift) for x in (TEXT, BOOL) for y in (TEXT, BOOL)}}
+
+
 def feature_drift(a: ColumnStats, b: ColumnStats) -> FeatureDrift:
-    d = FeatureDrift(a.name, a.kind, b.null_rate - a.null_rate)
-    if a.kind == b.kind == NUMERIC:
-        _numeric_drift(d, a, b)
-    elif a.kind == b.kind and a.kind in (TEXT, BOOL):
-        _categorical_drift(d, a, b)
+    """Texts and flags are compared by their values, also with one another."""
+    kind, measure = MEASURED.get((a.kind, b.kind), (a.kind if a.kind == b.kind else "other", None))
+    d = FeatureDrift(a.name, kind, b.null_rate - a.null_rate, a.null_rate, b.null_rate, a.mean, b.mean)
+    if measure:
+        measure(d, a, b)
     return d
 
 
 def target_delta(a: Any, b: Any) -> TargetDelta | None:
-    """Change of the target of two profiles; None without targets."""
-    if a.target is None and b.target is None:
+    """Change of the target of two profiles; None unless both have the same."""
+    if a.target is None or a.target != b.target:
         return None
-    if a.target != b.target or a.target_summary is None or b.target_summary is None:
-        return TargetDelta(a.target or b.target, "missing")
+    if a.target_summary is None or b.target_summary is None:
+        return TargetDelta(a.target, "missing")
     x, y = a.target_summary, b.target_summary
     if x.positive_rate is not None and y.positive_rate is not None:
         return TargetDelta(a.target, "binary", x.positive_rate, y.positive_rate, y.positive_rate - x.positive_rate)

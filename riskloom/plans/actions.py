@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
@@ -62,25 +63,32 @@ class ActionPlan:
         return [{"bucket": b, **asdict(i)} for b in BUCKETS for i in getattr(self, b)]
 
 
-def _bucket_of(f: Finding, stats: ColumnStats | None, target: str | None) -> tuple[str, str] | None:
-    """(bucket, action) that a finding asks for; the first rule that fits."""
-    if f.columns[0] == target and f.category != "leakage":
-        return None
-    if f.kind in DROPPED or (f.category == "quality" and f.severity == "critical"):
-        return "drop", "drop"
-    if f.category in REVIEWED and f.severity != "info":
-        return "review", "review"
-    if f.category == "distribution":
-        return "transform", transform_for(stats)
-    if f.kind == "encoded_nulls":
-        return "review", "replace_sentinel_with_null"
-    return None
+def transform_for(s: ColumnStats | None) -> str:
+    """A power where a number is skewed, of the logarithm's kind if it is never negative; otherwise scaling."""
+    skewed = s is not None and s.kind == NUMERIC and abs(s.skew or 0.0) > 3
+    return ("yeo_johnson", "log1p")[s.min is not None and s.min >= 0] if skewed else "robust_scaler"
 
 
-def transform_for(s: ColumnStats | None) -> str:
-    if s is None or s.kind != NUMERIC or abs(s.skew or 0.0) <= 3:
-        return "robust_scaler"
-    return "log1p" if s.min is not None and s.min >= 0 else "yeo_johnson"
+@dataclass(frozen=True)
+class Answer:
+    """What a finding that fits asks for."""
+
+    bucket: str
+    fits: Callable[[Finding], bool]
+    action: Callable[[ColumnStats | None], str]
+
+
+def always(action: str) -> Callable[[ColumnStats | None], str]:
+    return lambda _: action
+
+
+#: In this order; the first that fits a finding answers it.
+ANSWERS = (
+    Answer("drop", lambda f: f.kind in DROPPED or (f.category, f.severity) == ("quality", "critical"), always("drop")),
+    Answer("review", lambda f: f.category in REVIEWED and f.severity != "info", always("review")),
+    Answer("transform", lambda f: f.category == "distribution", transform_for),
+    Answer("review", lambda f: f.kind == "encoded_nulls", always("replace_sentinel_with_null")),
+)
 
 
 def impute_for(s: ColumnStats) -> str | None:
@@ -116,8 +124,12 @@ def build_action_plan(profile: Any) -> ActionPlan:
     """The one plan that every surface shows."""
     plan = ActionPlan()
     for f in profile.findings:
-        if f.columns and (got := _bucket_of(f, profile.columns.get(f.columns[0]), profile.target)):
-            _put(getattr(plan, got[0]), ActionItem(f.columns[0], got[1], f.title, f.severity, [f.title]))
+        # The target itself is only ever reviewed for leaks.
+        if not f.columns or (f.columns[0] == profile.target and f.category != "leakage"):
+            continue
+        if answer := next((a for a in ANSWERS if a.fits(f)), None):
+            action = answer.action(profile.columns.get(f.columns[0]))
+            _put(getattr(plan, answer.bucket), ActionItem(f.columns[0], action, f.title, f.severity, [f.title]))
     gone = {i.column for i in plan.drop}
     for s in profile.columns.values():
         if s.name == profile.target or s.name in gone:
@@ -132,18 +144,31 @@ def build_action_plan(profile: Any) -> ActionPlan:
     return plan
 
 
+#: Kind of split: its folds, and what both say ({on}: column; {train}, {val}: where training and validation end).
+SPLITS = {
+    "temporal": ("time_series", "train up to {train}, validate up to {val}, test after", "folds in the order of {on}"),
+    "stratified": ("stratified_kfold", "80/20, equal shares of {on}", "shuffled folds with equal shares of {on}"),
+    "random": ("kfold", "80/20", "shuffled folds"),
+}
+
+
+def ends(labels: list[str]) -> tuple[str, str]:
+    """Labels of the buckets with which training (70 %) and validation (85 %) end; each part keeps a bucket."""
+    last = len(labels) - 1
+    train = max(0, int(0.70 * len(labels)) - 1)
+    return labels[train], labels[min(last - 1, max(train + 1, int(0.85 * len(labels)) - 1))]
+
+
 def split_for(profile: Any) -> tuple[Split, CrossValidation]:
-    buckets = profile.temporal.buckets if profile.temporal else []
-    summary = profile.target_summary
-    if profile.time_column and len(buckets) >= 3:
-        n = len(buckets)
-        train = max(1, int(0.70 * n))
-        val = min(n - 1, max(train + 1, int(0.85 * n)))
-        a, b = buckets[train - 1].label, buckets[val - 1].label
-        return Split("temporal", f"train up to {a}, validate up to {b}, test after", profile.time_column, a, b), CrossValidation("time_series", f"folds in the order of {profile.time_column}")
-    if summary is not None and summary.task == "classification":
-        return Split("stratified", f"80/20, equal shares of {summary.name}", stratify_on=summary.name), CrossValidation("stratified_kfold", f"shuffled folds with equal shares of {summary.name}")
-    return Split("random", "80/20"), CrossValidation("kfold", "shuffled folds")
+    labels = [b.label for b in profile.temporal.buckets] if profile.temporal and profile.time_column else []
+    classes = getattr(profile.target_summary, "task", None) == "classification"
+    kind = "temporal" if len(labels) >= 3 else "stratified" if classes else "random"
+    train, val = ends(labels) if kind == "temporal" else (None, None)
+    on = {"temporal": profile.time_column, "stratified": profile.target}.get(kind)
+    folds, said, said_of_folds = SPLITS[kind]
+    split = Split(kind, said.format(on=on, train=train, val=val), cutoff=train, val_cutoff=val)
+    setattr(split, "time_column" if kind == "temporal" else "stratify_on", on)
+    return split, CrossValidation(folds, said_of_folds.format(on=on))
 
 
 def class_strategy_for(profile: Any) -> ClassStrategy | None:

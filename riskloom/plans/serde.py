@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import json
 import math
 from pathlib import Path
 from typing import Any, get_args, get_type_hints
@@ -33,6 +34,28 @@ def plain(x: Any) -> Any:
     return x if x is None or isinstance(x, (bool, int)) else str(x)
 
 
+def versioned(x: Any) -> dict[str, Any]:
+    return plain(x) | {"schema_version": VERSION}
+
+
+def as_json(value: Any, indent: int | None = 2) -> str:
+    return json.dumps(value, indent=indent, sort_keys=True)
+
+
+def write_json(value: Any, path: str | Path) -> Path:
+    """Where it was written; folders are made."""
+    to = Path(path).expanduser().resolve()
+    to.parent.mkdir(parents=True, exist_ok=True)
+    with to.open("w", encoding="utf-8") as f:
+        f.write(as_json(value))
+    return to
+
+
+def read_json(path: str | Path) -> Any:
+    with Path(path).expanduser().open(encoding="utf-8") as f:
+        return json.load(f)
+
+
 def check_version(data: dict[str, Any]) -> None:
     v = data.get("schema_version", 0)
     if isinstance(v, bool) or not isinstance(v, int):

@@ -104,3 +104,14 @@ def write_html(profile: Any, path: str | Path) -> Path:
 def write_compare_html(report: Any, path: str | Path) -> Path:
     Path(path).write_text(compare_html(report), encoding="utf-8")
     return Path(path)
+
+
+def shown(profile: Any) -> Any:
+    """Hands the report to a notebook that can draw it and returns the profile; without one, the HTML."""
+    page = profile_html(profile)
+    try:
+        from IPython import display
+    except ImportError:
+        return page
+    display.display(display.HTML(page))
+    return profile

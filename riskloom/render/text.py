@@ -54,6 +54,7 @@ def render_compare(report: Any) -> str:
 
 def render_diff(diff: Any) -> str:
     out = [f"+ {f.severity}: {f.title}" for f in diff.appeared] + [f"- {f.severity}: {f.title}" for f in diff.resolved]
+    out += [f"+ column {n}" for n in diff.schema_added] + [f"- column {n}" for n in diff.schema_removed]
     out += [f"~ {c.title}: {c.before} to {c.after}" for c in diff.severity_changes]
     out += [f"# {m.feature}: rank {m.before or '-'} to {m.after or '-'}" for m in diff.rank_changes]
     return "\n".join(out or ["nothing changed"]) + "\n"

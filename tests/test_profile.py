@@ -5,14 +5,15 @@ import sys
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom import cli
 from riskloom.functions import numeric
-from riskloom.operators import drift, rules, temporal
-from riskloom.operators.columns import ColumnStats, column_stats
+from riskloom.operators import drift, ranks, rules, temporal
+from riskloom.operators.columns import ColumnStats, column_stats, number_counts, quartiles
 from riskloom.operators.roles import hints, infer_excludes, infer_target, infer_time
 from riskloom.operators.target import TargetSignal, ranked
-from riskloom.plans.profile import Profile, load_profile, profile
+from riskloom.plans.profile import Profile, load_profile, profile, profile_of_stats
 from riskloom.render.html import profile_html
 from riskloom.render.text import render_compare, render_diff, render_text
 from riskloom.sources.demo import demo_frame
@@ -49,10 +50,42 @@ def test_plan_and_code(demo, spark, tmp_path):
     made = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(made)
     df = demo_frame(spark, 300)
-    out = made.build().fit(df).transform(df).select("features")
+    out = made.prepare(df)[0].select("features")
     assert out.count() == 300 and out.first().features.size >= 8
 
 
+def test_generated_code_encodes_out_of_fold(spark):
+    rng = np.random.default_rng(4)
+    n = 2000
+    rows = pd.DataFrame({"town": [f"t{i}" for i in rng.integers(0, 400, n)], "gain": -rng.lognormal(0, 1.5, n), "place": np.arange(n) * 1.0, "won": rng.choice(["no", "yes"], n)})
+    rows.loc[:10, "town"] = None
+    df = spark.createDataFrame(rows)
+    p = profile(df, target="won", deep_correlations=False, target_permutation=False, spark=spark)
+    made: dict = {}
+    exec(p.to_spark_pipeline_code(), made)
+    assert made["TARGET_ENCODED"] == ["town"] and made["POWER"] == ["gain"] and made["POSITIVE"] in ("no", "yes")
+    train, same = (f.orderBy("place").toPandas() for f in made["prepare"](df, df.select("*")))
+    assert len(train) == len(same) == n and train._t0.notna().all()
+    y = (train.won == made["POSITIVE"]).astype(float)
+    # The target is a coin: what rows see of their own outcome shows as correlation, which only the in-sample means have.
+    assert abs(np.corrcoef(train._t0, y)[0, 1]) < 0.12 and np.corrcoef(same._t0, y)[0, 1] > 0.25
+    power = made["powers"](df)["gain"]
+    assert 1 < power <= 4 and abs(train._n0).max() < abs(rows.gain).max()
+
+
+def test_diff_and_compare_rules(spark):
+    column = lambda name, kind, **k: ColumnStats(name, kind, kind, 1000, 0, 2, **k)
+    yes, flag = column("f", "text", top_values=[("true", 700), ("false", 300)]), column("f", "bool", top_values=[("true", 300), ("false", 700)])
+    assert drift.feature_drift(yes, flag).js > 0.05 and drift.feature_drift(yes, column("f", "numeric")).kind == "other"
+    a, b = profile_of_stats({"f": yes}, "f", "a"), profile_of_stats({"g": yes}, "g", "b")
+    assert drift.target_delta(a, b) is None
+    a.target_signals = [TargetSignal(f"s{i}", 1 - i / 40) for i in range(30)]
+    b.target_signals = [TargetSignal("new", 1.0), *a.target_signals[:28]]
+    d = a.diff(b)
+    assert d.schema_added == ["g"] and d.schema_removed == ["f"] and (d.name_before, d.name_after) == ("a", "b")
+    assert [(c.feature, c.before, c.after) for c in d.rank_changes] == [("s29", 30, None), ("s28", 29, None), ("new", None, 1)] and d.rank_changes[2].score_after == 1.0
+
+
 def test_saving_and_rendering(demo, spark, tmp_path):
     again = load_profile(demo.save(tmp_path / "p.json"))
     assert again.to_json() == demo.to_json() and isinstance(again, Profile) and again.temporal.signals == demo.temporal.signals
@@ -232,3 +265,17 @@ def test_time_figures_come_from_all_rows(spark):
     by = {s.feature: s for s in report.signals}
     assert by["sparse"].drift > 0.8 and by["other"].drift == pytest.approx(0, abs=1e-3)
     assert report.drift_kind == "binary" and report.drift_score == pytest.approx(1000 / 1200)
+
+
+def test_ranges_agree_however_often_they_are_run(spark):
+    rng = np.random.default_rng(8)
+    wide = pd.DataFrame({"few": rng.integers(0, 5, 4000) * 1.0, "one": 7.0, "many": rng.normal(0, 1, 4000), "skewed": rng.lognormal(0, 2, 4000).round(1)})
+    df = spark.createDataFrame(wide).repartition(7)
+    counts = number_counts(df)
+    for _ in range(3):
+        got = {df.columns[r.c]: list(r.q) for r in quartiles(counts).collect()}
+        assert all(got[n] == pytest.approx(list(wide[n].quantile([0.25, 0.5, 0.75]))) for n in wide)
+    per = df.groupBy(F.col("skewed").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    before = {r.v: r.before_n for r in ranks.with_before(per, "v", ["n"]).collect()}
+    assert before == {v: int((wide.skewed < v).sum()) for v in wide.skewed.unique()}
+    assert ranks.with_before(per.limit(0), "v", ["n"]).count() == 0

@@ -6,13 +6,10 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
 from ..functions.kinds import BOOL, NUMERIC, TEXT
 from .association import Pair
 from .columns import ColumnStats
-from .roles import id_name, looks_like_id
+from .roles import looks_like_id
 from .target import TargetSignal, TargetSummary
 from .temporal import TemporalReport
 
@@ -181,24 +178,3 @@ def severity_counts(found: Iterable[Finding]) -> dict[str, int]:
     for f in found:
         out[f.severity] += 1
     return out
-
-
-def rule_frame(stats: DataFrame) -> DataFrame:
-    """The rules that need counts and moments alone, as rows (name, kind, severity, category, score) of a stats relation."""
-    present = F.col("n") - F.col("n_null")
-    nulls = F.col("n_null") / F.nullif(F.col("n").cast("double"), F.lit(0.0))
-    lone = F.col("n_unique") <= 1
-    varied = ~lone & (nulls < 1)
-    rule = lambda test, kind, severity, category, score: F.when(test, F.struct(F.lit(kind).alias("kind"), severity.alias("severity"), F.lit(category).alias("category"), score.cast("double").alias("score")))
-    lit: type[Column] | object = F.lit
-    rules = F.array(
-        rule(nulls >= 1, "all_null", lit("critical"), "quality", lit(1.0)),
-        rule(lone & (nulls < 1), "constant", lit("warning"), "suspicious", lit(1.0)),
-        rule(varied & (nulls > 0.5), "high_nulls", F.when(nulls > 0.9, "critical").otherwise("warning"), "quality", nulls),
-        rule(varied & (nulls > 0.1) & (nulls <= 0.5), "some_nulls", lit("info"), "quality", nulls),
-        rule(varied & (F.col("n_unique") == present) & (present > 50) & id_name(F.col("name")), "identifier_shape", lit("warning"), "suspicious", lit(0.9)),
-        rule(varied & (F.col("kind") == NUMERIC) & (F.abs("skew") > 3), "heavy_skew", lit("info"), "distribution", F.least(F.abs("skew") / 10, lit(1.0))),
-        rule(varied & (F.col("kind") == TEXT) & (F.col("n_unique") > 0.5 * present) & (F.col("n_unique") > 50), "high_cardinality_text", lit("info"), "suspicious", lit(0.7)),
-        rule(varied & (F.col("kind") == NUMERIC) & (F.col("n_unique") <= 2) & F.col("min").isin(0.0, 1.0) & F.col("max").isin(0.0, 1.0), "bool_as_int", lit("info"), "quality", lit(0.4)),
-    )
-    return stats.select("name", F.inline(F.array_compact(rules)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions.expr import number
 from .functions.kinds import NUMERIC, kinds
 from .operators import association, columns, drift, ranks, roles, rules, target, temporal
+from .plans.profile import profile_of_stats
 from .sources import filters, sampling
 from .sources.load import load
 
@@ -69,20 +70,18 @@ def _summary_sql(t: str) -> str:
     return " union all ".join(parts)
 
 
-for _t in TABLES:
-    add(f"column_summary_{_t}", _summary_sql(_t))(lambda spark, sf, t=_t: rounded(columns.stats_frame(read(spark, sf, t)), 5))
+def _summary(spark: SparkSession, df: DataFrame) -> DataFrame:
+    frame = profile_of_stats(columns.column_stats(df)).columns_frame(spark)
+    return frame.select("name", "kind", "n", "n_null", "n_unique", *STAT_DOUBLES)
 
 
-def _outliers(spark: SparkSession, sf: str, t: str, names: list[str]) -> DataFrame:
-    df = read(spark, sf, t)
-    found = dict(columns.quartiles(columns.number_counts(df.select(names))).collect())
+for _t in TABLES:
+    add(f"column_summary_{_t}", _summary_sql(_t))(lambda spark, sf, t=_t: rounded(_summary(spark, read(spark, sf, t)), 5))
 
-    def far(n: str):
-        a, _, b = found.get(names.index(n), (0.0, 0.0, 0.0))
-        return F.sum((number(n) < a - 1.5 * (b - a)).cast("long") + (number(n) > b + 1.5 * (b - a)).cast("long")) if b > a else F.lit(0)
 
-    one = df.agg(*[F.coalesce(far(n), F.lit(0)).cast("long").alias(n) for n in names])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("n_outliers")) for n in names])))
+def _outliers(spark: SparkSession, sf: str, t: str, names: list[str]) -> DataFrame:
+    found = columns.column_stats(read(spark, sf, t).select(names))
+    return spark.createDataFrame([(n, s.n_outliers_iqr or 0) for n, s in found.items()], "name string, n_outliers long")
 
 
 for _t in ("lineitem", "orders", "customer", "events"):
@@ -97,11 +96,8 @@ for _t in ("lineitem", "orders", "customer", "events"):
 
 
 def _histogram(spark: SparkSession, sf: str, t: str, c: str) -> DataFrame:
-    df = read(spark, sf, t)
-    low, high = df.agg(F.min(number(c)), F.max(number(c))).first()
-    counts = df.select(columns.bin_of(number(c), low, high, columns.BINS).alias("bin")).where("bin is not null").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    grid = spark.range(columns.BINS).select(F.col("id").cast("int").alias("bin"))
-    return grid.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+    bins = columns.column_stats(read(spark, sf, t).select(c))[c].histogram
+    return spark.createDataFrame([(i, n) for i, (_, _, n) in enumerate(bins)], "bin int, n long")
 
 
 for _t, _c in (("lineitem", "l_extendedprice"), ("lineitem", "l_quantity"), ("orders", "o_totalprice"), ("events", "value")):
@@ -113,9 +109,8 @@ for _t, _c in (("lineitem", "l_extendedprice"), ("lineitem", "l_quantity"), ("or
 
 def _top(spark: SparkSession, sf: str, t: str) -> DataFrame:
     df = read(spark, sf, t)
-    names = [c for c, k in FIELDS[t] if k == "s"]
-    found = columns.top_values(columns.frequencies(df, names))
-    return found.select(F.element_at(F.array(*map(F.lit, df.columns)), F.col("c") + 1).alias("name"), F.col("v").alias("value"), "n", F.col("r").alias("place"))
+    found = columns.column_stats(df.select([c for c, k in FIELDS[t] if k == "s"]))
+    return spark.createDataFrame([(c, v, n, i) for c, s in found.items() for i, (v, n) in enumerate(s.top_values, 1)], "name string, value string, n long, place int")
 
 
 for _t in ("lineitem", "orders", "customer", "part", "events", "nation"):
@@ -127,15 +122,12 @@ for _t in ("lineitem", "orders", "customer", "part", "events", "nation"):
 
 @add("text_lengths", " union all ".join(f"select '{c}' as name, {r(f'avg(length({c}))')} as avg_len, max(length({c}))::int as max_len from {t}" for t, c in (("documents", "text"), ("part", "p_name"), ("events", "props"))))
 def _lengths(spark, sf):
-    parts = [read(spark, sf, t).agg(F.avg(F.length(c)).alias("avg_len"), F.max(F.length(c)).alias("max_len")).select(F.lit(c).alias("name"), "avg_len", "max_len") for t, c in (("documents", "text"), ("part", "p_name"), ("events", "props"))]
-    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    found = [columns.column_stats(read(spark, sf, t).select(c))[c] for t, c in (("documents", "text"), ("part", "p_name"), ("events", "props"))]
+    return rounded(spark.createDataFrame([(x.name, x.avg_len, x.max_len) for x in found], "name string, avg_len double, max_len int"))
 
 
 def _buckets(df: DataFrame, c: str) -> DataFrame:
-    span = df.agg((columns.seconds(F.max(c)) - columns.seconds(F.min(c))).alias("s")).first().s or 0
-    unit = columns.unit_of(span)
-    label = F.date_format(F.date_trunc(unit, F.col(c).cast("timestamp")), columns.UNITS[unit])
-    return df.select(label.alias("label")).where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return df.sparkSession.createDataFrame(columns.column_stats(df.select(c))[c].temporal_buckets, "label string, n long")
 
 
 def _bucket_sql(t: str, c: str, unit: str, fmt: str, where: str = "") -> str:
@@ -306,24 +298,83 @@ def _ladder(spark, sf):
 # ---- rules, roles, comparison ----
 
 
-def _rule_sql(t: str) -> str:
-    s = f"with s as ({_summary_sql(t)}), p as (select *, n - n_null as present, n_null / nullif(n::double, 0) as nulls, n_unique <= 1 as lone from s), v as (select *, not lone and nulls < 1 as varied from p) "
-    idname = "(lower(name) = 'id' or lower(name) like '%\\_id' escape '\\' or lower(name) like '%uuid%')"
-    rows = [
+ID_NAME = "(lower(name) = 'id' or lower(name) like '%\\_id' escape '\\' or lower(name) like '%uuid%')"
+
+
+def _rule_sql(t: str, fields: list[tuple[str, str]], target: str | None = None) -> str:
+    """Every rule on a column, from its statistics in a relation t."""
+    per = []
+    for c, k in fields:
+        x = f"{c}::double"
+        number = f"skewness({x}) as skew, min({x}) as low, max({x}) as high, (select count(*) from {t}, (select quantile_cont({x}, 0.25) as q1, quantile_cont({x}, 0.75) as q3 from {t}) q where q3 > q1 and ({c} < q1 - 1.5 * (q3 - q1) or {c} > q3 + 1.5 * (q3 - q1))) as far"
+        other = "null::double as skew, null::double as low, null::double as high, 0 as far"
+        lead = f"(select list({c} order by n desc, {c}) from (select {c}, count(*) as n from {t} where {c} is not null group by {c} order by n desc, {c} limit 10))" if k == "s" else "null::varchar[]"
+        per.append(
+            f"select '{c}' as name, '{KIND[k]}' as kind, count(*) as n, count({c}) as present, count(distinct {c}) as n_unique, {number if k == 'n' else other}, "
+            f"coalesce((select max(n) from (select count(*) as n from {t} where {c} is not null group by {c})), 0) as most, {lead} as lead, {f'avg(length({c}))' if k == 's' else '0'} as avg_len from {t}"
+        )
+    marks = ", ".join(f"'{m}'" for m in sorted(rules.SENTINELS))
+    feature = f"name <> '{target}'" if target else "true"
+    held = [
         ("nulls >= 1", "all_null", "'critical'", "quality", "1.0"),
-        ("lone and nulls < 1", "constant", "'warning'", "suspicious", "1.0"),
+        (f"lone and nulls < 1 and {feature}", "constant", "'warning'", "suspicious", "1.0"),
+        (f"varied and {feature} and kind <> 'temporal' and most / present::double > 0.99", "near_constant", "'warning'", "suspicious", "most / present::double"),
         ("varied and nulls > 0.5", "high_nulls", "case when nulls > 0.9 then 'critical' else 'warning' end", "quality", "nulls"),
         ("varied and nulls > 0.1 and nulls <= 0.5", "some_nulls", "'info'", "quality", "nulls"),
-        (f"varied and n_unique = present and present > 50 and {idname}", "identifier_shape", "'warning'", "suspicious", "0.9"),
-        ("varied and kind = 'numeric' and abs(skew) > 3", "heavy_skew", "'info'", "distribution", "least(abs(skew) / 10, 1.0)"),
+        (f"varied and n_unique = present and present > 50 and {ID_NAME}", "identifier_shape", "'warning'", "suspicious", "0.9"),
+        (f"varied and {feature} and kind = 'numeric' and abs(skew) > 3", "heavy_skew", "'info'", "distribution", "least(abs(skew) / 10, 1.0)"),
+        (f"varied and {feature} and kind = 'numeric' and far / present::double > 0.01", "outliers", "'info'", "distribution", "far / present::double"),
+        (f"varied and {feature} and kind = 'numeric' and n_unique <= 2 and low in (0, 1) and high in (0, 1)", "bool_as_int", "'info'", "quality", "0.4"),
+        (f"varied and kind = 'text' and len(list_filter(lead, lambda v: v in ({marks}))) > 0", "encoded_nulls", f"case when lead[1] in ({marks}) then 'warning' else 'info' end", "quality", f"case when lead[1] in ({marks}) then 0.85 else 0.6 end"),
         ("varied and kind = 'text' and n_unique > 0.5 * present and n_unique > 50", "high_cardinality_text", "'info'", "suspicious", "0.7"),
-        ("varied and kind = 'numeric' and n_unique <= 2 and min in (0, 1) and max in (0, 1)", "bool_as_int", "'info'", "quality", "0.4"),
+        (f"varied and {feature} and kind = 'text' and avg_len > 32 and n_unique / present::double > 0.8", "free_text", "'info'", "suspicious", "0.6"),
+        (f"varied and {feature} and kind = 'text' and len(list_filter(lead, lambda v: regexp_matches(trim(v), '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}})'))) >= 0.8 * len(lead)", "date_as_string", "'warning'", "quality", "0.75"),
     ]
-    return s + " union all ".join(f"select name, '{k}' as kind, {sev} as severity, '{cat}' as category, {r(f'({score})::double')} as score from v where {test}" for test, k, sev, cat, score in rows)
+    if target:
+        held.append((f"varied and {feature} and kind = 'text' and n_unique > 0.3 * present and n_unique > 30", "high_cardinality_cat", "'warning'", "quality", "0.6"))
+    head = f"s as ({' union all '.join(per)}), p as (select *, 1 - present / nullif(n::double, 0) as nulls, n_unique <= 1 as lone from s), v as (select *, not lone and nulls < 1 as varied from p) "
+    return head + " union all ".join(f"select name, '{k}' as kind, {sev} as severity, '{cat}' as category, {r(f'({score})::double')} as score from v where {test}" for test, k, sev, cat, score in held)
+
+
+def _findings(df: DataFrame, target: str | None = None) -> DataFrame:
+    found = rules.column_findings(columns.column_stats(df), target)
+    rows = [(f.columns[0], f.kind, f.severity, f.category, float(f.score)) for f in found]
+    return rounded(df.sparkSession.createDataFrame(rows, "name string, kind string, severity string, category string, score double"))
 
 
 for _t in TABLES:
-    add(f"findings_{_t}", _rule_sql(_t))(lambda spark, sf, t=_t: rounded(rules.rule_frame(columns.stats_frame(read(spark, sf, t)))))
+    add(f"findings_{_t}", "with " + _rule_sql(_t, FIELDS[_t]))(lambda spark, sf, t=_t: _findings(read(spark, sf, t)))
+
+#: Columns made of orders so that each rule has something to find: name, kind, expression of both engines.
+TRAPS = [
+    ("order_id", "n", "o_orderkey"),
+    ("empty", "n", "nullif(o_orderkey, o_orderkey)"),
+    ("rare", "n", "case when o_orderkey % 20 = 0 then o_totalprice end"),
+    ("sparse", "n", "case when o_orderkey % 10 < 3 then o_totalprice end"),
+    ("gaps", "n", "case when o_orderkey % 5 <> 0 then o_totalprice end"),
+    ("single", "s", "nullif('a', o_orderstatus)"),
+    ("mostly", "s", "case when o_orderkey % 200 = 0 then 'x' else 'y' end"),
+    ("flag", "n", "case when o_orderkey % 7 = 0 then 1 else 0 end"),
+    ("burst", "n", "o_totalprice * case when o_orderkey % 50 = 0 then 1000.0 else 1.0 end"),
+    ("status", "s", "case when o_orderkey % 4 = 0 then 'N/A' else o_orderstatus end"),
+    ("unknown", "s", "case when o_orderkey % 4 <> 0 then '?' else o_orderpriority end"),
+    ("day", "s", "substring(cast(o_orderdate as varchar(30)), 1, 10)"),
+    ("note", "s", "concat('order with a rather long description, number ', cast(o_orderkey as varchar(20)))"),
+    ("buyer", "s", "concat('c', cast(o_custkey as varchar(20)), o_orderstatus, o_orderpriority)"),
+    ("placed", "t", "o_orderdate"),
+    ("label", "s", "o_orderstatus"),
+]
+
+
+def traps(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "orders").select(*[F.expr(e).alias(n) for n, _, e in TRAPS])
+
+
+for _name, _target in (("traps", None), ("traps_with_target", "label")):
+    add(
+        f"findings_{_name}",
+        f"with made as (select {', '.join(f'{e} as {n}' for n, _, e in TRAPS)} from orders), " + _rule_sql("made", [(n, k) for n, k, _ in TRAPS], _target),
+    )(lambda spark, sf, target=_target: _findings(traps(spark, sf), target))
 
 
 def _roles(spark: SparkSession, sf: str) -> DataFrame:
@@ -381,10 +432,41 @@ def _categorical(spark, sf):
     return rounded(drift.divergence_frame(df, F.col("event_type"), late))
 
 
+def _binned_sql(c: str) -> str:
+    """KS, PSI and Wasserstein of a column of two sides from 24 bins each, put on the grid of both."""
+    return (
+        f"with sides as (select {c}::double as x, o_orderdate >= timestamp '1997-01-01' as late from orders where {c} is not null), "
+        "range_of as (select late, min(x) as lo, max(x) as hi from sides group by late), "
+        "bins as (select s.late, greatest(0, least(23, floor((x - lo) / ((hi - lo) / 24))))::int as b, any_value(lo) as lo, any_value(hi) as hi, count(*)::double as n from sides s join range_of r on r.late = s.late group by 1, 2), "
+        "grid as (select i as g, min(lo) + i * (max(hi) - min(lo)) / 24 as low, min(lo) + (i + 1) * (max(hi) - min(lo)) / 24 as high from range_of, range(24) t(i) group by i), "
+        "mass as (select g, late, sum(n * greatest(0, least(high, lo + (b + 1) * (hi - lo) / 24) - greatest(low, lo + b * (hi - lo) / 24)) / ((hi - lo) / 24)) as m from grid, bins group by 1, 2), "
+        "shares as (select g, sum(m) filter (where not late) / (select sum(m) from mass where not late) as p, sum(m) filter (where late) / (select sum(m) from mass where late) as q from mass group by g), "
+        "steps as (select *, abs(sum(p) over (order by g) - sum(q) over (order by g)) as gap, (p + 1 / 24::double) / 2 as sp, (q + 1 / 24::double) / 2 as sq from shares) "
+        f"select '{c}' as name, {r('max(gap)')} as ks, {r('sum((sq - sp) * ln(sq / sp))')} as psi, {r('sum(gap) filter (where g < 23) * (select any_value(high - low) from grid)', 2)} as wasserstein, null::double as js, null::double as chi2 from steps"
+    )
+
+
+def _levels_sql(c: str) -> str:
+    return (
+        f"with c as (select {c} as v, count(*) filter (where o_orderdate < timestamp '1997-01-01')::double as a, count(*) filter (where o_orderdate >= timestamp '1997-01-01')::double as b from orders where {c} is not null group by 1), "
+        "t as (select *, sum(a) over () as ta, sum(b) over () as tb from c), p as (select *, a / ta as p, b / tb as q, (a / ta + b / tb) / 2 as m, ta * (a + b) / (ta + tb) as ea, tb * (a + b) / (ta + tb) as eb from t) "
+        f"select '{c}' as name, null::double as ks, null::double as psi, null::double as wasserstein, {r('sum(case when p > 0 then p * ln(p / m) else 0 end + case when q > 0 then q * ln(q / m) else 0 end) / 2')} as js, {r('sum((a - ea) ** 2 / ea + (b - eb) ** 2 / eb)', 4)} as chi2 from p"
+    )
+
+
+@add("compare_orders", " union all ".join(f"select * from ({_binned_sql(c)})" for c in ("o_totalprice", "o_custkey")) + " union all " + " union all ".join(f"select * from ({_levels_sql(c)})" for c in ("o_orderstatus", "o_orderpriority")))
+def _compare(spark, sf):
+    df = read(spark, sf, "orders")
+    late = F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz")
+    a, b = (profile_of_stats(columns.column_stats(df.where(side).select("o_totalprice", "o_custkey", "o_orderstatus", "o_orderpriority"))) for side in (~late, late))
+    rows = [(d.name, d.ks, d.psi, d.wasserstein, d.js, d.chi2) for d in drift.compare_profiles(a, b).features]
+    got = spark.createDataFrame(rows, "name string, ks double, psi double, wasserstein double, js double, chi2 double")
+    return rounded(got.select("name", "ks", "psi", F.round("wasserstein", 2).alias("wasserstein"), "js", F.round("chi2", 4).alias("chi2")))
+
+
 @add("action_rules", "select * from (values ('median', 'income'), ('onehot', 'plan'), ('ordinal', 'flag'), ('target_oof', 'zip'), ('log1p', 'revenue'), ('drop', 'constant_col')) v(action, \"column\")")
 def _actions(spark, sf):
     from .plans.actions import build_action_plan
-    from .plans.profile import profile_of_stats
 
     s = lambda name, kind, n_unique, n_null=0, **k: columns.ColumnStats(name, kind, kind, 1000, n_null, n_unique, **k)
     made = {x.name: x for x in (s("income", NUMERIC, 900, 50, min=1.0), s("plan", "text", 4, top_values=[("a", 900)]), s("flag", "text", 2, top_values=[("a", 900)]), s("zip", "text", 300, top_values=[("a", 9)]), s("revenue", NUMERIC, 900, skew=6.0, min=0.0), s("constant_col", NUMERIC, 1))}

@@ -182,12 +182,10 @@ def _texts(df: DataFrame) -> list[str]:
     return [n for n, k in kinds(df.schema).items() if k != NUMERIC]
 
 
-def column_stats(df: DataFrame, bins: int = BINS, exact_quantiles: bool = True, persist: bool = False) -> dict[str, ColumnStats]:
-    """Statistics by column, in the order of the table. persist keeps the frame for the passes."""
+def column_stats(df: DataFrame, bins: int = BINS, exact_quantiles: bool = True) -> dict[str, ColumnStats]:
+    """Statistics by column, in the order of the table; exact quartiles, or approximate ones in the pass of the moments."""
     if not df.columns:
         return {}
-    if persist:
-        df = df.persist()
     by_kind = kinds(df.schema)
     one = df.agg(*scalar_exprs(df)).first().asDict()
     numbers, other = number_counts(df).persist(), frequencies(df, _texts(df)).persist()
@@ -215,8 +213,6 @@ def column_stats(df: DataFrame, bins: int = BINS, exact_quantiles: bool = True,
             s.histogram = [(float(j), float(j + 1), n) for j, (_, n) in enumerate(s.top_values)]
         out[f.name] = s
     _third_pass(df, out, {n: one.get(f"{i}_span") for i, n in enumerate(df.columns)}, bins)
-    if persist:
-        df.unpersist()
     return out
 
 
@@ -258,15 +254,4 @@ def _third_pass(df: DataFrame, stats: dict[str, ColumnStats], spans: dict[str, A
             s.temporal_buckets = sorted(counts.get(i, {}).items())
 
 
-def stats_frame(df: DataFrame) -> DataFrame:
-    """Counts and numeric summary of every column as one relation, by the same passes as column_stats and without a driver step."""
-    by_kind = kinds(df.schema)
-    one = df.agg(*[F.count(F.lit(1)).alias("n"), *[F.count(col(n)).alias(f"{i}_count") for i, n in enumerate(df.columns)]])
-    rows = [F.struct(F.lit(i).alias("c"), F.lit(n).alias("name"), F.lit(by_kind[n]).alias("kind"), F.col("n"), (F.col("n") - F.col(f"{i}_count")).alias("n_null")) for i, n in enumerate(df.columns)]
-    counts = one.select(F.inline(F.array(*rows)))
-    found = counts.join(F.broadcast(_figures(df, number_counts(df), frequencies(df, _texts(df)))), "c", "left")
-    quarter = lambda j, k: F.element_at("q", j).alias(k)
-    return found.select("name", "kind", "n", "n_null", F.coalesce("n_unique", F.lit(0)).alias("n_unique"), "mean", "std", "min", quarter(1, "p25"), quarter(2, "p50"), quarter(3, "p75"), "max", "skew")
-
-
-__all__ = ["BINS", "OTHER", "ColumnStats", "bin_of", "column_stats", "edges", "frequencies", "stats_frame", "top_values", "unit_of", "unpivoted"]
+__all__ = ["BINS", "OTHER", "ColumnStats", "bin_of", "column_stats", "edges", "frequencies", "top_values", "unit_of", "unpivoted"]

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..functions.kinds import BOOL, NUMERIC, TEMPORAL, TEXT
 from .columns import ColumnStats
 
@@ -18,11 +15,6 @@ def looks_like_id(name: str) -> bool:
     return low == "id" or low.endswith("_id") or "uuid" in low
 
 
-def id_name(name: Column) -> Column:
-    low = F.lower(name)
-    return (low == "id") | low.endswith("_id") | low.contains("uuid")
-
-
 def infer_target(stats: dict[str, ColumnStats]) -> str | None:
     low = {n.lower(): n for n in reversed(list(stats))}
     named = [low[t] for t in TARGET_NAMES if t in low]

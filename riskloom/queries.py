@@ -378,20 +378,9 @@ for _name, _target in (("traps", None), ("traps_with_target", "label")):
 
 
 def _roles(spark: SparkSession, sf: str) -> DataFrame:
-    df = read(spark, sf, "events")
-    s = columns.stats_frame(df)
-    unique = F.col("n_unique") / F.nullif((F.col("n") - F.col("n_null")).cast("double"), F.lit(0.0))
-    hints = F.array_compact(
-        F.array(
-            F.when(roles.id_name(F.col("name")), "identifier"),
-            F.when((F.col("kind") == "numeric") & (F.col("n_unique") <= 2), "boolean"),
-            F.when((F.col("kind") == "text") & F.col("n_unique").between(2, 20), "low-card categorical"),
-            F.when((F.col("kind") == "numeric") & F.col("n_unique").between(3, 20), "ordinal candidate target"),
-            F.when(F.col("kind") == "temporal", "time column candidate"),
-        )
-    )
-    drop = ((F.col("n") - F.col("n_null")) > 50) & ((roles.id_name(F.col("name")) & (unique >= 0.95)) | ((F.col("kind") == "text") & (unique >= 0.8) & (F.col("n_unique") > 100)))
-    return s.select("name", F.array_join(hints, ",").alias("hints"), F.coalesce(drop, F.lit(False)).alias("exclude"))
+    found = columns.column_stats(read(spark, sf, "events"))
+    out = set(roles.infer_excludes(found))
+    return spark.createDataFrame([(n, ",".join(roles.hints(x)), n in out) for n, x in found.items()], "name string, hints string, exclude boolean")
 
 
 add(

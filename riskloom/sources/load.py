@@ -17,7 +17,7 @@ from ..functions.expr import quoted
 from ..functions.kinds import kinds
 from ..session import session
 from .filters import parse_clause, to_column, to_sql
-from .remote import OBJECT_STORES, parse_uri, without_secrets, open_remote
+from .remote import OBJECT_STORES, POSTGRES, columns_query, connector, credentials, open_remote, parse_uri, size_of, vendor_kind, warehouse, without_secrets
 from .sampling import exact_sample
 
 DELIMITED, JSON = (".csv", ".tsv", ".txt"), (".json", ".jsonl", ".ndjson")
@@ -143,7 +143,7 @@ def load(
                     warnings.warn("a sample of this source is its first rows, which may be biased", stacklevel=2)
         else:
             path = Path(data).expanduser()
-            if not path.exists():
+            if not exists(spark, path):
                 raise FileNotFoundError(without_secrets(str(path)))
             df, name = read_path(spark, str(path)), path.name
     else:
@@ -175,17 +175,36 @@ def discover_schema(data: str, credentials_env: str | None = None, spark: SparkS
     """Names, types and kinds without reading rows; a row estimate where the source keeps one."""
     spark = spark or session()
     uri = parse_uri(data)
-    df = read_path(spark, data) if uri is None else open_remote(spark, uri, credentials_env)[0]
-    rows = None
-    if uri is not None and uri.scheme in ("postgres", "postgresql"):
-        from .remote import credentials, postgres_options
-
-        options = postgres_options(uri, credentials(uri.scheme, credentials_env))
-        table = options.pop("dbtable")
-        seen = spark.read.format("jdbc").options(**options).option("query", f"SELECT reltuples::bigint AS n FROM pg_class WHERE oid = '{table}'::regclass").load().first()
-        rows = seen[0] if seen and seen[0] >= 0 else None
-    by = kinds(df.schema)
-    return SchemaInfo(uri.qualified if uri else data, [(f.name, f.dataType.simpleString(), by[f.name]) for f in df.schema], rows)
+    if uri is None or uri.scheme in OBJECT_STORES:
+        df = read_path(spark, data) if uri is None else open_remote(spark, uri, credentials_env)[0]
+        fields, rows = None, footer_rows(data) if uri is None else None
+    else:
+        with connector(uri.scheme):
+            run = warehouse(spark, uri, credentials(uri.scheme, credentials_env))
+            rows = size_of(run, uri)[0]
+            fields = [(r.name, r.type, vendor_kind(r.type)) for r in run(columns_query(uri)).collect()] if uri.scheme not in POSTGRES else None
+        df = None if fields is not None else open_remote(spark, uri, credentials_env)[0]
+    if fields is None:
+        by = kinds(df.schema)
+        fields = [(f.name, f.dataType.simpleString(), by[f.name]) for f in df.schema]
+    return SchemaInfo(uri.qualified if uri else data, fields, rows)
+
+
+def footer_rows(path: str) -> int | None:
+    """Rows of one Parquet file by its footer; None for anything else."""
+    if not (path.lower().endswith(".parquet") and os.path.isfile(path)):
+        return None
+    import pyarrow.parquet as pq
+
+    return pq.read_metadata(path).num_rows
+
+
+def exists(spark: SparkSession, path: Path) -> bool:
+    """On this machine or in the cluster's default file system."""
+    if path.exists():
+        return True
+    at = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 _PLAIN = {c.typeName(): c for c in (T.StringType, T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)}

@@ -9,13 +9,15 @@ from __future__ import annotations
 import os
 import re
 import warnings
+from contextlib import contextmanager
 from dataclasses import dataclass
 from urllib.parse import parse_qsl, quote, urlencode, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
 # The schemes that are read, and the variables their vendors' tools read.
-OBJECT_STORES = {"s3": "s3a", "s3a": "s3a", "gs": "gs", "gcs": "gs", "http": "http", "https": "https"}
+OBJECT_STORES = {"s3": "s3a", "s3a": "s3a", "gs": "gs", "gcs": "gs", "http": "http", "https": "https"} | {x: x for x in ("hdfs", "viewfs", "abfs", "abfss", "wasbs", "dbfs", "file")}
+AZURE = ("abfs", "abfss", "wasbs")
 POSTGRES = ("postgres", "postgresql")
 SCHEMES = sorted([*OBJECT_STORES, *POSTGRES, "bigquery", "snowflake"])
 _AWS = ("AWS_ACCESS_KEY_ID", "AWS_SECRET_ACCESS_KEY", "AWS_SESSION_TOKEN", "AWS_REGION", "AWS_DEFAULT_REGION")
@@ -27,11 +29,13 @@ OPTIONAL = {
     **dict.fromkeys(POSTGRES, _PG),
     **dict.fromkeys(("s3", "s3a"), _AWS),
     **dict.fromkeys(("gs", "gcs"), ("GOOGLE_APPLICATION_CREDENTIALS",)),
-    **dict.fromkeys(("http", "https"), ("RISKLOOM_HTTPS_BEARER",)),
+    **dict.fromkeys(("http", "https", "hdfs", "viewfs", "abfs", "abfss", "wasbs", "dbfs", "file"), ()),
 }
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_$-]*(\.[A-Za-z_][A-Za-z0-9_$-]*){0,2}")
 #: Above these a warning tells what a scan would touch.
 BIGQUERY_BYTES, SNOWFLAKE_CELLS = 5 * 1024**3, 5 * 10**8
+#: Pages of 8 kB that a task reads of a table of Postgres, and the most tasks (connections) at once.
+PAGES, CONNECTIONS = 16_384, 64
 
 
 class MissingCredential(ValueError):
@@ -49,6 +53,7 @@ class RemoteTable:
     port: int | None
     path: str
     query: dict[str, str]
+    container: str = ""
 
     @property
     def qualified(self) -> str:
@@ -73,7 +78,9 @@ def parse_uri(text: str) -> RemoteTable | None:
     scheme = parts.scheme.lower()
     if scheme not in SCHEMES:
         raise ValueError(f"unsupported scheme {scheme!r}; there are {', '.join(SCHEMES)}")
-    return RemoteTable(scheme, parts.hostname or "", parts.port, parts.path, dict(parse_qsl(parts.query)))
+    # Azure's paths name the container where others have a user.
+    container = f"{parts.username}@" if scheme in AZURE and parts.username else ""
+    return RemoteTable(scheme, parts.hostname or "", parts.port, parts.path, dict(parse_qsl(parts.query)), container)
 
 
 def credentials(scheme: str, prefix: str | None = None) -> dict[str, str]:
@@ -125,7 +132,7 @@ def object_store_options(uri: RemoteTable, found: dict[str, str]) -> dict[str, s
 
 
 def object_store_path(uri: RemoteTable) -> str:
-    return f"{OBJECT_STORES[uri.scheme]}://{uri.host}{f':{uri.port}' if uri.port else ''}{uri.path}"
+    return f"{OBJECT_STORES[uri.scheme]}://{uri.container}{uri.host}{f':{uri.port}' if uri.port else ''}{uri.path}"
 
 
 def remote_query(table: str, clauses: list[str], limit: int | None) -> str:
@@ -184,24 +191,83 @@ def vendor_kind(name: str) -> str:
     return next((kind for kind, names in VENDOR_KINDS.items() if plain in names), "other")
 
 
-def open_remote(spark: SparkSession, uri: RemoteTable, prefix: str | None = None, clauses: list[str] | None = None, limit: int | None = None) -> tuple[DataFrame, bool]:
-    """(frame, whether clauses and limit were applied remotely). Lazy: nothing is read but the schema."""
-    found = credentials(uri.scheme, prefix)
+def page_ranges(pages: int) -> list[str]:
+    """Predicates on the place of a row that part a Postgres table; the last is open, so that no row is missed."""
+    n = max(1, min(CONNECTIONS, pages // PAGES))
+    cuts = [pages * k // n for k in range(1, n)]
+    at = lambda page: f"'({page},0)'::tid"
+    lows, highs = [None, *cuts], [*cuts, None]
+    return [" AND ".join([*([f"ctid >= {at(a)}"] if a is not None else []), *([f"ctid < {at(b)}"] if b is not None else [])]) or "true" for a, b in zip(lows, highs)]
+
+
+def warehouse(spark: SparkSession, uri: RemoteTable, found: dict[str, str]):
+    """run(sql): the rows a statement of a database or warehouse gives, lazily."""
+    kind, options = {
+        "bigquery": ("bigquery", lambda: bigquery_options(uri, found)),
+        "snowflake": ("snowflake", lambda: snowflake_options(uri, found)),
+    }.get(uri.scheme, ("jdbc", lambda: {k: v for k, v in postgres_options(uri, found).items() if k != "dbtable"}))
+    made = options()
+    return lambda sql: spark.read.format(kind).options(**made).option("query", sql).load()
+
+
+def size_query(uri: RemoteTable) -> str:
+    """The statement that asks the catalog for (n_rows, n_bytes, n_pages) without reading the table."""
+    *above, name = uri.table().split(".")
+    if uri.scheme == "bigquery":
+        return f"SELECT row_count AS n_rows, size_bytes AS n_bytes, 0 AS n_pages FROM `{'.'.join([*above, '__TABLES__'])}` WHERE table_id = '{name}'"
+    if uri.scheme == "snowflake":
+        schema = f" AND table_schema = '{above[-1].upper()}'" if above else ""
+        return f"SELECT row_count AS n_rows, bytes AS n_bytes, 0 AS n_pages FROM {'.'.join([*above[:-1], 'information_schema', 'tables'])} WHERE table_name = '{name.upper()}'{schema}"
+    # A view has no pages and no ctid; a partitioned table's pages are those of its parts, so it is read as one.
+    return f"SELECT reltuples::bigint AS n_rows, 0::bigint AS n_bytes, CASE WHEN relkind = 'r' THEN relpages ELSE 0 END AS n_pages FROM pg_class WHERE oid = '{uri.table()}'::regclass"
+
+
+def size_of(run, uri: RemoteTable) -> tuple[int | None, int | None, int]:
+    """(rows, bytes, pages) by the catalog; None where it doesn't say."""
+    seen = run(size_query(uri)).first()
+    n_rows, n_bytes, n_pages = seen if seen else (None, None, None)
+    known = lambda x: int(x) if x is not None and x >= 0 else None
+    return known(n_rows), known(n_bytes), known(n_pages) or 0
+
+
+def columns_query(uri: RemoteTable) -> str:
+    """The statement for (name, type) of a warehouse's table."""
+    *above, name = uri.table().split(".")
+    if uri.scheme == "bigquery":
+        return f"SELECT column_name AS name, data_type AS type FROM `{'.'.join([*above, 'INFORMATION_SCHEMA', 'COLUMNS'])}` WHERE table_name = '{name}' ORDER BY ordinal_position"
+    schema = f" AND table_schema = '{above[-1].upper()}'" if above else ""
+    return f"SELECT column_name AS name, data_type AS type FROM {'.'.join([*above[:-1], 'information_schema', 'columns'])} WHERE table_name = '{name.upper()}'{schema} ORDER BY ordinal_position"
+
+
+@contextmanager
+def connector(scheme: str):
+    """Says plainly that a connector is missing."""
     try:
-        if uri.scheme in POSTGRES:
-            return spark.read.format("jdbc").options(**postgres_options(uri, found)).load(), False
-        if uri.scheme == "bigquery":
-            sql = remote_query(f"`{uri.table()}`", clauses or [], limit)
-            return spark.read.format("bigquery").options(**bigquery_options(uri, found)).option("query", sql).load(), True
-        if uri.scheme == "snowflake":
-            sql = remote_query(uri.table(), clauses or [], limit)
-            return spark.read.format("snowflake").options(**snowflake_options(uri, found)).option("query", sql).load(), True
+        yield
     except Exception as e:
         if re.search("ClassNotFound|DATA_SOURCE_NOT_FOUND|Failed to find data source|No suitable driver", str(e)):
-            raise MissingConnector(f"the Spark connector for {uri.scheme}:// isn't on the class path") from e
+            raise MissingConnector(f"the Spark connector for {scheme}:// isn't on the class path") from e
         raise
-    for name, value in object_store_options(uri, found).items():
-        spark._jsc.hadoopConfiguration().set(name, value)
-    from .load import read_path
 
-    return read_path(spark, object_store_path(uri)), False
+
+def open_remote(spark: SparkSession, uri: RemoteTable, prefix: str | None = None, clauses: list[str] | None = None, limit: int | None = None) -> tuple[DataFrame, bool]:
+    """(frame, whether clauses and limit were applied remotely). Lazy: nothing is read but the schema and the catalog's sizes."""
+    found = credentials(uri.scheme, prefix)
+    if uri.scheme in OBJECT_STORES:
+        for name, value in object_store_options(uri, found).items():
+            spark._jsc.hadoopConfiguration().set(name, value)
+        from .load import read_path
+
+        return read_path(spark, object_store_path(uri)), False
+    with connector(uri.scheme):
+        run = warehouse(spark, uri, found)
+        rows, n_bytes, pages = size_of(run, uri)
+        if uri.scheme in POSTGRES:
+            options = postgres_options(uri, found)
+            url, name = options.pop("url"), options.pop("dbtable")
+            parts = page_ranges(pages)
+            return spark.read.jdbc(url, name, predicates=parts, properties=options) if len(parts) > 1 else spark.read.jdbc(url, name, properties=options), False
+        quoted = f"`{uri.table()}`" if uri.scheme == "bigquery" else uri.table()
+        df = run(remote_query(quoted, clauses or [], limit))
+        warn_about_cost(uri.scheme, n_bytes, rows, len(df.columns), limit)
+        return df, True

@@ -148,3 +148,50 @@ def test_mistyped_literal_is_an_error(spark):
     assert df.where(filters.parse_filter("b == true", df.schema)).count() == 1
     with pytest.raises(Exception, match="is no date"):
         df.where(filters.parse_filter("d >= 2024-13-45", df.schema)).count()
+
+
+def test_catalogs_are_asked_for_sizes(spark, monkeypatch):
+    b, f, p = (remote.parse_uri(x) for x in ("bigquery://proj/data.t", "snowflake://x/db.sales.orders", "postgres://h/d?table=a.b"))
+    assert "`data.__TABLES__`" in remote.size_query(b) and "table_id = 't'" in remote.size_query(b)
+    assert "db.information_schema.tables" in remote.size_query(f) and "table_schema = 'SALES'" in remote.size_query(f) and "'a.b'::regclass" in remote.size_query(p)
+    asked = []
+
+    def warehouse(session, uri, found):
+        def run(sql):
+            asked.append(sql)
+            if "n_rows" in sql:
+                return spark.createDataFrame([(10**9, 9 * 1024**3, 0)], "n_rows long, n_bytes long, n_pages long")
+            return spark.createDataFrame([("a", "NUMBER(38,0)"), ("b", "VARCHAR")], "name string, type string")
+
+        return run
+
+    for k, v in (("SNOWFLAKE_ACCOUNT", "a"), ("SNOWFLAKE_USER", "u"), ("GOOGLE_APPLICATION_CREDENTIALS", "/none")):
+        monkeypatch.setenv(k, v)
+    monkeypatch.setattr(remote, "warehouse", warehouse)
+    with pytest.warns(UserWarning, match="GiB"):
+        assert remote.open_remote(spark, b, None, ["x = 1"], None)[1] and asked[-1].endswith("WHERE (x = 1)")
+    with pytest.warns(UserWarning, match="cells"):
+        remote.open_remote(spark, f)
+    from riskloom.sources import load as loader
+
+    monkeypatch.setattr(loader, "warehouse", warehouse)
+    seen = discover_schema("snowflake://x/db.sales.orders", spark=spark)
+    assert seen.columns == [("a", "NUMBER(38,0)", "numeric"), ("b", "VARCHAR", "text")] and seen.n_rows == 10**9
+    assert not any("SELECT *" in q for q in asked[-2:])
+
+
+def test_parts_of_a_postgres_table():
+    assert remote.page_ranges(0) == ["true"] == remote.page_ranges(20_000)
+    parts = remote.page_ranges(4 * remote.PAGES)
+    assert len(parts) == 4 and parts[0] == "ctid < '(16384,0)'::tid" and parts[-1] == "ctid >= '(49152,0)'::tid"
+    assert all(x.split(" AND ")[-1].split("'")[1] == y.split("'")[1] for x, y in zip(parts, parts[1:]))
+    assert len(remote.page_ranges(10**9)) == remote.CONNECTIONS
+
+
+def test_file_systems_by_uri(spark, tmp_path, sf0):
+    for text in ("hdfs://nn:8020/a/b.parquet", "abfss://box@acc.dfs.core.windows.net/a.parquet", "file:///tmp/a.parquet"):
+        assert remote.object_store_path(remote.parse_uri(text)) == text
+    spark.range(5).write.parquet(str(tmp_path / "a.parquet"))
+    assert load(f"file://{tmp_path}/a.parquet", spark=spark).n_rows == 5
+    one = f"{sf0}/nation.parquet"
+    assert discover_schema(one, spark=spark).n_rows == 25

@@ -222,12 +222,22 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return train(windows, labels) if windows else None
 
 
-#: Below this score a language isn't taken as known.
-LEAST_SCORE = 0.3
+#: Below this score a language isn't taken as known, or below this multiple of an even share where many languages were learnt.
+LEAST_SCORE, EVEN_SHARES = 0.3, 2.0
 
 
-def keep_identified(docs: DataFrame, net: Network | None, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """Rows of docs whose language is named with at least that score; columns unchanged."""
+def least_score(net: Network) -> float:
+    return min(LEAST_SCORE, EVEN_SHARES / len(net.languages))
+
+
+def keep_identified(docs: DataFrame, net: Network | None, text: str = "text", least: float | None = None) -> DataFrame:
+    """Rows of docs whose language is named with at least that score; columns unchanged.
+
+    Null texts and texts without a letter go, and without a network (nothing to learn from) every text.
+    Repeated rows and keys are judged one by one; an empty table gives no rows.
+    """
+    if least is None:
+        least = least_score(net) if net is not None else LEAST_SCORE
     cols = docs.columns
     inner = docs.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(cols)])
     seen = identify(inner, net, f"in_{cols.index(text)}")

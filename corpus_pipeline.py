@@ -14,8 +14,13 @@ from riskloom.llm.common import store, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network names; learnt from the labelled ones."""
-    return langid.keep_identified(docs, langid.learn(docs))
+    """Documents in a language that the network names; learnt from the labelled ones.
+
+    Null texts and texts without a letter go; if no document is labelled, all others stay.
+    Rows that repeat are judged alike, one by one.
+    """
+    net = langid.learn(docs)
+    return docs.where(langid.has_letter("text")) if net is None else langid.keep_identified(docs, net)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +34,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs. Null and empty texts have none and stay;
+    an empty benchmark keeps all."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences along the curve."""
+    """Pieces of sequences along the curve. A null text is its closing id alone; rows that repeat are packed each."""
     packed = packing.pack(docs)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

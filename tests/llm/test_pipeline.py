@@ -153,3 +153,12 @@ def test_stages_and_run(spark, sf):
         docs = spark.createDataFrame(after.collect(), after.schema)
     packed = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_lines_and_benchmark_on_empty_tables(spark, sf):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    none = docs.limit(0)
+    assert lines.drop_boilerplate(none).count() == 0 and lines.drop_boilerplate(none).columns == docs.columns
+    assert decontam.decontaminate(none, items).count() == 0
+    few = docs.orderBy("doc_id").limit(5)
+    assert decontam.decontaminate(few, items.limit(0)).count() == 5

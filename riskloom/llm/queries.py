@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, collocations, decontam, embeddings, extract, langid, lines, packing, repeats, simhash, token_counts
+from . import chat, collocations, decontam, embeddings, extract, langid, lines, packing, repeats, simhash, token_counts, variants
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html_extraction": extract.digest,
         "op10_decontamination": decontam.digest,
         "op11_phrase_collocations": collocations.digest,
+        "op12_spelling_variants": variants.digest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE, "op2_embedding_near_dedup": embeddings.ORACLE, "op8_line_dedup": lines.ORACLE, "op10_decontamination": decontam.ORACLE, "op11_phrase_collocations": collocations.ORACLE}
+    return {"op1_chat_formatting": chat.ORACLE, "op2_embedding_near_dedup": embeddings.ORACLE, "op8_line_dedup": lines.ORACLE, "op10_decontamination": decontam.ORACLE, "op11_phrase_collocations": collocations.ORACLE, "op12_spelling_variants": variants.ORACLE}

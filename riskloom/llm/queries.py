@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, collocations, decontam, embeddings, extract, langid, lines, packing, repeats, simhash, token_counts, variants
+from . import chat, collocations, decontam, embeddings, extract, langid, lines, nearest, packing, repeats, simhash, token_counts, variants
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontamination": decontam.digest,
         "op11_phrase_collocations": collocations.digest,
         "op12_spelling_variants": variants.digest,
+        "op13_nearest_neighbours": nearest.digest,
     }
 
 

@@ -38,11 +38,6 @@ def hashable(field: T.StructField) -> Column:
     return as_text(field) if kind_of(field.dataType) == OTHER else col(field.name)
 
 
-def row_hash(schema: T.StructType, seed: int) -> Column:
-    """A seeded hash of a whole row, the same however rows are partitioned."""
-    return F.xxhash64(F.lit(seed), *[hashable(f) for f in schema])
-
-
 def adjusted_skewness(x: Column) -> Column:
     """Sample skewness G1; null below three values or without spread."""
     n = F.count(x).cast("double")

@@ -209,46 +209,49 @@ def normalised(nats: float) -> float:
 
 
 def tree_intervals(x: np.ndarray, y: np.ndarray, classes: int, depth: int = 4) -> tuple[np.ndarray, list]:
-    """A tree on one feature: (cut points, value of each interval). classes 0: regression by squared error.
-
-    Splits are at midpoints of neighbouring distinct values, the best first in
-    each node, exact by running sums over the sorted rows; at a tie the lower cut.
-    """
-    order = np.argsort(x, kind="stable")
-    x, y = x[order], y[order]
+    """A tree on one feature's rows: (cut points, value of each interval). classes 0: regression by squared error."""
+    values, at = np.unique(x, return_inverse=True)
     if classes:
-        one = np.zeros((len(y) + 1, classes))
-        np.cumsum(np.eye(classes)[y], 0, out=one[1:])
+        sums = np.zeros((len(values), classes))
+        np.add.at(sums, (at, y), 1)
     else:
-        one = np.zeros((len(y) + 1, 2))
-        np.cumsum(np.stack([y, y * y], 1), 0, out=one[1:])
+        sums = np.stack([np.bincount(at, w, len(values)) for w in (np.ones(len(y)), y, y * y)], 1)
+    return tree_of(values, sums, bool(classes), depth)
+
+
+def tree_of(x: np.ndarray, sums: np.ndarray, classes: bool, depth: int = 4) -> tuple[np.ndarray, list]:
+    """A tree on one feature's distinct values in order, with the rows of each class at each value,
+    or (regression) their number, sum and sum of squares of the target.
+
+    Splits are at midpoints of neighbouring values, the best first in each node,
+    exact by running sums; at a tie the lower cut.
+    """
+    one = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, 0)])
 
-    def value(lo: int, hi: int):
-        s = one[hi] - one[lo]
-        return int(s.argmax()) if classes else s[0] / (hi - lo)
+    def size(s: np.ndarray) -> np.ndarray:
+        return s.sum(-1) if classes else s[..., 0]
 
-    def purity(s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    def purity(s: np.ndarray) -> np.ndarray:
         """What a split should make large; the impurity is a constant less this."""
-        return (s * s).sum(-1) / n if classes else s[..., 0] ** 2 / n
+        n = np.maximum(size(s), 1e-300)
+        return (s * s).sum(-1) / n if classes else s[..., 1] ** 2 / n
 
     cuts, values = [], []
 
     def grow(lo: int, hi: int, left: int) -> None:
+        whole = one[hi] - one[lo]
         if left and hi - lo > 1:
-            at = lo + 1 + np.flatnonzero(x[lo + 1 : hi] > x[lo : hi - 1])
-            if len(at):
-                a, b = one[at] - one[lo], one[hi] - one[at]
-                gain = purity(a, at - lo) + purity(b, hi - at) - purity(one[hi] - one[lo], np.array(hi - lo))
-                best = int(gain.argmax())
-                whole = one[hi] - one[lo]
-                impure = (whole > 0).sum() > 1 if classes else whole[1] - whole[0] ** 2 / (hi - lo) > 1e-12 * max(1.0, whole[1])
-                if impure and gain[best] > -1e-9:
-                    cut = int(at[best])
-                    grow(lo, cut, left - 1)
-                    cuts.append((x[cut - 1] + x[cut]) / 2)
-                    grow(cut, hi, left - 1)
-                    return
-        values.append(value(lo, hi))
+            at = np.arange(lo + 1, hi)
+            gain = purity(one[at] - one[lo]) + purity(one[hi] - one[at]) - purity(whole)
+            best = int(gain.argmax())
+            impure = (whole > 0).sum() > 1 if classes else whole[2] - whole[1] ** 2 / whole[0] > 1e-12 * max(1.0, whole[2])
+            if impure and gain[best] > -1e-9:
+                cut = int(at[best])
+                grow(lo, cut, left - 1)
+                cuts.append((x[cut - 1] + x[cut]) / 2)
+                grow(cut, hi, left - 1)
+                return
+        values.append(int(whole.argmax()) if classes else whole[1] / whole[0])
 
     grow(0, len(x), depth)
     return np.array(cuts), values
@@ -293,9 +296,9 @@ def predictive_power(x: np.ndarray, y: np.ndarray, classes: int, test: np.ndarra
         if classes:
             said = tree_predict(tree_intervals(x[train], y[train], classes), x[test])
             major = np.full(test.sum(), np.bincount(y[train], minlength=classes).argmax())
-            return _gain_f1(weighted_f1(y[test], said, classes), weighted_f1(y[test], major, classes))
+            return gain_f1(weighted_f1(y[test], said, classes), weighted_f1(y[test], major, classes))
         naive = np.abs(y[test] - np.median(y[train])).mean()
-        return _gain_error(np.abs(y[test] - tree_predict(tree_intervals(x[train], y[train], 0), x[test])).mean(), naive)
+        return gain_error(np.abs(y[test] - tree_predict(tree_intervals(x[train], y[train], 0), x[test])).mean(), naive)
     if classes:
         counts = np.bincount(y, minlength=classes)
         least = counts[counts > 0].min() if (counts > 0).sum() > 1 else 0
@@ -307,17 +310,17 @@ def predictive_power(x: np.ndarray, y: np.ndarray, classes: int, test: np.ndarra
             t = fold == f
             scores.append(weighted_f1(y[t], tree_predict(tree_intervals(x[~t], y[~t], classes), x[t]), classes))
         naive = weighted_f1(y, np.full(len(y), counts.argmax()), classes)
-        return _gain_f1(float(np.mean(scores)), naive)
+        return gain_f1(float(np.mean(scores)), naive)
     fold = folds(y, 4, False)
     errors = [np.abs(y[t] - tree_predict(tree_intervals(x[~t], y[~t], 0), x[t])).mean() for t in (fold == f for f in range(4))]
-    return _gain_error(float(np.mean(errors)), float(np.abs(y - np.median(y)).mean()))
+    return gain_error(float(np.mean(errors)), float(np.abs(y - np.median(y)).mean()))
 
 
-def _gain_f1(model: float, naive: float) -> float:
+def gain_f1(model: float, naive: float) -> float:
     return max(0.0, (model - naive) / (1 - naive + 1e-9))
 
 
-def _gain_error(model: float, naive: float) -> float:
+def gain_error(model: float, naive: float) -> float:
     return max(0.0, 1 - model / naive) if naive > 0 else 0.0
 
 

@@ -1,10 +1,11 @@
 """Statistics of every column in a few passes, whatever the number of columns.
 
 Columns are unpivoted to rows (column, value), so that one short aggregate serves
-them all. 1. Counts and moments. 2. Frequency tables, which give distinct counts
-and top values and, sorted in ranges, exact quartiles without a task that holds
-all values of a column. 3. One binned table with the bounds of pass 1 as literals,
-which gives histograms and outliers.
+them all. 1. Counts and moments. 2. Counted values: numbers sorted once in ranges,
+which gives distinct counts and exact quartiles without a task that holds all
+values of a column; texts as 128-bit hashes with their first characters. 3. One
+binned table with the bounds of pass 1 as literals, which gives histograms and
+outliers. What a caller doesn't need can be left out.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql.window import Window
 
 from ..functions.expr import adjusted_skewness, as_text, col, number
 from ..functions.kinds import NUMERIC, OTHER, TEMPORAL, TEXT, kinds
-from .ranks import with_before
+from ..scratch import kept, mark, release
+from .ranks import quantiles, with_before
 
 TOP, BINS = 10, 24
 DAY_SPAN, MONTH_SPAN = 60 * 86_400, 5 * 365 * 86_400
@@ -117,21 +119,17 @@ def number_counts(df: DataFrame) -> DataFrame:
     return long.groupBy("c", "v", "same").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(counts: DataFrame) -> DataFrame:
-    """(c, q): quartiles of counted values (c, v, n) by linear interpolation; null v is ignored."""
-    ranked = with_before(counts.where("v is not null").groupBy("c", "v").agg(F.sum("n").alias("n")), ["c", "v"], ["n"])
+def number_figures(df: DataFrame, quarters: bool) -> DataFrame:
+    """(c, n_unique, top, top_n[, q]) of the numeric columns from one sort of their counted values."""
+    counts = number_counts(df)
+    numbered = with_before(counts, ["c", "v", "same"], ["n"]) if quarters else kept(counts, "counted")
+    shown = F.coalesce(F.when(F.col("v") != F.col("same"), F.col("v").cast("string")), F.col("same").cast("string"), F.col("v").cast("string"), F.lit("NaN"))
+    most = F.min(F.struct((-F.col("n")).alias("n"), shown.alias("v")))
+    out = numbered.groupBy("c").agg(F.count(F.lit(1)).alias("n_unique"), most.alias("most")).select("c", "n_unique", F.col("most.v").alias("top"), (-F.col("most.n")).alias("top_n"))
+    if not quarters:
+        return out.withColumn("q", F.lit(None).cast("array<double>"))
     # One row a column.
-    size = ranked.groupBy("c").agg(F.min("before_n").alias("base"), F.sum("n").alias("total"))
-    at = F.col("before_n") - F.col("base")
-    place = lambda q: (F.col("total") - 1) * F.lit(q)
-    holds = lambda k: (at <= k) & (k < at + F.col("n"))
-    found = []
-    for i, q in enumerate(QUARTERS):
-        low, high = F.floor(place(q)), F.ceil(place(q))
-        found += [F.max(F.when(holds(low), F.col("v"))).alias(f"a{i}"), F.max(F.when(holds(high), F.col("v"))).alias(f"b{i}")]
-    both = ranked.join(F.broadcast(size), "c").groupBy("c").agg(F.first("total").alias("total"), *found)
-    between = [F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (place(q) - F.floor(place(q))) for i, q in enumerate(QUARTERS)]
-    return both.select("c", F.array(*between).alias("q"))
+    return out.join(F.broadcast(quantiles(numbered.where("v is not null"), QUARTERS)), "c", "left")
 
 
 def seconds(c: Column) -> Column:
@@ -147,16 +145,60 @@ def unpivoted(df: DataFrame, names: list[str], value, kind: str = "string") -> D
     return df.select(F.inline(F.array(*items)))
 
 
-def frequencies(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(c, v, n): how often each non-null value of each column occurs, as text."""
-    long = unpivoted(df, list(df.columns) if names is None else names, as_text)
-    return long.where("v is not null").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-
-
-def top_values(freq: DataFrame, k: int = TOP) -> DataFrame:
-    """The k most frequent values of each column, ties by value; limited in every task before the shuffle."""
-    w = Window.partitionBy("c").orderBy(F.desc("n"), "v")
-    return freq.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+#: Characters of a text that travel with its hash: what shows most levels whole, and orders the others.
+SHOWN = 40
+#: Texts that agree in these and in their frequency at the edge of the top, up to which they are looked up together.
+EDGE = 1000
+
+
+def _hashed(df: DataFrame, names: list[str]) -> DataFrame:
+    """(c, h, k, v): each text with 128 bits of it."""
+    return unpivoted(df, names, as_text).where("v is not null").select("c", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(7), "v").alias("k"), "v")
+
+
+def level_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    """(c, h, k, n, p, cut): how often each value of each column occurs; texts are exchanged as 128 bits and
+    their first characters p, cut where there are more."""
+    shown = _hashed(df, names).select("c", "h", "k", F.substring("v", 1, SHOWN).alias("p"), (F.length("v") > SHOWN).alias("cut"))
+    return shown.groupBy("c", "h", "k").agg(F.count(F.lit(1)).alias("n"), F.first("p").alias("p"), F.first("cut").alias("cut"))
+
+
+def top_levels(df: DataFrame, names: list[str], counts: DataFrame, k: int = TOP) -> dict[int, list[tuple[str, int]]]:
+    """The k most frequent values of each column (by its number), ties by value; limited in every task before the shuffle.
+
+    Where the first characters don't tell, the texts of the candidates are looked up by hash, for all columns at once.
+    """
+    spark = df.sparkSession
+    order = Window.partitionBy("c").orderBy(F.desc("n"), "p", "h", "k")
+    shown: dict[int, list] = {}
+    for r in counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).orderBy("c", "r").collect():
+        shown.setdefault(r.c, []).append(r)
+    open_ = {c: rows[-1] for c, rows in shown.items() if any(r.cut for r in rows)}
+    if not open_:
+        return {c: [(r.p, r.n) for r in rows] for c, rows in shown.items()}
+    last = spark.createDataFrame([(c, r.n, r.p) for c, r in open_.items()], "c int, n long, p string")
+    edge: dict[int, list] = {c: [] for c in open_}
+    tied = counts.join(F.broadcast(last), ["c", "n", "p"])
+    for r in tied.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy("h", "k"))).where(F.col("r") <= EDGE + 1).collect():
+        edge[r.c].append(r)
+    sure = {c: [r for r in shown[c] if (r.n, r.p) != (x.n, x.p)] for c, x in open_.items()}
+    asked = [r for c in open_ for r in sure[c] + (edge[c] if len(edge[c]) <= EDGE else []) if r.cut]
+    wanted = spark.createDataFrame([(r.c, r.h, r.k) for r in asked], "c int, h long, k long")
+    # At most k + EDGE texts a column.
+    found = _hashed(df, [df.columns[c] for c in open_]).join(F.broadcast(wanted), ["c", "h", "k"]).groupBy("c", "h", "k").agg(F.first("v").alias("v")).collect()
+    text = {(r.c, r.h, r.k): r.v for r in found}
+    out = {c: [(r.p, r.n) for r in rows] for c, rows in shown.items()}
+    for c, x in open_.items():
+        rows = [(text.get((c, r.h, r.k), r.p), r.n) for r in sure[c]]
+        if len(edge[c]) <= EDGE:
+            rows += [(text.get((c, r.h, r.k), r.p), r.n) for r in edge[c]]
+        else:
+            # Very many texts of one frequency and one beginning: the least of them, from their own rows alone.
+            own = tied.where(F.col("c") == c).select("h", "k")
+            alike = _hashed(df, [df.columns[c]]).where(F.substring("v", 1, SHOWN) == x.p).join(own, ["h", "k"], "left_semi")
+            rows += [(r.v, x.n) for r in alike.groupBy("h", "k").agg(F.first("v").alias("v")).orderBy("v").limit(k).collect()]
+        out[c] = sorted(rows, key=lambda r: (-r[1], r[0].encode()))[:k]
+    return out
 
 
 def bin_of(x: Column, low: float, high: float, bins: int) -> Column:
@@ -182,47 +224,61 @@ def _texts(df: DataFrame) -> list[str]:
     return [n for n, k in kinds(df.schema).items() if k != NUMERIC]
 
 
-def column_stats(df: DataFrame, bins: int = BINS, exact_quantiles: bool = True) -> dict[str, ColumnStats]:
-    """Statistics by column, in the order of the table; exact quartiles, or approximate ones in the pass of the moments."""
+#: What column_stats can leave out: distinct and most frequent values, quartiles, bins and outliers.
+PARTS = frozenset({"values", "quartiles", "bins"})
+
+
+def column_stats(df: DataFrame, bins: int = BINS, exact_quantiles: bool = True, parts: frozenset[str] = PARTS) -> dict[str, ColumnStats]:
+    """Statistics by column, in the order of the table; exact quartiles, or approximate ones in the pass of the moments.
+
+    parts: what is asked for beside counts, moments, lengths and spans; the rest keeps its default.
+    """
     if not df.columns:
         return {}
-    by_kind = kinds(df.schema)
+    since = mark()
+    try:
+        return _column_stats(df, bins, exact_quantiles, parts)
+    finally:
+        release(since)
+
+
+def _column_stats(df: DataFrame, bins: int, exact: bool, parts: frozenset[str]) -> dict[str, ColumnStats]:
+    by_kind, texts = kinds(df.schema), _texts(df)
+    quarters = "quartiles" in parts
     one = df.agg(*scalar_exprs(df)).first().asDict()
-    numbers, other = number_counts(df).persist(), frequencies(df, _texts(df)).persist()
-    figures = {r.c: r for r in _figures(df, numbers, other, exact_quantiles).collect()}
-    top: dict[int, list] = {}
-    shown = numbers.select("c", F.coalesce(F.when(F.col("v") != F.col("same"), F.col("v").cast("string")), F.col("same").cast("string"), F.col("v").cast("string"), F.lit("NaN")).alias("v"), "n")
-    for r in [*top_values(shown, 1).collect(), *top_values(other).orderBy("c", "r").collect()]:
-        top.setdefault(r.c, []).append((r.v, r.n))
-    numbers.unpersist()
-    other.unpersist()
+    numbers = numeric_names(df)
+    figures = {r.c: r for r in moments(df, quarters and not exact).collect()} if numbers else {}
+    counted, unique, top = {}, {}, {}
+    if numbers and ("values" in parts or (quarters and exact)):
+        counted = {r.c: r for r in number_figures(df, quarters and exact).collect()}
+    if texts and "values" in parts:
+        levels = kept(level_counts(df, texts), "levels")
+        unique = {r.c: r.n for r in levels.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+        top = top_levels(df, texts, levels)
     out: dict[str, ColumnStats] = {}
     for i, f in enumerate(df.schema):
         get = lambda k, i=i: one.get(f"{i}_{k}")
-        r = figures[i] if i in figures else None
-        s = ColumnStats(f.name, f.dataType.simpleString(), by_kind[f.name], one["n"], one["n"] - get("count"), r.n_unique if r else 0)
-        s.top_values = top.get(i, [])
+        s = ColumnStats(f.name, f.dataType.simpleString(), by_kind[f.name], one["n"], one["n"] - get("count"), 0)
         if s.kind == NUMERIC:
-            if r:
+            if r := figures.get(i):
                 s.mean, s.std, s.min, s.max, s.skew = r["mean"], r["std"], r["min"], r["max"], r["skew"]
-                s.p25, s.p50, s.p75 = r.q or (None,) * 3
-        elif s.kind == TEMPORAL:
-            s.top_values, s.ts_min, s.ts_max = [], get("ts_min"), get("ts_max")
+            if r := counted.get(i):
+                s.n_unique, s.top_values = r.n_unique, [(r.top, r.top_n)]
+            q = (counted.get(i) if exact else figures.get(i)) if quarters else None
+            s.p25, s.p50, s.p75 = (q.q if q else None) or (None,) * 3
         else:
-            s.avg_len, s.max_len = get("avg_len"), get("max_len")
-            s.histogram = [(float(j), float(j + 1), n) for j, (_, n) in enumerate(s.top_values)]
+            s.n_unique, s.top_values = unique.get(i, 0), top.get(i, [])
+            if s.kind == TEMPORAL:
+                s.top_values, s.ts_min, s.ts_max = [], get("ts_min"), get("ts_max")
+            else:
+                s.avg_len, s.max_len = get("avg_len"), get("max_len")
+                s.histogram = [(float(j), float(j + 1), n) for j, (_, n) in enumerate(s.top_values)]
         out[f.name] = s
-    _third_pass(df, out, {n: one.get(f"{i}_span") for i, n in enumerate(df.columns)}, bins)
+    if "bins" in parts:
+        _third_pass(df, out, {n: one.get(f"{i}_span") for i, n in enumerate(df.columns)}, bins)
     return out
 
 
-def _figures(df: DataFrame, numbers: DataFrame, other: DataFrame, exact_quantiles: bool = True) -> DataFrame:
-    """(c, n_unique, mean, std, min, max, skew, q) of every column that has a value; one row a column in every join."""
-    unique = numbers.groupBy("c").agg(F.count(F.lit(1)).alias("n_unique")).unionByName(other.groupBy("c").agg(F.count(F.lit(1)).alias("n_unique")))
-    out = unique.join(F.broadcast(moments(df, not exact_quantiles)), "c", "left")
-    return out.join(F.broadcast(quartiles(numbers)), "c", "left") if exact_quantiles else out
-
-
 def _third_pass(df: DataFrame, stats: dict[str, ColumnStats], spans: dict[str, Any], bins: int) -> None:
     def value(f) -> Column:
         s = stats[f.name]
@@ -254,4 +310,4 @@ def _third_pass(df: DataFrame, stats: dict[str, ColumnStats], spans: dict[str, A
             s.temporal_buckets = sorted(counts.get(i, {}).items())
 
 
-__all__ = ["BINS", "OTHER", "ColumnStats", "bin_of", "column_stats", "edges", "frequencies", "top_values", "unit_of", "unpivoted"]
+__all__ = ["BINS", "OTHER", "ColumnStats", "PARTS", "bin_of", "column_stats", "edges", "level_counts", "top_levels", "unit_of", "unpivoted"]

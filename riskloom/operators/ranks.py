@@ -1,7 +1,10 @@
-"""Rank statistics over all rows, distributed.
+"""Rank statistics over all rows, of any number of columns at once.
 
-Values are first counted, then sorted in ranges and numbered by running sums
-inside each; only the totals of the ranges, one row a partition, meet in one task.
+Columns are stacked to rows (column number, value), counted, and sorted once by
+column and value in ranges; running sums inside the ranges and the totals of the
+ranges before, one row a range, number all values. So the number of jobs doesn't
+follow the number of columns. What is numbered is written: bounds that Spark
+samples for an exchange hold for totals and rows alike.
 """
 
 from __future__ import annotations
@@ -16,29 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-
-#: Values drawn for each range when bounds are chosen.
-DRAWN = 16
-
-
-def range_of(counts: DataFrame, value: list[str], ranges: int) -> Column:
-    """The range of a row by its value, from 0, against bounds fixed here: the same however often the plan is run.
-
-    Bounds come from the ranges * DRAWN values of least hash, one job. The comparisons are a balanced tree.
-    """
-    key = F.struct(*value) if len(value) > 1 else F.col(value[0])
-    drawn = counts.select(*value).orderBy(F.xxhash64(*value), *value).limit(ranges * DRAWN).orderBy(*value).collect()
-    bounds = [drawn[len(drawn) * k // ranges] for k in range(1, ranges)] if len(drawn) >= ranges else drawn[1:]
-    typed = lambda row: [F.lit(x).cast(counts.schema[n].dataType).alias(n) for n, x in zip(value, row)]
-    literal = lambda row: F.struct(*typed(row)) if len(value) > 1 else typed(row)[0]
-
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key < literal(bounds[middle]), tree(low, middle)).otherwise(tree(middle + 1, high))
-
-    return tree(0, len(bounds))
+from ..scratch import kept
 
 
 def with_before(counts: DataFrame, value: str | list[str], sums: list[str]) -> DataFrame:
@@ -48,32 +29,22 @@ def with_before(counts: DataFrame, value: str | list[str], sums: list[str]) -> D
     """
     value = [value] if isinstance(value, str) else value
     ranges = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Counts are read for totals and for rows; ranges that Spark samples anew for each wouldn't agree.
-    part = range_of(counts, value, ranges)
-    dealt = counts.withColumns({s: F.col(s).cast("long") for s in sums}).withColumn("_part", part).repartitionById(ranges, "_part").sortWithinPartitions("_part", *value)
-    schema = T.StructType([*dealt.schema, *[T.StructField(f"_i_{s}", T.LongType()) for s in sums]])
+    dealt = counts.withColumns({s: F.col(s).cast("long") for s in sums}).repartitionByRange(ranges, *value).sortWithinPartitions(*value)
+    schema = T.StructType([*dealt.schema, T.StructField("_part", T.IntegerType()), *[T.StructField(f"_i_{s}", T.LongType()) for s in sums]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, at = None, dict.fromkeys(sums, 0)
+        part, at = TaskContext.get().partitionId(), dict.fromkeys(sums, 0)
         for b in batches:
-            part = b.column(b.schema.get_field_index("_part")).to_numpy()
-            own = {s: b.column(b.schema.get_field_index(s)).to_numpy(zero_copy_only=False).astype(np.int64) for s in sums}
-            inside = {s: np.empty(len(part), np.int64) for s in sums}
-            edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
-            for low, high in zip(edges, edges[1:]):
-                if low == high:
-                    continue
-                if part[low] != last:
-                    last, at = part[low], dict.fromkeys(sums, 0)
-                for s in sums:
-                    total = np.cumsum(own[s][low:high])
-                    inside[s][low:high] = at[s] + total - own[s][low:high]
-                    at[s] += int(total[-1])
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(inside[s]) for s in sums]], schema.names)
-
-    numbered = dealt.mapInArrow(run, schema)
-    # From the counts, not from the numbered rows, so that Python sees them once.
-    totals = counts.groupBy(part.alias("_part")).agg(*[F.sum(F.col(s).cast("long")).alias(f"_t_{s}") for s in sums])
+            inside = []
+            for s in sums:
+                own = b.column(b.schema.get_field_index(s)).to_numpy(zero_copy_only=False).astype(np.int64)
+                total = np.cumsum(own)
+                inside.append(pa.array(at[s] + total - own))
+                at[s] += int(total[-1]) if len(total) else 0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), *inside], schema.names)
+
+    numbered = kept(dealt.mapInArrow(run, schema), "ranked")
+    totals = numbered.groupBy("_part").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row a range, so this window's single task and the broadcast are bounded.
     shift = totals.select("_part", *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_s_{s}") for s in sums])
@@ -81,54 +52,92 @@ def with_before(counts: DataFrame, value: str | list[str], sums: list[str]) -> D
     return out.select(*counts.columns, *[(F.col(f"_i_{s}") + F.col(f"_s_{s}")).alias(f"before_{s}") for s in sums])
 
 
-def average_ranks(df: DataFrame, value: Column) -> DataFrame:
-    """(v, n, rank): the mean rank of each distinct non-null value."""
-    counts = df.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    return with_before(counts, "v", ["n"]).select("v", "n", (F.col("before_n") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"))
+def stacked(df: DataFrame, values: list[Column], **also: Column) -> DataFrame:
+    """(c, v, also..) with a row for each non-null value; c is its place in values."""
+    if not values:
+        kind = df.select(*[x.alias(n) for n, x in also.items()]).schema
+        return df.sparkSession.createDataFrame([], T.StructType([T.StructField("c", T.IntegerType()), T.StructField("v", T.DoubleType()), *kind]))
+    items = [F.struct(F.lit(i).alias("c"), x.alias("v")) for i, x in enumerate(values)]
+    wide = df.select(*[x.alias(n) for n, x in also.items()], F.array(*items).alias("_x"))
+    return wide.select(F.inline("_x"), *also).select("c", "v", *also).where("v is not null")
+
+
+def _within(numbered: DataFrame, sums: list[str]) -> DataFrame:
+    """before_s counted from the first value of each column, and all_s, the column's total."""
+    # One row a column.
+    size = numbered.groupBy("c").agg(*[f for s in sums for f in (F.min(f"before_{s}").alias(f"_0_{s}"), F.sum(s).alias(f"all_{s}"))])
+    out = numbered.join(F.broadcast(size), "c")
+    return out.withColumns({f"before_{s}": F.col(f"before_{s}") - F.col(f"_0_{s}") for s in sums}).drop(*[f"_0_{s}" for s in sums])
+
+
+def sided(df: DataFrame, values: list[Column], second: Column) -> DataFrame:
+    """(c, v, a, b, before_a, before_b, all_a, all_b): each value's rows on the first and the second side, numbered. Rows without a side are out."""
+    counts = stacked(df, values, g=second).where("g is not null").groupBy("c", "v").agg(F.sum((~F.col("g")).cast("long")).alias("a"), F.sum(F.col("g").cast("long")).alias("b"))
+    return _within(with_before(counts, ["c", "v"], ["a", "b"]), ["a", "b"])
 
 
-def spearman(df: DataFrame, x: Column, y: Column) -> DataFrame:
-    """One row (n, rho) over rows that have both; rho is null without spread."""
-    pairs = df.select(x.alias("x"), y.alias("y")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
-    rank = lambda c: _weighted_ranks(pairs, c)
-    both = pairs.join(rank("x"), "x").join(rank("y"), "y").select(F.col("w").cast("double").alias("w"), F.col("rank_x").alias("a"), F.col("rank_y").alias("b"))
-    w = F.sum("w")
-    mean = lambda e: F.sum(F.col("w") * e) / w
-    a, b = F.col("a"), F.col("b")
-    sums = both.agg(w.alias("n"), mean(a).alias("ma"), mean(b).alias("mb"), mean(a * b).alias("mab"), mean(a * a).alias("maa"), mean(b * b).alias("mbb"))
-    va, vb = F.col("maa") - F.col("ma") * F.col("ma"), F.col("mbb") - F.col("mb") * F.col("mb")
-    return sums.select(F.coalesce(F.col("n"), F.lit(0.0)).cast("long").alias("n"), ((F.col("mab") - F.col("ma") * F.col("mb")) / F.nullif(F.sqrt(F.greatest(va, F.lit(0.0))) * F.sqrt(F.greatest(vb, F.lit(0.0))), F.lit(0.0))).alias("rho"))
+def _share(x: Column, total: str) -> Column:
+    return x / F.nullif(F.col(total).cast("double"), F.lit(0.0))
 
 
-def _weighted_ranks(pairs: DataFrame, c: str) -> DataFrame:
-    counts = pairs.groupBy(c).agg(F.sum("w").alias("n"))
-    return with_before(counts, c, ["n"]).select(c, (F.col("before_n") + (F.col("n") + 1) / F.lit(2.0)).alias(f"rank_{c}"))
+def ks_of(numbered: DataFrame) -> DataFrame:
+    """(c, n_a, n_b, ks) of what sided() gives: the largest gap between the two distribution functions."""
+    gap = F.abs(_share(F.col("before_a") + F.col("a"), "all_a") - _share(F.col("before_b") + F.col("b"), "all_b"))
+    return numbered.groupBy("c").agg(F.first("all_a").alias("n_a"), F.first("all_b").alias("n_b"), F.max(gap).alias("ks"))
 
 
-def roc_auc(df: DataFrame, score: Column, positive: Column) -> DataFrame:
-    """One row (n_pos, n_neg, auc, lift): Mann-Whitney with mean ranks at ties; null if a class is empty."""
-    counts = df.select(score.alias("v"), positive.alias("p")).where("v is not null and p is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("p").cast("long")).alias("pos"))
-    ranked = with_before(counts, "v", ["n"])
-    sums = ranked.agg(F.sum("pos").alias("n_pos"), F.sum(F.col("n") - F.col("pos")).alias("n_neg"), F.sum(F.col("pos") * (F.col("before_n") + (F.col("n") + 1) / F.lit(2.0))).alias("r"))
+def auc_of(numbered: DataFrame) -> DataFrame:
+    """(c, n_pos, n_neg, auc, lift) of what sided() gives: Mann-Whitney of side b with mean ranks at ties; null if a side is empty."""
+    rank = F.col("before_a") + F.col("before_b") + (F.col("a") + F.col("b") + 1) / F.lit(2.0)
+    sums = numbered.groupBy("c").agg(F.first("all_b").alias("n_pos"), F.first("all_a").alias("n_neg"), F.sum(F.col("b") * rank).alias("r"))
     p, q = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
     area = (F.col("r") - p * (p + 1) / 2) / F.nullif(p * q, F.lit(0.0))
-    return sums.select("n_pos", "n_neg", area.alias("auc"), (2 * F.abs(area - 0.5)).alias("lift"))
-
-
-def ks(df: DataFrame, x: Column, late: Column) -> DataFrame:
-    """One row (n_a, n_b, ks): the largest gap between the two distribution functions."""
-    counts = df.select(x.alias("v"), late.alias("g")).where("v is not null and g is not null").groupBy("v").agg(F.sum((~F.col("g")).cast("long")).alias("a"), F.sum(F.col("g").cast("long")).alias("b"))
-    run = with_before(counts, "v", ["a", "b"])
-    total = counts.agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
-    gap = F.abs((F.col("before_a") + F.col("a")) / F.nullif(F.col("n_a").cast("double"), F.lit(0.0)) - (F.col("before_b") + F.col("b")) / F.nullif(F.col("n_b").cast("double"), F.lit(0.0)))
-    # total is one row.
-    return run.crossJoin(F.broadcast(total)).groupBy("n_a", "n_b").agg(F.max(gap).alias("ks"))
-
-
-def total_variation(df: DataFrame, x: Column, late: Column) -> DataFrame:
-    """One row (levels, tv): half the summed difference of the two distributions of a categorical value."""
-    base = df.select(x.alias("v"), late.alias("g")).where("v is not null and g is not null")
-    counts = base.groupBy("v").agg(F.sum((~F.col("g")).cast("long")).alias("a"), F.sum(F.col("g").cast("long")).alias("b"))
-    total = base.agg(F.sum((~F.col("g")).cast("long")).cast("double").alias("n_a"), F.sum(F.col("g").cast("long")).cast("double").alias("n_b"))
-    gap = F.abs(F.col("a") / F.nullif(F.col("n_a"), F.lit(0.0)) - F.col("b") / F.nullif(F.col("n_b"), F.lit(0.0)))
-    return counts.crossJoin(F.broadcast(total)).agg(F.count(F.lit(1)).alias("levels"), (F.sum(gap) / 2).alias("tv"))
+    return sums.select("c", "n_pos", "n_neg", area.alias("auc"), (2 * F.abs(area - 0.5)).alias("lift"))
+
+
+def total_variations(df: DataFrame, values: list[Column], late: Column) -> DataFrame:
+    """(c, levels, n_a, n_b, tv): half the summed difference of the two distributions of each categorical column."""
+    if not values:
+        return df.sparkSession.createDataFrame([], "c int, levels long, n_a long, n_b long, tv double")
+    long = stacked(df, [x.cast("string") for x in values], g=late).where("g is not null")
+    # Levels are told apart by 128 bits: texts aren't exchanged.
+    counts = long.groupBy("c", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(7), "v").alias("k")).agg(F.sum((~F.col("g")).cast("long")).alias("a"), F.sum(F.col("g").cast("long")).alias("b"))
+    sides = long.groupBy("c").agg(F.sum((~F.col("g")).cast("long")).alias("n_a"), F.sum(F.col("g").cast("long")).alias("n_b"))
+    gap = F.abs(_share(F.col("a"), "n_a") - _share(F.col("b"), "n_b"))
+    return counts.join(F.broadcast(sides), "c").groupBy("c").agg(F.count(F.lit(1)).alias("levels"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), (F.sum(gap) / 2).alias("tv"))
+
+
+def rank_correlations(df: DataFrame, values: list[Column], y: Column) -> DataFrame:
+    """(c, n, rho): each column against y over rows that have both, mean ranks at ties; rho is null without spread.
+
+    Ranks of a value go to its rows, are summed for each y, and meet y's ranks among the rows that have the column.
+    """
+    rows = stacked(df, values, y=y).where("y is not null")
+    centred = lambda n, before, total: F.col(before) + (F.col(n) + 1) / F.lit(2.0) - (F.col(total) + 1) / F.lit(2.0)
+    ranked = _within(with_before(rows.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")), ["c", "v"], ["n"]), ["n"]).select("c", "v", "n", centred("n", "before_n", "all_n").alias("r"))
+    spread = ranked.groupBy("c").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("r") * F.col("r")).alias("xx"))
+    summed = rows.join(ranked.select("c", "v", "r"), ["c", "v"]).groupBy("c", "y").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n"))
+    second = _within(with_before(summed, ["c", "y"], ["n"]), ["n"]).select("c", "s", "n", centred("n", "before_n", "all_n").alias("r"))
+    both = second.groupBy("c").agg(F.sum(F.col("s") * F.col("r")).alias("xy"), F.sum(F.col("n") * F.col("r") * F.col("r")).alias("yy"))
+    rho = F.col("xy") / F.nullif(F.sqrt("xx") * F.sqrt("yy"), F.lit(0.0))
+    return spread.join(F.broadcast(both), "c").select("c", "n", rho.alias("rho"))
+
+
+def average_ranks(df: DataFrame, value: Column) -> DataFrame:
+    """(v, n, rank): the mean rank of each distinct non-null value."""
+    counts = df.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    return with_before(counts, "v", ["n"]).select("v", "n", (F.col("before_n") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"))
+
+
+def quantiles(numbered: DataFrame, at: tuple[float, ...]) -> DataFrame:
+    """(c, q): quantiles of numbered values (c, v, n, before_n) by linear interpolation."""
+    within = _within(numbered, ["n"])
+    place = lambda q: (F.col("total") - 1) * F.lit(q)
+    holds = lambda k: (F.col("before_n") <= k) & (k < F.col("before_n") + F.col("n"))
+    found = []
+    for i, q in enumerate(at):
+        low, high = F.floor(place(q)), F.ceil(place(q))
+        found += [F.max(F.when(holds(low), F.col("v"))).alias(f"a{i}"), F.max(F.when(holds(high), F.col("v"))).alias(f"b{i}")]
+    both = within.withColumnRenamed("all_n", "total").groupBy("c").agg(F.first("total").alias("total"), *found)
+    between = [F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (place(q) - F.floor(place(q))) for i, q in enumerate(at)]
+    return both.select("c", F.array(*between).alias("q"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -17,6 +16,8 @@ from ..functions.kinds import BOOL, NUMERIC, OTHER, TEMPORAL, TEXT
 from ..sources.sampling import target_sample
 from .association import codes, information
 from .columns import ColumnStats
+from .power import CLASSES_KEPT, power_frame
+from .ranks import auc_of, rank_correlations, sided
 
 CLASSES, FEATURE_LEVELS, SUPPORT, TARGET_SAMPLE = 20, 100, 30, 30_000
 LEAK, LEAK_BESIDE, WEAK_SIGNAL = 0.85, 0.6, 0.05
@@ -82,13 +83,25 @@ def summarise(df: DataFrame, stats: dict[str, ColumnStats], target: str) -> Targ
     s = stats[target]
     out = TargetSummary(target, task_of(s), s.n, s.n_null, mean=s.mean)
     if out.task == "classification":
-        out.classes = [(r.value, r.n) for r in class_counts(df, target).collect()]
+        counts = class_counts(df, target)
+        # The most frequent classes, and of very many the rarest, come to the driver.
+        most = counts.orderBy(F.desc("n"), "value").limit(CLASSES_KEPT).collect()
+        least = counts.orderBy("n", "value").limit(1).collect() if s.n_unique > CLASSES_KEPT else []
+        out.classes = sorted((r.value, r.n) for r in [*most, *least])
         if len(out.classes) == 2:
             out.positive, out.positive_count = out.classes[-1]
             out.positive_rate = out.positive_count / max(1, s.non_null)
     return out
 
 
+def predicted(df: DataFrame, stats: dict[str, ColumnStats], target: str) -> list[str]:
+    """The target's most frequent classes as text, numbers by size; empty for a numeric target."""
+    if task_of(stats[target]) != "classification":
+        return []
+    found = [r.value for r in class_counts(df, target).orderBy(F.desc("n"), "value").limit(CLASSES_KEPT).collect()]
+    return sorted(found, key=float) if stats[target].kind == NUMERIC else sorted(found)
+
+
 def eligible(stats: dict[str, ColumnStats], target: str | None) -> list[str]:
     return [n for n, s in stats.items() if n != target and not s.is_constant and (s.kind == NUMERIC or (s.kind in (TEXT, BOOL) and s.n_unique <= FEATURE_LEVELS))]
 
@@ -115,74 +128,74 @@ def sample_frame(df: DataFrame, stats: dict[str, ColumnStats], target: str, most
     return pd.DataFrame(out).iloc[order].reset_index(drop=True), task == "classification"
 
 
-def one_signal(x: np.ndarray, y: np.ndarray, x_numeric: bool, classification: bool, bootstrap: int = 0, seeds: int = 1) -> dict[str, Any] | None:
-    """Figures of one feature; None below the least support."""
-    ok = ~(np.isnan(x) | np.isnan(y))
-    x, y = x[ok], y[ok]
-    if len(x) < SUPPORT:
-        return None
-    classes = int(y.max()) + 1 if classification else 0
-    binary = classification and len(np.unique(y)) == 2
-    label = y.astype(int) if classification else y
-    out: dict[str, Any] = {"n": len(x), "pps": numeric.predictive_power(x, label, classes), "mutual_info": information(x, y, not x_numeric, classification)}
-    if x_numeric and (not classification or binary):
-        out["spearman"] = numeric.spearman(x, y)
-    if binary:
-        area = numeric.auc(x, y == y.max())
-        out["auc"], out["auc_lift"] = area, None if area is None else 2 * abs(area - 0.5)
-        out["positive_count"] = int(min(np.bincount(label)[np.bincount(label) > 0]))
-    if bootstrap and len(x) >= 50:
-        rng = np.random.default_rng(42)
-        areas, infos = [], []
-        for _ in range(bootstrap):
-            at = rng.integers(0, len(x), len(x))
-            if binary and (a := numeric.auc(x[at], y[at] == y.max())) is not None:
-                areas.append(a)
-            infos.append(information(x[at], y[at], not x_numeric, classification))
-        if areas:
-            out["auc_low"], out["auc_high"] = np.percentile(areas, [2.5, 97.5])
-        out["mi_low"], out["mi_high"] = np.percentile(infos, [2.5, 97.5])
-    if seeds > 1:
-        powers = []
-        for s in range(seeds):
-            at = np.random.default_rng(s).integers(0, len(x), len(x))
-            powers.append(numeric.predictive_power(x[at], label[at], classes))
-        out["pps_mean"] = float(np.mean(powers))
-        out["pps_cov"] = float(np.std(powers) / np.mean(powers)) if np.mean(powers) > 0 else 0.0
-    return out
-
-
-_FIGURES = ("n", "pps", "mutual_info", "spearman", "auc", "auc_lift", "positive_count", "auc_low", "auc_high", "mi_low", "mi_high", "pps_mean", "pps_cov")
-
-
-def signal_frame(df: DataFrame, stats: dict[str, ColumnStats], target: str, most: int = TARGET_SAMPLE, stratify: bool = True, bootstrap: int = 0, seeds: int = 1) -> tuple[DataFrame, pd.DataFrame, bool]:
-    """(feature, figures): a task for each feature over one shared sample; with the sample and its task."""
+def information_frame(df: DataFrame, stats: dict[str, ColumnStats], target: str, sample: pd.DataFrame, classification: bool, bootstrap: int = 0) -> DataFrame:
+    """(feature, mutual_info, mi_low, mi_high) over the shared sample; each feature and each of its bootstraps is a task's row."""
     spark = df.sparkSession
-    sample, classification = sample_frame(df, stats, target, most, stratify)
     names = [n for n in sample.columns if n != target]
-    schema = "feature string, " + ", ".join(f"{f} double" for f in _FIGURES)
     if not names or len(sample) < SUPPORT:
-        return spark.createDataFrame([], schema), sample, classification
+        return spark.createDataFrame([], "feature string, mutual_info double, mi_low double, mi_high double")
+    # Bounded by the sample's size.
     shared = spark.sparkContext.broadcast(sample)
     is_number = {n: stats[n].kind == NUMERIC for n in names}
 
     def run(batches):
         for batch in batches:
             rows = []
-            for n in batch.feature:
-                got = one_signal(shared.value[n].to_numpy(), shared.value[target].to_numpy(), is_number[n], classification, bootstrap, seeds)
-                if got:
-                    rows.append((n, *[got.get(f) for f in _FIGURES]))
-            yield pd.DataFrame(rows, columns=["feature", *_FIGURES])
-
-    asked = spark.createDataFrame([(n,) for n in names], "feature string").repartition(min(len(names), 4 * spark.sparkContext.defaultParallelism))
-    return asked.mapInPandas(run, schema), sample, classification
+            for n, replicate in zip(batch.feature, batch.replicate):
+                x, y = shared.value[n].to_numpy(), shared.value[target].to_numpy()
+                ok = ~(np.isnan(x) | np.isnan(y))
+                x, y = x[ok], y[ok]
+                if len(x) < (50 if replicate else SUPPORT):
+                    continue
+                if replicate:
+                    at = np.random.default_rng(replicate).integers(0, len(x), len(x))
+                    x, y = x[at], y[at]
+                rows.append((n, replicate, information(x, y, not is_number[n], classification)))
+            yield pd.DataFrame(rows, columns=["feature", "replicate", "info"])
+
+    asked = spark.createDataFrame([(n, k) for n in names for k in range(bootstrap + 1)], "feature string, replicate int")
+    found = asked.repartition(min(len(names) * (bootstrap + 1), 4 * spark.sparkContext.defaultParallelism)).mapInPandas(run, "feature string, replicate int, info double")
+    again = F.when(F.col("replicate") > 0, F.col("info"))
+    return found.groupBy("feature").agg(F.max(F.when(F.col("replicate") == 0, F.col("info"))).alias("mutual_info"), F.percentile(again, 0.025).alias("mi_low"), F.percentile(again, 0.975).alias("mi_high"))
+
+
+def order_frame(df: DataFrame, stats: dict[str, ColumnStats], names: list[str], target: str, classes: list[str]) -> DataFrame:
+    """(feature, spearman, auc, auc_lift) of numbers over all rows: against the greater of two classes, or a numeric target."""
+    spark = df.sparkSession
+    numbers = [n for n in names if stats[n].kind == NUMERIC]
+    classification = task_of(stats[target]) == "classification"
+    if not numbers or (classification and len(classes) != 2):
+        return spark.createDataFrame([], "feature string, spearman double, auc double, auc_lift double")
+    values = [number(n) for n in numbers]
+    text = as_text(df.schema[target])
+    y = F.when(text.isNotNull(), (text == F.lit(classes[-1])).cast("double")) if classification else number(target)
+    rho = rank_correlations(df, values, y).select("c", F.col("rho").alias("spearman"))
+    named = F.element_at(F.array(*map(F.lit, numbers)), F.col("c") + 1).alias("feature")
+    if not classification:
+        return rho.select(named, "spearman", *[F.lit(None).cast("double").alias(c) for c in ("auc", "auc_lift")])
+    area = auc_of(sided(df, values, text == F.lit(classes[-1])))
+    # One row a feature.
+    return area.join(F.broadcast(rho), "c", "left").select(named, "spearman", "auc", F.col("lift").alias("auc_lift"))
+
+
+def signal_frame(df: DataFrame, stats: dict[str, ColumnStats], target: str, sample: pd.DataFrame | None = None, bootstrap: int = 0, seeds: int = 1) -> DataFrame:
+    """A row a feature with at least 30 rows that have it and the target: n, pps with its bootstraps, rank
+    correlation and AUC over all rows; mutual information over the sample (drawn here where none is given)."""
+    names = eligible(stats, target)
+    classification = task_of(stats[target]) == "classification"
+    classes = predicted(df, stats, target)
+    power = power_frame(df, stats, names, target, classification, classes, seeds=seeds, replicates=bootstrap).where(F.col("n") >= SUPPORT)
+    sample = sample_frame(df, stats, target)[0] if sample is None else sample
+    info = information_frame(df, stats, target, sample, classification, bootstrap)
+    # One row a feature each.
+    out = power.join(F.broadcast(order_frame(df, stats, names, target, classes)), "feature", "left").join(F.broadcast(info), "feature", "left")
+    return out.select("feature", "n", "pps", "mutual_info", "spearman", "auc", "auc_lift", "positive_count", "auc_low", "auc_high", "mi_low", "mi_high", "pps_mean", "pps_cov")
 
 
 def target_signals(df: DataFrame, stats: dict[str, ColumnStats], target: str, most: int = TARGET_SAMPLE, stratify: bool = True, permutation: bool = True, bootstrap: int = 0, seeds: int = 1) -> list[TargetSignal]:
-    frame, sample, classification = signal_frame(df, stats, target, most, stratify, bootstrap, seeds)
+    sample, classification = sample_frame(df, stats, target, most, stratify)
     out = []
-    for r in frame.collect():
+    for r in signal_frame(df, stats, target, sample, bootstrap, seeds).collect():
         v = {k: (None if x is None or x != x else x) for k, x in r.asDict().items()}
         pair = lambda a, b, v=v: None if v[a] is None else (v[a], v[b])
         out.append(

@@ -4,21 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import numeric
-from ..functions.expr import as_text, col, number, row_hash
+from ..functions.expr import as_text, col, number
 from ..functions.kinds import NUMERIC, TEMPORAL
-from ..sources.sampling import temporal_sample
-from .association import codes
-from .columns import ColumnStats, seconds
-from .ranks import ks, spearman, total_variation, with_before
-from .target import eligible, task_of
+from .columns import ColumnStats
+from .power import power_frame
+from .ranks import ks_of, quantiles, rank_correlations, sided, total_variations, with_before
+from .target import class_counts, eligible, predicted, task_of
 
-ROWS, TIMES, SAMPLE, EACH_SIDE, FEATURE_ROWS, DRIFT_ROWS = 1000, 10, 50_000, 50, 500, 30
+ROWS, TIMES, EACH_SIDE, FEATURE_ROWS, DRIFT_ROWS = 1000, 10, 50, 500, 30
 EARLY = 0.7
 LEVELS = 100
 
@@ -96,21 +92,6 @@ def classify(random: float | None, time: float | None, drift: float | None, mono
     return "none", "none"
 
 
-def ladder(random: Column, time: Column, drift: Column, monotonicity: Column, unique_share: Column) -> Column:
-    """The same rungs as a struct<severity, leakage_kind> expression."""
-    z = lambda c: F.coalesce(c, F.lit(0.0))
-    both, r, t, d = random.isNotNull() & time.isNotNull(), z(random), z(time), z(drift)
-    rung = lambda s, k: F.struct(F.lit(s).alias("severity"), F.lit(k).alias("leakage_kind"))
-    return (
-        F.when(both & (r >= 0.35) & (r - t >= 0.25), rung("critical", "random_cv"))
-        .when(both & (r >= 0.30) & (t < 0.05) & (r - t >= 0.25) & (d >= 0.15), rung("critical", "post_event"))
-        .when((d >= 0.3) & ((r >= 0.1) | (t >= 0.1)), rung("warning", "drift"))
-        .when(d >= 0.5, rung("info", "strong_drift"))
-        .when((z(monotonicity) >= 0.95) & (unique_share >= 0.9), rung("warning", "monotonic"))
-        .otherwise(rung("none", "none"))
-    )
-
-
 def infer_kind(severity: str, reason: str) -> str:
     """The leakage kind of a signal saved before kinds were."""
     said = reason.lower()
@@ -123,112 +104,62 @@ def infer_kind(severity: str, reason: str) -> str:
     return "strong_drift" if severity == "info" else "drift"
 
 
-def _support(y: np.ndarray, test: np.ndarray) -> bool:
-    counts = np.bincount(y)
-    counts = counts[counts > 0]
-    if len(np.unique(y[test])) < 2:
-        return False
-    return counts.min() >= 30 if len(counts) == 2 else len(y) >= 30
-
-
-def one_feature(x: np.ndarray, y: np.ndarray | None, late: np.ndarray, shuffled: np.ndarray, classification: bool) -> dict | None:
-    """Power of one feature over the time-ordered sample."""
-    seen = ~np.isnan(x)
-    if seen.sum() < FEATURE_ROWS:
-        return None
-    out: dict = {}
-    if y is not None:
-        ok = seen & ~np.isnan(y)
-        v, t = x[ok], y[ok].astype(int) if classification else y[ok]
-        classes = int(t.max()) + 1 if classification and len(t) else 0
-        for name, test in (("pps_random", shuffled[ok]), ("pps_time", late[ok])):
-            if test.sum() >= EACH_SIDE and (~test).sum() >= EACH_SIDE and (not classification or _support(t, test)):
-                out[name] = numeric.predictive_power(v, t, classes, test)
-    return out
-
-
 def late_cut(df: DataFrame, time: str) -> int | None:
     """Microseconds from which rows are late, over all rows; the last time where it alone holds all after 70 %."""
     per = df.select(F.unix_micros(col(time).cast("timestamp")).alias("us")).where("us is not null").groupBy("us").agg(F.count(F.lit(1)).alias("n"))
-    total = per.agg(F.sum("n").alias("total"))
+    numbered = with_before(per, "us", ["n"])
+    # One row.
+    total = numbered.agg(F.sum("n").alias("total"))
     late = F.col("before_n") >= F.floor(F.lit(EARLY) * F.col("total"))
-    return with_before(per, "us", ["n"]).crossJoin(F.broadcast(total)).agg(F.coalesce(F.min(F.when(late, F.col("us"))), F.max("us"))).first()[0]
+    return numbered.crossJoin(F.broadcast(total)).agg(F.coalesce(F.min(F.when(late, F.col("us"))), F.max("us"))).first()[0]
+
+
+def is_late(time: str, cut: int | None) -> Column:
+    return F.unix_micros(col(time).cast("timestamp")) >= F.lit(cut).cast("long")
 
 
-def whole_figures(df: DataFrame, stats: dict[str, ColumnStats], names: list[str], time: str, cut: int | None) -> dict[str, tuple[float | None, float | None]]:
-    """(drift, monotonicity) of each feature over all timed rows."""
+def drift_frame(df: DataFrame, stats: dict[str, ColumnStats], names: list[str], time: str, cut: int | None) -> DataFrame:
+    """(feature, n_a, n_b, drift, monotonicity) of each feature over all timed rows: KS of numbers,
+    total variation of at most 100 levels, and how well a number's order follows time. Null below the
+    least rows of a side, or in all. The jobs are as many for 300 features as for 3."""
     rows = df.where(col(time).isNotNull())
-    us = F.unix_micros(col(time).cast("timestamp"))
-    late = us >= F.lit(cut)
-    value = {n: number(n) if stats[n].kind == NUMERIC else as_text(df.schema[n]) for n in names}
-    sides = rows.agg(*[F.count(F.when(side, value[n])) for n in names for side in (~late, late)]).first()
-    out = {}
-    for i, n in enumerate(names):
-        before, after = sides[2 * i], sides[2 * i + 1]
-        drift = monotonicity = None
-        if min(before, after) >= DRIFT_ROWS:
-            if stats[n].kind == NUMERIC:
-                drift = ks(rows, value[n], late).first().ks
-            elif (got := total_variation(rows, value[n], late).first()).levels <= LEVELS:
-                drift = got.tv
-        if stats[n].kind == NUMERIC and before + after >= DRIFT_ROWS:
-            rho = spearman(rows, value[n], us).first().rho
-            monotonicity = None if rho is None else abs(rho)
-        out[n] = (drift, monotonicity)
+    late = is_late(time, cut)
+    numbers, levels = [n for n in names if stats[n].kind == NUMERIC], [n for n in names if stats[n].kind != NUMERIC]
+    spark = df.sparkSession
+    if not numbers and not levels:
+        return spark.createDataFrame([], _DRIFT)
+    enough = (F.col("n_a") >= DRIFT_ROWS) & (F.col("n_b") >= DRIFT_ROWS)
+    named = lambda of: F.element_at(F.array(*map(F.lit, of)), F.col("c") + 1).alias("feature")
+    out = None
+    if numbers:
+        values = [number(n) for n in numbers]
+        gap = ks_of(sided(rows, values, late))
+        order = rank_correlations(rows, values, F.unix_micros(col(time).cast("timestamp")))
+        steady = F.when(F.col("n") >= DRIFT_ROWS, F.abs("rho"))
+        out = gap.join(F.broadcast(order), "c").select(named(numbers), "n_a", "n_b", F.when(enough, F.col("ks")).alias("drift"), steady.alias("monotonicity"))
+    if levels:
+        spread = total_variations(rows, [as_text(df.schema[n]) for n in levels], late)
+        moved = F.when(enough & (F.col("levels") <= LEVELS), F.col("tv"))
+        spread = spread.select(named(levels), "n_a", "n_b", moved.alias("drift"), F.lit(None).cast("double").alias("monotonicity"))
+        out = spread if out is None else out.unionByName(spread)
     return out
 
 
+_DRIFT = "feature string, n_a long, n_b long, drift double, monotonicity double"
 _FIGURES = ("pps_random", "pps_time", "drift", "monotonicity")
 
 
-def temporal_figures(df: DataFrame, stats: dict[str, ColumnStats], time: str, target: str | None, most: int = SAMPLE, cut: int | None = None) -> tuple[DataFrame, pd.DataFrame]:
-    """(feature, figures): power over a bounded sample in time order, drift and order over all rows; and that sample."""
-    spark = df.sparkSession
+def temporal_figures(df: DataFrame, stats: dict[str, ColumnStats], time: str, target: str | None) -> DataFrame:
+    """(feature, pps_random, pps_time, drift, monotonicity) of features with at least 500 timed rows, over all of them."""
     names = [n for n in eligible(stats, target) if n != time]
-    wanted = [*names, *([target] if target else [])]
-    classification = bool(target) and task_of(stats[target]) == "classification"
-    rows = temporal_sample(df.select(*[col(n) for n in dict.fromkeys([*wanted, time])]), time, most)
-    as_number = {n: stats[n].kind == NUMERIC for n in wanted}
-    pdf = rows.select(
-        seconds(col(time)).cast("double").alias("t"), F.unix_micros(col(time).cast("timestamp")).alias("us"), row_hash(rows.schema, 7).alias("h"), *[(number(n) if as_number[n] else as_text(df.schema[n])).alias(f"c{i}") for i, n in enumerate(wanted)]
-    ).toPandas()
-    pdf = pdf.sort_values(["us", "h"], kind="stable").reset_index(drop=True)
-    sample = {"\0t": pdf.t.to_numpy(float), "\0us": pdf.us.to_numpy(float)}
-    for i, n in enumerate(wanted):
-        v = pdf[f"c{i}"]
-        sample[n] = (codes(v.astype(float)) if n == target and classification and as_number[n] else v.astype(float) if as_number[n] else codes(v)).to_numpy(float)
-    data = pd.DataFrame(sample)
-    n_rows = len(data)
-    cut = late_cut(df, time) if cut is None else cut
-    late = data["\0us"].to_numpy() >= (np.inf if cut is None else cut)
-    shuffled = np.zeros(n_rows, bool)
-    shuffled[np.random.default_rng(42).permutation(n_rows)[: late.sum()]] = True
-    schema = "feature string, " + ", ".join(f"{f} double" for f in _FIGURES)
-    if not names:
-        return spark.createDataFrame([], schema), data
-    shared = spark.sparkContext.broadcast((data, late, shuffled))
-    whole = whole_figures(df, stats, names, time, cut)
-
-    def run(batches):
-        for batch in batches:
-            d, l_, s = shared.value
-            y = d[target].to_numpy() if target else None
-            out = []
-            for n in batch.feature:
-                got = one_feature(d[n].to_numpy(), y, l_, s, classification)
-                if got is not None:
-                    out.append((n, got.get("pps_random"), got.get("pps_time"), *whole[n]))
-            yield pd.DataFrame(out, columns=["feature", *_FIGURES])
-
-    asked = spark.createDataFrame([(n,) for n in names], "feature string").repartition(min(len(names), 4 * spark.sparkContext.defaultParallelism))
-    found = asked.mapInPandas(run, schema)
-    if len(names) > 1:
-        # A feature too sparse for the shared sample has one of the rows that hold it.
-        for n in names:
-            if stats[n].non_null >= FEATURE_ROWS > data[n].notna().sum():
-                few = {k: stats[k] for k in dict.fromkeys([n, time, *([target] if target else [])])}
-                found = found.unionByName(temporal_figures(df.select(*[col(k) for k in few]).where(as_text(df.schema[n]).isNotNull() & (as_text(df.schema[n]) != "NaN")), few, time, target, most, cut)[0])
-    return found, data
+    cut = late_cut(df, time)
+    drift = drift_frame(df, stats, names, time, cut).where(F.col("n_a") + F.col("n_b") >= FEATURE_ROWS)
+    if target is None or not names:
+        return drift.select("feature", *[F.lit(None).cast("double").alias(f) for f in _FIGURES[:2]], *_FIGURES[2:])
+    classification = task_of(stats[target]) == "classification"
+    rows = df.where(col(time).isNotNull())
+    power = power_frame(rows, stats, names, target, classification, predicted(df, stats, target), is_late(time, cut), each_side=EACH_SIDE)
+    return drift.join(F.broadcast(power.select("feature", *_FIGURES[:2])), "feature", "left").select("feature", *_FIGURES)
 
 
 def bucket_frame(df: DataFrame, time: str, target: Column | None = None, buckets: int = 10) -> DataFrame:
@@ -261,10 +192,8 @@ def time_buckets(df: DataFrame, stats: dict[str, ColumnStats], time: str, target
     y = None
     if target:
         if task_of(stats[target]) == "classification":
-            from .target import class_counts
-
-            counts = [(r.n, r.value) for r in class_counts(df, target).collect()]
-            minority = min(counts)[1] if counts else None
+            least = class_counts(df, target).orderBy("n", "value").first()
+            minority = least.value if least else None
             text = as_text(df.schema[target])
             y = F.when(text.isNotNull(), (text == F.lit(minority)).cast("double"))
         else:
@@ -290,29 +219,6 @@ def bucket_drift(buckets: list[TimeBucket], classification: bool) -> tuple[str |
     return "regression_diff", None
 
 
-def decile_drift(y: np.ndarray, classification: bool) -> tuple[str | None, float | None]:
-    """Drift of the target over ten equal parts of a time-ordered sample; needs 100 labelled rows."""
-    y = y[~np.isnan(y)]
-    if len(y) < 100:
-        return None, None
-    parts = np.array_split(y, 10)
-    if classification:
-        levels = np.unique(y)
-        if len(levels) < 2:
-            return None, None
-        if len(levels) == 2:
-            rates = [(p == levels[-1]).mean() for p in parts]
-            return "binary", float(max(rates) - min(rates))
-        spread = [np.ptp([(p == k).mean() for p in parts]) for k in levels]
-        return "multiclass", float(max(spread))
-    means = [p.mean() for p in parts]
-    low, high = min(means), max(means)
-    if low > 0 or high < 0:
-        return "regression_ratio", float(max(abs(low), abs(high)) / min(abs(low), abs(high)))
-    scale = float(np.subtract(*np.percentile(y, [75, 25]))) or float(y.std())
-    return "regression_diff", float((high - low) / scale) if scale > 0 else None
-
-
 def target_drift(df: DataFrame, time: str, target: str, classification: bool) -> tuple[str | None, float | None]:
     """Drift of the target over ten equal parts of all labelled rows in time order; needs 100."""
     y = as_text(df.schema[target]) if classification else number(target)
@@ -335,8 +241,9 @@ def target_drift(df: DataFrame, time: str, target: str, classification: bool) ->
     low, high = min(means), max(means)
     if low > 0 or high < 0:
         return "regression_ratio", float(max(abs(low), abs(high)) / min(abs(low), abs(high)))
-    q1, q3, std = rows.agg(F.percentile("y", 0.25), F.percentile("y", 0.75), F.stddev_pop("y")).first()
-    scale = float(q3 - q1) or float(std)
+    counts = rows.select(F.lit(0).alias("c"), F.col("y").alias("v")).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    q1, q3 = quantiles(with_before(counts, ["c", "v"], ["n"]), (0.25, 0.75)).first().q
+    scale = float(q3 - q1) or float(rows.agg(F.stddev_pop("y")).first()[0])
     return "regression_diff", float((high - low) / scale) if scale > 0 else None
 
 
@@ -349,7 +256,7 @@ def demote_ingest_order(signals: list[TemporalSignal]) -> None:
                 s.severity = "info"
 
 
-def temporal_report(df: DataFrame, stats: dict[str, ColumnStats], time: str, target: str | None, most: int = SAMPLE) -> TemporalReport | None:
+def temporal_report(df: DataFrame, stats: dict[str, ColumnStats], time: str, target: str | None) -> TemporalReport | None:
     """None below 1,000 timed rows; buckets alone below ten distinct times."""
     s = stats[time]
     if s.non_null < ROWS:
@@ -364,8 +271,7 @@ def temporal_report(df: DataFrame, stats: dict[str, ColumnStats], time: str, tar
     if not [n for n in eligible(stats, target) if n != time]:
         report.insufficient = "no feature can be followed over time"
         return report
-    figures, _ = temporal_figures(df, stats, time, target, most)
-    for r in figures.collect():
+    for r in temporal_figures(df, stats, time, target).collect():
         f = {k: (None if r[k] is None or r[k] != r[k] else r[k]) for k in _FIGURES}
         of = stats[r.feature]
         severity, kind = classify(f["pps_random"], f["pps_time"], f["drift"], f["monotonicity"], of.unique_rate)
@@ -380,12 +286,4 @@ def temporal_report(df: DataFrame, stats: dict[str, ColumnStats], time: str, tar
     return report
 
 
-def split_numbers(df: DataFrame, time: str) -> DataFrame:
-    """df with is_late: whether a row is past the first 70 % in time order, over all rows."""
-    per = df.select(F.unix_micros(col(time).cast("timestamp")).alias("us")).where("us is not null").groupBy("us").agg(F.count(F.lit(1)).alias("n"))
-    total = per.agg(F.sum("n").alias("total"))
-    cut = with_before(per, "us", ["n"]).crossJoin(F.broadcast(total)).where(F.col("before_n") >= F.floor(F.lit(EARLY) * F.col("total"))).agg(F.min("us").alias("cut"))
-    return df.crossJoin(F.broadcast(cut)).withColumn("is_late", F.unix_micros(col(time).cast("timestamp")) >= F.col("cut")).drop("cut")
-
-
-__all__ = ["TemporalReport", "TemporalSignal", "TimeBucket", "bucket_frame", "classify", "ladder", "resolve_time", "temporal_report"]
+__all__ = ["TemporalReport", "TemporalSignal", "TimeBucket", "bucket_frame", "classify", "drift_frame", "resolve_time", "temporal_report"]

@@ -80,7 +80,7 @@ for _t in TABLES:
 
 
 def _outliers(spark: SparkSession, sf: str, t: str, names: list[str]) -> DataFrame:
-    found = columns.column_stats(read(spark, sf, t).select(names))
+    found = columns.column_stats(read(spark, sf, t).select(names), parts=frozenset({"quartiles", "bins"}))
     return spark.createDataFrame([(n, s.n_outliers_iqr or 0) for n, s in found.items()], "name string, n_outliers long")
 
 
@@ -96,7 +96,7 @@ for _t in ("lineitem", "orders", "customer", "events"):
 
 
 def _histogram(spark: SparkSession, sf: str, t: str, c: str) -> DataFrame:
-    bins = columns.column_stats(read(spark, sf, t).select(c))[c].histogram
+    bins = columns.column_stats(read(spark, sf, t).select(c), parts=frozenset({"bins"}))[c].histogram
     return spark.createDataFrame([(i, n) for i, (_, _, n) in enumerate(bins)], "bin int, n long")
 
 
@@ -109,7 +109,7 @@ for _t, _c in (("lineitem", "l_extendedprice"), ("lineitem", "l_quantity"), ("or
 
 def _top(spark: SparkSession, sf: str, t: str) -> DataFrame:
     df = read(spark, sf, t)
-    found = columns.column_stats(df.select([c for c, k in FIELDS[t] if k == "s"]))
+    found = columns.column_stats(df.select([c for c, k in FIELDS[t] if k == "s"]), parts=frozenset({"values"}))
     return spark.createDataFrame([(c, v, n, i) for c, s in found.items() for i, (v, n) in enumerate(s.top_values, 1)], "name string, value string, n long, place int")
 
 
@@ -122,12 +122,12 @@ for _t in ("lineitem", "orders", "customer", "part", "events", "nation"):
 
 @add("text_lengths", " union all ".join(f"select '{c}' as name, {r(f'avg(length({c}))')} as avg_len, max(length({c}))::int as max_len from {t}" for t, c in (("documents", "text"), ("part", "p_name"), ("events", "props"))))
 def _lengths(spark, sf):
-    found = [columns.column_stats(read(spark, sf, t).select(c))[c] for t, c in (("documents", "text"), ("part", "p_name"), ("events", "props"))]
+    found = [columns.column_stats(read(spark, sf, t).select(c), parts=frozenset())[c] for t, c in (("documents", "text"), ("part", "p_name"), ("events", "props"))]
     return rounded(spark.createDataFrame([(x.name, x.avg_len, x.max_len) for x in found], "name string, avg_len double, max_len int"))
 
 
 def _buckets(df: DataFrame, c: str) -> DataFrame:
-    return df.sparkSession.createDataFrame(columns.column_stats(df.select(c))[c].temporal_buckets, "label string, n long")
+    return df.sparkSession.createDataFrame(columns.column_stats(df.select(c), parts=frozenset({"bins"}))[c].temporal_buckets, "label string, n long")
 
 
 def _bucket_sql(t: str, c: str, unit: str, fmt: str, where: str = "") -> str:
@@ -222,21 +222,21 @@ def _rank_sql(t: str, x: str, y: str) -> str:
 
 
 for _name, _t, _x, _y in (("price_quantity", "lineitem", "l_extendedprice", "l_quantity"), ("discount_tax", "lineitem", "l_discount", "l_tax"), ("total_customer", "orders", "o_totalprice", "o_custkey")):
-    add(f"spearman_{_name}", _rank_sql(_t, _x, _y))(lambda spark, sf, t=_t, x=_x, y=_y: rounded(ranks.spearman(read(spark, sf, t), number(x), number(y))))
+    add(f"spearman_{_name}", _rank_sql(_t, _x, _y))(lambda spark, sf, t=_t, x=_x, y=_y: rounded(ranks.rank_correlations(read(spark, sf, t), [number(x)], number(y)).drop("c")))
 
-add("monotonicity_event_id", _rank_sql("events", "event_id", "floor(epoch(ts))").replace("corr(a, b)", "abs(corr(a, b))"))(lambda spark, sf: rounded(ranks.spearman(read(spark, sf, "events"), number("event_id"), columns.seconds(F.col("ts"))).withColumn("rho", F.abs("rho"))))
+add("monotonicity_event_id", _rank_sql("events", "event_id", "floor(epoch(ts))").replace("corr(a, b)", "abs(corr(a, b))"))(lambda spark, sf: rounded(ranks.rank_correlations(read(spark, sf, "events"), [number("event_id")], columns.seconds(F.col("ts"))).select("n", F.abs("rho").alias("rho"))))
 
 
 def _auc_sql(t: str, x: str, p: str) -> str:
     return f"with s as (select ({x})::double as v, ({p})::int as p from {t} where ({x}) is not null), k as (select p, rank() over (order by v) + (count(*) over (partition by v) - 1) / 2.0 as rk from s), z as (select sum(p)::double as np, (count(*) - sum(p))::double as nn, sum(rk * p) as rs from k) select np::bigint as n_pos, nn::bigint as n_neg, {r('(rs - np * (np + 1) / 2) / (np * nn)')} as auc, {r('2 * abs((rs - np * (np + 1) / 2) / (np * nn) - 0.5)')} as lift from z"
 
 
-add("auc_event_value", _auc_sql("events", "value", "event_type = 'click'"))(lambda spark, sf: rounded(ranks.roc_auc(read(spark, sf, "events"), number("value"), F.col("event_type") == "click")))
-add("auc_quantity_returned", _auc_sql("lineitem", "l_quantity", "l_returnflag = 'R'"))(lambda spark, sf: rounded(ranks.roc_auc(read(spark, sf, "lineitem"), number("l_quantity"), F.col("l_returnflag") == "R")))
+add("auc_event_value", _auc_sql("events", "value", "event_type = 'click'"))(lambda spark, sf: rounded(ranks.auc_of(ranks.sided(read(spark, sf, "events"), [number("value")], F.col("event_type") == "click")).drop("c")))
+add("auc_quantity_returned", _auc_sql("lineitem", "l_quantity", "l_returnflag = 'R'"))(lambda spark, sf: rounded(ranks.auc_of(ranks.sided(read(spark, sf, "lineitem"), [number("l_quantity")], F.col("l_returnflag") == "R")).drop("c")))
 
 
-def _late(df: DataFrame, time: str) -> DataFrame:
-    return temporal.split_numbers(df, time)
+def _late(df: DataFrame, time: str):
+    return temporal.is_late(time, temporal.late_cut(df, time))
 
 
 _SPLIT = "with s as (select *, row_number() over (order by {t}) as rn, count(*) over () as m from {f}), c as (select min({t}) as cut from s where rn > floor(0.7 * m)), p as (select *, {t} >= (select cut from c) as late from s)"
@@ -244,12 +244,14 @@ _SPLIT = "with s as (select *, row_number() over (order by {t}) as rn, count(*)
 
 @add("ks_event_value", _SPLIT.format(t="ts", f="events") + f", u as (select value as v, count(*) filter (where not late)::double as a, count(*) filter (where late)::double as b from p where value is not null group by 1), w as (select sum(a) over (order by v) / sum(a) over () as fa, sum(b) over (order by v) / sum(b) over () as fb, sum(a) over () as na, sum(b) over () as nb from u) select max(na)::bigint as n_a, max(nb)::bigint as n_b, {r('max(abs(fa - fb))')} as ks from w")
 def _ks(spark, sf):
-    return rounded(ranks.ks(_late(read(spark, sf, "events"), "ts"), number("value"), F.col("is_late")))
+    df = read(spark, sf, "events")
+    return rounded(ranks.ks_of(ranks.sided(df, [number("value")], _late(df, "ts"))).drop("c"))
 
 
 @add("total_variation_event_type", _SPLIT.format(t="ts", f="events") + f", u as (select event_type as v, count(*) filter (where not late)::double as a, count(*) filter (where late)::double as b from p where event_type is not null group by 1), w as (select abs(a / sum(a) over () - b / sum(b) over ()) as gap from u) select count(*) as levels, {r('sum(gap) / 2')} as tv from w")
 def _tv(spark, sf):
-    return rounded(ranks.total_variation(_late(read(spark, sf, "events"), "ts"), F.col("event_type"), F.col("is_late")))
+    df = read(spark, sf, "events")
+    return rounded(ranks.total_variations(df, [F.col("event_type")], _late(df, "ts")).select("levels", "tv"))
 
 
 # ---- target ----
@@ -287,14 +289,6 @@ def _values(spark, sf):
     return rounded(got.select(F.col("t").cast("timestamp_ntz").alias("t"), "n_rows", "n_target", "value"), 4)
 
 
-@add("time_ladder", "select * from (values (0, 'critical', 'random_cv'), (1, 'critical', 'post_event'), (2, 'warning', 'drift'), (3, 'info', 'strong_drift'), (4, 'warning', 'monotonic'), (5, 'none', 'none')) v(i, severity, leakage_kind)")
-def _ladder(spark, sf):
-    rows = [(0, 0.5, 0.1, 0.2, 0.1, 0.1), (1, 0.31, 0.01, 0.2, 0.0, 0.0), (2, 0.15, 0.14, 0.4, 0.0, 0.0), (3, 0.0, 0.0, 0.6, 0.99, 1.0), (4, 0.0, 0.0, 0.1, 0.99, 1.0), (5, None, None, None, None, 0.0)]
-    df = spark.createDataFrame(rows, "i int, r double, t double, d double, m double, u double")
-    got = temporal.ladder(*[F.col(c) for c in "rtdmu"])
-    return df.select("i", got.alias("g")).select("i", "g.severity", "g.leakage_kind")
-
-
 # ---- rules, roles, comparison ----
 
 
@@ -473,14 +467,14 @@ def _stats(df: DataFrame) -> dict[str, columns.ColumnStats]:
 
 @add("predictive_power_lineitem")
 def _pps(spark, sf):
-    df = read(spark, sf, "lineitem").drop("l_shipdate")
-    return target.signal_frame(df, _stats(df), "l_returnflag")[0].select("feature", "n", "pps", "mutual_info")
+    df = read(spark, sf, "lineitem")
+    return target.signal_frame(df, _stats(df), "l_returnflag").select("feature", "n", "pps", "mutual_info")
 
 
 @add("temporal_power_events")
 def _gap(spark, sf):
-    df = read(spark, sf, "events").drop("props")
-    return temporal.temporal_figures(df, _stats(df), "ts", "event_type")[0]
+    df = read(spark, sf, "events")
+    return temporal.temporal_figures(df, _stats(df), "ts", "event_type")
 
 
 @add("mutual_information_orders")
@@ -498,6 +492,23 @@ def _clusters(spark, sf):
     return spark.createDataFrame([(c.id, c.members, c.representative, c.mean_abs_correlation) for c in report.clusters], "id int, members array<string>, representative string, mean_abs_correlation double")
 
 
+def _rank_matrix_sql(t: str, names: list[str]) -> str:
+    ranks_ = ", ".join(f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0 as r_{c}" for c in names)
+    return f"with r as materialized (select {ranks_} from {t}) " + " union all ".join(f"select '{a}' as a, '{b}' as b, {r(f'abs(corr(r_{a}, r_{b}))', 3)} as rho from r" for i, a in enumerate(names) for b in names[i + 1 :])
+
+
+def _rank_matrix(spark: SparkSession, sf: str, t: str, names: list[str]) -> DataFrame:
+    from .operators.clusters import rank_correlations
+
+    df = read(spark, sf, t).select(names)
+    rho = rank_correlations(df, columns.column_stats(df, parts=frozenset({"values"})), names)
+    return rounded(spark.createDataFrame([(a, names[j], float(rho[i, j])) for i, a in enumerate(names) for j in range(i + 1, len(names))], "a string, b string, rho double"), 3)
+
+
+for _t in ("lineitem", "orders", "part"):
+    add(f"rank_correlations_{_t}", _rank_matrix_sql(_t, _PAIR_TABLES[_t]))(lambda spark, sf, t=_t: _rank_matrix(spark, sf, t, _PAIR_TABLES[t]))
+
+
 @add("permutation_importance_lineitem")
 def _permutation(spark, sf):
     df = read(spark, sf, "lineitem")

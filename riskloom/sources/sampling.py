@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.expr import col, hashable, quoted, row_hash
+from ..functions.expr import col, hashable, quoted
 from ..functions.kinds import OTHER, kind_of
 
 SEED = 42
@@ -107,16 +107,6 @@ def target_sample(df: DataFrame, target: str, most: int, n_classes: int | None)
     return exact_sample(df.where(col(target).isNotNull()), most)
 
 
-def temporal_sample(df: DataFrame, time: str, most: int = 50_000) -> DataFrame:
-    """At most `most` rows that have a time."""
-    return exact_sample(df.where(col(time).isNotNull()), most)
-
-
-def in_order(df: DataFrame, time: str) -> list[Column]:
-    """Sort keys of a time-ordered sample, ties by content."""
-    return [col(time), row_hash(df.schema, SEED)]
-
-
 def capped(names: list[str], most: int | None, priority: list[str]) -> list[str]:
     """At most so many of names: those of the priority list in its order first, then the others in theirs."""
     if most is None or len(names) <= most:

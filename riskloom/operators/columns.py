@@ -19,9 +19,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.expr import adjusted_skewness, as_text, col, number
-from ..functions.kinds import NUMERIC, OTHER, TEMPORAL, TEXT, kinds
+from ..functions.kinds import NUMERIC, OTHER, TEMPORAL, TEXT, kind_of, kinds
 from ..scratch import kept, mark, release
-from .ranks import quantiles, with_before
+from .ranks import quantiles_at, with_before
 
 TOP, BINS = 10, 24
 DAY_SPAN, MONTH_SPAN = 60 * 86_400, 5 * 365 * 86_400
@@ -120,16 +120,17 @@ def number_counts(df: DataFrame) -> DataFrame:
 
 
 def number_figures(df: DataFrame, quarters: bool) -> DataFrame:
-    """(c, n_unique, top, top_n[, q]) of the numeric columns from one sort of their counted values."""
+    """(c, n_unique, top, top_n, q) of the numeric columns from one sort of their counted values."""
     counts = number_counts(df)
-    numbered = with_before(counts, ["c", "v", "same"], ["n"]) if quarters else kept(counts, "counted")
+    numbered = with_before(counts, ["c", "v", "same"], ["n"]) if quarters else kept(counts, "counted").withColumn("before_n", F.lit(0).cast("long"))
     shown = F.coalesce(F.when(F.col("v") != F.col("same"), F.col("v").cast("string")), F.col("same").cast("string"), F.col("v").cast("string"), F.lit("NaN"))
-    most = F.min(F.struct((-F.col("n")).alias("n"), shown.alias("v")))
-    out = numbered.groupBy("c").agg(F.count(F.lit(1)).alias("n_unique"), most.alias("most")).select("c", "n_unique", F.col("most.v").alias("top"), (-F.col("most.n")).alias("top_n"))
-    if not quarters:
-        return out.withColumn("q", F.lit(None).cast("array<double>"))
+    # Written out only where a value is as frequent as the most frequent one.
+    size = numbered.groupBy("c").agg(F.count(F.lit(1)).alias("n_unique"), F.max("n").alias("top_n"), F.min(F.when(F.col("v").isNotNull(), F.col("before_n"))).alias("base"), F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).alias("total"))
     # One row a column.
-    return out.join(F.broadcast(quantiles(numbered.where("v is not null"), QUARTERS)), "c", "left")
+    rows = numbered.join(F.broadcast(size), "c")
+    figures = [F.min(F.when(F.col("n") == F.col("top_n"), shown)).alias("top"), *[F.first(x).alias(x) for x in ("n_unique", "top_n", "total")]]
+    places, q = quantiles_at(QUARTERS) if quarters else ([], F.lit(None).cast("array<double>"))
+    return rows.withColumn("at", F.when(F.col("v").isNotNull(), F.col("before_n") - F.col("base"))).groupBy("c").agg(*figures, *places).select("c", "n_unique", "top", "top_n", q.alias("q"))
 
 
 def seconds(c: Column) -> Column:
@@ -152,8 +153,9 @@ EDGE = 1000
 
 
 def _hashed(df: DataFrame, names: list[str]) -> DataFrame:
-    """(c, h, k, v): each text with 128 bits of it."""
-    return unpivoted(df, names, as_text).where("v is not null").select("c", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(7), "v").alias("k"), "v")
+    """(c, h, k, v): each text with 128 bits of it; a time stands for itself as microseconds."""
+    text = lambda f: F.unix_micros(col(f.name).cast("timestamp")).cast("string") if kind_of(f.dataType) == TEMPORAL else as_text(f)
+    return unpivoted(df, names, text).where("v is not null").select("c", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(7), "v").alias("k"), "v")
 
 
 def level_counts(df: DataFrame, names: list[str]) -> DataFrame:
@@ -280,34 +282,40 @@ def _column_stats(df: DataFrame, bins: int, exact: bool, parts: frozenset[str])
 
 
 def _third_pass(df: DataFrame, stats: dict[str, ColumnStats], spans: dict[str, Any], bins: int) -> None:
+    unit = {n: unit_of(spans[n]) for n, s in stats.items() if s.kind == TEMPORAL and s.ts_min is not None}
+
     def value(f) -> Column:
         s = stats[f.name]
         if s.kind == NUMERIC:
             x = number(f.name)
             spread = (s.p75 or 0) - (s.p25 or 0)
             far = F.lit(False) if spread <= 0 else (x < s.p25 - 1.5 * spread) | (x > s.p75 + 1.5 * spread)
-            return F.struct(F.lpad(bin_of(x, s.min, s.max, bins).cast("string"), 9, "0").alias("b"), F.coalesce(far, F.lit(False)).alias("far"))
-        unit = unit_of(spans[f.name])
-        return F.struct(F.date_format(F.date_trunc(unit, col(f.name).cast("timestamp")), UNITS[unit]).alias("b"), F.lit(False).alias("far"))
+            return F.struct(bin_of(x, s.min, s.max, bins).cast("long").alias("b"), F.coalesce(far, F.lit(False)).alias("far"))
+        return F.struct(F.unix_micros(F.date_trunc(unit[f.name], col(f.name).cast("timestamp"))).alias("b"), F.lit(False).alias("far"))
 
-    names = [n for n, s in stats.items() if (s.kind == NUMERIC and s.min is not None) or (s.kind == TEMPORAL and s.ts_min is not None)]
+    names = [n for n, s in stats.items() if (s.kind == NUMERIC and s.min is not None) or n in unit]
     if not names:
         return
     long = unpivoted(df, names, value).select("c", "v.b", "v.far").where("b is not null")
-    counts: dict[int, dict[str, int]] = {}
-    far: dict[int, int] = {}
-    for r in long.groupBy("c", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("far").cast("long")).alias("far")).collect():
-        counts.setdefault(r.c, {})[r.b] = r.n
-        far[r.c] = far.get(r.c, 0) + r.far
+    counts = long.groupBy("c", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("far").cast("long")).alias("far"))
+    # Times are written out once a bucket, not once a row.
+    label = F.lit(None).cast("string")
+    for u, shape in UNITS.items():
+        of = [i for i, n in enumerate(df.columns) if unit.get(n) == u]
+        label = F.when(F.col("c").isin(of), F.date_format(F.timestamp_micros("b"), shape)).otherwise(label) if of else label
+    found: dict[int, list] = {}
+    for r in counts.select("c", "b", "n", "far", label.alias("label")).collect():
+        found.setdefault(r.c, []).append(r)
     for i, n in enumerate(df.columns):
-        s = stats[n]
         if n not in names:
             continue
+        s, rows = stats[n], found.get(i, [])
         if s.kind == NUMERIC:
-            s.histogram = [(a, b, counts.get(i, {}).get(f"{j:09d}", 0)) for j, (a, b) in enumerate(edges(s.min, s.max, bins))]
-            s.n_outliers_iqr = far.get(i, 0)
+            size = {r.b: r.n for r in rows}
+            s.histogram = [(a, b, size.get(j, 0)) for j, (a, b) in enumerate(edges(s.min, s.max, bins))]
+            s.n_outliers_iqr = sum(r.far for r in rows)
         else:
-            s.temporal_buckets = sorted(counts.get(i, {}).items())
+            s.temporal_buckets = sorted((r.label, r.n) for r in rows)
 
 
 __all__ = ["BINS", "OTHER", "ColumnStats", "PARTS", "bin_of", "column_stats", "edges", "level_counts", "top_levels", "unit_of", "unpivoted"]

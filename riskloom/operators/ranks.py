@@ -129,15 +129,20 @@ def average_ranks(df: DataFrame, value: Column) -> DataFrame:
     return with_before(counts, "v", ["n"]).select("v", "n", (F.col("before_n") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"))
 
 
-def quantiles(numbered: DataFrame, at: tuple[float, ...]) -> DataFrame:
-    """(c, q): quantiles of numbered values (c, v, n, before_n) by linear interpolation."""
-    within = _within(numbered, ["n"])
+def quantiles_at(at: tuple[float, ...]) -> tuple[list[Column], Column]:
+    """(aggregates, array over them): quantiles by linear interpolation of counted values v, n of which stand from
+    place `at` on among `total`; rows without a place don't count."""
     place = lambda q: (F.col("total") - 1) * F.lit(q)
-    holds = lambda k: (F.col("before_n") <= k) & (k < F.col("before_n") + F.col("n"))
+    holds = lambda k: (F.col("at") <= k) & (k < F.col("at") + F.col("n"))
     found = []
     for i, q in enumerate(at):
-        low, high = F.floor(place(q)), F.ceil(place(q))
-        found += [F.max(F.when(holds(low), F.col("v"))).alias(f"a{i}"), F.max(F.when(holds(high), F.col("v"))).alias(f"b{i}")]
-    both = within.withColumnRenamed("all_n", "total").groupBy("c").agg(F.first("total").alias("total"), *found)
+        found += [F.max(F.when(holds(F.floor(place(q))), F.col("v"))).alias(f"a{i}"), F.max(F.when(holds(F.ceil(place(q))), F.col("v"))).alias(f"b{i}")]
     between = [F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (place(q) - F.floor(place(q))) for i, q in enumerate(at)]
-    return both.select("c", F.array(*between).alias("q"))
+    return found, F.when(F.col("total") > 0, F.array(*between))
+
+
+def quantiles(numbered: DataFrame, at: tuple[float, ...]) -> DataFrame:
+    """(c, q): quantiles of numbered values (c, v, n, before_n)."""
+    found, q = quantiles_at(at)
+    within = _within(numbered, ["n"]).withColumnsRenamed({"all_n": "total", "before_n": "at"})
+    return within.groupBy("c").agg(F.first("total").alias("total"), *found).select("c", q.alias("q"))

@@ -120,7 +120,7 @@ class Trie:
         of a bound come along with their count, so that every walk up ends in its range.
         """
         size, n = max(len(self.words), 1), len(bounds)
-        vocabulary = {w: i for i, w in enumerate(pc.unique(pa.array(sorted({w for b in bounds for w in b[1:]}), pa.large_binary())).to_pylist())}
+        vocabulary = {w: i for i, w in enumerate(sorted({w for b in bounds for w in b[1:]}))}
         wanted = pa.array(list(vocabulary), pa.large_binary())
         lower, known = _places(self.words, wanted)
         lang_lower, lang_known = _places(self.langs, pa.array([b[0] for b in bounds], pa.large_binary()))

@@ -74,14 +74,11 @@ _CODE, _POWER, _BACK = _codes(7)
 
 
 def _powers(n: int) -> np.ndarray:
-    """Powers of the base for words of n code points; long runs get their own."""
-    if n <= len(_POWER):
-        return _POWER[:n]
-    out = np.empty(n, np.uint64)
-    out[: len(_POWER)] = _POWER
-    for i in range(len(_POWER), n):
-        out[i] = out[i - 1] * _POWER[1]
-    return out
+    """Powers of the base for words of n code points; a longer table is made for very long runs."""
+    out = _POWER
+    while len(out) < n:
+        out = np.r_[out, out * (out[-1] * _POWER[1:2])]
+    return out[:n]
 
 
 class Entries:

@@ -36,40 +36,69 @@ def canonical(value) -> str:
 _KINDS = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
 
 
-def problems(value, schema: dict, at: str = "$") -> list[str]:
-    """Where a value breaks a JSON schema (a type that no schema knows fits nothing): type, enum, required, properties, additionalProperties, items, minimum, maximum, minLength, maxLength."""
+def _fits(x, kinds: type | tuple) -> bool:
+    return isinstance(x, kinds) and not (isinstance(x, bool) and kinds is not bool)
+
+
+def checked(schema, at: str = "$") -> None:
+    """ValueError where a schema isn't one: found on the driver, before any row is read."""
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise ValueError(f"schema {at}: neither an object nor true or false")
+    kinds = schema.get("type", [])
+    wrong = [] if isinstance(kinds, str) or (isinstance(kinds, list) and all(isinstance(k, str) for k in kinds)) else ["type"]
+    wrong += [k for k in ("minimum", "maximum", "minLength", "maxLength") if k in schema and not _fits(schema[k], (int, float))]
+    wrong += [k for k, kind in (("enum", list), ("required", list), ("properties", dict)) if k in schema and not isinstance(schema[k], kind)]
+    if wrong:
+        raise ValueError(f"schema {at}: {', '.join(wrong)} can't be read")
+    inner = {f".{k}": x for k, x in schema.get("properties", {}).items()}
+    items = schema.get("items", True)
+    inner |= {f"[{i}]": x for i, x in enumerate(items)} if isinstance(items, list) else {"[]": items}
+    for k, x in (inner | {".*": schema.get("additionalProperties", True)}).items():
+        checked(x, at + k)
+
+
+def problems(value, schema: dict | bool, at: str = "$") -> list[str]:
+    """Where a value breaks a JSON schema (a type that no schema knows fits nothing): true, false, type, enum,
+    required, properties, additionalProperties, items (one for all, or one for each), minimum, maximum, minLength, maxLength."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: not allowed"]
     out = []
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds or []
 
     def is_kind(k: str) -> bool:
         if k in ("number", "integer"):
-            return isinstance(value, (int, float)) and not isinstance(value, bool) and (k == "number" or isinstance(value, int) or value.is_integer())
+            return _fits(value, (int, float)) and (k == "number" or isinstance(value, int) or value.is_integer())
         return k in _KINDS and isinstance(value, _KINDS[k])
 
     if kinds and not any(is_kind(k) for k in kinds):
         return [f"{at}: not {'/'.join(kinds)}"]
-    if "enum" in schema and value not in schema["enum"]:
+    # true isn't 1, and 1.0 is.
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         out.append(f"{at}: not one of the values")
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, others = schema.get("properties", {}), schema.get("additionalProperties", True)
         out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
         for k in sorted(value):
             if k in known:
                 out += problems(value[k], known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
+            elif others is False:
                 out.append(f"{at}.{k}: unknown")
+            else:
+                out += problems(value[k], others, f"{at}.{k}")
     if isinstance(value, list) and "items" in schema:
-        for i, x in enumerate(value):
-            out += problems(x, schema["items"], f"{at}[{i}]")
+        each = schema["items"]
+        for i, (x, own) in enumerate(zip(value, each) if isinstance(each, list) else ((x, each) for x in value)):
+            out += problems(x, own, f"{at}[{i}]")
     if isinstance(value, str):
         if len(value) < schema.get("minLength", 0):
             out.append(f"{at}: too short")
         if len(value) > schema.get("maxLength", math.inf):
             out.append(f"{at}: too long")
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
-        if value < schema.get("minimum", -math.inf) or value > schema.get("maximum", math.inf):
-            out.append(f"{at}: out of range")
+    if _fits(value, (int, float)) and (value < schema.get("minimum", -math.inf) or value > schema.get("maximum", math.inf)):
+        out.append(f"{at}: out of range")
     return out
 
 
@@ -182,29 +211,32 @@ def _levels(calls: DataFrame) -> DataFrame:
 
 def _written(rows: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     def make():
+        def message(conv, call, name, args, value, content, answered) -> str:
+            out = {"conversation": conv, "id": call}
+            if name is not None or args is not None:
+                out["call"] = {"name": name, "arguments": value}
+            if answered:
+                out["result"] = content
+            return canonical(out).encode("utf-8", "replace").decode()  # half of a surrogate pair becomes "?"
+
         def fn(batch: pa.RecordBatch) -> list[pa.Array]:
             get = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
             wrong, text = [], []
             for conv, call, name, args, content, answered in zip(*map(get, ("conv_id", "call_id", "name", "arguments", "content", "answered"))):
-                n, value = 0, None
                 try:
                     value = None if args is None else json.loads(args)
-                    if name is not None:
-                        n = len(problems(value, schemas[name])) if name in schemas else 1
-                    canonical(value)
+                    n = 0 if name is None else len(problems(value, schemas[name])) if name in schemas else 1
+                    said = message(conv, call, name, args, value, content, answered)
                 except (ValueError, RecursionError):
-                    value, n = args, 1
+                    n, said = 1, message(conv, call, name, args, args, content, answered)
                 wrong.append(n)
-                out = {"conversation": conv, "id": call}
-                if name is not None or args is not None:
-                    out["call"] = {"name": name, "arguments": value}
-                if answered:
-                    out["result"] = content
-                text.append(canonical(out).encode("utf-8", "replace").decode())  # half of a surrogate pair becomes "?"
+                text.append(said)
             return [pa.array(wrong, pa.int64()), pa.array(text, pa.string())]
 
         return fn
 
+    for name, schema in schemas.items():
+        checked(schema, name)
     fields = [T.StructField("n_problems", T.LongType()), T.StructField("message", T.StringType())]
     return append_columns(rows, make, fields, ["conv_id", "call_id", "turn", "name", "level", "status"] + ["arguments", "content", "answered"]).drop("arguments", "content", "answered")
 

@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pytest
 
 from riskloom.llm import bpe, chat
 from riskloom.llm import token_counts as tc
@@ -38,6 +39,28 @@ def test_levels_status_and_schemas(spark):
     assert got[1, "a", 0].message == '{"call":{"arguments":{"x":1},"name":"add"},"conversation":1,"id":"a","result":"one"}'
 
 
+def test_deep_and_odd_json_stays_a_string(spark):
+    deep = ["[" * n + "]" * n for n in range(100, 1200, 7)] + ['{"a":' * 990 + "1" + "}" * 990, "[" * 200_000]
+    calls = spark.createDataFrame([(1, str(i), i, "any", t, None) for i, t in enumerate(deep)], "conv_id long, call_id string, turn long, name string, arguments string, needs array<string>")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    rows = chat.link_calls(calls, results, {"any": True}).collect()
+    assert len(rows) == len(deep)
+    by = {int(r.call_id): r for r in rows}
+    assert by[0].n_problems == 0 and json.loads(by[0].message)["call"]["arguments"] == json.loads(deep[0])
+    assert by[len(deep) - 1].n_problems == 1 and json.loads(by[len(deep) - 1].message)["call"]["arguments"] == deep[-1]
+
+
+def test_schemas_of_any_legal_kind():
+    assert chat.problems({"a": 1, "b": 2}, {"properties": {"a": True, "b": False}}) == ["$.b: not allowed"]
+    assert chat.problems([1, "x", None], {"items": [{"type": "integer"}, {"type": "null"}]}) == ["$[1]: not null"]
+    assert chat.problems(True, {"enum": [1]}) and not chat.problems(1.0, {"enum": [1]}) and not chat.problems({"z": 2}, {"additionalProperties": {"type": "number"}})
+    assert chat.problems({"z": "2"}, {"additionalProperties": {"type": "number"}}) == ["$.z: not number"]
+    for bad in ({"enum": 5}, {"minimum": "a"}, {"type": 3}, {"properties": {"a": 1}}, {"items": [7]}, 5, {"maxLength": True}):
+        with pytest.raises(ValueError):
+            chat.checked(bad)
+    chat.checked(chat.REPLY["reply"])
+
+
 def test_query_and_empty(spark, sf):
     rows = chat.digest(spark, sf).collect()
     turns = spark.read.parquet(f"{sf}/conversations.parquet").count()

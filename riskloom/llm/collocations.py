@@ -27,7 +27,7 @@ DEPTH, LEAST, TOP, UNKNOWN = 4, 30, 2000, "und"
 #: A longer phrase with at least so many hundredths of a candidate's occurrences takes its place.
 ABSORBED = 80
 #: Bytes of text behind one trie of a shard, and behind a range on average.
-SHARD_BYTES, RANGE_BYTES = 16 << 20, 8 << 20
+SHARD_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
 #: Ranges at most (their bounds stand on the driver and in each task), and keys drawn for each.
 RANGES, DRAWN = 65536, 16
 #: Nodes waiting in a range before they are merged.

@@ -1,13 +1,13 @@
 """Main-text extraction from HTML by minimum cut.
 
-A page becomes a sequence of text blocks. A logistic classifier over length,
-links, kind and neighbours of a block, fitted on blocks that the markup of some
-pages labels (article and main against nav, footer and the like), gives the costs
-of calling it content or boilerplate: terminal capacities. Names of elements and
-classes are not among its features. They label containers, which are nodes of the
-graph too, tied to the blocks inside. Blocks are tied to their neighbours in page
-order and to blocks of the same parent, the weaker the farther apart in the DOM.
-The minimum cut is the cheapest labelling of all.
+A page becomes a sequence of text blocks. A logistic classifier over length, links,
+kind and neighbours of a block, the text its parent holds, and the names around it,
+fitted on blocks that the elements of some pages label (article and main against
+nav, footer and the like), gives the costs of calling it content or boilerplate:
+terminal capacities. Such elements are nodes of the graph too, tied to the blocks
+inside by less than what a block and its neighbours can weigh against them. Blocks
+are tied to their neighbours in page order and to blocks of the same parent, the
+weaker the farther apart in the DOM. The minimum cut is the cheapest labelling of all.
 """
 
 from __future__ import annotations
@@ -35,34 +35,44 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
+LISTED = frozenset("ul ol dl menu li dd dt table thead tbody tfoot tr td th".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of the first kind ends an open element of the second, up to the limits.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
-# Names that sites give to what surrounds an article, and to the article.
-AROUND_TAGS = frozenset("nav aside footer form menu dialog search".split())
+# Elements and roles around an article, and of it.
+AROUND_TAGS = frozenset("nav aside footer menu dialog search".split())
 AROUND_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar alert".split())
-AROUND_NAMES = frozenset(
+ARTICLE_TAGS = frozenset("article main".split())
+# Words in the names that sites give to what surrounds an article, and to the article.
+AROUND_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus "
     "footer gdpr legal login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup "
     "promo promoted promotion recommended related reply replies respond share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription "
     "taboola toolbar topbar widget widgets alert warning search form header rail teaser sitemap aside".split()
 )
-ARTICLE_TAGS = frozenset("article main".split())
-ARTICLE_NAMES = frozenset("article articlebody content entry post story main text prose maincontent storybody".split())
+ARTICLE_WORDS = frozenset("article articlebody content entry post story main text prose maincontent storybody".split())
+# What makes a name say how something is, not what it is; and words that name a box of something.
+STATE_WORDS = frozenset("with without no not has have is layout free required on off enabled disabled show hide open closed js".split())
+BOX_WORDS = frozenset("area wrap wrapper container box section block inner outer holder group region zone list links item items bar panel column col row slot unit space placeholder".split())
 
 #: Features of a block, and weights (log-odds of content) for tables without labelled blocks.
-FEATURES = ("one", "log_length", "linked", "heading", "list_item", "table_cell", "no_stop", "log_before", "linked_before", "log_after", "linked_after")
-DEFAULT_WEIGHTS = (0.2, 0.6, -3.0, 1.0, -0.4, -0.4, -0.4, 0.2, -0.5, 0.2, -0.5)
+FEATURES = (
+    "one", "log_length", "linked", "heading", "list_item", "table_cell", "no_stop", "log_before", "linked_before", "log_after", "linked_after",
+    "crowd", "around_name", "article_name", "outside",
+)
+DEFAULT_WEIGHTS = (-0.8, 0.6, -3.0, 1.0, -0.4, -0.4, -0.4, 0.2, -0.5, 0.2, -0.5, 2.0, -9.0, 1.5, -2.5)
+#: Of them, those of the text; their part of the log-odds is cut off at SURE.
+OF_TEXT, SURE = 12, 3.0
 #: The bound of what is fitted on: pages, and blocks of a page.
 SAMPLE_PAGES, SAMPLE_BLOCKS = 2000, 40
-#: Log-odds of a block are cut off here, so that the ties to a labelled container outweigh them.
-SURE = 4.0
-#: Log-odds of a container: named as article or around one; of a weaker name.
-HARD, SOFT = 1000.0, 4.0
-#: Ties of a block with its labelled container, of such a container with the next outer one,
+#: Log-odds of an element that says article or not.
+MARKED = 7.0
+#: Ties of a block with its marked element, of such an element with the next outer one,
 #: of blocks that follow each other, and of those that follow each other in one parent.
-INSIDE, INSIDE_SOFT, NESTED, NEXT, SAME = 6.0, 1.5, 0.5, 1.5, 0.7
+INSIDE, NESTED, NEXT, SAME = 3.5, 0.5, 1.5, 0.7
+#: A part of the page's text from which a box is the page and no surrounding of anything.
+MOST = 0.8
 
 _MARK = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S
@@ -78,16 +88,20 @@ class Node:
     parent: Node | None
     depth: int
     around: bool = False
-    always: bool = False
+    form: bool = False
     article: bool = False
-    named: bool = False
+    around_name: float = 0.0
+    article_name: bool = False
     silent: bool = False
-    holds_article: bool = False
     link: bool = False
     heading: bool = False
     box: Node | None = None
     hub: Node | None = None
     odds: float = 0.0
+    size: int = 0
+    own: int = 0
+    holds: bool = False
+    titled: bool = False
 
 
 @dataclass(slots=True)
@@ -99,34 +113,44 @@ class Block:
     heading: bool = False
 
 
+def name_says(value: str) -> tuple[float, bool]:
+    """(how far a class or id says that it surrounds an article, 0 to 1, whether one says that it is of it).
+
+    The last word of a compound counts that isn't a mere box; an earlier one half. A name of a state says nothing.
+    """
+    around, article = 0.0, False
+    for name in value.split():
+        words = _NAMES.findall(_CAMEL.sub(" ", name).lower())
+        if not words or STATE_WORDS & set(words):
+            continue
+        while len(words) > 1 and words[-1] in BOX_WORDS:
+            words.pop()
+        article |= words[-1] in ARTICLE_WORDS
+        around = max(around, 1.0 if words[-1] in AROUND_WORDS else 0.5 if words[-1] not in ARTICLE_WORDS and AROUND_WORDS & set(words) else 0.0)
+    return around, article
+
+
 def _element(tag: str, attrs: str, parent: Node | None) -> Node:
     node = Node(tag, parent, parent.depth + 1 if parent else 0)
     node.silent = tag in SILENT
-    node.article = tag in ARTICLE_TAGS
-    node.around = tag in AROUND_TAGS
-    node.always = node.around and tag != "form"
+    node.article, node.around, node.form = tag in ARTICLE_TAGS, tag in AROUND_TAGS, tag == "form"
     for m in _ATTR.finditer(attrs) if attrs and not attrs.isspace() else ():
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role":
             node.around |= value.lower() in AROUND_ROLES
-            node.always |= value.lower() in AROUND_ROLES
             node.article |= value.lower() in ARTICLE_TAGS
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             node.silent |= name != "aria-hidden" and tag not in ("html", "body")
         elif name in ("class", "id") and tag not in ("html", "body"):
-            words = set(_NAMES.findall(_CAMEL.sub(" ", value).lower()))
-            node.around |= bool(words & AROUND_NAMES)
-            node.named |= bool(words & ARTICLE_NAMES)
+            around, article = name_says(value)
+            node.around_name, node.article_name = max(node.around_name, around), node.article_name or article
+    if node.around_name and node.article_name:
+        node.around_name, node.article_name = 0.0, False  # says both: says nothing
     if parent is not None:
         node.silent |= parent.silent
         node.link = tag == "a" or parent.link
         node.heading = tag in HEADINGS or parent.heading
         node.box = node if tag in BLOCK else parent.box
-    if node.article and not node.around and parent is not None:
-        up = parent
-        while up is not None and not up.holds_article:
-            up.holds_article = True
-            up = up.parent
     return node
 
 
@@ -230,7 +254,7 @@ def blocks(page: str) -> list[Block]:
         open_.push(node)
     say(page[lost:])
     end()
-    _label_containers(made)
+    _mark(made, found)
     return found
 
 
@@ -240,29 +264,53 @@ def _raw_end(tag: str, seen: dict[str, re.Pattern] = {}) -> re.Pattern:  # noqa:
     return seen[tag]
 
 
-def _label_containers(made: list[Node]) -> None:
-    """For each element the innermost labelled container it lies in; made: parents before children.
+def _mark(made: list[Node], found: list[Block]) -> None:
+    """For each element the innermost marked one it lies in, and the names that hold for it; made: parents before children.
 
-    What surrounds articles stays so whatever lies in it; its name means nothing on what holds an article.
+    What holds the headline, an article or most of the page's text surrounds nothing,
+    whatever its name; what surrounds articles stays so whatever lies in it.
     """
-    inside: dict[int, bool] = {}
+    for b in found:
+        b.node.own += b.size
+        b.node.size += b.size
+        b.node.titled |= b.node.tag == "h1"
+    for node in reversed(made):
+        if (up := node.parent) is not None:
+            up.size += node.size
+            up.titled |= node.titled and not node.around
+            # A comment or a menu in an article element is no article.
+            up.holds |= node.holds and not node.around or node.article and not node.around_name
+    total = max(made[0].size, 1)
     for node in made:
         up = node.parent
-        node.hub = up.hub if up is not None else None
-        in_article = up is not None and inside[id(up)]
-        inside[id(node)] = in_article or node.article
-        if node.hub is not None and node.hub.odds < 0:
+        if up is None:
             continue
-        around = node.always or node.around and not node.holds_article
-        around |= node.tag == "header" and not in_article and not node.holds_article
-        odds = -HARD if around else SOFT if node.named and not node.article or node.tag == "main" and node.holds_article else HARD if node.article else 0.0
-        # A label that says no more than the one around it makes no node: chains of containers stay short.
-        if odds < 0 or odds > (node.hub.odds if node.hub is not None else 0.0):
-            node.odds, node.hub = odds, node
+        node.hub = up.hub
+        inside = up.article
+        node.article |= up.article  # from here on: whether it lies in an article
+        outer = node.hub is not None and node.hub.odds < 0
+        page = node.size >= MOST * total or node.holds
+        if page or node.titled or outer:
+            node.around_name = 0.0
+        head = node.tag == "header" and not inside and not node.holds and not node.titled
+        around = node.around and not (page and node.tag not in AROUND_TAGS) or node.form and not page and not node.titled or head
+        opens = node.tag in ARTICLE_TAGS or node.article and not inside
+        if not outer and (around or opens and not inside and not node.around_name):
+            node.odds, node.hub = -MARKED if around else MARKED, node
+        node.around_name = max(node.around_name, up.around_name)
+        node.article_name = (node.article_name or up.article_name) and not node.around_name
+
+
+def holder(node: Node) -> Node:
+    """The box a block stands in: its parent, or what a list or a table in it stands in."""
+    up = node.parent or node
+    while up.tag in LISTED and up.parent is not None:
+        up = up.parent
+    return up
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """(blocks, features), in the order of FEATURES. No names of elements or classes but of the block's own kind."""
+    """(blocks, features), in the order of FEATURES."""
     n = len(found)
     size = np.array([b.size for b in found], float)
     long = np.log1p(size) - 3
@@ -275,16 +323,28 @@ def features(found: list[Block]) -> np.ndarray:
     out[:, 4], out[:, 5] = [t in ("li", "dt", "dd") for t in tag], [t in ("td", "th") for t in tag]
     out[:, 6] = ~stop & ~heading
     out[1:, 7], out[1:, 8], out[:-1, 9], out[:-1, 10] = long[:-1], link[:-1], long[1:], link[1:]
+    # Unlinked text of the block's parent, as a part of the most that a parent has.
+    plain: dict[int, float] = {}
+    box = [id(holder(b.node)) for b in found]
+    for k, s, x in zip(box, size, link):
+        plain[k] = plain.get(k, 0.0) + s * (1 - x)
+    most = max(plain.values(), default=0.0)
+    out[:, 11] = [plain[k] / most if most > 0 else 1.0 for k in box]
+    out[:, 12] = [b.node.around_name for b in found]
+    out[:, 13] = [b.node.article_name for b in found]
+    inside = np.array([b.node.hub is not None and b.node.hub.odds > 0 for b in found])
+    out[:, 14] = ~inside & inside.any()
     return out
 
 
 def own_odds(found: list[Block], weights=DEFAULT_WEIGHTS) -> np.ndarray:
-    return np.clip(features(found) @ np.asarray(weights), -SURE, SURE)
+    x, w = features(found), np.asarray(weights)
+    return np.clip(x[:, :OF_TEXT] @ w[:OF_TEXT], -SURE, SURE) + x[:, OF_TEXT:] @ w[OF_TEXT:]
 
 
 def weak_labels(found: list[Block]) -> np.ndarray:
     """1 in what is marked as article, -1 in what is marked as around one, else 0."""
-    return np.array([0 if b.node.hub is None or abs(b.node.hub.odds) < HARD else int(np.sign(b.node.hub.odds)) for b in found])
+    return np.array([0 if b.node.hub is None else int(np.sign(b.node.hub.odds)) for b in found])
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 12) -> np.ndarray:
@@ -342,7 +402,7 @@ def ties(found: list[Block]) -> list[tuple[int, int, float]]:
                     c = c.parent
                 steps += 1
             out.append((j - 1, j, NEXT / (1 + steps)))
-        box = id(b.node.parent) if b.node.parent is not None else 0
+        box = id(holder(b.node))
         if box in last:
             out.append((last[box], j, SAME))
         last[box] = j
@@ -350,7 +410,7 @@ def ties(found: list[Block]) -> list[tuple[int, int, float]]:
 
 
 def graph(found: list[Block], weights=DEFAULT_WEIGHTS) -> tuple[list[float], list[tuple[int, int, float]]]:
-    """(odds, edges) of the blocks and, after them, of the labelled containers they lie in."""
+    """(odds, edges) of the blocks and, after them, of the marked elements they lie in."""
     odds, edges = own_odds(found, weights).tolist(), ties(found)
     at: dict[int, int] = {}
 
@@ -365,7 +425,7 @@ def graph(found: list[Block], weights=DEFAULT_WEIGHTS) -> tuple[list[float], lis
 
     for i, b in enumerate(found):
         if (hub := b.node.hub) is not None:
-            edges.append((i, place(hub), INSIDE if abs(hub.odds) >= HARD else INSIDE_SOFT))
+            edges.append((i, place(hub), INSIDE))
     return odds, edges
 
 
@@ -465,13 +525,27 @@ def _flow(pull: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
             a = to[e]
 
 
+def content_of(found: list[Block], weights=DEFAULT_WEIGHTS) -> list[bool]:
+    """Whether each block is content. A page that says something has an article: where the cut leaves
+    none, the costs of what nothing marks as around it are judged against the best of them."""
+    odds, edges = graph(found, weights)
+    label = minimum_cut(odds, edges)[: len(found)]
+    if any(label):
+        return label
+    x = features(found)
+    open_ = [i for i, b in enumerate(found) if (b.node.hub is None or b.node.hub.odds > 0) and not b.node.around_name and x[i, 2] < 0.5]
+    if not open_:
+        return label
+    raised = 1 - max(odds[i] for i in open_)
+    for i in open_:
+        odds[i] += raised
+    return minimum_cut(odds, edges)[: len(found)]
+
+
 def main_text(page: str, weights=DEFAULT_WEIGHTS) -> str:
     """Content blocks joined by an empty line; empty if there are none."""
     found = blocks(page)
-    if not found:
-        return ""
-    content = minimum_cut(*graph(found, weights))
-    return "\n\n".join(b.text for b, c in zip(found, content) if c)
+    return "\n\n".join(b.text for b, c in zip(found, content_of(found, weights)) if c) if found else ""
 
 
 def extract(pages: DataFrame, page: str = "html", keep: list[str] | None = None, weights=None) -> DataFrame:

@@ -6,7 +6,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from ..functions.kinds import BOOL, NUMERIC, OTHER, TEMPORAL, TEXT
 from ..sources.sampling import target_sample
 from .association import codes, information
 from .columns import ColumnStats
+from .forest import permutation_importance
 from .power import CLASSES_KEPT, power_frame
 from .ranks import auc_of, rank_correlations, sided
 
@@ -218,52 +218,3 @@ def ranked(signals: list[TargetSignal]) -> list[TargetSignal]:
         after = signals[i + 1].pps if i + 1 < len(signals) else 0.0
         s.leak_suspect = s.pps >= LEAK or (s.pps >= LEAK_BESIDE and s.pps >= 2 * after)
     return signals
-
-
-def permutation_importance(spark, sample: pd.DataFrame, target: str, classification: bool, trees: int = 80, depth: int = 6, repeats: int = 5, seed: int = 42) -> dict[str, float]:
-    """Fall of a forest's score on its own rows when a feature is shuffled, over the largest fall; empty below 2 features or 100 rows."""
-    names = [n for n in sample.columns if n != target]
-    rows = sample.dropna(subset=[target])
-    if len(names) < 2 or len(rows) < 100:
-        return {}
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
-    x = rows[names].fillna(rows[names].median()).fillna(0.0).to_numpy()
-    y = rows[target].to_numpy(float)
-    columns = [f"f{i}" for i in range(len(names))]
-    pdf = pd.DataFrame(x, columns=columns).assign(label=y)
-    if classification:
-        counts = np.bincount(y.astype(int))
-        pdf["w"] = (len(y) / (np.count_nonzero(counts) * counts[y.astype(int)])).astype(float)
-    vectors = VectorAssembler(inputCols=columns, outputCol="features")
-    learner = RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="w", seed=seed) if classification else RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed)
-    arrow = lambda p: spark.createDataFrame(pa.Table.from_pandas(p, preserve_index=False))
-    model = learner.fit(vectors.transform(arrow(pdf)).select("features", "label", *(["w"] if classification else [])))
-    rng = np.random.default_rng(seed)
-    # (features * repeats + 1) copies of a bounded sample are scored, some at a time.
-    parts = [pdf[columns].assign(label=y, who=-1)]
-    for i, c in enumerate(columns):
-        for _ in range(repeats):
-            parts.append(pdf[columns].assign(**{c: rng.permutation(pdf[c].to_numpy())}, label=y, who=i))
-    binary = classification and len(np.unique(y)) == 2
-    losses: dict[int, list[float]] = {}
-    for at in range(0, len(parts), 16):
-        chunk = arrow(pd.concat([p.assign(part=at + k) for k, p in enumerate(parts[at : at + 16])], ignore_index=True))
-        scored = model.transform(vectors.transform(chunk))
-        if binary:
-            from pyspark.ml.functions import vector_to_array
-
-            scored = scored.withColumn("said", vector_to_array("probability")[int(y.max())])
-        else:
-            scored = scored.withColumn("said", F.col("prediction"))
-        got = scored.select("part", "who", "label", "said").toArrow().to_pandas()
-        for (_, who), g in got.groupby(["part", "who"]):
-            t, p = g.label.to_numpy(), g.said.to_numpy()
-            score = numeric.auc(p, t == y.max()) if binary else numeric.weighted_f1(t.astype(int), p.astype(int), int(y.max()) + 1) if classification else -float(np.abs(t - p).mean())
-            losses.setdefault(who, []).append(score)
-    base = losses.pop(-1)[0]
-    fall = {names[i]: max(0.0, base - float(np.mean(v))) for i, v in losses.items()}
-    most = max(fall.values(), default=0.0)
-    return {k: (v / most if most > 0 else 0.0) for k, v in fall.items()}

@@ -23,11 +23,17 @@ def folder(spark: SparkSession) -> str:
 _LEFT: list[tuple[SparkSession, str]] = []
 
 
+def place(spark: SparkSession, label: str) -> str:
+    """A new path there. What is written to it goes at exit or by release()."""
+    path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _LEFT.append((spark, path))
+    return path
+
+
 def kept(df: DataFrame, label: str) -> DataFrame:
-    """df as a written table: computed once, and not again when an executor is lost. It goes at exit or by release()."""
-    path = f"{folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """df as a written table: computed once, and not again when an executor is lost."""
+    path = place(df.sparkSession, label)
     df.write.parquet(path)
-    _LEFT.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -176,3 +176,27 @@ def test_parts_leave_the_rest_alone(made):
     assert few["few"].histogram == whole["few"].histogram and few["few"].p50 is None and few["kind"].top_values == []
     near = column_stats(df, exact_quantiles=False)["many"]
     assert near.p50 == pytest.approx(whole["many"].p50, abs=0.01)
+
+
+def test_forest_arrays_say_what_the_model_says(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    from riskloom.operators import forest
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3))
+    y = (x[:, 0] + 0.3 * rng.normal(size=400) > 0) + (x[:, 1] > 1).astype(int)
+    for label, classification in ((y.astype(float), True), (x[:, 0] * 2 + x[:, 1], False)):
+        made = forest.fitted(spark, x, label, classification, trees=7, depth=4)
+        said = made.says(x)
+        assert said.shape == (400, 3 if classification else 1) and len(made.roots) == 7
+        assert (said.argmax(1) == label).mean() > 0.85 if classification else np.corrcoef(said[:, 0], label)[0, 1] > 0.9
+        if not classification:
+            from pyspark.ml.regression import RandomForestRegressor
+
+            rows = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(label=label)))
+            want = RandomForestRegressor(numTrees=7, maxDepth=4, seed=42).fit(rows).transform(rows).select("a", "prediction").toPandas()
+            assert np.allclose(said[:, 0], want.prediction)
+    got = forest.permutation_importance(spark, pd.DataFrame(x, columns=list("abc")).assign(y=y.astype(float)), "y", True, trees=10)
+    assert max(got, key=got.get) == "a" and got["a"] == 1.0 and got["c"] < got["b"]
+    assert forest.permutation_importance(spark, pd.DataFrame({"a": x[:, 0], "y": y * 1.0}), "y", True) == {}

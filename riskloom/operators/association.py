@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations, permutations
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,7 @@ from ..functions.expr import as_text, col, guarded_corr, number
 from ..functions.kinds import BOOL, NUMERIC, TEXT
 from ..sources.sampling import exact_sample, capped
 from .columns import ColumnStats
+from .power import bins_of
 
 PAIR_SAMPLE, PAIR_LEVELS, JOINT_ROWS = 20_000, 50, 30
 NONLINEAR = 0.15
@@ -81,15 +82,42 @@ def pearson_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     return sums.select(name("i").alias("a"), name("j").alias("b"), r.alias("pearson"))
 
 
-def discrete_information(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row (nats, mutual_info) between two categorical columns over all rows that have both."""
-    table = df.select(as_text(df.schema[a]).alias("x"), as_text(df.schema[b]).alias("y")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    rows = table.groupBy("x").agg(F.sum("n").alias("nx"))
-    cols = table.groupBy("y").agg(F.sum("n").alias("ny"))
-    total = table.agg(F.sum("n").alias("t"))
-    cell = F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny")))
-    nats = table.join(rows, "x").join(cols, "y").crossJoin(F.broadcast(total)).agg(F.greatest(F.sum(cell), F.lit(0.0)).alias("nats"))
-    return nats.select("nats", (1 - F.exp(-2 * F.col("nats"))).alias("mutual_info"))
+def class_information(df: DataFrame, stats: dict[str, ColumnStats], names: list[str]) -> DataFrame:
+    """(a, b, n, nats, mutual_info) of all pairs of categorical columns over all rows that have both.
+
+    One table of counts for all pairs: tasks hand on the cells of each pair (at most 50 x 50).
+    """
+    spark = df.sparkSession
+    if len(names) < 2:
+        return spark.createDataFrame([], "a string, b string, n long, nats double, mutual_info double")
+    bins = list(bins_of(df, stats, names).values())
+    pairs = list(combinations(range(len(names)), 2))
+    width = max(max(len(b.values) for b in bins), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros((len(bins[i].values), len(bins[j].values)), np.int64) for i, j in pairs]
+        for b in batches:
+            at = [own.codes(c) for own, c in zip(bins, b.columns)]
+            for k, (i, j) in enumerate(pairs):
+                ok = (at[i] >= 0) & (at[j] >= 0)
+                total[k] += np.bincount(at[i][ok] * total[k].shape[1] + at[j][ok], minlength=total[k].size).reshape(total[k].shape)
+        for k, t in enumerate(total):
+            x, y = np.nonzero(t)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(t[x, y])], ["k", "x", "y", "n"])
+
+    wide = df.select(*[(number(n) if b.number else as_text(df.schema[n])).alias(f"c{i}") for i, (n, b) in enumerate(zip(names, bins))])
+    cells = wide.mapInArrow(run, "k int, x int, y int, n long").groupBy("k", "x", "y").agg(F.sum("n").alias("n"))
+
+    def nats(own: pd.DataFrame) -> pd.DataFrame:
+        t = np.zeros((width, width))
+        t[own.x, own.y] = own.n
+        p = t / t.sum()
+        q = p.sum(1, keepdims=True) * p.sum(0, keepdims=True)
+        found = max(0.0, float((p[p > 0] * np.log(p[p > 0] / q[p > 0])).sum()))
+        i, j = pairs[int(own.k.iloc[0])]
+        return pd.DataFrame([(names[i], names[j], int(t.sum()), found, numeric.normalised(found))], columns=["a", "b", "n", "nats", "mutual_info"])
+
+    return cells.groupBy("k").applyInPandas(nats, "a string, b string, n long, nats double, mutual_info double")
 
 
 def information_columns(stats: dict[str, ColumnStats]) -> list[str]:
@@ -120,17 +148,20 @@ def information(x: np.ndarray, y: np.ndarray, x_classes: bool, y_classes: bool)
     return numeric.normalised(nats)
 
 
-def information_pairs(df: DataFrame, stats: dict[str, ColumnStats], max_cols: int | None = None, priority: list[str] | None = None, both_ways: bool = False) -> DataFrame:
-    """(a, b, mutual_info) of eligible pairs, b as the target, over one sample; a task for each pair."""
+def information_pairs(df: DataFrame, stats: dict[str, ColumnStats], max_cols: int | None = None, priority: list[str] | None = None) -> DataFrame:
+    """(a, b, mutual_info) of eligible pairs, b as the target: of two categorical columns over all rows,
+    of others by nearest neighbours over one sample, a task for each pair."""
     spark = df.sparkSession
     names = capped(information_columns(stats), max_cols, priority or [])
     schema = "a string, b string, mutual_info double"
-    pairs = list((permutations if both_ways else combinations)(names, 2))
+    classes = {n: stats[n].kind != NUMERIC for n in names}
+    levels = [n for n in names if classes[n]]
+    out = class_information(df, stats, levels).where(F.col("n") >= JOINT_ROWS).select("a", "b", "mutual_info")
+    pairs = [p for p in combinations(names, 2) if not (classes[p[0]] and classes[p[1]])]
     if not pairs:
-        return spark.createDataFrame([], schema)
+        return out
     # The sample is bounded (PAIR_SAMPLE rows), so each task can hold it whole.
     shared = spark.sparkContext.broadcast(encoded(exact_sample(df.select(*[col(n) for n in names]), PAIR_SAMPLE), names, stats))
-    classes = {n: stats[n].kind != NUMERIC for n in names}
 
     def run(batches):
         for batch in batches:
@@ -143,7 +174,7 @@ def information_pairs(df: DataFrame, stats: dict[str, ColumnStats], max_cols: in
             yield pd.DataFrame(out, columns=["a", "b", "mutual_info"])
 
     asked = spark.createDataFrame(pairs, "a string, b string").repartition(min(len(pairs), 4 * spark.sparkContext.defaultParallelism))
-    return asked.mapInPandas(run, schema)
+    return out.unionByName(asked.mapInPandas(run, schema))
 
 
 def correlation_pairs(df: DataFrame, stats: dict[str, ColumnStats], deep: bool = True, max_cols: int | None = None, priority: list[str] | None = None) -> list[Pair]:
@@ -157,15 +188,17 @@ def correlation_pairs(df: DataFrame, stats: dict[str, ColumnStats], deep: bool =
     return sorted(found.values(), key=lambda p: (-p.score, p.a, p.b))
 
 
+def strengths(df: DataFrame, stats: dict[str, ColumnStats], target: str) -> dict[str, float | None]:
+    """Absolute correlation of each numeric column with a numeric target."""
+    numbers = [n for n, s in stats.items() if s.kind == NUMERIC and n != target]
+    got = df.agg(*[F.abs(guarded_corr(number(n), number(target))).alias(f"p{i}") for i, n in enumerate(numbers)]).first() if numbers else []
+    return dict(zip(numbers, got))
+
+
 def univariate_priority(df: DataFrame, stats: dict[str, ColumnStats], target: str | None) -> list[str]:
     """Names by what they promise alone: correlation with a numeric target, or the number of levels short of unique."""
     of = stats.get(target) if target else None
-    if of is not None and of.kind == NUMERIC:
-        numbers = [n for n, s in stats.items() if s.kind == NUMERIC and n != target]
-        got = df.agg(*[F.abs(guarded_corr(number(n), number(target))).alias(f"p{i}") for i, n in enumerate(numbers)]).first() if numbers else []
-        strength = dict(zip(numbers, got))
-    else:
-        strength = {}
+    strength = strengths(df, stats, target) if of is not None and of.kind == NUMERIC else {}
 
     def key(n: str):
         s = stats[n]

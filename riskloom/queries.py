@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.expr import number
-from .functions.kinds import NUMERIC, kinds
 from .operators import association, columns, drift, ranks, roles, rules, target, temporal
 from .plans.profile import profile_of_stats
 from .sources import filters, sampling
@@ -202,15 +201,20 @@ def _mi_sql(t: str, a: str, b: str) -> str:
     return f"with t as (select {a} as x, {b} as y, count(*)::double as n from {t} group by 1, 2), m as (select n, sum(n) over (partition by x) as nx, sum(n) over (partition by y) as ny, sum(n) over () as t from t), s as (select greatest(sum(n / t * ln(n * t / (nx * ny))), 0) as nats from m) select {r('nats')} as nats, {r('1 - exp(-2 * nats)')} as mutual_info from s"
 
 
+def _class_pair(df: DataFrame) -> DataFrame:
+    levels = df.select(*[F.col(c).cast("string") for c in df.columns])
+    return rounded(association.class_information(levels, columns.column_stats(levels, parts=frozenset({"values"})), df.columns).select("nats", "mutual_info"))
+
+
 for _t, _a, _b in (("lineitem", "l_returnflag", "l_linestatus"), ("orders", "o_orderstatus", "o_orderpriority"), ("customer", "c_mktsegment", "c_nationkey")):
-    add(f"mutual_information_{_a}_{_b}", _mi_sql(_t, _a, _b))(lambda spark, sf, t=_t, a=_a, b=_b: rounded(association.discrete_information(read(spark, sf, t), a, b)))
+    add(f"mutual_information_{_a}_{_b}", _mi_sql(_t, _a, _b))(lambda spark, sf, t=_t, a=_a, b=_b: _class_pair(read(spark, sf, t).select(a, b)))
 
 
 @add("column_priority", " union all ".join(f"select '{c}' as name, {r(f'abs(corr({c}::double, l_extendedprice::double))')} as strength from lineitem" for c in _PAIR_TABLES["lineitem"] if c != "l_extendedprice"))
 def _priority(spark, sf):
-    pairs = association.pearson_pairs(read(spark, sf, "lineitem"), _PAIR_TABLES["lineitem"])
-    with_price = pairs.where("a = 'l_extendedprice' or b = 'l_extendedprice'")
-    return rounded(with_price.select(F.when(F.col("a") == "l_extendedprice", F.col("b")).otherwise(F.col("a")).alias("name"), F.abs("pearson").alias("strength")))
+    df = read(spark, sf, "lineitem")
+    found = association.strengths(df, columns.column_stats(df, parts=frozenset()), "l_extendedprice")
+    return rounded(spark.createDataFrame(list(found.items()), "name string, strength double"))
 
 
 # ---- ranks ----
@@ -260,14 +264,35 @@ def _tv(spark, sf):
 @add("target_classes", "select 'quality' as target, quality::varchar as value, count(*) as n from labels where quality is not null group by 2 union all select 'toxic', toxic::varchar, count(*) from labels where toxic is not null group by 2")
 def _classes(spark, sf):
     df = read(spark, sf, "labels")
-    parts = [target.class_counts(df, t).select(F.lit(t).alias("target"), "value", "n") for t in ("quality", "toxic")]
-    return parts[0].unionByName(parts[1])
+    stats = columns.column_stats(df, parts=frozenset({"values"}))
+    rows = [(t, v, n) for t in ("quality", "toxic") for v, n in target.summarise(df, stats, t).classes]
+    return spark.createDataFrame(rows, "target string, value string, n long")
 
 
 @add("target_rate", f"select max(toxic)::varchar as positive, count(*) filter (where toxic = 1) as n_positive, {r('avg(toxic::double)')} as rate from labels")
 def _rate(spark, sf):
-    counts = target.class_counts(read(spark, sf, "labels"), "toxic")
-    return rounded(counts.agg(F.max("value").alias("positive"), F.max_by("n", "value").alias("n_positive"), (F.max_by("n", "value") / F.sum("n")).alias("rate")))
+    df = read(spark, sf, "labels")
+    s = target.summarise(df, columns.column_stats(df, parts=frozenset({"values"})), "toxic")
+    return rounded(spark.createDataFrame([(s.positive, s.positive_count, s.positive_rate)], "positive string, n_positive long, rate double"))
+
+
+@add(
+    "target_summary",
+    " union all ".join(
+        f"select '{c}' as target, 'classification' as task, count(*) as n, count(*) - count({c}) as n_missing, count(distinct {c}) as n_classes, case when count(distinct {c}) = 2 then max({c})::varchar end as positive, "
+        f"case when count(distinct {c}) = 2 then (select count(*) from {t} where {c} = (select max({c}) from {t})) end as n_positive, "
+        f"{r(f'case when count(distinct {c}) = 2 then (select count(*) from {t} where {c} = (select max({c}) from {t}))::double / count({c}) end')} as rate, {'null::double' if k == 's' else r(f'avg({c}::double)')} as mean from {t}"
+        for t, c, k in (("labels", "quality", "n"), ("labels", "toxic", "n"), ("lineitem", "l_linestatus", "s"), ("lineitem", "l_returnflag", "s"))
+    )
+    + f" union all select 'o_totalprice', 'regression', count(*), count(*) - count(o_totalprice), 0, null, null, null, {r('avg(o_totalprice::double)', 3)} from orders",
+)
+def _target_summary(spark, sf):
+    rows = []
+    for t, c in (("labels", "quality"), ("labels", "toxic"), ("lineitem", "l_linestatus"), ("lineitem", "l_returnflag"), ("orders", "o_totalprice")):
+        df = read(spark, sf, t).select(c)
+        s = target.summarise(df, columns.column_stats(df, parts=frozenset({"values"})), c)
+        rows.append((c, s.task, s.n, s.n_missing, len(s.classes), s.positive, s.positive_count, s.positive_rate, None if s.mean is None else round(s.mean, 3 if s.task == "regression" else 6)))
+    return rounded(spark.createDataFrame(rows, "target string, task string, n long, n_missing long, n_classes long, positive string, n_positive long, rate double, mean double"))
 
 
 # ---- time ----
@@ -289,6 +314,88 @@ def _values(spark, sf):
     return rounded(got.select(F.col("t").cast("timestamp_ntz").alias("t"), "n_rows", "n_target", "value"), 4)
 
 
+def _drift_sql(t: str, time: str, numbers: list[str], texts: list[str]) -> str:
+    """(feature, drift, monotonicity, unique share) between the first 70 % in time and the rest; a relation named drift."""
+    parts = []
+    for c in numbers:
+        side = f"(select {c}::double as v, count(*) filter (where not late)::double as a, count(*) filter (where late)::double as b from p where {c} is not null group by 1)"
+        steps = f"(select abs(sum(a) over (order by v) / sum(a) over () - sum(b) over (order by v) / sum(b) over ()) as gap, a, b from {side})"
+        rank = lambda x: f"(rank() over (order by {x}) + (count(*) over (partition by {x}) - 1) / 2.0)"
+        rho = f"(select abs(corr(x, y)) from (select {rank(c)} as x, {rank(time)} as y from p where {c} is not null))"
+        parts.append(f"select '{c}' as feature, (select case when sum(a) >= 30 and sum(b) >= 30 then max(gap) end from {steps}) as drift, {rho} as monotonicity, (select count(distinct {c}) / count({c})::double from {t}) as u")
+    for c in texts:
+        side = f"(select {c} as v, count(*) filter (where not late)::double as a, count(*) filter (where late)::double as b from p where {c} is not null group by 1)"
+        gap = f"(select abs(a / sum(a) over () - b / sum(b) over ()) as gap, a, b from {side})"
+        parts.append(f"select '{c}', (select case when sum(a) >= 30 and sum(b) >= 30 and count(*) <= 100 then sum(gap) / 2 end from {gap}), null::double, (select count(distinct {c}) / count({c})::double from {t})")
+    split = f"s as (select *, rank() over (order by {time}) - 1 as before, count(*) over () as m from {t} where {time} is not null), c as (select coalesce(min({time}) filter (where before >= floor(0.7 * m)), max({time})) as cut from s), p as (select *, {time} >= (select cut from c) as late from s)"
+    return f"with {split}, drift as ({' union all '.join(parts)})"
+
+
+_TIMED = {"events": ("ts", ["event_id", "user_id", "value"], ["event_type"]), "orders": ("o_orderdate", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"])}
+
+
+def _drift(spark: SparkSession, sf: str, t: str) -> DataFrame:
+    time, numbers, texts = _TIMED[t]
+    df = read(spark, sf, t)
+    stats = columns.column_stats(df, parts=frozenset({"values"}))
+    return rounded(temporal.drift_frame(df, stats, [*numbers, *texts], time, temporal.late_cut(df, time)).select("feature", "drift", "monotonicity"))
+
+
+for _t, (_time, _n, _c) in _TIMED.items():
+    add(f"temporal_drift_{_t}", f"{_drift_sql(_t, _time, _n, _c)} select feature, {r('drift')} as drift, {r('monotonicity')} as monotonicity from drift")(lambda spark, sf, t=_t: _drift(spark, sf, t))
+
+_LADDER = "case when drift >= 0.5 then 'info' when monotonicity >= 0.95 and u >= 0.9 then 'warning' else 'none' end as severity, case when drift >= 0.5 then 'strong_drift' when monotonicity >= 0.95 and u >= 0.9 then 'monotonic' else 'none' end as leakage_kind"
+#: Features made of orders that climb the rungs without a target: shifted in time, in its order, and neither.
+CLIMBING = [("moved", "n", "case when o_orderdate < timestamp_ntz '1997-06-01' then o_orderkey % 10 else o_orderkey % 10 + 8 end"), ("still", "n", "o_orderkey % 7"), ("level", "s", "o_orderstatus"), ("turned", "s", "case when o_orderdate < timestamp_ntz '1997-06-01' then 'early' else 'late' end"), ("stamp", "t", "o_orderdate")]
+
+
+def _climbing(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "orders").select(*[F.expr(e).alias(n) for n, _, e in CLIMBING])
+
+
+_CLIMB = f"made as (select {', '.join(f'{e} as {n}'.replace('timestamp_ntz', 'timestamp') for n, _, e in CLIMBING)} from orders)"
+_CLIMB_SQL = _drift_sql("made", "stamp", ["moved", "still"], ["level", "turned"]).replace("with ", f"with {_CLIMB}, ", 1)
+
+
+@add("time_ladder", f"{_CLIMB_SQL} select feature, {_LADDER}, {r('drift')} as drift from drift")
+def _ladder(spark, sf):
+    df = _climbing(spark, sf)
+    report = temporal.temporal_report(df, columns.column_stats(df), "stamp", None)
+    return rounded(spark.createDataFrame([(s.feature, s.severity, s.leakage_kind, s.drift) for s in report.signals], "feature string, severity string, leakage_kind string, drift double"))
+
+
+@add("findings_temporal", f"{_CLIMB_SQL}, rungs as (select *, {_LADDER} from drift) select feature, case when coalesce(monotonicity, 0) >= 0.95 then 'time_monotonic' when drift >= 0.3 then 'feature_drift' else 'temporal_anomaly' end as kind, severity, 'temporal' as category, {r('drift')} as score from rungs where severity <> 'none' union all select 'stamp', 'temporal_skipped', 'info', 'temporal', 0.0")
+def _temporal_findings(spark, sf):
+    df = _climbing(spark, sf)
+    alone = df.select("stamp")
+    found = rules.temporal_findings(temporal.temporal_report(df, columns.column_stats(df), "stamp", None), None)
+    found += rules.temporal_findings(temporal.temporal_report(alone, columns.column_stats(alone), "stamp", None), None)
+    return rounded(spark.createDataFrame([(f.columns[0], f.kind, f.severity, f.category, float(f.score)) for f in found], "feature string, kind string, severity string, category string, score double"))
+
+
+#: Targets made of events whose share or mean moves through time or doesn't: name, whether classes, expression.
+MOVING = [("steady", True, "cast(event_id % 2 as varchar(5))"), ("turning", True, "case when event_id % 10 < 3 or ts >= timestamp_ntz '2024-01-20' then 'y' else 'n' end"), ("three", True, "case when ts >= timestamp_ntz '2024-01-20' and event_id % 2 = 0 then 'c' when event_id % 3 = 0 then 'b' else 'a' end"), ("level", False, "value + 1000"), ("signed", False, "value - 10")]
+
+
+def _target_drift_sql(name: str, classes: bool, e: str) -> str:
+    rows = f"(select ({e}) as y, ntile(10) over (order by ts) as part from events where ({e}) is not null)".replace("timestamp_ntz", "timestamp")
+    if classes:
+        share = f"(select y, part, n, sum(n) over (partition by part)::double as m from (select y, part, count(*) as n from {rows} group by 1, 2))"
+        grid = f"(select l.y, g.part, coalesce(n / m, 0) as s from (select distinct y from {rows}) l cross join range(1, 11) g(part) left join {share} x on x.y = l.y and x.part = g.part)"
+        return f"select '{name}' as target, case when count(*) = 2 then 'binary' else 'multiclass' end as kind, {r('max(hi - lo)')} as score from (select y, max(s) as hi, min(s) as lo from {grid} group by y)"
+    mean = f"(select avg(y::double) as m from {rows} group by part)"
+    ratio = "greatest(abs(min(m)), abs(max(m))) / least(abs(min(m)), abs(max(m)))"
+    scale = f"(select quantile_cont(y::double, 0.75) - quantile_cont(y::double, 0.25) from {rows})"
+    return f"select '{name}', case when min(m) > 0 or max(m) < 0 then 'regression_ratio' else 'regression_diff' end, {r(f'case when min(m) > 0 or max(m) < 0 then {ratio} else (max(m) - min(m)) / {scale} end', 5)} from {mean}"
+
+
+@add("target_drift_events", " union all ".join(_target_drift_sql(*m) for m in MOVING))
+def _target_drift(spark, sf):
+    df = read(spark, sf, "events").select("ts", *[F.expr(e).alias(n) for n, _, e in MOVING])
+    rows = [(n, *temporal.target_drift(df, "ts", n, classes)) for n, classes, _ in MOVING]
+    return rounded(spark.createDataFrame([(n, k, None if x is None else round(x, 6 if k in ("binary", "multiclass") else 5)) for n, k, x in rows], "target string, kind string, score double"))
+
+
 # ---- rules, roles, comparison ----
 
 
@@ -371,6 +478,110 @@ for _name, _target in (("traps", None), ("traps_with_target", "label")):
     )(lambda spark, sf, target=_target: _findings(traps(spark, sf), target))
 
 
+#: Targets made of orders, so that each rule on a target has something to find.
+AIMS = [("one", "case when o_orderkey > 0 then 'a' end"), ("rare", "case when o_orderkey % 200 = 0 then 'y' else 'n' end"), ("even", "case when o_orderkey % 2 = 0 then 'y' else 'n' end"), ("few", "case when o_orderkey in (1, 2, 3, 4, 5, 6, 7) then 'z' else o_orderstatus end"), ("gone", "case when o_orderkey % 5 <> 0 then case when o_orderkey % 2 = 0 then 'y' else 'n' end end"), ("holes", "case when o_orderkey % 50 <> 0 then o_orderstatus end")]
+
+
+def _aim_sql(name: str, e: str) -> str:
+    of = f"(select {e} as y from orders)"
+    size = f"(select count(*) as total, count(y) as n, count(distinct y) as k, coalesce(sum(case when y = m then 1 else 0 end), 0) as pos from {of}, (select max(y) as m from {of}))"
+    least = f"(select min(n) from (select count(*) as n from {of} where y is not null group by y))"
+    rules_ = [
+        ("k <= 1", "target_single_class", "'critical'", "1.0"),
+        ("k = 2", "target_imbalance", "case when pos < 100 or pos / n::double < 0.01 then 'warning' else 'info' end", "least(1.0, 1 - pos / n::double)"),
+        (f"k > 2 and {least} < 30", "target_low_support", "'warning'", "0.8"),
+        ("k > 1 and total > n", "target_missing_labels", "case when 1 - n / total::double > 0.1 then 'warning' else 'info' end", "1 - n / total::double"),
+    ]
+    return " union all ".join(f"select '{name}' as target, '{kind}' as kind, {severity} as severity, {r(f'({score})::double')} as score from {size} where {test}" for test, kind, severity, score in rules_)
+
+
+@add("findings_target", " union all ".join(_aim_sql(*a) for a in AIMS))
+def _aims(spark, sf):
+    df = read(spark, sf, "orders").select(*[F.expr(e).alias(n) for n, e in AIMS])
+    stats = columns.column_stats(df, parts=frozenset({"values"}))
+    found = [(n, f.kind, f.severity, float(f.score)) for n, _ in AIMS for f in rules.target_findings(target.summarise(df, stats, n))]
+    return rounded(spark.createDataFrame(found, "target string, kind string, severity string, score double"))
+
+
+#: Columns made of lineitem that go with each other closely, loosely, and by class alone.
+CLOSE = [("price", "n", "l_extendedprice"), ("doubled", "n", "l_extendedprice * 2 + 1"), ("near", "n", "l_extendedprice + l_quantity * 700"), ("apart", "n", "l_discount"), ("flag", "s", "l_returnflag"), ("named", "s", "concat('is ', l_returnflag)"), ("status", "s", "l_linestatus")]
+
+
+def _close_sql() -> str:
+    numbers, texts = [[n for n, k, _ in CLOSE if k == kind] for kind in "ns"]
+    pairs = [f"select '{a}' as a, '{b}' as b, corr({a}::double, {b}::double) as pearson, null::double as info from made" for i, a in enumerate(numbers) for b in numbers[i + 1 :]]
+    for i, a in enumerate(texts):
+        for b in texts[i + 1 :]:
+            cells = f"(select n, sum(n) over (partition by x) as nx, sum(n) over (partition by y) as ny, sum(n) over () as t from (select {a} as x, {b} as y, count(*)::double as n from made group by 1, 2))"
+            pairs.append(f"select '{a}', '{b}', null, (select 1 - exp(-2 * greatest(sum(n / t * ln(n * t / (nx * ny))), 0)) from {cells})")
+    score = "greatest(abs(coalesce(pearson, 0)), coalesce(info, 0))"
+    kind = f"case when abs(pearson) > 0.95 then 'multicollinearity' when info - abs(coalesce(pearson, 0)) > 0.15 then 'nonlinear_association' when {score} >= 0.8 then 'strong_association' end"
+    return f"with made as (select {', '.join(f'{e} as {n}' for n, _, e in CLOSE)} from lineitem), pairs as ({' union all '.join(pairs)}), found as (select a, b, {kind} as kind, {score} as score from pairs where {score} >= 0.7) select a, b, kind, case when kind = 'multicollinearity' then 'warning' else 'info' end as severity, {r('score')} as score from found where kind is not null"
+
+
+@add("findings_pairs", _close_sql())
+def _close(spark, sf):
+    df = read(spark, sf, "lineitem").select(*[F.expr(e).alias(n) for n, _, e in CLOSE])
+    found = []
+    for kind in "ns":
+        part = df.select([n for n, k, _ in CLOSE if k == kind])
+        found += rules.pair_findings(association.correlation_pairs(part, columns.column_stats(part, parts=frozenset({"values"})), kind == "s"))
+    return rounded(spark.createDataFrame([(*f.columns, f.kind, f.severity, float(f.score)) for f in found], "a string, b string, kind string, severity string, score double"))
+
+
+def _plan_sql(fields: list[tuple[str, str]], target_: str) -> str:
+    """Actions on the columns of a relation made: what findings ask for, then what gaps and levels ask for."""
+    stats = " union all ".join(
+        f"select '{c}' as name, '{KIND[k]}' as kind, count(*) as n, count({c}) as present, count(distinct {c}) as n_unique, {f'skewness({c}::double)' if k == 'n' else 'null::double'} as skew, {f'min({c}::double)' if k == 'n' else 'null::double'} as low from made" for c, k in fields
+    )
+    return (
+        f"_found as (select f.*, s.skew, s.low, s.kind as of from ({'select * from _rules'}) f join _stats s on s.name = f.name where f.name <> '{target_}'), "
+        "_dropped as (select distinct name from _found where kind in ('all_null', 'constant', 'near_constant', 'identifier_shape') or (category = 'quality' and severity = 'critical')), "
+        f"_left as (select * from _stats where name <> '{target_}' and name not in (select name from _dropped)) "
+        "select 'drop' as bucket, name as \"column\", 'drop' as action from _dropped "
+        "union all select distinct 'transform', name, case when of = 'numeric' and abs(skew) > 3 then case when low >= 0 then 'log1p' else 'yeo_johnson' end else 'robust_scaler' end from _found where category = 'distribution' "
+        "union all select distinct 'review', name, 'replace_sentinel_with_null' from _found where kind = 'encoded_nulls' "
+        "union all select 'impute', name, case when kind = 'numeric' and n_unique > 2 then 'median' else 'mode' end from _left where present between 1 and n - 1 and kind in ('numeric', 'text', 'bool') "
+        "union all select 'review', name, 'impute_manually' from _left where present between 1 and n - 1 and kind not in ('numeric', 'text', 'bool') "
+        "union all select 'encode', name, case when n_unique <= 2 then 'ordinal' when n_unique <= 20 then 'onehot' else 'target_oof' end from _left where kind = 'text' and n_unique >= 1 and (n_unique <= 20 or n_unique <= 0.5 * present)",
+        stats,
+    )
+
+
+def _action_sql() -> str:
+    tail, stats = _plan_sql([(n, k) for n, k, _ in TRAPS], "label")
+    found = _rule_sql("made", [(n, k) for n, k, _ in TRAPS], "label")
+    made = ", ".join(f"{e} as {n}" for n, _, e in TRAPS)
+    return f"with made as (select {made} from orders), _rules as (with {found}), _stats as ({stats}), {tail}"
+
+
+@add("action_rules", _action_sql())
+def _actions(spark, sf):
+    from .plans.actions import build_action_plan
+
+    plan = build_action_plan(profile_of_stats(columns.column_stats(traps(spark, sf)), "label"))
+    return spark.createDataFrame([(i["bucket"], i["column"], i["action"]) for i in plan.records()], "bucket string, column string, action string")
+
+
+@add(
+    "plan_split",
+    "select 'temporal' as split, 'time_series' as cv, 'o_orderdate' as \"on\", 'class_weight' as classes from orders having count(*) > 0 union all select 'stratified', 'stratified_kfold', 'l_returnflag', null from lineitem having count(*) > 0 union all select 'random', 'kfold', null, null from part having count(*) > 0",
+)
+def _split(spark, sf):
+    from .plans.actions import build_action_plan
+    from .plans.profile import Profile
+
+    rows = []
+    for t, aim, time in (("orders", "rare", "o_orderdate"), ("lineitem", "l_returnflag", None), ("part", "p_retailprice", None)):
+        df = read(spark, sf, t)
+        df = df.select(time, F.expr(dict(AIMS)["rare"]).alias("rare")) if t == "orders" else df.select(aim)
+        stats = columns.column_stats(df, parts=frozenset({"values"}))
+        report = temporal.temporal_report(df, stats, time, aim) if time else None
+        plan = build_action_plan(Profile(t, 0, len(stats), stats, target=aim, time_column=time, target_summary=target.summarise(df, stats, aim), temporal=report))
+        rows.append((plan.split.kind, plan.cv.kind, plan.split.time_column or plan.split.stratify_on, plan.class_strategy.kind if plan.class_strategy else None))
+    return spark.createDataFrame(rows, "split string, cv string, on string, classes string")
+
+
 def _roles(spark: SparkSession, sf: str) -> DataFrame:
     found = columns.column_stats(read(spark, sf, "events"))
     out = set(roles.infer_excludes(found))
@@ -383,13 +594,19 @@ add(
 )(_roles)
 
 
-@add("schema_diff", "with a as (select * from (values " + ", ".join(f"('{c.split('_', 1)[1]}', '{KIND[k]}')" for c, k in FIELDS["orders"]) + ") v(name, kind)), b as (select * from (values " + ", ".join(f"('{c.split('_', 1)[1]}', '{KIND[k]}')" for c, k in FIELDS["lineitem"]) + ") v(name, kind)) select coalesce(a.name, b.name) as name, case when a.name is null then 'added' when b.name is null then 'removed' when a.kind <> b.kind then 'type_changed' else 'shared' end as change from a full join b on a.name = b.name")
+_SHAPE = "select substr(column_name, 3) as name, case when column_type in ('VARCHAR') then 'text' when column_type like 'TIMESTAMP%' or column_type = 'DATE' then 'temporal' else 'numeric' end as kind from (describe {})"
+
+
+@add("schema_diff", f"with a as ({_SHAPE.format('orders')}), b as ({_SHAPE.format('lineitem')}) select coalesce(a.name, b.name) as name, case when a.name is null then 'added' when b.name is null then 'removed' when a.kind <> b.kind then 'type_changed' else 'shared' end as change from a full join b on a.name = b.name")
 def _schema(spark, sf):
-    def shape(t: str) -> DataFrame:
-        rows = [(n.split("_", 1)[1], k) for n, k in kinds(read(spark, sf, t).schema).items()]
-        return spark.createDataFrame(rows, "name string, kind string")
+    def shape(t: str):
+        df = read(spark, sf, t)
+        return profile_of_stats(columns.column_stats(df.toDF(*[c.split("_", 1)[1] for c in df.columns]), parts=frozenset()))
 
-    return drift.schema_diff_frame(shape("orders"), shape("lineitem"))
+    d = drift.compare_profiles(shape("orders"), shape("lineitem")).schema
+    typed = [n for n, *_ in d.type_changed]
+    rows = [(n, "added") for n in d.added] + [(n, "removed") for n in d.removed] + [(n, "type_changed" if n in typed else "shared") for n in d.shared]
+    return spark.createDataFrame(rows, "name string, change string")
 
 
 @add(
@@ -447,17 +664,6 @@ def _compare(spark, sf):
     return rounded(got.select("name", "ks", "psi", F.round("wasserstein", 2).alias("wasserstein"), "js", F.round("chi2", 4).alias("chi2")))
 
 
-@add("action_rules", "select * from (values ('median', 'income'), ('onehot', 'plan'), ('ordinal', 'flag'), ('target_oof', 'zip'), ('log1p', 'revenue'), ('drop', 'constant_col')) v(action, \"column\")")
-def _actions(spark, sf):
-    from .plans.actions import build_action_plan
-
-    s = lambda name, kind, n_unique, n_null=0, **k: columns.ColumnStats(name, kind, kind, 1000, n_null, n_unique, **k)
-    made = {x.name: x for x in (s("income", NUMERIC, 900, 50, min=1.0), s("plan", "text", 4, top_values=[("a", 900)]), s("flag", "text", 2, top_values=[("a", 900)]), s("zip", "text", 300, top_values=[("a", 9)]), s("revenue", NUMERIC, 900, skew=6.0, min=0.0), s("constant_col", NUMERIC, 1))}
-    plan = build_action_plan(profile_of_stats(made))
-    rows = [(i["action"], i["column"]) for i in plan.records() if i["action"] in ("median", "onehot", "ordinal", "target_oof", "log1p", "drop")]
-    return spark.createDataFrame(rows, "action string, column string")
-
-
 # ---- what SQL can't say: trees, neighbours, forests, clusters; rows of a whole profile ----
 
 

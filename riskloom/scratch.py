@@ -37,6 +37,13 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept_lines(df: DataFrame, label: str) -> str:
+    """The path of a frame of one text column, written as lines."""
+    path = place(df.sparkSession, label)
+    df.write.text(path)
+    return path
+
+
 def release(since: int = 0) -> None:
     """Delete the written tables from the since-th on. Frames that read them are void afterwards."""
     while len(_LEFT) > since:

@@ -78,20 +78,48 @@ def sniff(lines: list[str], suffix: str) -> tuple[str, bool]:
     return delimiter, header
 
 
+def quoted_breaks(lines: list[str]) -> bool:
+    """Whether a quoted field of delimited text runs over the end of a line: an odd number of quotes in one."""
+    return any(x.count('"') % 2 for x in lines)
+
+
+def json_is_one(lines: list[str]) -> bool:
+    """Whether JSON is one value over many lines instead of one a line."""
+    first = next((x.strip() for x in lines if x.strip()), "")
+    return first.startswith("[") or first == "{"
+
+
+def read_delimited(spark: SparkSession, path: str, delimiter: str, header: bool, breaks: bool) -> DataFrame:
+    """Delimited text; a file with line feeds in quotes (breaks) is read by one task, others by ranges."""
+    how = {"sep": delimiter, "header": header, "quote": '"', "escape": '"', "multiLine": breaks, "nullValue": "", "enforceSchema": True}
+    return spark.read.csv(path, inferSchema=True, **how)
+
+
 def read_path(spark: SparkSession, path: str) -> DataFrame:
     """A file or folder by its suffix; delimited text and JSON infer types from all rows."""
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix == ".parquet":
         return spark.read.parquet(path)
     if suffix in DELIMITED:
-        delimiter, header = sniff(_head(spark, path), suffix)
-        return spark.read.csv(path, sep=delimiter, header=header, inferSchema=True, quote='"', escape='"', multiLine=False, nullValue="", enforceSchema=True)
+        head = _head(spark, path)
+        breaks = quoted_breaks(head) or spark.read.text(path).where("(length(value) - length(replace(value, '\"', ''))) % 2 = 1").limit(1).count() > 0
+        return read_delimited(spark, path, *sniff(list(_records(head)) if breaks else head, suffix), breaks)
     if suffix in JSON:
-        first = next((x.lstrip() for x in _head(spark, path, 5) if x.strip()), "")
-        return spark.read.json(path, multiLine=first.startswith("[") or first.rstrip() == "{")
+        return spark.read.json(path, multiLine=json_is_one(_head(spark, path, 5)))
     raise ValueError(f"unsupported file type {suffix or path!r}; use .csv, .tsv, .txt, .parquet or .json")
 
 
+def _records(lines: list[str]) -> list[str]:
+    """Lines put together again where quotes run over their ends; an open last one is left out."""
+    out, held = [], []
+    for x in lines:
+        held.append(x)
+        if sum(h.count('"') for h in held) % 2 == 0:
+            out.append(" ".join(held))
+            held = []
+    return out
+
+
 def _frame(spark: SparkSession, data: Any) -> tuple[DataFrame, str]:
     """A frame of any library as a DataFrame."""
     if isinstance(data, DataFrame):

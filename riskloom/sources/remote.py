@@ -256,6 +256,10 @@ def open_remote(spark: SparkSession, uri: RemoteTable, prefix: str | None = None
     if uri.scheme in OBJECT_STORES:
         for name, value in object_store_options(uri, found).items():
             spark._jsc.hadoopConfiguration().set(name, value)
+        if uri.scheme in ("http", "https"):
+            from .http import read_url
+
+            return read_url(spark, object_store_path(uri) + (f"?{urlencode(uri.query)}" if uri.query else "")), False
         from .load import read_path
 
         return read_path(spark, object_store_path(uri)), False

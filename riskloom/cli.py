@@ -15,7 +15,7 @@ from .sources.remote import MissingConnector, MissingCredential, parse_uri
 
 # The keys of a configuration file.
 KEYS = (
-    "target time time_col exclude exclude_file ignore_missing_exclude filter where sample target_sample shortlist cluster_cutoff html save plotly_cdn fast deep all_columns bins max_cols".split()
+    "target time time_col exclude exclude_file ignore_missing_exclude filter where sample target_sample shortlist cluster_cutoff html save plotly_cdn fast deep all_columns approximate_quartiles bins max_cols".split()
 )
 PROFILE_KEYS = frozenset({"source_name", "columns", "findings", "n_rows", "n_cols"})
 USER_ERRORS = (ValueError, FileNotFoundError, TypeError, MissingConnector, MissingCredential)
@@ -72,12 +72,26 @@ def _number(x: Any, name: str, kind: type, low: float, high: float = float("inf"
     return kind(x)
 
 
+def _flag(c: dict[str, Any], name: str) -> bool | None:
+    if name in c and not isinstance(c[name], bool):
+        raise UsageError(f"{name} must be true or false")
+    return c.get(name)
+
+
+def _deep(args: argparse.Namespace, c: dict[str, Any]) -> bool:
+    """Whether the slow analyses run: the command line's word, else the file's, which may say it by either key but not both ways."""
+    fast, deep = _flag(c, "fast"), _flag(c, "deep")
+    if args.fast and args.deep or (fast is not None and fast == deep):
+        raise UsageError("fast and deep exclude each other" if args.fast or fast else "fast and deep are both off")
+    if args.fast or args.deep:
+        return args.deep
+    return deep if deep is not None else fast is False
+
+
 def options(args: argparse.Namespace) -> dict[str, Any]:
     """Keyword arguments of profile(): the command line over the file, lists one after the other."""
     c = read_config(args.config, args.profile_name)
-    if args.fast and args.deep or (c.get("fast") is True and c.get("deep") is True and not (args.fast or args.deep)):
-        raise UsageError("fast and deep exclude each other")
-    deep = args.deep or (not args.fast and (c.get("deep") is True or c.get("fast") is False))
+    deep = _deep(args, c)
     pick = lambda a, *k: a if a is not None else next((c[x] for x in k if x in c), None)
     exclude = _list(c.get("exclude"), "exclude") + args.exclude
     if file := pick(args.exclude_file, "exclude_file"):
@@ -89,7 +103,8 @@ def options(args: argparse.Namespace) -> dict[str, Any]:
         "time_col": pick(args.time, "time", "time_col"),
         "exclude": exclude or None,
         "where": (_list(c.get("filter"), "filter") + _list(c.get("where"), "where") + args.filter) or None,
-        "ignore_missing_exclude": bool(args.ignore_missing_exclude or c.get("ignore_missing_exclude")),
+        "ignore_missing_exclude": bool(args.ignore_missing_exclude or _flag(c, "ignore_missing_exclude")),
+        "exact_quantiles": not (args.approximate_quartiles or _flag(c, "approximate_quartiles")),
         "cluster_cutoff": _number(pick(args.cluster_cutoff, "cluster_cutoff"), "cluster_cutoff", float, 0, 1) if pick(args.cluster_cutoff, "cluster_cutoff") is not None else 0.30,
         "deep_correlations": deep,
         "target_permutation": deep,
@@ -109,7 +124,7 @@ def _profile(args: argparse.Namespace) -> None:
 
     c = read_config(args.config, args.profile_name)
     p = profile(args.data, progress=(lambda m: print(f"... {m}", file=sys.stderr)) if args.progress else None, **options(args))
-    print(render_text(p, bool(args.all_columns or c.get("all_columns"))))
+    print(render_text(p, bool(args.all_columns or _flag(c, "all_columns"))))
     if save := args.save or c.get("save"):
         _say("saved", p.save(save))
     if args.pipeline:
@@ -241,7 +256,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--cluster-cutoff", type=float)
     for flag in ("--exclude", "--filter"):
         p.add_argument(flag, action="append", default=[])
-    for flag in ("--fast", "--deep", "--all-columns", "--ignore-missing-exclude", "--open", "--sklearn", "--progress"):
+    for flag in ("--fast", "--deep", "--all-columns", "--approximate-quartiles", "--ignore-missing-exclude", "--open", "--sklearn", "--progress"):
         p.add_argument(flag, action="store_true")
     p = command("compare", _compare, "compare two tables or saved profiles")
     p.add_argument("a")

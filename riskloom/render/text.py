@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from .views import figure, health, null_share, shown_columns, shown_findings, sparkline
+from .views import figure, health, null_share, shape, shown_columns, shown_findings, summary
 
 MARK = {"critical": "!!", "warning": " !", "info": "  "}
 
@@ -23,8 +23,13 @@ def render_text(profile: Any, all_columns: bool = False) -> str:
     if len(shown) < len(profile.findings):
         out.append(f"   and {len(profile.findings) - len(shown)} more")
     names = list(profile.columns) if all_columns else shown_columns(profile)
-    rows = [[s.name, s.kind, f"{s.null_rate:.1%}", figure(s.n_unique), figure(s.mean), figure(s.min), figure(s.max), sparkline([h[-1] for h in (s.histogram or s.temporal_buckets)][:24])] for s in (profile.columns[n] for n in names)]
-    out += ["", *_table(["column", "kind", "missing", "unique", "mean", "min", "max", "shape"], rows)]
+    rows = [[s.name, s.dtype, f"{s.null_rate:.1%}" if s.n_null else "", figure(s.n_unique), shape(s), summary(s)] for s in (profile.columns[n] for n in names)]
+    out += ["", *_table(["column", "type", "missing", "unique", "shape", "summary"], rows)]
+    if len(names) < len(profile.columns):
+        out.append(f"   and {len(profile.columns) - len(names)} more columns (--all-columns)")
+    if pairs := [p for p in profile.correlations if p.score >= 0.3][:10]:
+        rows = [[p.a, p.b, figure(p.pearson), figure(p.mutual_info), "not linear" if p.is_nonlinear else ""] for p in pairs]
+        out += ["", "Strongest pairs", *_table(["a", "b", "correlation", "mi", ""], rows)]
     if profile.target_signals:
         rows = [[s.feature, figure(s.pps), figure(s.mutual_info), figure(s.auc), figure(s.spearman), s.confidence, "leak?" if s.leak_suspect else ""] for s in profile.target_signals[:15]]
         out += ["", f"What predicts {profile.target}", *_table(["feature", "pps", "mi", "auc", "rho", "confidence", ""], rows)]
@@ -35,7 +40,8 @@ def render_text(profile: Any, all_columns: bool = False) -> str:
         if profile.temporal.drift_kind:
             out.append(f"  target drift ({profile.temporal.drift_kind}): {figure(profile.temporal.drift_score)}")
     if profile.clusters and profile.clusters.shortlist:
-        out += ["", "Shortlist: " + ", ".join(e.feature + (" (weak)" if e.weak else "") for e in profile.clusters.shortlist[:20])]
+        rows = [[e.feature, figure(e.score), e.method, ", ".join(e.redundant[:4]) + (", ..." if len(e.redundant) > 4 else ""), "weak" if e.weak else ""] for e in profile.clusters.shortlist[:20]]
+        out += ["", "Shortlist", *_table(["feature", "score", "by", "stands for", ""], rows)]
     plan = profile.action_plan()
     rows = [[r["bucket"], r["column"], r["action"], r["reason"]] for r in plan.records()[:30]]
     if rows:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import chain, islice
 from typing import Any
 
+from ..functions.kinds import NUMERIC, TEXT
 from ..operators.rules import Finding, severity_counts
 
 BLOCKS = "▁▂▃▄▅▆▇█"
@@ -39,21 +41,37 @@ def shown_findings(found: list[Finding], most: int = 12) -> list[Finding]:
     return loud + [f for f in found if f.severity == "info"][: max(0, most - len(loud))]
 
 
-def shown_columns(profile: Any, most: int = 30) -> list[str]:
-    """Columns of the summary: those with findings first, then in order."""
-    named = list(dict.fromkeys(c for f in profile.findings for c in f.columns if c in profile.columns))
-    keep = set((named + [n for n in profile.columns if n not in named])[:most])
-    return [n for n in profile.columns if n in keep]
+#: Columns of a terminal's table, widths of its shapes, and features of a heat map.
+COLUMNS, WIDTH, HEAT = 30, 16, 60
 
 
-def heat_columns(profile: Any, most: int = 20) -> list[str]:
-    """Columns of the strongest pairs, under a cap."""
-    out: list[str] = []
-    for p in profile.correlations:
-        for n in (p.a, p.b):
-            if n not in out and len(out) < most:
-                out.append(n)
-    return out
+def shown_columns(profile: Any, most: int = COLUMNS) -> list[str]:
+    """Columns of the summary, what matters first: those of the leading findings, the target, the leading
+    signals and the shortlist; then the others in the table's order."""
+    leading = chain(
+        (c for f in profile.findings[:20] for c in f.columns),
+        [profile.target] if profile.target else [],
+        (s.feature for s in profile.target_signals[:10]),
+        (e.feature for e in (profile.clusters.shortlist[:10] if profile.clusters else [])),
+        profile.columns,
+    )
+    return list(islice(dict.fromkeys(n for n in leading if n in profile.columns), most))
+
+
+def heat(profile: Any, measure: str, most: int = HEAT) -> tuple[list[str], dict[frozenset[str], float]]:
+    """(features, figure of each pair that has it) of one measure, `pearson` or `mutual_info`.
+
+    Numbers that vary, all of them under the cap; else those of the strongest pairs, filled up to it.
+    """
+    numbers = [n for n, s in profile.columns.items() if s.kind == NUMERIC and not s.is_constant]
+    figures = {frozenset((p.a, p.b)): getattr(p, measure) for p in profile.correlations if getattr(p, measure) is not None}
+    if len(numbers) < 2 or not figures:
+        return [], {}
+    if len(numbers) > most:
+        paired = (n for p in profile.correlations for n in (p.a, p.b) if n in numbers)
+        numbers = list(islice(dict.fromkeys(chain(paired, numbers)), most))
+    kept = frozenset(numbers)
+    return numbers, {k: v for k, v in figures.items() if k <= kept}
 
 
 def drilldown(profile: Any) -> list[dict[str, Any]]:
@@ -65,9 +83,36 @@ def drilldown(profile: Any) -> list[dict[str, Any]]:
     return out
 
 
-def sparkline(counts: list[float]) -> str:
+def sparkline(counts: list[float], width: int = WIDTH) -> str:
+    """One mark a count, or a mean of neighbours where there are more than the width; a blank for nothing."""
+    if len(counts) > width:
+        edges = [len(counts) * k // width for k in range(width + 1)]
+        counts = [sum(counts[a:b]) / (b - a) for a, b in zip(edges, edges[1:])]
     most = max(counts, default=0)
-    return "".join(BLOCKS[min(7, int(8 * c / most))] if c else " " for c in counts) if most else ""
+    if most <= 0:
+        return BLOCKS[0] * len(counts)
+    return "".join(BLOCKS[round(c / most * (len(BLOCKS) - 1))] if c > 0 else " " for c in counts)
+
+
+def summary(s: Any) -> str:
+    """A column in a few words: moments of a number, span of a time, lengths of a text."""
+    if s.kind == NUMERIC and s.mean is not None:
+        said = [f"mean {figure(s.mean)}", f"std {figure(s.std)}", f"{figure(s.min)} to {figure(s.max)}"]
+        said += [f"skew {s.skew:+.2f}"] if s.skew is not None and abs(s.skew) > 1 else []
+        return ", ".join(said + ([f"{s.n_outliers_iqr:,} outliers"] if s.n_outliers_iqr else []))
+    if s.ts_min is not None:
+        return f"{s.ts_min} to {s.ts_max}"
+    if s.is_constant:
+        return "constant"
+    return f"{s.avg_len:.0f} characters, {s.max_len} at most" if s.avg_len is not None and s.kind == TEXT else ""
+
+
+def shape(s: Any) -> str:
+    """A number's or time's sparkline; the first levels of a category with their rows."""
+    if s.kind == NUMERIC or s.temporal_buckets:
+        return sparkline([h[-1] for h in (s.histogram or s.temporal_buckets)])
+    short = lambda v: v if len(v) <= 14 else v[:13] + "…"
+    return "  ".join(f"{short(v)} ({n:,})" for v, n in s.top_values[:3])
 
 
 def figure(x: float | None) -> str:

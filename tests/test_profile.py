@@ -186,6 +186,35 @@ def test_ladder():
     assert temporal.infer_kind("critical", "") == "random_cv" and temporal.infer_kind("info", "") == "strong_drift"
 
 
+def test_views(demo):
+    from types import SimpleNamespace as Made
+
+    from riskloom.operators.association import Pair
+    from riskloom.render import views
+    from riskloom.render.html import profile_html
+
+    assert views.sparkline([0, 1, 7], 3) == " ▂█" and views.sparkline([0, 0]) == "▁▁" and len(views.sparkline(list(range(24)))) == 16 and views.sparkline([1, 3, 0, 0], 2) == "█ "
+    stats = {n: ColumnStats(n, "double", kind, 10, 0, 5, mean=1.0) for n, kind in (("z", "numeric"), ("a", "numeric"), ("t", "text"), ("b", "numeric"), ("c", "numeric"))}
+    p = Made(columns=stats, correlations=[Pair("b", "c", -0.9, None), Pair("a", "t", None, 0.5), Pair("a", "b", None, 0.4)], findings=[Made(columns=["c"])], target="t", target_signals=[TargetSignal("b")], clusters=Made(shortlist=[Made(feature="a")]))
+    assert views.shown_columns(p) == ["c", "t", "b", "a", "z"] and views.shown_columns(p, 2) == ["c", "t"]
+    assert views.heat(p, "pearson", 3) == (["b", "c", "a"], {frozenset("bc"): -0.9}) and views.heat(p, "mutual_info")[0] == ["z", "a", "b", "c"]
+    assert views.heat(Made(columns=stats, correlations=[Pair("a", "b", 0.5)]), "mutual_info") == ([], {})
+    page = profile_html(demo)
+    assert page.count("<h3>Correlation</h3>") == 1 and "<circle" in page and "skew +" in render_text(demo) and "Strongest pairs" in render_text(demo)
+
+
+def test_flags_of_a_configuration(tmp_path, capsys):
+    args = lambda *a: cli.parser().parse_args(["profile", "x.csv", "--config", str(tmp_path / "c.toml"), *a])
+    for text, want in (("fast = true", False), ("fast = false", True), ("deep = true", True), ("deep = false", False), ("", False), ("fast = false\ndeep = true", True)):
+        (tmp_path / "c.toml").write_text(text)
+        assert cli.options(args())["deep_correlations"] is want, text
+    assert cli.options(args("--fast"))["target_permutation"] is False and cli.options(args("--approximate-quartiles"))["exact_quantiles"] is False
+    for bad in ('fast = "yes"', "deep = 1", "fast = true\ndeep = true", "fast = false\ndeep = false", "all_columns = 0\napproximate_quartiles = 3"):
+        (tmp_path / "c.toml").write_text(bad)
+        with pytest.raises(cli.UsageError):
+            cli.options(args())
+
+
 def test_roles_and_signals():
     s = lambda name, kind, unique, n=1000: ColumnStats(name, kind, kind, n, 0, unique)
     stats = {x.name: x for x in (s("user_id", "numeric", 1000), s("created_at", "temporal", 500), s("other_day", "temporal", 500), s("churned", "numeric", 2), s("note", "text", 900))}

@@ -25,8 +25,9 @@ WIDTHS = (2, 3, 4)
 FILTERS = 20
 EMBEDDING = 8
 OVERLAP = max(WIDTHS) - 1
-#: The bound of what is trained on: the most frequent languages, rows for each, rows in all, windows of a row.
-LANGUAGES, ROWS_PER_LANGUAGE, ROWS, WINDOWS_PER_ROW = 500, 500, 20_000, 6
+#: The bound of what is trained on: rows of a language, rows in all (so of each language an even part of them, one at
+#: least, and of the most frequent languages alone where there are more than that), windows of a row.
+ROWS_PER_LANGUAGE, ROWS, WINDOWS_PER_ROW = 500, 20_000, 6
 STEPS, BATCH = 700, 96
 UNKNOWN = "und"
 
@@ -166,12 +167,13 @@ def training_windows(docs: DataFrame, key: str, text: str, lang: str) -> tuple[l
     share by hash, of that the first rows by hash, and of each row some windows
     spread over its text."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(key).alias("k"), F.col(lang).alias("l"))
-    counts = labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()
-    # A share by hash that leaves about twice the rows wanted, so that the ranking below stays small whatever the table's size.
-    share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r.l, 2.0 * ROWS_PER_LANGUAGE / r.n)]), F.col("l")), F.lit(0.0)) if counts else F.lit(0.0)
-    some = labelled.where(F.expr("pmod(xxhash64(k, 5), 1000000007)") < share * 1000000007)
+    counts = labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(ROWS).collect()
+    each = max(1, min(ROWS_PER_LANGUAGE, ROWS // max(1, len(counts))))
+    # A share by hash that leaves about twice the rows wanted, and a score more, so that the ranking below stays small whatever the table's size.
+    share = docs.sparkSession.createDataFrame([(r.l, (2.0 * each + (0 if each == ROWS_PER_LANGUAGE else 20)) / r.n) for r in counts], "l string, share double")
+    some = labelled.withColumn("l", F.col("l").cast("string")).join(F.broadcast(share), "l").where(F.expr("pmod(xxhash64(k, 5), 1000000007)") < F.col("share") * 1000000007)
     rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k", F.lit(5)), "k"))
-    chosen = some.withColumn("r", rank).where(F.col("r") <= ROWS_PER_LANGUAGE).select("k").distinct().limit(ROWS)
+    chosen = some.withColumn("r", rank).where(F.col("r") <= each).select("k").distinct()
     rows = docs.where(~held_out(key)).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
     few = rows.join(F.broadcast(chosen), "k").where(F.col("l").isNotNull() & has_letter("t"))  # at most ROWS keys
     # A key that repeats stands for one row, so that rows are bounded, too.

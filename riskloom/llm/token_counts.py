@@ -8,6 +8,8 @@ of its bytes, at a tie to the earlier one.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +28,23 @@ def line_sections(text: bytes) -> np.ndarray:
     return np.r_[0, ends, len(text)] if not len(ends) or ends[-1] != len(text) else np.r_[0, ends]
 
 
+_ENDS = re.compile(rb"[.!?]+[ \t]+|\n")
+
+
+def sentence_sections(text: bytes) -> np.ndarray:
+    """First byte of each sentence, and the end. A sentence ends behind full stops, question or exclamation
+    marks and the blanks after them, or behind a line feed: the blank that a token begins with stands in the
+    sentence before, so most first tokens of a sentence cross its boundary."""
+    if not text:
+        return np.zeros(1, np.int64)
+    ends = np.fromiter((m.end() for m in _ENDS.finditer(text)), np.int64)
+    return np.r_[0, ends, len(text)] if not len(ends) or ends[-1] != len(text) else np.r_[0, ends]
+
+
+#: What a text can be cut into: adjacent byte spans that hold all of it.
+SECTIONS = {"line": line_sections, "sentence": sentence_sections}
+
+
 def token_spans(enc: bpe.Encoder, text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """First byte and end of each token of a text."""
     s = text.decode()
@@ -54,11 +73,13 @@ def allocate(first: np.ndarray, end: np.ndarray, edges: np.ndarray) -> tuple[np.
     return out, len(crossing)
 
 
-def count_sections(docs: DataFrame, text: str = "text", path: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """docs with n_tokens, n_crossing (tokens across a line boundary) and sections: for
-    each line start and end (bytes) and tokens, which add up to n_tokens. Null and empty
-    texts have no sections and no tokens; input columns named like a result are replaced."""
+def count_sections(docs: DataFrame, text: str = "text", path: str | None = None, keep: list[str] | None = None, by: str = "line") -> DataFrame:
+    """docs with n_tokens, n_crossing (tokens across a boundary) and sections: for each line
+    or sentence start and end (bytes) and tokens, which add up to n_tokens. Null and empty
+    texts have no sections and no tokens; rows that repeat are counted each, an empty table
+    gives no rows; input columns named like a result are replaced."""
     path = path or bpe.default_path()
+    cut = SECTIONS[by]
     section = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "end", "tokens")])
 
     def make():
@@ -67,7 +88,7 @@ def count_sections(docs: DataFrame, text: str = "text", path: str | None = None,
         def fn(batch: pa.RecordBatch) -> list[pa.Array]:
             total, crossing, sizes, flat = [], [], [], []
             for t in texts(batch, text):
-                edges = line_sections(t)
+                edges = cut(t)
                 first, end = token_spans(enc, t)
                 where, crossed = allocate(first, end, edges) if len(edges) > 1 else (first, 0)
                 total.append(len(first))
@@ -86,8 +107,8 @@ def count_sections(docs: DataFrame, text: str = "text", path: str | None = None,
 
 
 def digest(spark, sf_dir: str) -> DataFrame:
-    """Query op3_token_counts: tokens of every line of every document."""
+    """Query op3_token_counts: tokens of every sentence of every document."""
     from .common import table
 
-    seen = count_sections(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    seen = count_sections(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"], by="sentence")
     return seen.select("doc_id", "n_tokens", "n_crossing", F.size("sections").cast("long").alias("n_sections"), F.col("sections.tokens").alias("section_tokens"))

@@ -1,4 +1,4 @@
-"""op1 on made calls; op3 against a slow interval join."""
+"""op1 on made calls; op3 against an interval join by hand over the library's own offsets."""
 
 import json
 
@@ -86,6 +86,40 @@ def test_tokens_of_lines(spark, sf):
         assert b"".join(data[s.start : s.end] for s in r.sections) == data
 
 
+def joined_by_hand(tok, text, spans):
+    """(tokens of each section, tokens that cross): each token against every section, by the library's offsets."""
+    at = np.r_[0, np.cumsum([len(c.encode()) for c in text])]
+    counts, crossing = [0] * len(spans), 0
+    for a, b in tok.encode(text, add_special_tokens=False).offsets:
+        own = [max(0, min(at[b], e) - max(at[a], s)) for s, e in spans]
+        crossing += sum(x > 0 for x in own) > 1
+        counts[own.index(max(own))] += 1
+    return counts, crossing
+
+
+def test_sentences_against_an_interval_join_by_hand(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 4000").limit(80).collect()]
+    rows += [(9000, None), (9001, ""), (9002, "One. Two!  Three?\nFour.Five. "), (9003, "Wait... what?! \tYes.\n\n\nNo"), (9003, "Wait... what?! \tYes.\n\n\nNo"), (9004, "..."), (None, "É. è. ê")]
+    df = spark.createDataFrame([(*r, "x", 5) for r in rows], "doc_id long, text string, sections string, n_tokens int")
+    got = tc.count_sections(df, by="sentence").collect()
+    tok = bpe.encoder(bpe.default_path()).tokenizer
+    crossed = 0
+    assert len(got) == len(rows)
+    for r in got:
+        text = r.text or ""
+        assert [s.start for s in r.sections][1:] == [s.end for s in r.sections][:-1]
+        assert (r.sections[0].start, r.sections[-1].end) == (0, len(text.encode())) if text else r.sections == []
+        # ASCII tokens have whole characters; others the library rounds to characters.
+        if text.isascii():
+            want, crossing = joined_by_hand(tok, text, [(s.start, s.end) for s in r.sections])
+            assert [s.tokens for s in r.sections] == want and r.n_crossing == crossing
+            crossed += crossing
+        assert sum(s.tokens for s in r.sections) == r.n_tokens
+    assert crossed > 100
+    assert [s.end - s.start for s in next(r for r in got if r.doc_id == 9002).sections] == [5, 6, 7, 11]
+    assert tc.count_sections(df.limit(0), by="sentence").count() == 0
+
+
 def test_rule_for_crossing_tokens():
     edges = np.array([0, 3, 5, 9])
     first, end = np.array([0, 2, 4, 4, 9]), np.array([2, 5, 6, 9, 9])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -396,6 +397,26 @@ def _target_drift(spark, sf):
     return rounded(spark.createDataFrame([(n, k, None if x is None else round(x, 6 if k in ("binary", "multiclass") else 5)) for n, k, x in rows], "target string, kind string, score double"))
 
 
+#: A target of orders that status tells in part, and features of so few levels that a tree of depth four names the commonest class of each.
+_TOLD = "case when o_orderstatus = 'F' and o_orderkey % 4 > 0 then 'y' when o_orderkey % 5 = 0 then 'y' else 'n' end"
+
+
+def _time_power_sql(c: str) -> str:
+    rows = f"(select {c} as x, {_TOLD} as y, late from p)"
+    said = f"(select x, arg_max(y, (n, -ascii(y))) as said from (select x, y, count(*) as n from {rows} where not late group by 1, 2) group by x)"
+    judged = f"(select r.y, t.said from {rows} r join {said} t on t.x = r.x where late)"
+    f1 = f"(select sum(2.0 * hit / (n + m) * n) / sum(n) from (select k, count(*) filter (where y = k) as n, count(*) filter (where said = k) as m, count(*) filter (where y = k and said = k) as hit from {judged}, (select unnest(['n', 'y']) as k) group by k))"
+    major = f"(select y from {rows} where not late group by y order by count(*) desc, y limit 1)"
+    naive = f"(select 2.0 * n / (n + m) * n / m from (select count(*) filter (where y = {major})::double as n, count(*)::double as m from {rows} where late))"
+    return f"select '{c}' as feature, {r(f'greatest(0, ({f1} - {naive}) / (1 - {naive} + 1e-9))')} as pps_time"
+
+
+@add("time_power_orders", _drift_sql("orders", "o_orderdate", [], ["o_orderstatus", "o_orderpriority"]) + " " + " union all ".join(_time_power_sql(c) for c in ("o_orderstatus", "o_orderpriority")))
+def _time_power(spark, sf):
+    df = read(spark, sf, "orders").select("o_orderdate", "o_orderstatus", "o_orderpriority", F.expr(_TOLD).alias("told"))
+    return rounded(temporal.temporal_figures(df, columns.column_stats(df, parts=frozenset({"values"})), "o_orderdate", "told").select("feature", "pps_time"))
+
+
 # ---- rules, roles, comparison ----
 
 
@@ -632,17 +653,17 @@ def _categorical(spark, sf):
     return rounded(drift.divergence_frame(df, F.col("event_type"), late))
 
 
-def _binned_sql(c: str) -> str:
-    """KS, PSI and Wasserstein of a column of two sides from 24 bins each, put on the grid of both."""
+def _binned_sql(c: str, table: str = "orders", late: str = "o_orderdate >= timestamp '1997-01-01'", show: str = "") -> str:
+    """KS, PSI and Wasserstein of a column of two sides from 24 bins each, put on the grid of both; show: what else to select."""
     return (
-        f"with sides as (select {c}::double as x, o_orderdate >= timestamp '1997-01-01' as late from orders where {c} is not null), "
+        f"with sides as (select {c}::double as x, {late} as late from {table} where {c} is not null), "
         "range_of as (select late, min(x) as lo, max(x) as hi from sides group by late), "
         "bins as (select s.late, greatest(0, least(23, floor((x - lo) / ((hi - lo) / 24))))::int as b, any_value(lo) as lo, any_value(hi) as hi, count(*)::double as n from sides s join range_of r on r.late = s.late group by 1, 2), "
         "grid as (select i as g, min(lo) + i * (max(hi) - min(lo)) / 24 as low, min(lo) + (i + 1) * (max(hi) - min(lo)) / 24 as high from range_of, range(24) t(i) group by i), "
         "mass as (select g, late, sum(n * greatest(0, least(high, lo + (b + 1) * (hi - lo) / 24) - greatest(low, lo + b * (hi - lo) / 24)) / ((hi - lo) / 24)) as m from grid, bins group by 1, 2), "
         "shares as (select g, sum(m) filter (where not late) / (select sum(m) from mass where not late) as p, sum(m) filter (where late) / (select sum(m) from mass where late) as q from mass group by g), "
         "steps as (select *, abs(sum(p) over (order by g) - sum(q) over (order by g)) as gap, (p + 1 / 24::double) / 2 as sp, (q + 1 / 24::double) / 2 as sq from shares) "
-        f"select '{c}' as name, {r('max(gap)')} as ks, {r('sum((sq - sp) * ln(sq / sp))')} as psi, {r('sum(gap) filter (where g < 23) * (select any_value(high - low) from grid)', 2)} as wasserstein, null::double as js, null::double as chi2 from steps"
+        f"select '{c}' as name, {r('max(gap)')} as ks, {r('sum((sq - sp) * ln(sq / sp))')} as psi, {r('sum(gap) filter (where g < 23) * (select any_value(high - low) from grid)', 2)} as wasserstein, null::double as js, null::double as chi2{show} from steps"
     )
 
 
@@ -664,6 +685,98 @@ def _compare(spark, sf):
     return rounded(got.select("name", "ks", "psi", F.round("wasserstein", 2).alias("wasserstein"), "js", F.round("chi2", 4).alias("chi2")))
 
 
+#: A column of lineitem and the degrees of freedom of its table of two rows; an even number has a closed form.
+_TESTED = (("l_returnflag", 2), ("l_linenumber", 6), ("l_linestatus", 1))
+
+
+def _chi_sql(c: str, dof: int) -> str:
+    cells = f"(select {c}::varchar as v, count(*) filter (where l_orderkey % 2 = 0)::double as a, count(*) filter (where l_orderkey % 2 = 1)::double as b from lineitem where {c} is not null group by 1)"
+    expected = f"(select a, b, sum(a) over () * (a + b) / (sum(a) over () + sum(b) over ()) as ea, sum(b) over () * (a + b) / (sum(a) over () + sum(b) over ()) as eb from {cells})"
+    part = (lambda x, e: f"greatest(abs({x} - {e}) - 0.5, 0) ** 2 / {e}") if dof == 1 else lambda x, e: f"({x} - {e}) ** 2 / {e}"
+    p = "null::double" if dof == 1 else "exp(-x / 2) * (" + " + ".join(f"(x / 2) ** {k} / {math.factorial(k)}" for k in range(dof // 2)) + ")"
+    return f"select '{c}' as name, {r('x')} as statistic, {r(p)} as p from (select sum({part('a', 'ea')} + {part('b', 'eb')}) as x from {expected})"
+
+
+def _ks_sql(c: str) -> str:
+    inner = _binned_sql(c, "lineitem", "l_orderkey % 2 = 1", ", max(gap) as d, (select count(*) filter (where not late) * count(*) filter (where late) / count(*)::double from sides) as n")
+    z = "(d * (sqrt(round(n)) + 0.12 + 0.11 / sqrt(round(n))))"
+    series = f"least(1, greatest(0, 2 * list_sum([(-1) ** (i - 1) * exp(-2 * i * i * z * z) for i in range(1, 101)])))"
+    return f"select name, {r('d')} as statistic, {r(series)} as p from (select name, d, {z} as z from ({inner}))"
+
+
+@add("compare_p_values_lineitem", " union all ".join([_chi_sql(*t) for t in _TESTED] + [f"select * from ({_ks_sql(c)})" for c in ("l_extendedprice", "l_quantity")]))
+def _p_values(spark, sf):
+    names = [c for c, _ in _TESTED]
+    df = read(spark, sf, "lineitem").select("l_orderkey", "l_extendedprice", "l_quantity", *[F.col(c).cast("string").alias(c) for c in names])
+    a, b = (profile_of_stats(columns.column_stats(df.where(f"l_orderkey % 2 = {k}").drop("l_orderkey"))) for k in (0, 1))
+    found = {d.name: d for d in drift.compare_profiles(a, b).features}
+    rows = [(c, found[c].chi2, found[c].chi2_p if dof > 1 else None) for c, dof in _TESTED] + [(c, found[c].ks, found[c].ks_p) for c in ("l_extendedprice", "l_quantity")]
+    return rounded(spark.createDataFrame(rows, "name string, statistic double, p double"))
+
+
+def _delta_sql(name: str) -> str:
+    e = dict(AIMS).get(name, name)
+    side = f"(select {e} as y, o_orderdate >= timestamp '1997-01-01' as late from orders)"
+    if name == "o_totalprice":
+        a, b = (f"avg(y::double) filter (where {k}late)" for k in ("not ", ""))
+        return f"select '{name}' as target, 'regression' as kind, {r(a, 3)} as before, {r(b, 3)} as after, {r(f'{b} - {a}', 3)} as delta from {side}"
+    if name == "o_orderstatus":
+        share = f"(select y, count(*) filter (where not late) / (select count(y) from {side} where not late)::double as p, count(*) filter (where late) / (select count(y) from {side} where late)::double as q from {side} where y is not null group by y)"
+        return f"select '{name}', 'multiclass', null, null, {r('max(abs(p - q))')} from {share}"
+    a, b = (f"avg((y = 'y')::int) filter (where {k}late)" for k in ("not ", ""))
+    return f"select '{name}', 'binary', {r(a)}, {r(b)}, {r(f'{b} - {a}')} from {side}"
+
+
+_DELTAS = ("rare", "even", "o_orderstatus", "o_totalprice")
+
+
+@add("target_delta_orders", " union all ".join(f"select * from ({_delta_sql(n)})" for n in reversed(_DELTAS)))
+def _delta(spark, sf):
+    from .plans.profile import Profile
+
+    rows = []
+    for name in _DELTAS:
+        df = read(spark, sf, "orders").select(F.expr(dict(AIMS).get(name, name)).alias(name), (F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz")).alias("_late"))
+        sides = []
+        for part in (df.where("not _late").drop("_late"), df.where("_late").drop("_late")):
+            stats = columns.column_stats(part, parts=frozenset({"values"}))
+            sides.append(Profile("", 0, 1, stats, target=name, target_summary=target.summarise(part, stats, name)))
+        d = drift.compare_profiles(*sides).target
+        rows.append((name, d.kind, d.before, d.after, d.delta))
+    return spark.createDataFrame(rows, "target string, kind string, before double, after double, delta double").select("target", "kind", *[(F.when(F.col("kind") == "regression", F.round(c, 3)).otherwise(F.round(c, 6)) + F.lit(0.0)).alias(c) for c in ("before", "after", "delta")])
+
+
+#: Two versions of orders: name, kind, expression before and after (None: the column isn't there).
+VERSIONS = [
+    ("same", "n", "o_totalprice", "o_totalprice"),
+    ("shifted", "n", "o_totalprice", "o_totalprice + 1000000"),
+    ("holes", "s", "o_orderpriority", "case when o_orderkey % 5 > 0 then o_orderpriority end"),
+    ("swapped", "s", "o_orderstatus", "case when o_orderstatus = 'F' then 'O' else 'F' end"),
+    ("gone", "s", "o_orderstatus", None),
+    ("fresh", "s", None, "o_orderstatus"),
+    ("typed", "n", "o_custkey", "concat('c', cast(o_custkey as varchar(20)))"),
+]
+_SWAP = "(select p, q, (p + q) / 2 as m from (select sum((o_orderstatus = v)::int) / count(*)::double as p, sum(((case when o_orderstatus = 'F' then 'O' else 'F' end) = v)::int) / count(*)::double as q from orders, (select unnest(['F', 'O', 'P']) as v) group by v))"
+
+
+@add(
+    "compare_findings_orders",
+    "select 'gone' as name, 'schema_removed' as kind, 'warning' as severity from (describe orders) where column_name = 'o_orderstatus' union all select 'fresh', 'schema_added', 'info' from (describe orders) where column_name = 'o_orderstatus' "
+    "union all select 'typed', 'schema_type_change', 'warning' from (describe orders) where column_name = 'o_custkey' "
+    "union all select 'shifted', 'feature_drift', 'warning' from orders having max(o_totalprice) < min(o_totalprice) + 1000000 "
+    "union all select 'holes', 'feature_drift', 'warning' from orders having count(*) filter (where o_orderkey % 5 = 0) / count(*)::double >= 0.05 "
+    f"union all select 'swapped', 'feature_drift', case when js >= 0.25 then 'warning' else 'info' end from (select sum(case when p > 0 then p * ln(p / m) else 0 end + case when q > 0 then q * ln(q / m) else 0 end) / 2 as js from {_SWAP})",
+)
+def _compare_findings(spark, sf):
+    df = read(spark, sf, "orders")
+    sides = []
+    for k in (2, 3):
+        part = df.select(*[F.expr(v[k]).alias(v[0]) for v in VERSIONS if v[k] is not None])
+        sides.append(profile_of_stats(columns.column_stats(part)))
+    found = drift.compare_profiles(*sides).findings
+    return spark.createDataFrame([(f.columns[0], f.kind, f.severity) for f in found], "name string, kind string, severity string")
+
+
 # ---- what SQL can't say: trees, neighbours, forests, clusters; rows of a whole profile ----
 
 

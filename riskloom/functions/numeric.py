@@ -17,20 +17,6 @@ def average_ranks(x: np.ndarray) -> np.ndarray:
     return (ends - (counts - 1) / 2)[inverse]
 
 
-def pearson(x: np.ndarray, y: np.ndarray) -> float | None:
-    a, b = x - x.mean(), y - y.mean()
-    spread = math.sqrt((a @ a) * (b @ b))
-    return float(a @ b / spread) if spread > 0 else None
-
-
-def spearman(x: np.ndarray, y: np.ndarray, least: int = 5) -> float | None:
-    """Signed rank correlation with averaged ties; None below `least` rows or without spread."""
-    ok = ~(np.isnan(x) | np.isnan(y))
-    if ok.sum() < least:
-        return None
-    return pearson(average_ranks(x[ok]), average_ranks(y[ok]))
-
-
 def auc(score: np.ndarray, positive: np.ndarray) -> float | None:
     p = int(positive.sum())
     q = len(positive) - p
@@ -39,12 +25,6 @@ def auc(score: np.ndarray, positive: np.ndarray) -> float | None:
     return float((average_ranks(score)[positive].sum() - p * (p + 1) / 2) / (p * q))
 
 
-def ks_distance(a: np.ndarray, b: np.ndarray) -> float:
-    at = np.concatenate([a, b])
-    a, b = np.sort(a), np.sort(b)
-    return float(np.abs(np.searchsorted(a, at, "right") / len(a) - np.searchsorted(b, at, "right") / len(b)).max())
-
-
 def ks_p_value(d: float, n: float) -> float:
     """Chance of a one-sample Kolmogorov distance of at least d among n values: by the
     matrix power of Marsaglia, Tsang and Wang (2003) for n up to 400, else Stephens' series."""
@@ -208,17 +188,6 @@ def normalised(nats: float) -> float:
 # ---- one-feature trees ----
 
 
-def tree_intervals(x: np.ndarray, y: np.ndarray, classes: int, depth: int = 4) -> tuple[np.ndarray, list]:
-    """A tree on one feature's rows: (cut points, value of each interval). classes 0: regression by squared error."""
-    values, at = np.unique(x, return_inverse=True)
-    if classes:
-        sums = np.zeros((len(values), classes))
-        np.add.at(sums, (at, y), 1)
-    else:
-        sums = np.stack([np.bincount(at, w, len(values)) for w in (np.ones(len(y)), y, y * y)], 1)
-    return tree_of(values, sums, bool(classes), depth)
-
-
 def tree_of(x: np.ndarray, sums: np.ndarray, classes: bool, depth: int = 4) -> tuple[np.ndarray, list]:
     """A tree on one feature's distinct values in order, with the rows of each class at each value,
     or (regression) their number, sum and sum of squares of the target.
@@ -269,53 +238,6 @@ def weighted_f1(y: np.ndarray, p: np.ndarray, classes: int) -> float:
     return float((f1 * true).sum() / max(1, len(y)))
 
 
-def folds(y: np.ndarray, k: int, stratified: bool) -> np.ndarray:
-    """Fold of each row, in row order: contiguous, or contiguous within each class."""
-    if not stratified:
-        sizes = np.full(k, len(y) // k)
-        sizes[: len(y) % k] += 1
-        return np.repeat(np.arange(k), sizes)
-    out = np.empty(len(y), int)
-    for c in np.unique(y):
-        at = np.flatnonzero(y == c)
-        out[at] = folds(at, k, False)
-    return out
-
-
-def predictive_power(x: np.ndarray, y: np.ndarray, classes: int, test: np.ndarray | None = None) -> float:
-    """How much better one feature predicts than no feature, 0 to 1.
-
-    Classification: weighted F1 of a depth-4 tree against the majority class.
-    Regression: mean absolute error against the median. Cross-validated over rows
-    in their order, or judged on `test` rows with tree and baseline from the others.
-    """
-    if test is not None:
-        train = ~test
-        if test.sum() < 10 or train.sum() < (2 if classes else 10):
-            return 0.0
-        if classes:
-            said = tree_predict(tree_intervals(x[train], y[train], classes), x[test])
-            major = np.full(test.sum(), np.bincount(y[train], minlength=classes).argmax())
-            return gain_f1(weighted_f1(y[test], said, classes), weighted_f1(y[test], major, classes))
-        naive = np.abs(y[test] - np.median(y[train])).mean()
-        return gain_error(np.abs(y[test] - tree_predict(tree_intervals(x[train], y[train], 0), x[test])).mean(), naive)
-    if classes:
-        counts = np.bincount(y, minlength=classes)
-        least = counts[counts > 0].min() if (counts > 0).sum() > 1 else 0
-        if least < 2:
-            return 0.0
-        fold = folds(y, max(2, min(4, int(least))), True)
-        scores = []
-        for f in range(fold.max() + 1):
-            t = fold == f
-            scores.append(weighted_f1(y[t], tree_predict(tree_intervals(x[~t], y[~t], classes), x[t]), classes))
-        naive = weighted_f1(y, np.full(len(y), counts.argmax()), classes)
-        return gain_f1(float(np.mean(scores)), naive)
-    fold = folds(y, 4, False)
-    errors = [np.abs(y[t] - tree_predict(tree_intervals(x[~t], y[~t], 0), x[t])).mean() for t in (fold == f for f in range(4))]
-    return gain_error(float(np.mean(errors)), float(np.abs(y - np.median(y)).mean()))
-
-
 def gain_f1(model: float, naive: float) -> float:
     return max(0.0, (model - naive) / (1 - naive + 1e-9))
 

@@ -100,13 +100,6 @@ def schema_diff(a: dict[str, ColumnStats], b: dict[str, ColumnStats]) -> SchemaD
     return SchemaDiff(sorted(b.keys() - a.keys()), sorted(a.keys() - b.keys()), [(n, a[n].kind, b[n].kind) for n in shared if a[n].kind != b[n].kind], shared)
 
 
-def schema_diff_frame(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(name, change) of two (name, kind) relations: added, removed, type_changed or shared."""
-    x, y = a.select("name", F.col("kind").alias("ka")), b.select("name", F.col("kind").alias("kb"))
-    change = F.when(F.col("ka").isNull(), "added").when(F.col("kb").isNull(), "removed").when(F.col("ka") != F.col("kb"), "type_changed").otherwise("shared")
-    return x.join(y, "name", "full").select("name", change.alias("change"))
-
-
 def rebin(h: list[tuple[float, float, int]], grid: np.ndarray) -> np.ndarray:
     """Mass of a histogram on another grid, in proportion to overlap. Bins of no width have none."""
     out = np.zeros(len(grid) - 1)
@@ -239,16 +232,6 @@ def shares(df: DataFrame, value: Column, side: Column) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select("v", "a", "b", (F.col("a") / F.nullif(F.col("ta"), F.lit(0.0))).alias("p"), (F.col("b") / F.nullif(F.col("tb"), F.lit(0.0))).alias("q"), "ta", "tb")
 
 
-def divergence_frame(df: DataFrame, value: Column, side: Column) -> DataFrame:
-    """One row (js, chi2, levels) of a categorical value between two sides."""
-    s = shares(df, value, side)
-    m = (F.col("p") + F.col("q")) / 2
-    part = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / m)).otherwise(0.0)
-    n = F.col("ta") + F.col("tb")
-    ea, eb = F.col("ta") * (F.col("a") + F.col("b")) / n, F.col("tb") * (F.col("a") + F.col("b")) / n
-    return s.agg((F.sum(part("p") + part("q")) / 2).alias("js"), F.sum((F.col("a") - ea) ** 2 / ea + (F.col("b") - eb) ** 2 / eb).alias("chi2"), F.count(F.lit(1)).alias("levels"))
-
-
 def binned_drift_frame(df: DataFrame, value: Column, side: Column, low: float, high: float, bins: int) -> DataFrame:
     """One row (ks, psi, wasserstein) of a number between two sides, on a common grid of bins."""
     from pyspark.sql.window import Window

@@ -650,7 +650,10 @@ def _categorical(spark, sf):
     df = read(spark, sf, "events")
     low, high = df.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
     late = F.unix_micros(F.col("ts").cast("timestamp")) >= F.lit(low + (high - low) // 2)
-    return rounded(drift.divergence_frame(df, F.col("event_type"), late))
+    a, b = (profile_of_stats(columns.column_stats(df.where(side).select("event_type"), parts=frozenset({"values"}))) for side in (~late, late))
+    d = drift.compare_profiles(a, b).features[0]
+    levels = len({v for p in (a, b) for v, _ in p.columns["event_type"].top_values})
+    return rounded(spark.createDataFrame([(d.js, d.chi2, levels)], "js double, chi2 double, levels long"))
 
 
 def _binned_sql(c: str, table: str = "orders", late: str = "o_orderdate >= timestamp '1997-01-01'", show: str = "") -> str:
@@ -781,7 +784,8 @@ def _compare_findings(spark, sf):
 
 
 def _stats(df: DataFrame) -> dict[str, columns.ColumnStats]:
-    return columns.column_stats(df)
+    """Kinds, levels and most frequent values: what these analyses ask of a column."""
+    return columns.column_stats(df, parts=frozenset({"values"}))
 
 
 @add("predictive_power_lineitem")

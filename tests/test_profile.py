@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import by_rows
 from riskloom import cli
 from riskloom.functions import numeric
 from riskloom.operators import drift, ranks, rules, temporal
@@ -161,7 +162,7 @@ def test_figures_against_known_values():
     brute = np.array([np.sort(np.maximum(abs(x[:300] - x[i]), abs(y[:300] - y[i])))[3] for i in range(300)])
     assert np.allclose(numeric._joint_radius(x[:300], y[:300], 3), brute)
     assert numeric.average_linkage(np.array([[0, 0.3, 0.9], [0.3, 0, 0.9], [0.9, 0.9, 0]]), 0.3) == [[0, 1], [2]]
-    assert numeric.predictive_power(x, (x > 0.3).astype(int), 2) > 0.99 and numeric.predictive_power(x, rng.integers(0, 2, 2000), 2) < 0.2
+    assert by_rows.predictive_power(x, (x > 0.3).astype(int), 2) > 0.99 and by_rows.predictive_power(x, rng.integers(0, 2, 2000), 2) < 0.2
 
 
 def test_tree_against_brute_force():
@@ -175,7 +176,7 @@ def test_tree_against_brute_force():
 
         cuts = (np.unique(x)[1:] + np.unique(x)[:-1]) / 2
         best = min(loss(y[x <= c]) + loss(y[x > c]) for c in cuts)
-        got = numeric.tree_intervals(x, y, classes, 1)[0][0]
+        got = by_rows.tree_intervals(x, y, classes, 1)[0][0]
         assert loss(y[x <= got]) + loss(y[x > got]) == pytest.approx(best)
 
 

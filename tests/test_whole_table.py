@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import by_rows
 from riskloom.functions import numeric
 from riskloom.functions.expr import number
 from riskloom.operators import clusters, columns, ranks, temporal
@@ -50,9 +51,9 @@ def test_joint_ranks_are_those_of_each_column(made):
     for i, n in enumerate(names):
         own = wide[[n, "y", "gain"]].dropna()
         x, y = own[n].to_numpy(), own.y.to_numpy()
-        assert ks[i].ks == pytest.approx(numeric.ks_distance(x[y == 0], x[y == 1])) and (ks[i].n_a, ks[i].n_b) == ((y == 0).sum(), (y == 1).sum())
+        assert ks[i].ks == pytest.approx(by_rows.ks_distance(x[y == 0], x[y == 1])) and (ks[i].n_a, ks[i].n_b) == ((y == 0).sum(), (y == 1).sum())
         assert area[i].auc == pytest.approx(numeric.auc(x, y == 1))
-        assert rho[i].rho == pytest.approx(numeric.spearman(x, own.gain.to_numpy())) and rho[i].n == len(own)
+        assert rho[i].rho == pytest.approx(by_rows.spearman(x, own.gain.to_numpy())) and rho[i].n == len(own)
     assert ranks.ks_of(ranks.sided(df.limit(0), [number("few")], F.col("y") == 1)).count() == 0
     assert ranks.rank_correlations(df.withColumn("one", F.lit(1.0)), [number("one")], number("gain")).first().rho is None
 
@@ -75,8 +76,8 @@ def test_drift_frame_against_pandas(made):
     assert cut == np.sort(us)[int(0.7 * len(us))] or (np.sort(us)[: int(0.7 * len(us))] < cut).all()
     x = wide.many.to_numpy()
     seen = ~np.isnan(x)
-    assert got["many"].drift == pytest.approx(numeric.ks_distance(x[seen & ~late], x[seen & late]))
-    assert got["many"].monotonicity == pytest.approx(abs(numeric.spearman(x[seen], us[seen].astype(float))))
+    assert got["many"].drift == pytest.approx(by_rows.ks_distance(x[seen & ~late], x[seen & late]))
+    assert got["many"].monotonicity == pytest.approx(abs(by_rows.spearman(x[seen], us[seen].astype(float))))
     share = pd.crosstab(wide.kind, late, normalize="columns")
     assert got["kind"].drift == pytest.approx((share[False] - share[True]).abs().sum() / 2) and got["kind"].monotonicity is None
 
@@ -104,12 +105,12 @@ def test_power_against_trees_on_the_rows(made):
     got = {r.feature: r for r in power_frame(df, stats, ["few", "kind"], "label", True, ["no", "yes"], late).collect()}
     for n in ("few", "kind"):
         x = wide[n].to_numpy() if n == "few" else wide[n].map({"a": 0, "b": 1, "c": 2}).to_numpy(float)
-        assert got[n].pps_time == pytest.approx(numeric.predictive_power(x, wide.y.to_numpy(), 2, test), abs=1e-9)
-        assert got[n].pps == pytest.approx(numeric.predictive_power(x, wide.y.to_numpy(), 2), abs=0.05)
+        assert got[n].pps_time == pytest.approx(by_rows.predictive_power(x, wide.y.to_numpy(), 2, test), abs=1e-9)
+        assert got[n].pps == pytest.approx(by_rows.predictive_power(x, wide.y.to_numpy(), 2), abs=0.05)
         assert got[n].n == 3000 and got[n].positive_count == min((wide.y == 1).sum(), (wide.y == 0).sum())
     got = power_frame(df, stats, ["few"], "gain", False, [], late).first()
-    assert got.pps_time == pytest.approx(numeric.predictive_power(wide.few.to_numpy(), wide.gain.to_numpy(), 0, test), abs=1e-9)
-    assert got.pps == pytest.approx(numeric.predictive_power(wide.few.to_numpy(), wide.gain.to_numpy(), 0), abs=0.02)
+    assert got.pps_time == pytest.approx(by_rows.predictive_power(wide.few.to_numpy(), wide.gain.to_numpy(), 0, test), abs=1e-9)
+    assert got.pps == pytest.approx(by_rows.predictive_power(wide.few.to_numpy(), wide.gain.to_numpy(), 0), abs=0.02)
     # The same however rows are partitioned.
     again = power_frame(df.repartition(9), stats, ["few"], "gain", False, [], late).first()
     assert again == got

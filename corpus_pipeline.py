@@ -24,12 +24,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the lines that too many documents of their source have; n_chars follows the text."""
+    """Without the lines that too many documents of their source have; n_chars follows the text.
+
+    Null texts stay null, a null source is one of its own, rows that repeat are pages each, an empty table gives none.
+    """
     return lines.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, the one of smallest key.
+
+    Texts of fewer than five words are one shingle; null and wordless texts are no copies of anything and stay.
+    Of rows that repeat one stays; an empty table gives none.
+    """
     return overlap.keep_one(docs)
 
 

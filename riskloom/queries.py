@@ -603,16 +603,47 @@ def _split(spark, sf):
     return spark.createDataFrame(rows, "split string, cv string, on string, classes string")
 
 
-def _roles(spark: SparkSession, sf: str) -> DataFrame:
-    found = columns.column_stats(read(spark, sf, "events"))
+def _roles(spark: SparkSession, df: DataFrame) -> DataFrame:
+    found = columns.column_stats(df, parts=frozenset({"values"}))
     out = set(roles.infer_excludes(found))
     return spark.createDataFrame([(n, ",".join(roles.hints(x)), n in out) for n, x in found.items()], "name string, hints string, exclude boolean")
 
 
-add(
-    "roles_events",
-    f"with s as ({_summary_sql('events')}), p as (select *, n - n_null as present, n_unique / nullif((n - n_null)::double, 0) as u, (lower(name) = 'id' or lower(name) like '%\\_id' escape '\\' or lower(name) like '%uuid%') as idn from s) select name, concat_ws(',', case when idn then 'identifier' end, case when kind = 'numeric' and n_unique <= 2 then 'boolean' end, case when kind = 'text' and n_unique between 2 and 20 then 'low-card categorical' end, case when kind = 'numeric' and n_unique between 3 and 20 then 'ordinal candidate target' end, case when kind = 'temporal' then 'time column candidate' end) as hints, coalesce(present > 50 and ((idn and u >= 0.95) or (kind = 'text' and u >= 0.8 and n_unique > 100)), false) as exclude from p",
-)(_roles)
+def _roles_sql(summary: str) -> str:
+    labels = (
+        "case when idn then 'identifier' end, case when kind = 'numeric' and n_unique <= 2 then 'boolean' end, case when kind = 'text' and n_unique between 2 and 20 then 'low-card categorical' end, "
+        "case when kind = 'numeric' and n_unique between 3 and 20 then 'ordinal candidate target' end, case when kind = 'temporal' then 'time column candidate' end, case when n_null >= 0.5 * n then 'high-null' end"
+    )
+    return (
+        f"with s as ({summary}), p as (select *, n - n_null as present, n_unique / nullif((n - n_null)::double, 0) as u, {ID_NAME} as idn from s) "
+        f"select name, concat_ws(',', {labels}) as hints, coalesce(present > 50 and ((idn and u >= 0.95) or (kind = 'text' and u >= 0.8 and n_unique > 100)), false) as exclude from p"
+    )
+
+
+add("roles_events", _roles_sql(_summary_sql("events")))(lambda spark, sf: _roles(spark, read(spark, sf, "events")))
+_TRAP_COUNTS = " union all ".join(f"select '{n}' as name, '{KIND[k]}' as kind, count(*) as n, count(*) - count({n}) as n_null, count(distinct {n}) as n_unique from made" for n, k, _ in TRAPS)
+add("roles_traps", _roles_sql(f"with made as (select {', '.join(f'{e} as {n}' for n, _, e in TRAPS)} from orders) {_TRAP_COUNTS}"))(lambda spark, sf: _roles(spark, traps(spark, sf)))
+
+#: Columns made of orders, of which target and time are guessed: by a name, a prefix with two values, an affix; the only time, or the one that is called so.
+GUESSED = {
+    "named": (["o_orderkey % 3 as label", "o_orderkey % 2 as is_even", "o_orderdate as placed"], "label", "placed"),
+    "flagged": (["o_orderkey % 3 as is_third", "o_orderkey % 2 as has_two", "o_orderdate as placed", "o_orderdate as created_at"], "has_two", "created_at"),
+    "affixed": (["o_orderkey % 2 as is_even", "o_orderkey % 5 as target_five", "o_orderdate as a", "o_orderdate as b"], "target_five", None),
+}
+
+
+def _guess_sql(frame: str, made: list[str], aim: str, time: str | None) -> str:
+    when = f"case when count(distinct {time}) >= 10 then '{time}' end" if time else "null"
+    return f"select '{frame}' as frame, case when count(distinct {aim}) > 1 then '{aim}' end as target, {when} as time from (select {', '.join(made)} from orders)"
+
+
+@add("inferred_roles", " union all ".join(_guess_sql(k, *v) for k, v in GUESSED.items()))
+def _guessed(spark, sf):
+    rows = []
+    for k, (made, _, _) in GUESSED.items():
+        found = columns.column_stats(read(spark, sf, "orders").selectExpr(*made), parts=frozenset({"values"}))
+        rows.append((k, roles.infer_target(found), roles.infer_time(found)))
+    return spark.createDataFrame(rows, "frame string, target string, time string")
 
 
 _SHAPE = "select substr(column_name, 3) as name, case when column_type in ('VARCHAR') then 'text' when column_type like 'TIMESTAMP%' or column_type = 'DATE' then 'temporal' else 'numeric' end as kind from (describe {})"

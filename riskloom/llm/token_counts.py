@@ -67,7 +67,11 @@ def allocate(first: np.ndarray, end: np.ndarray, edges: np.ndarray) -> tuple[np.
     a = np.clip(np.searchsorted(edges, first, "right") - 1, 0, n - 1)
     b = np.clip(np.searchsorted(edges, end, "left") - 1, a, n - 1)
     out, crossing = a.copy(), np.flatnonzero(a != b)
-    for t in crossing:
+    # Over one boundary the larger part decides, at a tie the earlier.
+    two = crossing[b[crossing] == a[crossing] + 1]
+    cut = edges[b[two]]
+    out[two] = np.where(end[two] - cut > cut - first[two], b[two], a[two])
+    for t in crossing[b[crossing] > a[crossing] + 1]:
         inside = np.arange(a[t], b[t] + 1)
         out[t] = inside[np.argmax(np.minimum(edges[inside + 1], end[t]) - np.maximum(edges[inside], first[t]))]
     return out, len(crossing)

@@ -125,6 +125,13 @@ def test_rule_for_crossing_tokens():
     first, end = np.array([0, 2, 4, 4, 9]), np.array([2, 5, 6, 9, 9])
     where, crossing = tc.allocate(first, end, edges)
     assert where.tolist() == [0, 1, 1, 2, 2] and crossing == 3
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        edges = np.r_[0, np.unique(rng.integers(1, 60, 12)), 60]
+        cuts = np.r_[0, np.unique(rng.integers(1, 60, 15)), 60]
+        where, crossing = tc.allocate(cuts[:-1], cuts[1:], edges)
+        inside = np.maximum(0, np.minimum(edges[None, 1:], cuts[1:, None]) - np.maximum(edges[None, :-1], cuts[:-1, None]))
+        assert where.tolist() == inside.argmax(1).tolist() and crossing == ((inside > 0).sum(1) > 1).sum()
 
 
 def slow_levels(needs):

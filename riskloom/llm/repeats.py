@@ -210,15 +210,12 @@ def lcp(a: bytes, b: bytes, known: int = 0) -> int:
     return low
 
 
-def front_code(run: list[bytes]) -> tuple[bytes, bytes, bytes]:
-    """(shared prefix lengths, lengths of the rest, rests) of a sorted run; lengths in 2 bytes."""
-    shared, rest, last = [], [], b""
-    for s in run:
-        k = lcp(last, s)
-        shared.append(k)
-        rest.append(s[k:])
-        last = s
-    return np.array(shared, "<u2").tobytes(), np.array([len(r) for r in rest], "<u2").tobytes(), b"".join(rest)
+def front_code(run: list[bytes], shared: np.ndarray | None = None) -> tuple[bytes, bytes, bytes]:
+    """(shared prefix lengths, lengths of the rest, rests) of a sorted run; lengths in 2 bytes. shared: where they are known."""
+    if shared is None:
+        shared = np.array([lcp(x, y) for x, y in zip([b"", *run], run)], np.int64)
+    rest = [s[k:] for s, k in zip(run, shared.tolist())]
+    return shared.astype("<u2").tobytes(), np.array([len(r) for r in rest], "<u2").tobytes(), b"".join(rest)
 
 
 def front_decode(shared: bytes, sizes: bytes, rest: bytes) -> Iterator[tuple[bytes, int]]:
@@ -305,21 +302,23 @@ def strings_of(text: bytes, start: int, n: int, o: int) -> list[bytes]:
     return [text[at : p + W] + before[: at - p] + bytes((at - p,)) for p in range(start, start + n + 1)]
 
 
-def sorted_run(strings: list[bytes], place: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(distinct strings in order, place of the earliest of each, places of the others).
+def sorted_run(strings: list[bytes], place: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct strings in order, place of the earliest of each, places of the others, common prefix of each with the one before).
 
     place: (doc, start) records. Equal places with equal strings count once.
     """
     words = np.zeros((len(strings), 104), np.uint8)
     words[:, :WIDE] = np.frombuffer(b"".join(strings), np.uint8).reshape(-1, WIDE)
-    big = words.view(">u8").astype(np.uint64)
-    order = np.lexsort((place["start"], place["doc"], *[big[:, i] for i in range(big.shape[1] - 1, -1, -1)]))
+    order = np.lexsort((place["start"], place["doc"]))
+    order = order[np.argsort(words.view("S104").ravel()[order], kind="stable")]
+    differ = words[order[1:]] != words[order[:-1]]
+    shared = np.r_[0, differ.argmax(1)] if len(order) > 1 else np.zeros(len(order), np.int64)
     new = np.ones(len(order), bool)
-    new[1:] = (big[order[1:]] != big[order[:-1]]).any(1)
+    new[1:] = differ.any(1)
     first = order[new]
     head = place[first][np.cumsum(new) - 1]
     own = place[order]
-    return [strings[i] for i in first], place[first], own[~new & ((own["doc"] != head["doc"]) | (own["start"] != head["start"]))]
+    return [strings[i] for i in first.tolist()], place[first], own[~new & ((own["doc"] != head["doc"]) | (own["start"] != head["start"]))], shared[new]
 
 
 PLACE = np.dtype([("doc", "<i8"), ("start", "<i8")])
@@ -463,12 +462,13 @@ def _sort_runs(splitters: list[bytes]):
         held, places = [], []
 
         def send() -> pa.RecordBatch:
-            run_, place, known = sorted_run(held, np.concatenate(places))
+            run_, place, known, shared = sorted_run(held, np.concatenate(places))
             cut = [0, *[bisect_left(run_, x) for x in splitters], len(run_)]
             rows = []
             for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
                 if a < b or p == 0:
-                    rows.append((p, *front_code(run_[a:b]), pack_rows(place[a:b]), pack_rows(window_ranges(known)) if p == 0 else pack_rows(np.empty(0, RANGE))))
+                    # The first string of a part has none before it.
+                    rows.append((p, *front_code(run_[a:b], np.r_[0, shared[a + 1 : b]][: b - a]), pack_rows(place[a:b]), pack_rows(window_ranges(known)) if p == 0 else pack_rows(np.empty(0, RANGE))))
             held.clear()
             places.clear()
             kinds = (pa.int32(), *[pa.binary()] * 5)

@@ -338,13 +338,14 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     cuts = cuts.withColumn("salt", F.pmod(F.xxhash64("phrase"), spread(F.col("depth") - F.col("k") - 1)).cast("int"))
     ends = nodes.where(f"depth between 1 and {DEPTH - 1}").select("lang", F.col("phrase").alias("suffix"), F.col("f").alias("r"), F.explode(F.sequence(F.lit(0), spread(F.col("depth")) - 1)).alias("salt"))
     score = F.expr("cast(a as decimal(20, 0)) * 2000000 div (cast(l as decimal(20, 0)) + r)")
-    scored = cuts.join(ends, ["lang", "suffix", "salt"]).groupBy("lang", "phrase").agg(F.min(F.struct(score.cast("long").alias("score"), "k", "l", "r", "a")).alias("best"))
+    # Merged: Spark takes a table after explode to be as small as before it, and would send millions of rows through the driver.
+    scored = cuts.join(ends.hint("merge"), ["lang", "suffix", "salt"]).groupBy("lang", "phrase").agg(F.min(F.struct(score.cast("long").alias("score"), "k", "l", "r", "a")).alias("best"))
     words = F.split("phrase", " ")
     inner = lambda size: F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.array_join(F.slice("w", i, size), " "))
     parts = F.when(F.size("w") == 3, inner(2)).otherwise(F.concat(inner(2), inner(3)))
     longer = nodes.where("depth >= 3").select("lang", "f", words.alias("w")).select("lang", "f", F.explode(parts).alias("phrase"))
     longer = longer.groupBy("lang", "phrase").agg(F.max("f").alias("longest"))
-    kept = scored.join(longer, ["lang", "phrase"], "left").where(f"longest is null or cast(longest as decimal(20, 0)) * 100 < cast(best.a as decimal(20, 0)) * {ABSORBED}")
+    kept = scored.join(longer.hint("merge"), ["lang", "phrase"], "left").where(f"longest is null or cast(longest as decimal(20, 0)) * 100 < cast(best.a as decimal(20, 0)) * {ABSORBED}")
     kept = kept.select("lang", "phrase", "best.a", "best.l", "best.r", "best.score").withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(shuffle_partitions(docs.sparkSession))))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     first = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)

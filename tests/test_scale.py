@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from riskloom.llm.collocations import collocations
 from riskloom.sources import sampling
 
 
@@ -50,3 +51,13 @@ def test_a_sample_is_what_one_sort_of_all_rows_gives(spark, monkeypatch):
     got = sorted(map(str, sampling.stratified_sample(df, "y", 900, 3).collect()))
     monkeypatch.setattr(sampling, "least_of_tasks", lambda groups, each: groups)
     assert got == sorted(map(str, sampling.stratified_sample(df, "y", 900, 3).collect())) and len(got) >= 600
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_suffixes_of_phrases_are_not_sent_through_the_driver(spark):
+    docs = spark.createDataFrame([("en", "one two three four five one two three") for _ in range(40)], "lang string, text string")
+    shown = plan(collocations(docs, least=30))
+    assert any("SortMergeJoin" in x and "suffix" in x for x in shown.splitlines()) and any("SortMergeJoin" in x and "phrase" in x for x in shown.splitlines())

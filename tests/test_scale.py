@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from riskloom.llm.collocations import collocations
+from riskloom.operators import columns
 from riskloom.sources import sampling
 
 
@@ -57,6 +58,21 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_texts_alike_in_their_beginning_do_not_meet_in_one_task(spark):
+    df = spark.range(60_000).selectExpr("concat('a beginning that is the same in all of the texts, ', id) as note", "if(id < 3, concat('another beginning of more than forty letters ', id % 2), 'x') as few")
+    found = {}
+    most = reads(spark, lambda: found.update(columns.column_stats(df, parts=frozenset({"values"}))))
+    assert found["note"].top_values == [(f"a beginning that is the same in all of the texts, {i}", 1) for i in sorted(map(str, range(60_000)))[:10]]
+    assert found["few"].top_values == [("x", 59_997), ("another beginning of more than forty letters 0", 2), ("another beginning of more than forty letters 1", 1)]
+    assert most[0] < 40_000
+
+
+def test_levels_are_counted_without_sorting_rows(spark, sf0):
+    df = spark.read.parquet(f"{sf0}/orders.parquet")
+    counts = columns.level_counts(df, ["o_orderstatus", "o_orderpriority", "o_orderdate"])
+    assert "HashAggregate" in plan(counts) and "SortAggregate" not in plan(counts)
+
+
 def test_suffixes_of_phrases_are_not_sent_through_the_driver(spark):
     docs = spark.createDataFrame([("en", "one two three four five one two three") for _ in range(40)], "lang string, text string")
     shown = plan(collocations(docs, least=30))

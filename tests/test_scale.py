@@ -2,10 +2,13 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from riskloom import queries
+from riskloom.functions.expr import number
 from riskloom.llm.collocations import collocations
-from riskloom.operators import columns
+from riskloom.operators import columns, ranks, target, temporal
 from riskloom.sources import sampling
 
 
@@ -77,3 +80,33 @@ def test_suffixes_of_phrases_are_not_sent_through_the_driver(spark):
     docs = spark.createDataFrame([("en", "one two three four five one two three") for _ in range(40)], "lang string, text string")
     shown = plan(collocations(docs, least=30))
     assert any("SortMergeJoin" in x and "suffix" in x for x in shown.splitlines()) and any("SortMergeJoin" in x and "phrase" in x for x in shown.splitlines())
+
+
+def test_drift_and_ranks_share_one_sort_of_the_values(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 300, 4000) * 1.0
+    wide = pd.DataFrame({"t": pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 500, 4000), "h"), "x": np.where(rng.random(4000) < 0.1, np.nan, x), "z": x + 1, "y": np.where(rng.random(4000) < 0.2, None, np.where(x > 200, "yes", "no"))})
+    df = spark.createDataFrame(wide).repartition(5)
+    stats = columns.column_stats(df, parts=frozenset({"values"}))
+    values, us = [number(n) for n in ("x", "z")], F.unix_micros("t")
+    alone = {r.c: (r.n, r.rho) for r in ranks.rank_correlations(df, values, us).collect()}
+    target_alone = {r.c: r.rho for r in ranks.rank_correlations(df, values, F.when(F.col("y").isNotNull(), (F.col("y") == "yes").cast("double"))).collect()}
+    cut = temporal.late_cut(df, "t")
+    sorts, real = [], ranks.kept
+    monkeypatch.setattr(ranks, "kept", lambda df, label: sorts.append(df.columns) or real(df, label))
+    got = {r.feature: r for r in temporal.drift_frame(df, stats, ["x", "z"], "t", cut).collect()}
+    # The values once, and the sums of their ranks at each time.
+    assert len(sorts) == 2
+    for c, n in enumerate(("x", "z")):
+        assert got[n].n_a + got[n].n_b == alone[c][0] and got[n].monotonicity == pytest.approx(abs(alone[c][1]))
+    sorts.clear()
+    order = {r.feature: r.spearman for r in target.order_frame(df, stats, ["x", "z"], "y", ["no", "yes"]).collect()}
+    assert len(sorts) == 2 and [order["x"], order["z"]] == pytest.approx([target_alone[0], target_alone[1]])
+
+
+@pytest.mark.parametrize("table", ["orders", "events"])
+def test_drift_alone_counts_no_distinct_values(spark, sf0, monkeypatch, table):
+    asked, real = [], columns.column_stats
+    monkeypatch.setattr(columns, "column_stats", lambda df, **k: asked.append(k["parts"]) or real(df, **k))
+    assert queries.QUERIES[f"temporal_drift_{table}"](spark, sf0).count() >= 4
+    assert asked == [frozenset()]

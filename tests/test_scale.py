@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom import queries
+from riskloom import queries, scratch
 from riskloom.functions.expr import number
 from riskloom.llm.collocations import collocations
 from riskloom.operators import columns, ranks, target, temporal
@@ -110,3 +110,42 @@ def test_drift_alone_counts_no_distinct_values(spark, sf0, monkeypatch, table):
     monkeypatch.setattr(columns, "column_stats", lambda df, **k: asked.append(k["parts"]) or real(df, **k))
     assert queries.QUERIES[f"temporal_drift_{table}"](spark, sf0).count() >= 4
     assert asked == [frozenset()]
+
+
+def test_times_are_sorted_once_for_buckets_cut_and_drift(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    hours = rng.integers(0, 700, 5000)
+    wide = pd.DataFrame({"t": pd.Timestamp("2024-01-01") + pd.to_timedelta(hours, "h"), "x": rng.integers(0, 9, 5000) + hours // 400 * 5.0, "y": np.where(rng.random(5000) < 0.2, None, np.where(rng.random(5000) < hours / 700, "a", "b")), "z": np.where(rng.random(5000) < 0.1, np.nan, hours * 3.0 + rng.integers(0, 5, 5000))})
+    df = spark.createDataFrame(wide).repartition(5)
+    stats = columns.column_stats(df)
+    sorts, real = [], temporal.with_before
+    monkeypatch.setattr(temporal, "with_before", lambda counts, *a: sorts.append(a[0]) or real(counts, *a))
+    for y, classification in (("y", True), ("z", False)):
+        sorts.clear()
+        report = temporal.temporal_report(df, stats, "t", y)
+        assert sorts.count("us") == 1
+        assert (report.drift_kind, report.drift_score) == temporal.target_drift(df, "t", y, classification)
+        target_of = temporal.followed(df, stats, y)
+        shown = [(r.n_rows, r.n_target, r.value) for r in temporal.bucket_frame(df, "t", target_of).orderBy("bucket").collect()]
+        assert [(b.n_rows, b.n_target) for b in report.buckets] == [r[:2] for r in shown] and [b.value for b in report.buckets] == pytest.approx([r[2] for r in shown])
+        figures = {r.feature: r.drift for r in temporal.temporal_figures(df, stats, "t", y).collect()}
+        assert {s.feature: s.drift for s in report.signals} == pytest.approx(figures)
+
+
+def test_threads_release_only_their_own_tables(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    since = scratch.mark()
+    mine = scratch.kept(spark.range(5), "mine")
+
+    def other():
+        at = scratch.mark()
+        seen = scratch.kept(spark.range(7), "other").count()
+        scratch.release(at)
+        scratch.release()
+        return at, seen
+
+    with ThreadPoolExecutor(1) as pool:
+        assert pool.submit(other).result() == (0, 7)
+    assert mine.count() == 5 and scratch.mark() == since + 1
+    scratch.release(since)

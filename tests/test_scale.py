@@ -9,6 +9,7 @@ from riskloom import queries, scratch
 from riskloom.functions.expr import number
 from riskloom.llm.collocations import collocations
 from riskloom.operators import columns, ranks, target, temporal
+from riskloom.queries import QUERIES
 from riskloom.sources import sampling
 
 
@@ -149,3 +150,15 @@ def test_threads_release_only_their_own_tables(spark):
         assert pool.submit(other).result() == (0, 7)
     assert mine.count() == 5 and scratch.mark() == since + 1
     scratch.release(since)
+
+
+def test_power_of_lineitem_reads_a_share_of_its_rows_a_task(spark, sf0, tmp_path):
+    keys = [(F.col(k) + F.col("copy") * 1_000_000).alias(k) for k in ("l_orderkey", "l_partkey", "l_suppkey")]
+    df = spark.read.parquet(f"{sf0}/lineitem.parquet").crossJoin(spark.range(80).withColumnRenamed("id", "copy"))
+    df.select(*keys, *[c for c in df.columns if c not in ("copy", "l_orderkey", "l_partkey", "l_suppkey")]).write.parquet(f"{tmp_path}/lineitem.parquet")
+    n, least = df.count(), df.groupBy("l_returnflag").count().agg(F.min("count")).first()[0]
+    found = []
+    most = reads(spark, lambda: found.extend(QUERIES["predictive_power_lineitem"](spark, str(tmp_path)).collect()))
+    assert len(found) == 9 and all(r.n == n for r in found)
+    # A quarter of the rows' hashes a task, and of a class 10,000 from each of four tasks.
+    assert most[0] < 0.28 * n < least

@@ -58,6 +58,23 @@ def test_a_sample_is_what_one_sort_of_all_rows_gives(spark, monkeypatch):
     assert got == sorted(map(str, sampling.stratified_sample(df, "y", 900, 3).collect())) and len(got) >= 600
 
 
+def test_a_sample_out_of_many_tasks_does_not_meet_in_one(spark):
+    df = spark.range(200_000).select("id", F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("y"))
+    draws = (lambda: sampling.stratified_sample(df, "y", 2000, 2), lambda: sampling.exact_sample(df, 2000))
+    few = [sorted(draw().collect()) for draw in draws]
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        for draw, same in zip(draws, few):
+            found = []
+            most = reads(spark, lambda draw=draw, found=found: found.extend(draw().collect()))
+            assert sorted(found) == same and len(same) == 2000
+            # 64 tasks hand on 2,000 rows each to nine, which hand on as many.
+            assert most[0] < 25_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
